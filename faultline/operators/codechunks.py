@@ -234,9 +234,10 @@ def frame_chunks(
         .agg(F.lit(1).alias("_one"))
         .withColumn("_bin", bin_of(F.col("lineno")))
     )
+    needed = dict.fromkeys(("start_line", "end_line", *chunk_columns))
     binned = chunks.select(
         F.col("file_path").alias("filename"),
-        F.struct("start_line", "end_line", *chunk_columns).alias("_chunk"),
+        F.struct(*needed).alias("_chunk"),
         F.explode(F.sequence(bin_of(F.col("start_line")), bin_of(F.col("end_line")))).alias("_bin"),
     )
     line = F.col("lineno")

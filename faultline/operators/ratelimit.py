@@ -88,8 +88,10 @@ def run_steps(z: int | None, steps: Iterable[Step], token: int) -> int | None:
     return z
 
 
-def decide(z: int | None, barriers: Iterable[int], slack: int, token: int) -> list[bool]:
-    """Verdict for each event of a block entered in state ``z``."""
+def decide(
+    z: int | None, barriers: Iterable[int], slack: int, token: int
+) -> tuple[list[bool], int | None]:
+    """Verdict for each event of a block entered in state ``z``, and the state after."""
     verdicts = []
     for h in barriers:
         cap = h + slack
@@ -99,7 +101,7 @@ def decide(z: int | None, barriers: Iterable[int], slack: int, token: int) -> li
         if not passed:
             z += token
         verdicts.append(passed)
-    return verdicts
+    return verdicts, z
 
 
 def _barriers(block: pa.Table, token: int, refill: int) -> list[int]:
@@ -169,7 +171,7 @@ def decisions(
     def verdicts(key: tuple, block: pa.Table) -> pa.Table:
         block = block.sort_by("seq")
         entry = block.column("_entry")[0].as_py()
-        passed = decide(
+        passed, _ = decide(
             None if entry is None else int(entry),
             _barriers(block, token, refill),
             slack,

@@ -13,6 +13,7 @@ lines at a bucket's head, and only those move.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,21 +21,35 @@ from pyspark.sql import functions as F
 from faultline.functions.text import trim_blank_left
 from faultline.operators.scan import BUCKET_ROWS, bucket_of
 
-Rule = Callable[[Column, Column], Column]
+
+class Rule(NamedTuple):
+    """When a line continues the record of the line before it.
+
+    It does when ``alone`` holds for it, or when ``closing`` holds for it and
+    ``opening`` for the line before.  Each looks at one line, so a stream can work
+    them out row by row and needs to remember one flag.
+    """
+
+    alone: Callable[[Column], Column]
+    closing: Callable[[Column], Column] = lambda line: F.lit(False)
+    opening: Callable[[Column], Column] = lambda line: F.lit(False)
+
+    def __call__(self, prev: Column, line: Column) -> Column:
+        return self.alone(line) | (self.closing(line) & self.opening(prev))
+
+
+ContinuationRule = Callable[[Column, Column], Column]
 
 
 def _indented(line: Column) -> Column:
     return line.startswith(" ") | line.startswith("\t")
 
 
-def python_continues(prev: Column, line: Column) -> Column:
-    """Indented lines, and the ``Type: text`` line after an indented one."""
-    closing = F.contains(line, F.lit(": ")) & _indented(prev)
-    return (line != "") & (_indented(line) | closing)
+def _has_detail(line: Column) -> Column:
+    return F.contains(line, F.lit(": "))
 
 
-def java_continues(prev: Column, line: Column) -> Column:
-    """Frames, elided frames, causes and suppressed exceptions."""
+def _java(line: Column) -> Column:
     body = trim_blank_left(line)
     return (
         body.startswith("at ")
@@ -44,8 +59,7 @@ def java_continues(prev: Column, line: Column) -> Column:
     )
 
 
-def go_continues(prev: Column, line: Column) -> Column:
-    """Blank, indented, goroutine and exit lines, and ``pkg.Func(`` shapes."""
+def _go(line: Column) -> Column:
     dot = F.instr(line, F.lit("."))
     call = (dot > 1) & F.contains(F.substr(line, dot), F.lit("("))
     return (
@@ -57,33 +71,29 @@ def go_continues(prev: Column, line: Column) -> Column:
     )
 
 
-def node_continues(prev: Column, line: Column) -> Column:
+def _node(line: Column) -> Column:
     return line.startswith("    at ") | line.startswith("\tat ")
 
 
-def ruby_continues(prev: Column, line: Column) -> Column:
+def _ruby(line: Column) -> Column:
     return trim_blank_left(line).startswith("from ")
 
 
-def universal_continues(prev: Column, line: Column) -> Column:
-    """Any of the language rules; a blank line always continues."""
-    return (
-        (line == "")
-        | python_continues(prev, line)
-        | java_continues(prev, line)
-        | go_continues(prev, line)
-        | node_continues(prev, line)
-        | ruby_continues(prev, line)
-    )
-
-
 RULES: dict[str, Rule] = {
-    "python": python_continues,
-    "java": java_continues,
-    "go": go_continues,
-    "node": node_continues,
-    "ruby": ruby_continues,
-    "universal": universal_continues,
+    # Indented lines, and the "Type: text" line after an indented one.
+    "python": Rule(_indented, _has_detail, _indented),
+    # Frames, elided frames, causes and suppressed exceptions.
+    "java": Rule(_java),
+    # Blank, indented, goroutine and exit lines, and "pkg.Func(" shapes.
+    "go": Rule(_go),
+    "node": Rule(_node),
+    "ruby": Rule(_ruby),
+    # Any of them; a blank line always continues.
+    "universal": Rule(
+        lambda line: _go(line) | _java(line) | _node(line) | _ruby(line),
+        _has_detail,
+        _indented,
+    ),
 }
 
 
@@ -109,7 +119,7 @@ def with_stream_key(raw: DataFrame) -> DataFrame:
 
 
 def joins_previous(
-    rule: Rule,
+    rule: ContinuationRule,
     prev_line: Column,
     prev_ts: Column,
     line: Column,
@@ -126,7 +136,7 @@ def joins_previous(
 
 def recombine(
     lines: DataFrame,
-    rule: str | Rule = "universal",
+    rule: str | ContinuationRule = "universal",
     idle_ms: int | None = None,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:

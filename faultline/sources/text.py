@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.schema import RAW_LOG
 
+# A stream's position in a file: where its split starts, in units below any split
+# size, above the row count of one task.
+SPLIT_START_BITS = 10
+TASK_ROW_BITS = 33
+
 
 def raw_log(df: DataFrame) -> DataFrame:
     """The RAW_LOG columns of ``df``, in order and typed."""
@@ -19,23 +28,36 @@ def _reader(spark: SparkSession, streaming: bool, options: dict[str, str]):
     return reader.format("text").options(lineSep="\n", **options)
 
 
+def _count_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Turn the split start in ``seq`` into a position: split, then row of the task."""
+    row = 0
+    for batch in batches:
+        splits = batch.column("seq").to_numpy() >> SPLIT_START_BITS
+        rows = np.arange(row, row + batch.num_rows)
+        row += batch.num_rows
+        seq = pa.array((splits << TASK_ROW_BITS) + rows, pa.int64())
+        yield batch.set_column(batch.schema.get_field_index("seq"), "seq", seq)
+
+
 def read_text_files(
     spark: SparkSession, paths: str | list[str], streaming: bool = False, **options: str
 ) -> DataFrame:
     """Lines with their file, position and the file's modification time.
 
-    ``seq`` is unique in one read.  It rises along a file: the scan hands out the
-    splits of a file to tasks by falling size and keeps equal ones in order, and only
-    the last split of a file is shorter.
+    ``seq`` rises along a file.  In a batch it is unique in one read: the scan hands
+    out the splits of a file to tasks by falling size and keeps equal ones in order,
+    and only the last split of a file is shorter.  In a stream, where row ids are not
+    to be had, it is unique within a file.
     """
-    reader = _reader(spark, streaming, options)
-    loaded = reader.load(paths)
-    return loaded.select(
+    loaded = _reader(spark, streaming, options).load(paths)
+    split_start = F.col("_metadata.file_block_start")
+    lines = loaded.select(
         F.col("value").alias("line"),
         F.regexp_replace("_metadata.file_path", r"^file:/+", "/").alias("file_path"),
-        F.monotonically_increasing_id().alias("seq"),
+        (split_start if streaming else F.monotonically_increasing_id()).alias("seq"),
         F.col("_metadata.file_modification_time").alias("ts"),
     )
+    return lines.mapInArrow(_count_rows, lines.schema) if streaming else lines
 
 
 def file_source(

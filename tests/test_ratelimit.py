@@ -66,8 +66,10 @@ def test_blocks_equal_plain_bucket(seed):
     while at < len(times):
         size = rng.randint(1, 60)
         block = barriers[at : at + size]
-        got += decide(state, block, slack, token)
+        verdicts, after = decide(state, block, slack, token)
+        got += verdicts
         state = run_steps(state, summarise(block, slack, token), token)
+        assert state == after
         at += size
     assert got == bucket(times, rate, burst)
 
