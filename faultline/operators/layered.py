@@ -71,9 +71,10 @@ def merge_tags(own: Column, parser: Column, source_tags: Column, source: Column)
     )
 
 
-def event_id(stream_key: Column, seq: Column, text: Column) -> Column:
+def event_id(stream_key: Column, seq: Column, ts: Column, text: Column) -> Column:
     """Stable id in UUID shape: the same record always gets the same one."""
-    digest = F.sha2(F.concat_ws("\x1f", stream_key, seq.cast("string"), text), 256)
+    micros = F.unix_micros(ts).cast("string")
+    digest = F.sha2(F.concat_ws("\x1f", stream_key, seq.cast("string"), micros, text), 256)
     return F.regexp_replace(
         F.substring(digest, 1, 32),
         r"^(.{8})(.{4})(.{4})(.{4})(.{12})$",
@@ -101,7 +102,7 @@ def assemble(events: DataFrame, project_id: str) -> DataFrame:
     """Full events: id, time, project and merged tags around the extraction."""
     e = F.col("event")
     columns = {
-        "event_id": event_id(F.col("stream_key"), F.col("seq"), F.col("line")),
+        "event_id": event_id(F.col("stream_key"), F.col("seq"), F.col("ts"), F.col("line")),
         "timestamp": F.coalesce(e["own_ts"], F.col("ts")),
         "project_id": F.lit(project_id),
         "platform": e["platform"],

@@ -46,20 +46,18 @@ def keeps_namespace(namespace: Column, excluded: Sequence[str] = ()) -> Column:
     return ~namespace.isin(*SYSTEM_NAMESPACES, *excluded)
 
 
-def pod_source(
-    spark: SparkSession,
-    root: str = DEFAULT_ROOT,
-    excluded: Sequence[str] = (),
-    strip_runtime_prefix: bool = False,
-    streaming: bool = False,
+def decode_pod_lines(
+    lines: DataFrame, excluded: Sequence[str] = (), strip_runtime_prefix: bool = False
 ) -> DataFrame:
-    """RAW_LOG of the active log of every container under ``root``."""
-    lines = read_text_files(spark, f"{root.rstrip('/')}/*/*/0.log", streaming)
+    """RAW_LOG of lines given as ``file_path, seq, ts, line``.
+
+    Lines of files that are not in a pod's directory are left out.
+    """
     parts = F.split("file_path", "/")
     found = lines.select(
         "*",
-        pod_meta(F.element_at(parts, -3)).alias("meta"),
-        F.element_at(parts, -2).alias("container"),
+        pod_meta(F.try_element_at(parts, F.lit(-3))).alias("meta"),
+        F.try_element_at(parts, F.lit(-2)).alias("container"),
     ).where(F.col("meta").isNotNull() & keeps_namespace(F.col("meta.namespace"), excluded))
     line = F.col("line")
     if strip_runtime_prefix:
@@ -84,3 +82,15 @@ def pod_source(
             ).alias("tags"),
         )
     )
+
+
+def pod_source(
+    spark: SparkSession,
+    root: str = DEFAULT_ROOT,
+    excluded: Sequence[str] = (),
+    strip_runtime_prefix: bool = False,
+    streaming: bool = False,
+) -> DataFrame:
+    """RAW_LOG of the active log of every container under ``root``."""
+    lines = read_text_files(spark, f"{root.rstrip('/')}/*/*/0.log", streaming)
+    return decode_pod_lines(lines, excluded, strip_runtime_prefix)
