@@ -8,9 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultline.functions.once import with_once
 from faultline.functions.text import blank_to_null
 from faultline.operators.fallback import KEYWORDS, fallback_event, has_keyword
 from faultline.operators.json_events import json_event
+from faultline.operators.redact import redact
 from faultline.operators.traces import (
     go_event,
     java_event,
@@ -91,11 +93,28 @@ def extract(
     """Records with an ``event`` column; records without an event are dropped."""
     if prefilter:
         records = records.where(may_hold_event(F.col("line"), keywords))
-    found = records.withColumn("_found", F.array(extract_event(F.col("line"), layers, keywords)))
-    # A generator is a barrier: the extraction runs once per record, not again in
-    # a filter pushed below it.
-    kept = found.select(*records.columns, F.explode("_found").alias("event"))
-    return kept.where(F.col("event").isNotNull())
+    found = with_once(records, "event", extract_event(F.col("line"), layers, keywords))
+    return found.where(F.col("event").isNotNull())
+
+
+def scrub_and_extract(
+    records: DataFrame,
+    redactions: Sequence[str] = (),
+    custom_redactions: Sequence[str] = (),
+    layers: Sequence[Layer] = LAYERS,
+    keywords: Sequence[str] = (),
+) -> DataFrame:
+    """Records redacted, then extracted; records without an event are dropped.
+
+    Redaction replaces text by bracketed markers, none of which holds, or can complete,
+    a word the pre-filter looks for.  So the pre-filter may run first, and most records
+    never meet the redaction patterns.  Own keywords could match a marker; with them it
+    runs after.
+    """
+    if not keywords:
+        records = records.where(may_hold_event(F.col("line")))
+    clean = with_once(records, "line", redact(F.col("line"), redactions, custom_redactions))
+    return extract(clean, layers, keywords, prefilter=bool(keywords))
 
 
 def assemble(events: DataFrame, project_id: str) -> DataFrame:

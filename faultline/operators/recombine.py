@@ -160,6 +160,7 @@ def recombine(
     # Fragments: islands inside one bucket.  The first line of a bucket opens
     # fragment 0 without a verdict; its predecessor is in another bucket.
     inside = Window.partitionBy("stream_key", "_bucket").orderBy("seq")
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fragments = (
         rows.withColumns(
             {
@@ -179,7 +180,7 @@ def recombine(
                 idle_ms,
             ),
         )
-        .withColumn("_fragment", F.sum(F.col("_starts").cast("int")).over(inside))
+        .withColumn("_fragment", F.sum(F.col("_starts").cast("int")).over(upto))
         .groupBy("stream_key", "_bucket", "_fragment")
         .agg(
             F.expr(r"listagg(line, '\n') WITHIN GROUP (ORDER BY seq)").alias("_text"),

@@ -174,6 +174,13 @@ CONTAINER_CHUNKS_DUCKDB = CONTAINER_CHUNKS.format(
     pieces="unnest(range(0, CAST(length(text) AS BIGINT) // 100 + 1))"
 )
 
+# Long texts, most of them with an error word at the start or the end.
+NOTES = """
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN concat('  Error: ', text)
+  WHEN 2 THEN concat(text, ' traceback') ELSE concat('é panic ', text, chr(10)) END AS text
+FROM @documents
+"""
+
 # Limiter arrivals: one hot key, and time pressed so that the keys run dry.
 ARRIVALS = """
 SELECT CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE event_type END AS source,

@@ -351,15 +351,15 @@ journal AS (SELECT * FROM fields WHERE line <> ''
 OTLP = f"""requests AS (SELECT seq, ts, {json_object('payload')} AS j FROM ({duckdb_text(D.OTLP_REQUESTS)})),
 resources AS (SELECT seq, ts, r, ri FROM (SELECT seq, ts,
     unnest(CAST(json_extract(j, '$.resourceLogs') AS JSON[])) AS r,
-    unnest(range(json_array_length(j, '$.resourceLogs'))) AS ri FROM requests WHERE j IS NOT NULL)),
+    unnest(range(CAST(json_array_length(j, '$.resourceLogs') AS BIGINT))) AS ri FROM requests WHERE j IS NOT NULL)),
 scopes AS (SELECT seq, ts, r, ri, unnest(CAST(json_extract(r, '$.scopeLogs') AS JSON[])) AS s,
-    unnest(range(json_array_length(r, '$.scopeLogs'))) AS si FROM resources),
+    unnest(range(CAST(json_array_length(r, '$.scopeLogs') AS BIGINT))) AS si FROM resources),
 nested AS (SELECT seq, ts, r, ri, s, si, unnest(CAST(json_extract(s, '$.logRecords') AS JSON[])) AS x,
-    unnest(range(json_array_length(s, '$.logRecords'))) AS xi FROM scopes),
+    unnest(range(CAST(json_array_length(s, '$.logRecords') AS BIGINT))) AS xi FROM scopes),
 attributes AS (SELECT seq, ri, json_extract_string(a, '$.key') AS k,
     coalesce(json_extract_string(a, '$.value.stringValue'), json_extract_string(a, '$.value.intValue'), '') AS v, ai
   FROM (SELECT seq, ri, unnest(CAST(json_extract(r, '$.resource.attributes') AS JSON[])) AS a,
-    unnest(range(json_array_length(r, '$.resource.attributes'))) AS ai FROM resources)),
+    unnest(range(CAST(json_array_length(r, '$.resource.attributes') AS BIGINT))) AS ai FROM resources)),
 promoted AS (SELECT seq, ri, max_by(v, ai) FILTER (WHERE k = 'service.name') AS service_name,
     max_by(v, ai) FILTER (WHERE k = 'host.name') AS hostname FROM attributes GROUP BY ALL),
 otlp AS (SELECT n.seq, row_number() OVER (PARTITION BY n.seq ORDER BY n.ri, si, xi) - 1 AS place,
@@ -592,7 +592,7 @@ oracle(
     "json_frame_list",
     f"""WITH {JSON_RECORDS}, frames AS (SELECT event_id,
     unnest(CAST(json_extract(j, '$.exception.stacktrace.frames') AS JSON[])) AS f,
-    unnest(range(json_array_length(j, '$.exception.stacktrace.frames'))) AS i FROM records WHERE {TRACE_IS_LIST})
+    unnest(range(CAST(json_array_length(j, '$.exception.stacktrace.frames') AS BIGINT))) AS i FROM records WHERE {TRACE_IS_LIST})
     SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY i) - 1 AS place,
     coalesce({json_string('f', 'filename', 'file')}, '') AS filename,
     coalesce({json_string('f', 'function', 'func', 'method')}, '') AS function, {NUMBER} AS lineno,
@@ -614,7 +614,8 @@ for query_name, lang in (
 oracle(
     "keyword_fallback",
     f"""SELECT doc_id, {cut('body', 8000)} AS message, {cut('text', 200)} AS raw_line
-    FROM (SELECT doc_id, text, {trimmed('text')} AS body FROM documents) WHERE {keyword('text', KEYWORDS)}""",
+    FROM (SELECT doc_id, text, {trimmed('text')} AS body FROM ({duckdb_text(D.NOTES)}))
+    WHERE {keyword('text', KEYWORDS)}""",
 )
 oracle(
     "custom_keywords",

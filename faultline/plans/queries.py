@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.functions.once import with_once
 from faultline.functions.text import trim_space
 from faultline.functions.variants import first_string, object_field, parse_object
 from faultline.operators import codechunks, delivery, health, queue, ratelimit
@@ -20,7 +21,7 @@ from faultline.operators.json_events import (
     normalise_level,
     parse_rfc3339,
 )
-from faultline.operators.layered import assemble, extract, may_hold_event
+from faultline.operators.layered import assemble, extract, may_hold_event, scrub_and_extract
 from faultline.operators.recombine import RULES, recombine, stream_key, with_stream_key
 from faultline.operators.redact import redact, usable_patterns
 from faultline.operators.traces import (
@@ -104,11 +105,11 @@ def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_records(spark, sf_dir).withColumn("line", redact(F.col("line")))
+    return with_once(log_records(spark, sf_dir), "line", redact(F.col("line")))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assemble(extract(clean_records(spark, sf_dir)), PROJECT)
+    return assemble(scrub_and_extract(log_records(spark, sf_dir)), PROJECT)
 
 
 # --- sources -------------------------------------------------------------------
@@ -357,13 +358,13 @@ def _json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON lines that are one object, parsed."""
     lines = derive(spark, sf_dir, D.JSON_LINES)
     text = trim_space(F.col("line"))
-    parsed = F.when(text.startswith("{"), parse_object(text))
-    return lines.select("event_id", parsed.alias("record")).where(F.col("record").isNotNull())
+    parsed = with_once(lines, "record", F.when(text.startswith("{"), parse_object(text)))
+    return parsed.select("event_id", "record").where(F.col("record").isNotNull())
 
 
 def _json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = derive(spark, sf_dir, D.JSON_LINES)
-    found = lines.select("event_id", F.explode(F.array(json_event(F.col("line")))).alias("e"))
+    found = with_once(lines, "e", json_event(F.col("line")))
     return found.where(F.col("e").isNotNull())
 
 
@@ -377,8 +378,8 @@ def normalise_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def error_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = normalise_level(first_string(F.col("record"), "level", "severity"))
-    rows = _json_records(spark, sf_dir).select("event_id", level.alias("level"))
-    return rows.where(is_error_level(F.col("level")))
+    rows = with_once(_json_records(spark, sf_dir), "level", level)
+    return rows.where(is_error_level(F.col("level"))).select("event_id", "level")
 
 
 @query
@@ -436,9 +437,7 @@ def json_platform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _trace_query(name: str, extractor: Callable[[Column], Column]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = log_records(spark, sf_dir).select(
-            "stream_key", "seq", F.explode(F.array(extractor(F.col("line")))).alias("e")
-        )
+        found = with_once(log_records(spark, sf_dir), "e", extractor(F.col("line")))
         kept = found.where(F.col("e").isNotNull())
         return kept.select("stream_key", "seq", *event_columns(F.col("e")))
 
@@ -455,9 +454,7 @@ _trace_query("ruby_traces", ruby_event)
 
 @query
 def keyword_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _documents(spark, sf_dir).select(
-        "doc_id", F.explode(F.array(fallback_event(F.col("text")))).alias("e")
-    )
+    rows = with_once(derive(spark, sf_dir, D.NOTES), "e", fallback_event(F.col("text")))
     return rows.where(F.col("e").isNotNull()).select(
         "doc_id", "e.message", F.element_at("e.tags", "raw_line").alias("raw_line")
     )
@@ -466,15 +463,13 @@ def keyword_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def custom_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     event = fallback_event(F.col("line"), CUSTOM_KEYWORDS)
-    rows = log_records(spark, sf_dir).select(
-        "stream_key", "seq", F.explode(F.array(event)).alias("e")
-    )
+    rows = with_once(log_records(spark, sf_dir), "e", event)
     return rows.where(F.col("e").isNotNull()).select("stream_key", "seq", "e.message")
 
 
 @query
 def layered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract(clean_records(spark, sf_dir))
+    found = scrub_and_extract(log_records(spark, sf_dir))
     return found.select(
         "stream_key", "seq", F.col("event.parser").alias("parser"), *event_columns(F.col("event"))
     )

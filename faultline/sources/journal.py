@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.functions.once import with_once
 from faultline.functions.variants import parse_object, string_field
 from faultline.sources.text import raw_log, read_text_files
 
@@ -35,21 +36,20 @@ def decode_journal(entries: DataFrame, units: Sequence[str] = ()) -> DataFrame:
     Entries that are not one JSON object, or whose message is not a non-empty
     string, are left out.
     """
-    parsed = entries.select("seq", "ts", parse_object(F.col("line")).alias("entry")).where(
+    parsed = with_once(entries, "entry", parse_object(F.col("line"))).where(
         F.col("entry").isNotNull()
     )
     entry = F.col("entry")
     empty = F.lit("")
     unit = F.coalesce(string_field(entry, "_SYSTEMD_UNIT"), string_field(entry, "UNIT"), empty)
-    fields = parsed.select(
-        "seq",
-        "ts",
+    read = F.struct(
         unit.alias("unit"),
         string_field(entry, "MESSAGE").alias("line"),
         F.coalesce(string_field(entry, "_HOSTNAME"), empty).alias("hostname"),
         F.coalesce(string_field(entry, "PRIORITY"), empty).alias("priority"),
         string_field(entry, "__REALTIME_TIMESTAMP").alias("micros"),
     )
+    fields = with_once(parsed, "fields", read).select("seq", "ts", "fields.*")
     kept = fields.where(keeps_unit(F.col("unit"), units) & (F.col("line") != ""))
     return raw_log(
         kept.select(
