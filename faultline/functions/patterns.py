@@ -12,32 +12,51 @@ WS = r"[\t\n\f\r ]"
 NOT_WS = r"[^\t\n\f\r ]"
 WORD_START = r"(?<![0-9A-Za-z_])"
 WORD_END = r"(?![0-9A-Za-z_])"
-# Unicode white space, as trimmed around log lines.
-SPACE_CHARS = r"\t\n\x0B\f\r \x{85}\p{Z}"
+# Fixed value: Unicode white space, as trimmed around log lines.
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
-# Redaction patterns and markers, in the order they apply.
+# Redaction patterns and markers, in the order they apply.  Where case does
+# not count, letters are spelled out: simple case folding adds U+212A to k and U+017F to s.
+# The look-aheads only reject a position before the look-behind is tried.
+FOLDED = r"A-Za-z\x{17F}\x{212A}"
+BEARER = "[Bb][Ee][Aa][Rr][Ee][Rr]"
+API_KEY = r"[Aa][Pp][Ii][_\-]?[Kk\x{212A}][Ee][Yy]"
 REDACTIONS: tuple[tuple[str, str, str], ...] = (
     ("email", r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", "[email]"),
-    ("ipv4", WORD_START + r"(?:\d{1,3}\.){3}\d{1,3}" + WORD_END, "[ip]"),
+    ("ipv4", r"(?=\d)" + WORD_START + r"(?:\d{1,3}\.){3}\d{1,3}" + WORD_END, "[ip]"),
     (
         "ipv6",
-        WORD_START + r"(?:[0-9a-fA-F]{1,4}:){2,7}[0-9a-fA-F]{1,4}" + WORD_END,
+        r"(?=[0-9a-fA-F])" + WORD_START + r"(?:[0-9a-fA-F]{1,4}:){2,7}[0-9a-fA-F]{1,4}" + WORD_END,
         "[ip]",
     ),
     ("jwt", r"eyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", "[jwt]"),
-    ("bearer", rf"(?iu)Bearer{WS}+[A-Za-z0-9_\-\.~+/=]+", "Bearer [token]"),
+    ("bearer", BEARER + WS + "+[" + FOLDED + r"0-9_\-\.~+/=]+", "Bearer [token]"),
     (
         "stripe_key",
-        WORD_START + r"(sk|pk|rk)_(test|live)_[A-Za-z0-9]{16,}" + WORD_END,
+        "(?=[spr])" + WORD_START + r"(sk|pk|rk)_(test|live)_[A-Za-z0-9]{16,}" + WORD_END,
         "[api_key]",
     ),
     (
         "generic_api_key",
-        rf"(?iu)(api[_\-]?key[\"']?{WS}*[:=]{WS}*[\"']?)([A-Za-z0-9_\-]{{16,}})",
+        "(" + API_KEY + rf"[\"']?{WS}*[:=]{WS}*[\"']?)([" + FOLDED + r"0-9_\-]{16,})",
         "$1[api_key]",
     ),
 )
 
+# A literal, or a shape, every match of a redaction pattern holds.
+REDACTION_LITERALS: dict[str, tuple[str, ...]] = {
+    "email": ("@",),
+    "jwt": ("eyJ",),
+    "stripe_key": ("_test_", "_live_"),
+}
+REDACTION_SHAPES: dict[str, str] = {
+    "ipv4": r"\d\.\d",
+    "ipv6": r"[0-9a-fA-F]:[0-9a-fA-F]",
+}
+
 # Shapes of stack traces.
 PY_MARKER = "Traceback (most recent call last):"
 PY_FRAME = rf'(?d)^{WS}*File "([^"]+)", line (\d+), in (.+)\z'

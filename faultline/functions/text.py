@@ -21,9 +21,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def trim_space(text: Column) -> Column:
     """Strip Unicode white space from both ends."""
-    return F.regexp_replace(
-        text, rf"\A[{SPACE_CHARS}]+|(?<![{SPACE_CHARS}])[{SPACE_CHARS}]+\z", ""
-    )
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def trim_blank_left(text: Column) -> Column:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from faultline.functions.text import cut_bytes, trim_space
+from faultline.functions.text import cut_bytes, let, trim_space
 from faultline.schema import EVENT
 
 # Words that mark a record as an error, and size limits in bytes.
@@ -19,9 +19,11 @@ RAW_LINE_BYTES = 200
 
 def has_keyword(text: Column, keywords: Sequence[str] = ()) -> Column:
     """The upper-cased text contains a keyword; custom ones replace the default."""
-    upper = F.upper(text)
-    tests = [F.contains(upper, F.lit(word)) for word in (keywords or KEYWORDS)]
-    return reduce(lambda a, b: a | b, tests)
+    words = keywords or KEYWORDS
+    return let(
+        F.upper(text),
+        lambda upper: reduce(Column.__or__, [F.contains(upper, F.lit(w)) for w in words]),
+    )
 
 
 def fallback_event(text: Column, keywords: Sequence[str] = ()) -> Column:

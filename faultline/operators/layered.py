@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.once import with_once
-from faultline.functions.text import blank_to_null
+from faultline.functions.text import blank_to_null, let
 from faultline.operators.fallback import KEYWORDS, fallback_event, has_keyword
 from faultline.operators.json_events import json_event
 from faultline.operators.redact import redact
@@ -38,16 +38,18 @@ LAYERS: tuple[Layer, ...] = (
 def may_hold_event(text: Column, keywords: Sequence[str] = ()) -> Column:
     """Cheap test every record with an event passes.
 
-    Each trace shape holds one of the default words, ``THROWABLE`` or ``:in ```;
-    JSON records open with a brace after white space.
+    Each trace shape holds one of the default words, ``THROWABLE`` or ``:in ```.  JSON at
+    error level spells a level out in letters, or in escapes, after a brace.
     """
-    upper = F.upper(text)
-    words = (*KEYWORDS, "THROWABLE")
-    tests = [F.contains(upper, F.lit(word)) for word in words]
-    tests += [F.contains(text, F.lit(":in `")), F.contains(text, F.lit("{"))]
-    if keywords:
-        tests.append(has_keyword(text, keywords))
-    return reduce(lambda a, b: a | b, tests)
+
+    def holds(upper: Column) -> Column:
+        json_words = [F.contains(upper, F.lit(word)) for word in ("ERR", "CRIT", "\\U")]
+        json_like = F.contains(upper, F.lit("{")) & reduce(Column.__or__, json_words)
+        tests = [F.contains(upper, F.lit(word)) for word in (*KEYWORDS, "THROWABLE", ":IN `")]
+        return reduce(Column.__or__, [*tests, json_like])
+
+    passed = let(F.upper(text), holds)
+    return passed | has_keyword(text, keywords) if keywords else passed
 
 
 def extract_event(

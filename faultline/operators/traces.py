@@ -153,14 +153,15 @@ def java_event(text: Column) -> Column:
         )
 
     def ends(line: Column) -> Column:
-        body = trim_space(line)
-        filler = (
-            body.startswith("...")
-            | body.startswith("Caused by:")
-            | body.startswith("Suppressed:")
-            | (body == "")
-        )
-        return ~is_frame(line) & ~filler
+        def is_filler(body: Column) -> Column:
+            return (
+                body.startswith("...")
+                | body.startswith("Caused by:")
+                | body.startswith("Suppressed:")
+                | (body == "")
+            )
+
+        return ~is_frame(line) & ~let(trim_space(line), is_filler)
 
     def build(lines: Column, positions: Column, start: Column) -> Column:
         stop = F.coalesce(

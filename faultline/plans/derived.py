@@ -19,14 +19,24 @@ def duckdb_text(sql: str) -> str:
     return TABLE.sub(r"\1", sql)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Cut a table that is read in fewer pieces than there are cores to work on it.
+
+    Large tables are read in many pieces and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run a derivation on the tables of ``sf_dir``."""
+def derive(spark: SparkSession, sf_dir: str, sql: str, heavy: bool = False) -> DataFrame:
+    """Run a derivation on the tables of ``sf_dir``; ``heavy`` work is spread first."""
     for name in set(TABLE.findall(sql)):
-        table(spark, sf_dir, name).createOrReplaceTempView(f"faultline_{name}")
+        source = table(spark, sf_dir, name)
+        (spread(source) if heavy else source).createOrReplaceTempView(f"faultline_{name}")
     return spark.sql(TABLE.sub(r"faultline_\1", sql))
 
 
@@ -162,17 +172,15 @@ SELECT event_id AS seq, CAST(ts AS TIMESTAMP) AS ts, CASE
 """
 
 # Document texts cut into pieces of 100 characters, one container per source.
-CONTAINER_CHUNKS = """
-SELECT concat('c', source) AS container_id, source, doc_id * 100000 + piece AS chunk_no,
-  substring(text, CAST(piece AS INT) * 100 + 1, 100) AS payload
-FROM (SELECT doc_id, source, text, {pieces} AS piece FROM @documents) AS d
+CONTAINER_CHUNKS_SPARK = """
+SELECT concat('c', source) AS container_id, source, doc_id * 100000 + pos AS chunk_no, col AS payload
+FROM (SELECT doc_id, source, posexplode(regexp_extract_all(text, '(?s).{1,100}', 0)) FROM @documents) AS d
+"""
+CONTAINER_CHUNKS_DUCKDB = """
+SELECT concat('c', source) AS container_id, source, doc_id * 100000 + pos AS chunk_no, p[pos + 1] AS payload
+FROM (SELECT doc_id, source, p, unnest(range(len(p))) AS pos
+  FROM (SELECT doc_id, source, regexp_extract_all(text, '(?s).{1,100}') AS p FROM @documents)) AS d
 """
-CONTAINER_CHUNKS_SPARK = CONTAINER_CHUNKS.format(
-    pieces="explode(sequence(0L, CAST(length(text) AS BIGINT) div 100))"
-)
-CONTAINER_CHUNKS_DUCKDB = CONTAINER_CHUNKS.format(
-    pieces="unnest(range(0, CAST(length(text) AS BIGINT) // 100 + 1))"
-)
 
 # Long texts, most of them with an error word at the start or the end.
 NOTES = """

@@ -14,12 +14,17 @@ from faultline.functions.variants import first_string, object_field, parse_objec
 from faultline.operators import codechunks, delivery, health, queue, ratelimit
 from faultline.operators.fallback import fallback_event
 from faultline.operators.json_events import (
+    LEVEL_KEYS,
+    MESSAGE_KEYS,
+    TIME_KEYS,
     infer_platform,
     is_error_level,
     json_event,
     json_frames,
+    json_level,
     normalise_level,
     parse_rfc3339,
+    record_texts,
 )
 from faultline.operators.layered import assemble, extract, may_hold_event, scrub_and_extract
 from faultline.operators.recombine import RULES, recombine, stream_key, with_stream_key
@@ -32,7 +37,7 @@ from faultline.operators.traces import (
     ruby_event,
 )
 from faultline.plans import derived as D
-from faultline.plans.derived import derive, table
+from faultline.plans.derived import derive, spread, table
 from faultline.session import checkpoint_root
 from faultline.sources import containers, journal, otlp, pods, trees
 from faultline.sources.sinks import envelope_json
@@ -160,7 +165,7 @@ def namespace_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _journal(spark: SparkSession, sf_dir: str, units: tuple[str, ...] = ()) -> DataFrame:
-    return journal.decode_journal(derive(spark, sf_dir, D.JOURNAL_LINES), units)
+    return journal.decode_journal(derive(spark, sf_dir, D.JOURNAL_LINES, heavy=True), units)
 
 
 @query
@@ -183,7 +188,7 @@ def journal_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _otlp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return otlp.flatten_requests(derive(spark, sf_dir, D.OTLP_REQUESTS))
+    return otlp.flatten_requests(derive(spark, sf_dir, D.OTLP_REQUESTS, heavy=True))
 
 
 @query
@@ -193,7 +198,7 @@ def otlp_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def otlp_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return otlp.rejected_requests(derive(spark, sf_dir, D.OTLP_REQUESTS)).select("seq", "payload")
+    return otlp.rejected_requests(derive(spark, sf_dir, D.OTLP_REQUESTS, heavy=True)).select("seq", "payload")
 
 
 @query
@@ -227,12 +232,12 @@ def otlp_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def container_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return containers.assemble_lines(derive(spark, sf_dir, D.CONTAINER_CHUNKS_SPARK))
+    return containers.assemble_lines(derive(spark, sf_dir, D.CONTAINER_CHUNKS_SPARK, heavy=True))
 
 
 @query
 def container_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = derive(spark, sf_dir, D.CONTAINER_CHUNKS_SPARK)
+    chunks = derive(spark, sf_dir, D.CONTAINER_CHUNKS_SPARK, heavy=True)
     names = F.when(F.col("source") == "src3", F.array().cast("array<string>")).otherwise(
         F.array(F.concat(F.lit("/"), "source"), F.lit("/other"))
     )
@@ -252,7 +257,7 @@ def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
         "kubernetes": lambda s, c: pods.decode_pod_lines(derive(s, sf_dir, D.POD_LINES)),
         "otel": lambda s, c: _otlp(s, sf_dir).select(*raw),
         "docker": lambda s, c: containers.container_source(
-            derive(s, sf_dir, D.CONTAINER_CHUNKS_SPARK).withColumn("names", named)
+            derive(s, sf_dir, D.CONTAINER_CHUNKS_SPARK, heavy=True).withColumn("names", named)
         ),
     }
     configs = [{"type": t} for t in readers] + [
@@ -295,7 +300,7 @@ def envelope_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chunk_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = derive(spark, sf_dir, D.SOURCE_FILES)
+    files = derive(spark, sf_dir, D.SOURCE_FILES, heavy=True)
     repos = files.select("repo").distinct().select(
         "repo",
         F.concat(F.lit("https://git/"), "repo").alias("repo_url"),
@@ -333,7 +338,7 @@ def stream_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query
@@ -356,14 +361,14 @@ def redact_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON lines that are one object, parsed."""
-    lines = derive(spark, sf_dir, D.JSON_LINES)
+    lines = derive(spark, sf_dir, D.JSON_LINES, heavy=True)
     text = trim_space(F.col("line"))
     parsed = with_once(lines, "record", F.when(text.startswith("{"), parse_object(text)))
     return parsed.select("event_id", "record").where(F.col("record").isNotNull())
 
 
 def _json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = derive(spark, sf_dir, D.JSON_LINES)
+    lines = derive(spark, sf_dir, D.JSON_LINES, heavy=True)
     found = with_once(lines, "e", json_event(F.col("line")))
     return found.where(F.col("e").isNotNull())
 
@@ -371,13 +376,13 @@ def _json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def normalise_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _json_records(spark, sf_dir)
-    level = first_string(F.col("record"), "level", "severity")
+    level = first_string(F.col("record"), *LEVEL_KEYS)
     return rows.select("event_id", level.alias("given"), normalise_level(level).alias("level"))
 
 
 @query
 def error_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    level = normalise_level(first_string(F.col("record"), "level", "severity"))
+    level = json_level(record_texts(F.col("record")))
     rows = with_once(_json_records(spark, sf_dir), "level", level)
     return rows.where(is_error_level(F.col("level"))).select("event_id", "level")
 
@@ -385,7 +390,7 @@ def error_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def first_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _json_records(spark, sf_dir)
-    return rows.select("event_id", first_string(F.col("record"), "message", "msg", "log").alias("message"))
+    return rows.select("event_id", first_string(F.col("record"), *MESSAGE_KEYS).alias("message"))
 
 
 @query
@@ -397,7 +402,7 @@ def json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def json_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = first_string(F.col("record"), "timestamp", "ts", "time")
+    given = first_string(F.col("record"), *TIME_KEYS)
     rows = _json_records(spark, sf_dir).select("event_id", given.alias("given"))
     return rows.select("event_id", "given", F.unix_micros(parse_rfc3339(F.col("given"))).alias("micros"))
 
@@ -432,7 +437,7 @@ def json_frame_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def json_platform(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _json_records(spark, sf_dir)
-    return rows.select("event_id", infer_platform(F.col("record")).alias("platform"))
+    return rows.select("event_id", infer_platform(record_texts(F.col("record"))).alias("platform"))
 
 
 def _trace_query(name: str, extractor: Callable[[Column], Column]) -> None:
@@ -454,7 +459,7 @@ _trace_query("ruby_traces", ruby_event)
 
 @query
 def keyword_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_once(derive(spark, sf_dir, D.NOTES), "e", fallback_event(F.col("text")))
+    rows = with_once(derive(spark, sf_dir, D.NOTES, heavy=True), "e", fallback_event(F.col("text")))
     return rows.where(F.col("e").isNotNull()).select(
         "doc_id", "e.message", F.element_at("e.tags", "raw_line").alias("raw_line")
     )
@@ -693,7 +698,7 @@ def overall_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codechunks.extract_chunks(derive(spark, sf_dir, D.SOURCE_FILES))
+    return codechunks.extract_chunks(derive(spark, sf_dir, D.SOURCE_FILES, heavy=True))
 
 
 @query
@@ -725,7 +730,7 @@ def chunk_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def chunk_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each file's chunks as one batch; every 41st batch fails."""
-    files = derive(spark, sf_dir, D.SOURCE_FILES)
+    files = derive(spark, sf_dir, D.SOURCE_FILES, heavy=True)
     number = F.regexp_extract("file_path", r"f(\d+)\.py", 1).cast("bigint")
     batches = (
         codechunks.extract_chunks(files)

@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.functions.once import with_once
 from faultline.functions.text import blank_to_null, let
-from faultline.functions.variants import parse_object
+from faultline.functions.variants import JSON_SPACE, sealed
 from faultline.sources.text import raw_log, read_text_files
 
 ANY_VALUE = (
     "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>"
 )
 ATTRIBUTES = f"array<struct<key:string,value:{ANY_VALUE}>>"
-REQUEST = (
-    f"resourceLogs array<struct<resource:struct<attributes:{ATTRIBUTES}>,"
+REQUEST_FIELDS = (
+    f"struct<resourceLogs:array<struct<resource:struct<attributes:{ATTRIBUTES}>,"
     "scopeLogs:array<struct<scope:struct<name:string,version:string>,"
     "logRecords:array<struct<timeUnixNano:string,severityNumber:int,"
     f"severityText:string,body:{ANY_VALUE},attributes:{ATTRIBUTES},"
-    "traceId:string,spanId:string>>>>>>"
+    "traceId:string,spanId:string>>>>>>,seal:bigint>"
 )
+REQUEST = f"array<{REQUEST_FIELDS}>"
+JSON_OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 # Lowest number of each severity band, highest first.
 SEVERITY_BANDS = ((21, "FATAL"), (17, "ERROR"), (13, "WARN"), (9, "INFO"), (5, "DEBUG"))
@@ -110,39 +113,70 @@ def record_time(nanos: Column, arrival: Column) -> Column:
     )
 
 
-def accepts(payload: Column) -> Column:
-    """The payload is one JSON object, or ``null``, which is an empty request."""
-    return parse_object(payload).isNotNull() | (F.trim(payload) == "null")
+def decode_request(payload: Column) -> Column:
+    """Request of a payload that is one JSON object; NULL when it has to be refused.
+
+    ``null`` is an empty request.
+    """
+    seal = F.xxhash64(payload)
+    sealing = F.concat(F.lit('{"seal":'), seal.cast("string"), F.lit("}"))
+
+    def unseal(found: Column) -> Column:
+        first = F.get(found, F.lit(0))
+        return F.when(
+            (F.get(found, F.lit(1))["seal"] == seal) & first.isNotNull(), first
+        )
+
+    opens = F.ltrim(payload, F.lit(JSON_SPACE)).startswith("{")
+    empty = F.btrim(payload, F.lit(JSON_SPACE)) == "null"
+    decoded = let(F.from_json(sealed(payload, sealing), REQUEST, JSON_OPTIONS), unseal)
+    return F.when(opens, decoded).when(empty, F.from_json(F.lit("{}"), REQUEST_FIELDS))
 
 
 def rejected_requests(requests: DataFrame, payload: str = "payload") -> DataFrame:
     """Requests that cannot be decoded and are refused whole."""
-    return requests.where(~F.coalesce(accepts(F.col(payload)), F.lit(False)))
+    known = with_once(requests, "_refused", decode_request(F.col(payload)).isNull())
+    return known.where("_refused").drop("_refused")
 
 
-def record_tags(record: Column, scope: Column, attributes: Column) -> Column:
-    """Tags of a log record: severity, scope, ids, promoted resource attributes."""
+def resource_tags(attributes: Column) -> Column:
+    """Tags from the promoted attributes; of a repeated one the last counts."""
+    wanted = F.filter(
+        F.coalesce(attributes, F.array().cast(ATTRIBUTES)), lambda a: a["key"].isin(*PROMOTED)
+    )
+    names = F.create_map(*(F.lit(text) for pair in PROMOTED.items() for text in pair))
+
+    def to_map(found: Column) -> Column:
+        last = F.filter(
+            found,
+            lambda a, i: ~F.exists(
+                F.slice(found, i + 2, F.size(found)), lambda later: later["key"] == a["key"]
+            ),
+        )
+        return F.map_from_entries(
+            F.transform(
+                last, lambda a: F.struct(F.element_at(names, a["key"]), any_value_text(a["value"]))
+            )
+        )
+
+    return let(wanted, to_map)
+
+
+def record_tags(record: Column, scope: Column, inherited: Column) -> Column:
+    """Tags of a log record: severity, scope and ids, over its resource's tags."""
+    named = {
+        "otel_scope": scope["name"],
+        "trace_id": record["traceId"],
+        "span_id": record["spanId"],
+    }
     own = F.map_from_arrays(
-        F.array(*map(F.lit, ("otel_severity", "otel_scope", "trace_id", "span_id"))),
+        F.array(*(F.lit(name) for name in ("otel_severity", *named))),
         F.array(
             severity(record["severityText"], record["severityNumber"]),
-            F.coalesce(scope["name"], F.lit("")),
-            F.coalesce(record["traceId"], F.lit("")),
-            F.coalesce(record["spanId"], F.lit("")),
+            *(blank_to_null(value) for value in named.values()),
         ),
     )
-    kept = F.map_filter(own, lambda k, v: (k == "otel_severity") | (v != ""))
-    given = F.reverse(F.coalesce(attributes, F.array().cast(ATTRIBUTES)))
-
-    def last_value(name: str) -> Column:
-        match = F.try_element_at(F.filter(given, lambda a: a["key"] == name), F.lit(1))
-        return F.when(match.isNotNull(), any_value_text(match["value"]))
-
-    promoted = F.map_from_arrays(
-        F.array(*(F.lit(tag) for tag in PROMOTED.values())),
-        F.array(*(last_value(name) for name in PROMOTED)),
-    )
-    return F.map_concat(kept, F.map_filter(promoted, lambda _, v: v.isNotNull()))
+    return F.map_concat(F.map_filter(own, lambda _, value: value.isNotNull()), inherited)
 
 
 def flatten_requests(requests: DataFrame) -> DataFrame:
@@ -151,23 +185,24 @@ def flatten_requests(requests: DataFrame) -> DataFrame:
     The result is RAW_LOG, with the request's ``seq``, and ``place``, the record's
     position in its request.  ``ts`` is the arrival time.
     """
-    decoded = requests.where(accepts(F.col("payload"))).select(
-        "seq", "ts", F.from_json("payload", REQUEST).alias("request")
-    )
+    decoded = with_once(requests, "request", decode_request(F.col("payload")))
 
-    def of_scope(scope_logs: Column, resource: Column) -> Column:
+    def of_scope(scope_logs: Column, tags: Column) -> Column:
         return F.transform(
             scope_logs["logRecords"],
             lambda record: F.struct(
-                resource["attributes"].alias("attributes"),
+                tags.alias("tags"),
                 scope_logs["scope"].alias("scope"),
                 record.alias("record"),
             ),
         )
 
     def of_resource(logs: Column) -> Column:
-        scopes = F.transform(logs["scopeLogs"], lambda s: of_scope(s, logs["resource"]))
-        return F.flatten(F.filter(scopes, lambda s: s.isNotNull()))
+        def with_tags(tags: Column) -> Column:
+            scopes = F.transform(logs["scopeLogs"], lambda s: of_scope(s, tags))
+            return F.flatten(F.filter(scopes, lambda s: s.isNotNull()))
+
+        return let(resource_tags(logs["resource"]["attributes"]), with_tags)
 
     groups = F.transform(F.col("request.resourceLogs"), of_resource)
     records = F.flatten(F.filter(groups, lambda g: g.isNotNull()))
@@ -178,7 +213,7 @@ def flatten_requests(requests: DataFrame) -> DataFrame:
         "seq",
         record_time(record["timeUnixNano"], F.col("ts")).alias("ts"),
         any_value_text(record["body"]).alias("line"),
-        record_tags(record, F.col("r.scope"), F.col("r.attributes")).alias("tags"),
+        record_tags(record, F.col("r.scope"), F.col("r.tags")).alias("tags"),
         "place",
     )
 

@@ -72,6 +72,13 @@ def test_strict_json(spark):
         '{"a":1} x': False,
         "{'a':1}": False,
         '{"a":1},{"b":2}': False,
+        '{"a":1}]': False,
+        '{"a":1}],[1': False,
+        '{"a":1}] }': False,
+        '{"a":1},1]': False,
+        '{"a":1},': False,
+        ' \t{"a":1}\r\n': True,
+        "null": False,
         '{"a":1,"a":2}': True,
         "[1]": False,
         "1": False,
@@ -197,7 +204,8 @@ def test_otlp(spark, tmp_path):
             {"resource": {}},
         ]
     }
-    payloads = [json.dumps(request), '{"resourceLogs":[]}', "{}", "null", "{broken", "[1]", '{"a":1} x']
+    payloads = [json.dumps(request), '{"resourceLogs":[]}', "{}", "null", "{broken", "[1]", '{"a":1} x',
+                '{"a":1}]', "{'resourceLogs':[]}", ""]
     df = spark.createDataFrame(
         [(i, T0, p) for i, p in enumerate(payloads)], "seq bigint, ts timestamp, payload string"
     )
@@ -216,7 +224,7 @@ def test_otlp(spark, tmp_path):
     assert spark.createDataFrame([rows[0]]).select(F.unix_micros("ts").alias("u")).first().u == (
         1714128000000001
     )
-    assert sorted(r.seq for r in rejected_requests(df).collect()) == [4, 5, 6]
+    assert sorted(r.seq for r in rejected_requests(df).collect()) == [4, 5, 6, 7, 8, 9]
     path = tmp_path / "o.json"
     path.write_text(payloads[0] + "\n" + payloads[0] + "\n")
     read = otlp_source(spark, str(path)).collect()
