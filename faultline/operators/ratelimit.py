@@ -138,14 +138,14 @@ def decisions(
             keep_bucket=True,
         )
         .withColumn("_clock", F.greatest("_at", "_seen"))
-        .select("_key", "_bucket", "seq", "_rank", "_clock")
+        .select("key", "_bucket", "seq", "_rank", "_clock")
     )
 
     def summary(key: tuple, block: pa.Table) -> pa.Table:
         steps = summarise(_barriers(block.sort_by("seq"), token, refill), slack, token)
         return pa.table(
             {
-                "key": [key[0].as_py()["key"]],
+                "key": [key[0].as_py()],
                 "_bucket": [key[1].as_py()],
                 "kinds": pa.array([[k for k, _ in steps]], pa.list_(pa.int32())),
                 "values": pa.array([[str(v) for _, v in steps]], pa.list_(pa.string())),
@@ -177,20 +177,19 @@ def decisions(
             slack,
             token,
         )
-        names = pa.array([key[0].as_py()["key"]] * len(passed), pa.string())
+        names = pa.array([key[0].as_py()] * len(passed), pa.string())
         return pa.table({"key": names, "seq": block.column("seq"), "allowed": passed})
 
-    summaries = numbered.groupBy("_key", "_bucket").applyInArrow(
+    by = ["key", "_bucket"]
+    summaries = numbered.groupBy(*by).applyInArrow(
         summary, "key string, _bucket bigint, kinds array<int>, values array<string>"
     )
-    entered = (
-        summaries.groupBy("key")
-        .applyInArrow(entries, "key string, _bucket bigint, _entry string")
-        .select(F.struct("key").alias("_key"), "_bucket", "_entry")
+    entered = summaries.groupBy("key").applyInArrow(
+        entries, "key string, _bucket bigint, _entry string"
     )
     return (
-        numbered.join(entered, ["_key", "_bucket"])
-        .groupBy("_key", "_bucket")
+        numbered.join(entered, by)
+        .groupBy(*by)
         .applyInArrow(verdicts, "key string, seq bigint, allowed boolean")
     )
 

@@ -222,7 +222,8 @@ def recombine(
     )
 
     # Heads that continue an earlier bucket go to the last fragment of the bucket
-    # their record opened in.
+    # their record opened in.  There is at most one such tail per bucket, so it is
+    # joined by (stream, bucket), which the fragments are already partitioned by.
     moved = (
         placed.where("_joined")
         .groupBy("stream_key", F.col("_home").alias("_bucket"))
@@ -234,22 +235,23 @@ def recombine(
         )
     )
     last_fragment = buckets.select("stream_key", "_bucket", "_last_fragment")
-    tails = moved.join(last_fragment, ["stream_key", "_bucket"]).select(
-        "stream_key", "_bucket", F.col("_last_fragment").alias("_fragment"), "_tail", "_tail_lines"
-    )
-    body = ["stream_key", "_bucket", "_fragment", "_text", "n_lines", "_first"]
-    opened = (
-        placed.where(~F.col("_joined"))
-        .withColumns({"_fragment": F.lit(0).cast("bigint")})
-        .select(
-            "stream_key", "_bucket", "_fragment", "_head._text", "_head.n_lines", "_head._first"
+    tails = moved.join(last_fragment, ["stream_key", "_bucket"])
+
+    def completed(records: DataFrame) -> DataFrame:
+        grows = F.col("_fragment") == F.col("_last_fragment")
+        return records.join(tails, ["stream_key", "_bucket"], "left").select(
+            "stream_key",
+            *(F.col(f"_first.{c}").alias(c) for c in carried),
+            F.concat_ws("\n", "_text", F.when(grows, F.col("_tail"))).alias("line"),
+            (F.col("n_lines") + F.when(grows, F.col("_tail_lines")).otherwise(0)).alias("n_lines"),
         )
-    )
-    records = fragments.where("_fragment > 0").select(*body).unionByName(opened)
-    text = F.concat_ws("\n", "_text", "_tail")
-    return records.join(tails, ["stream_key", "_bucket", "_fragment"], "left").select(
+
+    opened = placed.where(~F.col("_joined")).select(
         "stream_key",
-        *(F.col(f"_first.{c}").alias(c) for c in carried),
-        text.alias("line"),
-        (F.col("n_lines") + F.coalesce("_tail_lines", F.lit(0))).alias("n_lines"),
+        "_bucket",
+        F.lit(0).cast("bigint").alias("_fragment"),
+        "_head._text",
+        "_head.n_lines",
+        "_head._first",
     )
+    return completed(fragments.where("_fragment > 0")).unionByName(completed(opened))

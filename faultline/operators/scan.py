@@ -25,11 +25,6 @@ def bucket_of(seq: Column, bucket_rows: int) -> Column:
     return F.call_function("div", seq - F.pmod(seq, width), width)
 
 
-def key_of(keys: list[str]) -> Column:
-    """Keys as one struct: equal to itself even where a field is NULL."""
-    return F.struct(*(F.col(k) for k in keys))
-
-
 def with_totals_before(
     df: DataFrame,
     keys: list[str],
@@ -43,42 +38,41 @@ def with_totals_before(
     """Add running sums and maxima over all strictly earlier rows of a key.
 
     A sum with no earlier row is 0, a maximum is NULL.  ``descending`` counts
-    from the highest ``seq`` down.  ``keep_bucket`` leaves ``_key`` and
-    ``_bucket``, by which the result is partitioned, in place.
+    from the highest ``seq`` down.  ``keep_bucket`` leaves ``_bucket`` in place; with
+    keys that cannot be NULL the result is partitioned by them and it.
     """
     sums, maxima = sums or {}, maxima or {}
-    rows = df.withColumns(
-        {
-            "_key": key_of(keys),
-            "_bucket": bucket_of(F.col(seq).cast("bigint"), bucket_rows),
-        }
-    )
+    rows = df.withColumn("_bucket", bucket_of(F.col(seq).cast("bigint"), bucket_rows))
+    by = list(keys)
+    if any(df.schema[key].nullable for key in keys):
+        # As one struct, keys equal themselves even where a field is NULL.
+        rows, by = rows.withColumn("_key", F.struct(*keys)), ["_key"]
 
     def ordered(name: str) -> Column:
         return F.col(name).desc() if descending else F.col(name).asc()
 
     partial = [F.sum(e).alias(f"_p_{n}") for n, e in sums.items()]
     partial += [F.max(e).alias(f"_p_{n}") for n, e in maxima.items()]
-    buckets = rows.groupBy("_key", "_bucket").agg(*partial)
+    buckets = rows.groupBy(*by, "_bucket").agg(*partial)
     across = (
-        Window.partitionBy("_key")
+        Window.partitionBy(*by)
         .orderBy(ordered("_bucket"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = buckets.select(
-        "_key",
+        *by,
         "_bucket",
         *(F.sum(f"_p_{n}").over(across).alias(f"_c_{n}") for n in sums),
         *(F.max(f"_p_{n}").over(across).alias(f"_c_{n}") for n in maxima),
     )
     inside = (
-        Window.partitionBy("_key", "_bucket")
+        Window.partitionBy(*by, "_bucket")
         .orderBy(ordered(seq))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     local = {f"_l_{n}": F.sum(e).over(inside) for n, e in sums.items()}
     local |= {f"_l_{n}": F.max(e).over(inside) for n, e in maxima.items()}
-    joined = rows.withColumns(local).join(carried, ["_key", "_bucket"])
+    joined = rows.withColumns(local).join(carried, [*by, "_bucket"])
     zero = F.lit(0)
     out = {
         n: F.coalesce(F.col(f"_l_{n}"), zero) + F.coalesce(F.col(f"_c_{n}"), zero)
@@ -87,5 +81,5 @@ def with_totals_before(
     out |= {n: F.greatest(F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n in maxima}
     scratch = [f"_{p}_{n}" for n in (*sums, *maxima) for p in "lc"]
     if not keep_bucket:
-        scratch += ["_key", "_bucket"]
-    return joined.withColumns(out).drop(*scratch)
+        scratch.append("_bucket")
+    return joined.withColumns(out).drop("_key", *scratch)

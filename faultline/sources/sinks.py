@@ -31,13 +31,18 @@ def queue_rows(events: DataFrame, queue: str) -> DataFrame:
 
 
 def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
-    """Append events as JSON lines, one folder per project and day."""
+    """Append events as JSON lines, one folder per project and day.
+
+    Rows are brought together by folder before the write, so that a folder gets few
+    files; a folder with many rows is split again by their size.
+    """
     (
         events.select(
             "project_id",
             F.to_date("timestamp").alias("day"),
             envelope_json().alias("value"),
         )
+        .hint("rebalance", "project_id", "day")
         .write.mode(mode)
         .partitionBy("project_id", "day")
         .text(path)
