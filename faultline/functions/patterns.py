@@ -20,12 +20,18 @@ SPACE_CHARS = (
 
 # Redaction patterns and markers, in the order they apply.  Where case does
 # not count, letters are spelled out: simple case folding adds U+212A to k and U+017F to s.
-# The look-aheads only reject a position before the look-behind is tried.
+# The look-aheads only reject a position before the look-behind is tried.  A mail address
+# can only begin where its run of characters begins, or where the last match ended; looking
+# nowhere else keeps a long run without "@" from costing its length squared.
 FOLDED = r"A-Za-z\x{17F}\x{212A}"
 BEARER = "[Bb][Ee][Aa][Rr][Ee][Rr]"
 API_KEY = r"[Aa][Pp][Ii][_\-]?[Kk\x{212A}][Ee][Yy]"
 REDACTIONS: tuple[tuple[str, str, str], ...] = (
-    ("email", r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", "[email]"),
+    (
+        "email",
+        r"(?:\G|(?<![a-zA-Z0-9._%+\-]))[a-zA-Z0-9._%+\-]++@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}",
+        "[email]",
+    ),
     ("ipv4", r"(?=\d)" + WORD_START + r"(?:\d{1,3}\.){3}\d{1,3}" + WORD_END, "[ip]"),
     (
         "ipv6",
@@ -60,7 +66,8 @@ REDACTION_SHAPES: dict[str, str] = {
 # Shapes of stack traces.
 PY_MARKER = "Traceback (most recent call last):"
 PY_FRAME = rf'(?d)^{WS}*File "([^"]+)", line (\d+), in (.+)\z'
-PY_EXCEPTION = rf"(?d)^([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*):{WS}*(.*)\z"
+# Possessive, so that a long dotted name does not recurse.
+PY_EXCEPTION = rf"(?d)^([A-Za-z_]\w*+(?:\.[A-Za-z_]\w*+)*+):{WS}*(.*)\z"
 JAVA_HEADER = (
     rf'(?d)^(?:Exception in thread "[^"]+"{WS}+)?'
     rf"([\w$\.]+(?:Exception|Error|Throwable))(?::{WS}*(.*))?\z"

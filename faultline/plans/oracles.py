@@ -628,7 +628,7 @@ oracle(
 )
 oracle(
     "layered_prefilter",
-    f"WITH {LAYERED} SELECT true AS superset, count(*) AS events, count(*) AS events_kept FROM found",
+    f"WITH {LAYERED} SELECT count(*) AS events, count(*) AS events_kept FROM found",
 )
 oracle(
     "event_tags",

@@ -26,7 +26,7 @@ from faultline.operators.json_events import (
     parse_rfc3339,
     record_texts,
 )
-from faultline.operators.layered import assemble, extract, may_hold_event, scrub_and_extract
+from faultline.operators.layered import assemble, extract_event, may_hold_event, scrub_and_extract
 from faultline.operators.recombine import RULES, recombine, stream_key, with_stream_key
 from faultline.operators.redact import redact, usable_patterns
 from faultline.operators.traces import (
@@ -482,17 +482,12 @@ def layered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def layered_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records per verdict of the pre-filter and of the full extraction."""
-    records = clean_records(spark, sf_dir)
-    passed = records.where(may_hold_event(F.col("line"))).agg(F.count("*").alias("passed"))
-    found = extract(records, prefilter=False).agg(F.count("*").alias("events"))
-    kept = extract(records, prefilter=True).agg(F.count("*").alias("events_kept"))
-    one = F.lit(1).alias("k")
-    return (
-        passed.select(one, "passed")
-        .join(found.select(one, "events"), "k")
-        .join(kept.select(one, "events_kept"), "k")
-        .select((F.col("passed") >= F.col("events")).alias("superset"), "events", "events_kept")
+    """Events found in all records, and in those that pass the pre-filter."""
+    records = with_once(clean_records(spark, sf_dir), "event", extract_event(F.col("line")))
+    found = F.col("event").isNotNull()
+    return records.agg(
+        F.count_if(found).alias("events"),
+        F.count_if(found & may_hold_event(F.col("line"))).alias("events_kept"),
     )
 
 

@@ -155,6 +155,9 @@ def test_python(spark):
     assert frames(e)[0]["context_line"] is None
     assert run(spark, python_event, "Traceback (most recent call last):\n  nothing") is None
     assert run(spark, python_event, "ValueError: x") is None
+    long_name = "a" + ".b" * 100_000
+    e = run(spark, python_event, f"Traceback (most recent call last):\n{long_name}: x")
+    assert e["exception"]["type"] == long_name
     # Frames after the exception line are not part of it.
     e = run(spark, python_event, DJANGO + "\n" + DJANGO.split("\n")[1])
     assert len(frames(e)) == 2

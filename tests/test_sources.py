@@ -50,6 +50,10 @@ def one(spark, column, value, schema="x string"):
         ("sk_test_" + "a" * 16 + " sk_test_" + "a" * 15, "[api_key] sk_test_" + "a" * 15),
         ('API-key = "' + "k" * 20 + '"', 'API-key = "[api_key]"'),
         ("fe80:0:0:0:1:2:3:4", "[ip]"),
+        ("a@b.com_c@d.org.x@y.io", "[email][email][email]"),
+        ("a@b c@d.e@f.gh x@@y.zz", "a@b c@[email] x@@y.zz"),
+        ("x" * 300_000 + " a@b.com", "x" * 300_000 + " [email]"),
+        ("API\u212aEY=" + "k" * 16, "API\u212aEY=[api_key]"),
     ],
 )
 def test_redact(spark, text, want):
