@@ -221,37 +221,67 @@ def recombine(
         )
     )
 
-    # Heads that continue an earlier bucket go to the last fragment of the bucket
-    # their record opened in.  There is at most one such tail per bucket, so it is
-    # joined by (stream, bucket), which the fragments are already partitioned by.
-    moved = (
-        placed.where("_joined")
-        .groupBy("stream_key", F.col("_home").alias("_bucket"))
+    # A bucket's head either opens a record there, or belongs to the record still open
+    # in an earlier bucket, its home.  One row per home: its own head, its last
+    # fragment, and the tail that other buckets' heads add to that.
+    stays = F.struct(
+        F.col("_bucket").alias("_bucket"),
+        F.col("_last_fragment").alias("_last_fragment"),
+        F.when(~F.col("_joined"), F.col("_head")).alias("_head"),
+        F.lit(None).cast("bigint").alias("_from"),
+        F.lit(None).cast("string").alias("_text"),
+        F.lit(None).cast("bigint").alias("_lines"),
+    )
+    moves = F.struct(
+        F.col("_home").alias("_bucket"),
+        F.lit(None).cast("bigint").alias("_last_fragment"),
+        F.lit(None).cast(buckets.schema["_head"].dataType).alias("_head"),
+        F.col("_bucket").alias("_from"),
+        F.col("_head._text").alias("_text"),
+        F.col("_head.n_lines").alias("_lines"),
+    )
+    roles = (
+        F.when(~F.col("_joined"), F.array(stays))
+        .when(F.col("_last_fragment") > 0, F.array(stays, moves))
+        .otherwise(F.array(moves))
+    )
+    homes = (
+        placed.select("stream_key", F.explode(roles).alias("_role"))
+        .select("stream_key", "_role.*")
+        .groupBy("stream_key", "_bucket")
         .agg(
-            F.expr(r"listagg(_head._text, '\n') WITHIN GROUP (ORDER BY _bucket)").alias(
-                "_tail"
-            ),
-            F.sum("_head.n_lines").alias("_tail_lines"),
+            F.expr(r"listagg(_text, '\n') WITHIN GROUP (ORDER BY _from)").alias("_tail"),
+            F.sum("_lines").alias("_tail_lines"),
+            F.max("_last_fragment").alias("_last_fragment"),
+            F.max_by("_head", F.col("_head").isNotNull()).alias("_head"),
         )
     )
-    last_fragment = buckets.select("stream_key", "_bucket", "_last_fragment")
-    tails = moved.join(last_fragment, ["stream_key", "_bucket"])
 
-    def completed(records: DataFrame) -> DataFrame:
-        grows = F.col("_fragment") == F.col("_last_fragment")
-        return records.join(tails, ["stream_key", "_bucket"], "left").select(
+    grows = F.col("_fragment") == F.col("_last_fragment")
+    records = [
+        # Homes are joined by (stream, bucket), as the fragments are partitioned.
+        fragments.where("_fragment > 0").join(
+            homes.drop("_head"), ["stream_key", "_bucket"], "left"
+        ),
+        homes.where(F.col("_head").isNotNull()).select(
+            "stream_key",
+            F.lit(0).cast("bigint").alias("_fragment"),
+            "_last_fragment",
+            "_tail",
+            "_tail_lines",
+            "_head.*",
+        ),
+    ]
+    finished = [
+        part.select(
             "stream_key",
             *(F.col(f"_first.{c}").alias(c) for c in carried),
             F.concat_ws("\n", "_text", F.when(grows, F.col("_tail"))).alias("line"),
-            (F.col("n_lines") + F.when(grows, F.col("_tail_lines")).otherwise(0)).alias("n_lines"),
+            (
+                F.col("n_lines")
+                + F.when(grows, F.coalesce("_tail_lines", F.lit(0))).otherwise(0)
+            ).alias("n_lines"),
         )
-
-    opened = placed.where(~F.col("_joined")).select(
-        "stream_key",
-        "_bucket",
-        F.lit(0).cast("bigint").alias("_fragment"),
-        "_head._text",
-        "_head.n_lines",
-        "_head._first",
-    )
-    return completed(fragments.where("_fragment > 0")).unionByName(completed(opened))
+        for part in records
+    ]
+    return finished[0].unionByName(finished[1])

@@ -86,6 +86,70 @@ FROM @events e JOIN (VALUES {_values(LOG_TEMPLATES)}) AS t(tmpl, line_no, pre, p
 ON t.tmpl = CASE WHEN e.event_type = 'error' THEN e.event_id % 8 ELSE 8 END
 """
 
+# Whole trace texts of many shapes; "#" is the event id, "~" ends a line, "^" is an
+# apostrophe and "@t" a tab.
+TRACE_SHAPES = [
+    (0, 'noise~Traceback (most recent call last):~  File "/a.py", line 1, in f~    x = #~'
+        '  File "/b.py", line 22, in <module>~  File "/c.py", line 0, in g~   three~pkg.mod.Err_#: bad: #~'
+        '  File "/late.py", line 9, in h'),
+    (1, 'Traceback (most recent call last):~  File "/a.py", line #, in f~    only frames'),
+    (2, 'Traceback (most recent call last): # nothing here'),
+    (3, 'x Traceback (most recent call last):~KeyError: ~  tail'),
+    (4, 'start #~Exception in thread "main" java.lang.IllegalStateException~@tat a.b.C.d(C.java:#)~'
+        '@tat app//e.F$G.h(Native Method)~@t... 3 more~Caused by: java.io.IOException: x~@tat k.L.m(L.java)~'
+        '@tSuppressed: y~~  at n.O.p(O.java:7)~end~@tat q.R.s(R.java:1)'),
+    (5, 'java.lang.Error: # alone~no frame'),
+    (6, 'com.x.MyThrowable: v #~  at a.b(c.kt:3)~  not a frame'),
+    (7, 'fatal error: all goroutines are asleep #~~goroutine 1 [running]:~main.main()~@t/app/main.go:18 +0x52~'
+        'pkg/sub.Fn(0x1, 0x#)~no file~main.(*T).m(1)~x/y.z(2)~@t/app/y.go:# +0x1~exit status 2'),
+    (8, 'log~panic: #'),
+    (9, '  RangeError: too big #~    at Object.<anonymous> (/app/s.js:42:18)~    at async f g (a b.js:1:2)~'
+        '    at /lib/foo.js:10:5~    at native~@tat z (q.js:#:2)~stop~    at y (q.js:1:2)'),
+    (10, 'Error: just text #'),
+    (11, 'CustomError: ~    at f (x.js:0:0)'),
+    (12, 'pre #~/app/foo.rb:42:in `bar^: no conn # (Net::ReadTimeout)~  from /app/m.rb:5:in `init^~'
+         '@tfrom /app/m.rb:#:in `<main>^~gap~  from /x.rb:1:in `no^'),
+    (13, '/app/foo.rb:7:in `baz^:  (E)'),
+    (14, '{"level":"error","message":"j #"}'),
+    (15, 'plain # error~second line'),
+    (16, 'quiet #'),
+    (17, 'TypeError: both #~    at f (x.js:3:4)~Traceback (most recent call last):~ValueError: wins #'),
+]
+TRACES = f"""
+SELECT 'traces' AS stream_key, e.event_id AS seq, 'traces' AS file_path, CAST(e.ts AS TIMESTAMP) AS ts,
+  replace(replace(replace(replace(t.shape, '#', CAST(e.event_id AS STRING)), '~', chr(10)), '^', chr(39)),
+    '@t', chr(9)) AS line
+FROM @events e JOIN (VALUES {_values(TRACE_SHAPES)}) AS t(kind, shape)
+ON t.kind = e.event_id % {len(TRACE_SHAPES)}
+"""
+
+# Lines with every kind of secret, and near misses; "#" is the event id.
+SECRET_SHAPES = [
+    (0, 'Authorization: bEARER abc.#-x_y~z+/= next Bearer  q# BearerX no'),
+    (1, 'jwt eyJhbGci#.eyJzdWIi.c2ln-# and eyJa.eyJb no eyJx.eyJy.z'),
+    (2, 'key sk_live_abcdefgh12345678# rk_test_0123456789abcde xsk_test_0123456789abcdef0 pk_test_0123456789ABCDEF'),
+    (3, 'api_key="abcdefghij0123456789#" API-KEY: abcdefghij012345 apikey=short apiKey = ^abcdefghij0123456_-^'),
+    (4, 'fe80:0:0:0:1:2:3:# ::1 12:30:00 dead:beef:cafe x1:2:3 1:2:3:4:5:6:7:8:9:a'),
+    (5, 'é10.0.0.1 10.0.0.2é 1.2.3.4.5 _10.0.0.1 1234.1.1.1 999.999.999.# v1.2.3'),
+    (6, 'mail a.b+c%d@ex-ample.co.uk_x@y.zz,bob@host @no.com a@b c@d.e #@x.org.'),
+    (7, 'Bearer eyJhbGci#.eyJzdWIi.c2ln token api_key: eyJhbGci#.eyJzdWIi.c2ln'),
+    (8, 'nothing to hide #'),
+]
+SECRETS = f"""
+SELECT e.event_id, replace(replace(t.shape, '#', CAST(e.event_id AS STRING)), '^', chr(39)) AS line
+FROM @events e JOIN (VALUES {_values(SECRET_SHAPES)}) AS t(kind, shape)
+ON t.kind = e.event_id % {len(SECRET_SHAPES)}
+"""
+
+# Containers starting and dying; one per user.
+CONTAINER_EVENTS = """
+SELECT concat('c', CAST(user_id AS STRING)) AS container_id, event_id AS seq,
+  CASE event_type WHEN 'click' THEN 'start' WHEN 'view' THEN 'start' WHEN 'error' THEN 'die'
+    ELSE event_type END AS status,
+  concat('/box', CAST(user_id AS STRING)) AS name
+FROM @events
+"""
+
 # JSON records of many shapes; "#" is the event id.
 JSON_SHAPES = [
     (0, '{"level":"error","message":"m#","exception":{"type":"T","value":"v#","stacktrace":'

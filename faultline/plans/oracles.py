@@ -289,9 +289,10 @@ def keyword(column: str, words: tuple[str, ...]) -> str:
 
 KEYWORDS = ("ERROR", "FATAL", "PANIC", "EXCEPTION", "TRACEBACK")
 
-# Redacted records and the layer each one falls to.
-LAYERED = f"""{LOGS}, {records()},
-clean AS (SELECT stream_key, seq, ts, file_path, {redacted('line')} AS line FROM records),
+def layers(source: str) -> str:
+    """CTEs that end in ``found``: the layer each redacted record falls to."""
+    return f"""
+clean AS (SELECT stream_key, seq, ts, file_path, {redacted('line')} AS line FROM {source}),
 {pieces('clean')}, {', '.join(language(n) for n in LANGUAGES)},
 objects AS (SELECT stream_key, seq, j FROM (SELECT stream_key, seq, {json_object('line')} AS j FROM clean)
   WHERE j IS NOT NULL),
@@ -310,6 +311,9 @@ layered AS (
     FROM clean WHERE {keyword('line', KEYWORDS)}),
 found AS (SELECT * FROM layered QUALIFY row_number() OVER (PARTITION BY stream_key, seq ORDER BY rank) = 1)"""
 
+
+LAYERED = f"{LOGS}, {records()}, {layers('records')}"
+
 DIGEST = (
     "sha256(concat_ws(chr(31), stream_key, CAST(seq AS STRING), CAST(epoch_us(ts) AS STRING), line))"
 )
@@ -503,6 +507,12 @@ oracle(
     CASE WHEN source = 'src3' THEN 'unknown' ELSE source END AS name FROM chunks)
     WHERE name NOT IN ('src5', 'src7') GROUP BY ALL""",
 )
+oracle(
+    "container_starts",
+    f"""SELECT container_id, max_by(name, seq) FILTER (WHERE status = 'start') AS name
+    FROM ({duckdb_text(D.CONTAINER_EVENTS)}) WHERE status IN ('start', 'die')
+    GROUP BY container_id HAVING max_by(status, seq) = 'start'""",
+)
 oracle(
     "source_union",
     f"""WITH {LOGS}, {JOURNAL}, {PODS}, {OTLP}, {CONTAINER_LINES}, raw AS (
@@ -550,6 +560,10 @@ oracle(
     ELSE source END AS stream_key FROM ({duckdb_text(D.TAGGED)})""",
 )
 oracle("redact_text", f"SELECT doc_id, {redacted('text')} AS text FROM documents")
+oracle(
+    "redact_secrets",
+    f"SELECT event_id, {redacted('line')} AS line FROM ({duckdb_text(D.SECRETS)})",
+)
 oracle("redact_selected", f"SELECT doc_id, {redacted('text', Q.FILE_SUBSET)} AS text FROM documents")
 oracle(
     "redact_custom",
@@ -626,6 +640,11 @@ oracle(
     "layered_events",
     f"WITH {LAYERED} SELECT stream_key, seq, parser, {EVENT_COLUMNS} FROM found",
 )
+oracle(
+    "trace_shapes",
+    f"""WITH traces AS ({duckdb_text(D.TRACES)}), {layers('traces')}
+    SELECT seq, parser, {EVENT_COLUMNS} FROM found""",
+)
 oracle(
     "layered_prefilter",
     f"WITH {LAYERED} SELECT count(*) AS events, count(*) AS events_kept FROM found",
@@ -648,6 +667,11 @@ oracle(
 
 RECORD_COLUMNS = "stream_key, seq, epoch_us(ts) AS micros, line, n_lines"
 oracle("recombine_lines", f"WITH {LOGS}, {records()} SELECT {RECORD_COLUMNS} FROM records")
+oracle(
+    "recombine_hot_stream",
+    f"""WITH {LOGS}, hot AS (SELECT * REPLACE ('all' AS stream_key) FROM logs), {records(logs='hot')}
+    SELECT {RECORD_COLUMNS} FROM records""",
+)
 oracle(
     "continuation_rules",
     f"WITH {LOGS}, pairs AS (SELECT *, line AS l, lag(line) OVER (PARTITION BY stream_key ORDER BY seq) AS p FROM logs), "

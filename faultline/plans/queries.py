@@ -246,6 +246,11 @@ def container_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("container_id", "name").agg(F.count("*").alias("chunks"))
 
 
+@query
+def container_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containers.started_containers(derive(spark, sf_dir, D.CONTAINER_EVENTS))
+
+
 @query
 def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files, journal, pods, requests and containers in one raw log."""
@@ -346,6 +351,12 @@ def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", redact(F.col("text")).alias("text"))
 
 
+@query
+def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = derive(spark, sf_dir, D.SECRETS, heavy=True)
+    return lines.select("event_id", redact(F.col("line")).alias("line"))
+
+
 @query
 def redact_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = redact(F.col("text"), FILE_SUBSET)
@@ -457,6 +468,13 @@ _trace_query("node_stacks", node_event)
 _trace_query("ruby_traces", ruby_event)
 
 
+@query
+def trace_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, each through all layers."""
+    found = scrub_and_extract(derive(spark, sf_dir, D.TRACES, heavy=True))
+    return found.select("seq", F.col("event.parser").alias("parser"), *event_columns(F.col("event")))
+
+
 @query
 def keyword_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_once(derive(spark, sf_dir, D.NOTES, heavy=True), "e", fallback_event(F.col("text")))
@@ -533,6 +551,13 @@ def recombine_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _record_columns(log_records(spark, sf_dir))
 
 
+@query
+def recombine_hot_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines as one stream, in buckets far smaller than it."""
+    lines = log_lines(spark, sf_dir).withColumn("stream_key", F.lit("all"))
+    return _record_columns(recombine(lines, bucket_rows=1000))
+
+
 @query
 def continuation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that open a record, under each rule."""
