@@ -103,7 +103,7 @@ def json_frames(stacktrace: Column) -> Column:
 
     def frame(f: Column) -> Column:
         def read(texts: Column) -> Column:
-            line = number_field(f, "lineno").cast("bigint")
+            line = number_field(f, "lineno").try_cast("bigint")
             return F.struct(
                 F.coalesce(first_text(texts, *FILE_KEYS), F.lit("")),
                 F.coalesce(first_text(texts, *FUNCTION_KEYS), F.lit("")),

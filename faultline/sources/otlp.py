@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from faultline.functions.once import with_once
 from faultline.functions.text import blank_to_null, let
 from faultline.functions.variants import JSON_SPACE, sealed
-from faultline.sources.text import raw_log, read_text_files
+from faultline.sources.text import number_stream_rows, raw_log, read_text_files
 
 ANY_VALUE = (
     "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>"
@@ -223,6 +223,7 @@ def otlp_source(
 ) -> DataFrame:
     """RAW_LOG of files that hold one request per line."""
     requests = read_text_files(spark, paths, streaming).withColumnRenamed("line", "payload")
-    return raw_log(
-        flatten_requests(requests).withColumn("seq", F.monotonically_increasing_id())
-    )
+    records = raw_log(flatten_requests(requests))
+    if streaming:
+        return number_stream_rows(records)
+    return records.withColumn("seq", F.monotonically_increasing_id())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +30,21 @@ def _reader(spark: SparkSession, streaming: bool, options: dict[str, str]):
 
 
 def _count_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Turn the split start in ``seq`` into a position: split, then row of the task."""
+    """Replace the low bits of ``seq`` by the row's number in its task."""
     row = 0
     for batch in batches:
-        splits = batch.column("seq").to_numpy() >> SPLIT_START_BITS
+        split = batch.column("seq").to_numpy() >> TASK_ROW_BITS
         rows = np.arange(row, row + batch.num_rows)
         row += batch.num_rows
-        seq = pa.array((splits << TASK_ROW_BITS) + rows, pa.int64())
+        seq = pa.array((split << TASK_ROW_BITS) + rows, pa.int64())
         yield batch.set_column(batch.schema.get_field_index("seq"), "seq", seq)
 
 
+def number_stream_rows(rows: DataFrame) -> DataFrame:
+    """Streamed rows with ``seq`` counting on from the split each row was read from."""
+    return rows.mapInArrow(_count_rows, rows.schema)
+
+
 def read_text_files(
     spark: SparkSession, paths: str | list[str], streaming: bool = False, **options: str
 ) -> DataFrame:
@@ -49,15 +55,21 @@ def read_text_files(
     and only the last split of a file is shorter.  In a stream, where row ids are not
     to be had, it is unique within a file.
     """
+    if streaming and not isinstance(paths, str):
+        # A file stream takes one path; several are several streams.
+        streams = [read_text_files(spark, path, True, **options) for path in paths]
+        return reduce(DataFrame.unionByName, streams)
     loaded = _reader(spark, streaming, options).load(paths)
-    split_start = F.col("_metadata.file_block_start")
+    split = F.shiftright(F.col("_metadata.file_block_start"), SPLIT_START_BITS)
     lines = loaded.select(
         F.col("value").alias("line"),
         F.regexp_replace("_metadata.file_path", r"^file:/+", "/").alias("file_path"),
-        (split_start if streaming else F.monotonically_increasing_id()).alias("seq"),
+        (
+            F.shiftleft(split, TASK_ROW_BITS) if streaming else F.monotonically_increasing_id()
+        ).alias("seq"),
         F.col("_metadata.file_modification_time").alias("ts"),
     )
-    return lines.mapInArrow(_count_rows, lines.schema) if streaming else lines
+    return number_stream_rows(lines) if streaming else lines
 
 
 def file_source(

@@ -14,20 +14,38 @@ from faultline.sources.journal import journal_source
 from faultline.sources.otlp import otlp_source
 from faultline.sources.pods import DEFAULT_ROOT, pod_source
 from faultline.sources.text import file_source
+from faultline.streaming.containers import CHUNK_SCHEMA, container_stream
 
 LOG = logging.getLogger(__name__)
 Reader = Callable[[SparkSession, Mapping[str, Any]], DataFrame]
 
+
+
+def _containers(spark: SparkSession, config: Mapping[str, Any]) -> DataFrame:
+    excluded = config.get("exclude_containers", ())
+    if not config.get("streaming", False):
+        return container_source(spark.read.parquet(*config["paths"]), excluded)
+    chunks = reduce(
+        DataFrame.unionByName,
+        (spark.readStream.schema(CHUNK_SCHEMA).parquet(path) for path in config["paths"]),
+    )
+    return container_stream(chunks, excluded)
+
+
 READERS: dict[str, Reader] = {
-    "file": lambda spark, c: file_source(spark, list(c["paths"])),
+    "file": lambda spark, c: file_source(spark, list(c["paths"]), c.get("streaming", False)),
     "kubernetes": lambda spark, c: pod_source(
-        spark, c.get("root", DEFAULT_ROOT), c.get("exclude_namespaces", ())
+        spark,
+        c.get("root", DEFAULT_ROOT),
+        c.get("exclude_namespaces", ()),
+        c.get("strip_runtime_prefix", False),
+        c.get("streaming", False),
     ),
-    "journald": lambda spark, c: journal_source(spark, list(c["paths"]), c.get("units", ())),
-    "otel": lambda spark, c: otlp_source(spark, list(c["paths"])),
-    "docker": lambda spark, c: container_source(
-        spark.read.parquet(*c["paths"]), c.get("exclude_containers", ())
+    "journald": lambda spark, c: journal_source(
+        spark, list(c["paths"]), c.get("units", ()), c.get("streaming", False)
     ),
+    "otel": lambda spark, c: otlp_source(spark, list(c["paths"]), c.get("streaming", False)),
+    "docker": _containers,
 }
 
 
@@ -36,7 +54,10 @@ def union_sources(
     configs: Sequence[Mapping[str, Any]],
     readers: Mapping[str, Reader] | None = None,
 ) -> DataFrame:
-    """RAW_LOG of all enabled sources; unknown types are skipped with a warning."""
+    """RAW_LOG of all enabled sources; unknown types are skipped with a warning.
+
+    Sources are read once, or as streams where every config says ``streaming``.
+    """
     known = {**READERS, **(readers or {})}
     logs = []
     for config in configs:

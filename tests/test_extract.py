@@ -79,6 +79,9 @@ def test_json_flat(spark):
         ('{"level":"info","level":"error"}', "error"),
         ('{"level":"","severity":"fatal"}', "fatal"),
         ('{"level":50,"severity":"error"}', "error"),
+        ('{"level":"\\u0065rror"}', "error"),
+        ('{"lineno":1e300,"level":"error","exception":{"type":"E","stacktrace":{"frames":'
+         '[{"lineno":1e300}]}}}', "error"),
     ],
 )
 def test_json_levels(spark, line, level):
@@ -115,6 +118,7 @@ def test_json_own_time(spark):
     base = int(dt.datetime(2026, 1, 15, 10, 30, 45, tzinfo=dt.timezone.utc).timestamp()) * 10**6
     assert own("2026-01-15T10:30:45Z") == base
     assert own("2026-01-15T12:30:45.25+02:00") == base + 250000
+    assert own("2026-01-15T10:30:45.123456789Z") == base + 123456
     assert own("2026-01-15") is None
     assert own("2026-01-15 10:30:45Z") is None
     assert own("2026-13-15T10:30:45Z") is None
@@ -286,6 +290,7 @@ def test_assemble_tags_and_prefilter(spark):
         ("file", 1, dt.datetime(2026, 1, 1), "ERROR x", {"file_path": "/a", "parser": "mine"}),
         ("file", 2, dt.datetime(2026, 1, 1), "INFO x", {}),
         ("file", 3, dt.datetime(2026, 1, 1), "THROWABLE in :in `", None),
+        ("file", 5, dt.datetime(2026, 1, 1), '{"level":"\\u0065rr"}', {}),
         ("file", 4, dt.datetime(2026, 1, 1), "a.rb:1:in `f': gone (E)", {"log_source": "no"}),
     ]
     df = spark.createDataFrame(rows, RAW_LOG).withColumn("stream_key", F.lit("k"))
@@ -298,7 +303,7 @@ def test_assemble_tags_and_prefilter(spark):
     ]
     assert results[0] == results[1]
     got = results[0]
-    assert set(got) == {1, 4}
+    assert set(got) == {1, 4, 5}
     assert got[1].tags == {
         "raw_line": "ERROR x",
         "parser": "mine",
@@ -308,4 +313,4 @@ def test_assemble_tags_and_prefilter(spark):
     assert got[4].tags == {"parser": "ruby", "log_source": "file"}
     assert len(got[1].event_id) == 36
     assert got[1].project_id == "p"
-    assert df.where(may_hold_event(F.col("line"))).count() == 3
+    assert df.where(may_hold_event(F.col("line"))).count() == 4

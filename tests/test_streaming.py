@@ -11,6 +11,10 @@ from faultline.operators.recombine import recombine
 from faultline.sources.text import file_source
 from faultline.streaming.limiter import rate_limit_stream
 from faultline.streaming.records import recombine_stream
+from faultline.sources.containers import container_source
+from faultline.sources.otlp import otlp_source
+from faultline.sources.union import union_sources
+from faultline.streaming.containers import CHUNK_SCHEMA, container_stream
 from faultline.streaming.sink import collect_available
 
 SCHEMA = "stream_key string, seq bigint, ts timestamp, line string, tags map<string,string>"
@@ -99,3 +103,65 @@ def test_file_stream(spark, tmp_path):
     (tmp_path / "in" / "a.log").write_text("ERROR x\n  more\n")
     got = collect_available(spark, file_source(spark, str(tmp_path / "in"), streaming=True))
     assert [r.line for r in got.orderBy("seq").collect()] == ["ERROR x", "  more"]
+
+
+def test_watermark_closes_records(spark, parts):
+    """In event time a record closes once the watermark is past its idle time."""
+    lines = stream(spark, parts).withWatermark("ts", "0 seconds")
+    got = collect_available(spark, recombine_stream(lines, idle_ms=500, time_mode="EventTime"))
+    batch = recombine(spark.read.schema(SCHEMA).parquet(parts), idle_ms=500)
+    want = set(map(key, batch.collect()))
+    rows = list(map(key, got.collect()))
+    assert len(rows) == len(set(rows))
+    assert set(rows) <= want
+    # Only records near the end, which no watermark has passed yet, may still be open.
+    late = max(k[2] for k in want) - dt.timedelta(seconds=3)
+    assert {k for k in want if k[2] < late} <= set(rows)
+
+
+def test_container_stream(spark, tmp_path):
+    chunks = [
+        ("1", ["/web"], i, p) for i, p in enumerate(["ab", "c\nde\nf", "g\n", "", "\n\nx", "y\ntail"])
+    ] + [("2", ["/db"], i, "line %d\nhalf " % i) for i in range(6)]
+    for i in range(6):
+        part = spark.createDataFrame([c for c in chunks if c[2] == i], CHUNK_SCHEMA)
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "c"))
+        time.sleep(0.05)
+    source = spark.readStream.schema(CHUNK_SCHEMA).option("maxFilesPerTrigger", 2).parquet(
+        str(tmp_path / "c")
+    )
+
+    def lines(df):
+        return sorted((r.tags["container_name"], r.seq, r.line) for r in df.collect())
+
+    got = lines(collect_available(spark, container_stream(source)))
+    assert got == lines(container_source(spark.createDataFrame(chunks, CHUNK_SCHEMA)))
+    assert ("web", 0, "abc") in got
+
+
+def test_union_of_streams(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.log").write_text("one\ntwo\n")
+    (tmp_path / "otlp").mkdir()
+    record = '{"body":{"stringValue":"%s"}}'
+    request = '{"resourceLogs":[{"scopeLogs":[{"logRecords":[%s]}]}]}\n'
+    body = "".join(
+        request % ",".join(record % f"r{i}.{j}" for j in range(3)) for i in range(4)
+    )
+    (tmp_path / "otlp" / "o.json").write_text(body)
+    raw = union_sources(
+        spark,
+        [
+            {"type": "file", "paths": [str(tmp_path / "logs")], "streaming": True},
+            {"type": "otel", "paths": [str(tmp_path / "otlp")], "streaming": True},
+        ],
+    )
+    rows = collect_available(spark, raw).collect()
+    assert [r.line for r in sorted((r for r in rows if r.source == "file"), key=lambda r: r.seq)] == [
+        "one", "two",
+    ]
+    otel = sorted((r for r in rows if r.source == "otel"), key=lambda r: r.seq)
+    assert [r.line for r in otel] == [f"r{i}.{j}" for i in range(4) for j in range(3)]
+    assert len({r.seq for r in otel}) == 12
+    batch = otlp_source(spark, str(tmp_path / "otlp")).collect()
+    assert [r.line for r in sorted(batch, key=lambda r: r.seq)] == [r.line for r in otel]
