@@ -32,7 +32,7 @@ from faultline.operators.scan import with_totals_before
 
 DEFAULT_RATE = 100
 DEFAULT_BURST = 500
-BLOCK_ROWS = 1 << 16
+BLOCK_ROWS = 1 << 18
 CAP, LIFT, SET = 0, 1, 2
 
 Step = tuple[int, int]

@@ -161,7 +161,7 @@ def recombine(
     # fragment 0 without a verdict; its predecessor is in another bucket.
     inside = Window.partitionBy("stream_key", "_bucket").orderBy("seq")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fragments = (
+    cut = (
         rows.withColumns(
             {
                 "_prev_line": F.lag("line").over(inside),
@@ -181,22 +181,37 @@ def recombine(
             ),
         )
         .withColumn("_fragment", F.sum(F.col("_starts").cast("int")).over(upto))
+    )
+    first = F.min_by(F.struct(*carried), "seq").alias("_first")
+    fragments = (
+        cut.where("_fragment > 0")
         .groupBy("stream_key", "_bucket", "_fragment")
         .agg(
             F.expr(r"listagg(line, '\n') WITHIN GROUP (ORDER BY seq)").alias("_text"),
             F.count("*").alias("n_lines"),
-            F.min_by(F.struct(*carried), "seq").alias("_first"),
-            F.min_by(F.struct("line", "ts"), "seq").alias("_opening"),
-            F.max_by(F.struct("line", "ts"), "seq").alias("_closing"),
+            first,
         )
     )
 
-    # One row per bucket: its fragment 0 and the line it ends on.
-    opening = F.struct("_text", "n_lines", "_first", "_opening")
-    buckets = fragments.groupBy("stream_key", "_bucket").agg(
-        F.min_by(opening, "_fragment").alias("_head"),
-        F.max_by("_closing", "_fragment").alias("_end"),
-        F.max("_fragment").alias("_last_fragment"),
+    # One row per bucket: its fragment 0, the line that opens and the one that ends it.
+    head_text = r"listagg(CASE WHEN _fragment = 0 THEN line END, '\n') WITHIN GROUP (ORDER BY seq)"
+    buckets = (
+        cut.groupBy("stream_key", "_bucket")
+        .agg(
+            F.expr(head_text).alias("_text"),
+            F.count_if(F.col("_fragment") == 0).alias("n_lines"),
+            first,
+            F.min_by(F.struct("line", "ts"), "seq").alias("_opening"),
+            F.max_by(F.struct("line", "ts"), "seq").alias("_end"),
+            F.max("_fragment").alias("_last_fragment"),
+        )
+        .select(
+            "stream_key",
+            "_bucket",
+            F.struct("_text", "n_lines", "_first", "_opening").alias("_head"),
+            "_end",
+            "_last_fragment",
+        )
     )
     across = Window.partitionBy("stream_key").orderBy("_bucket")
     placed = (

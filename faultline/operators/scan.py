@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 1 << 20
+BUCKET_ROWS = 1 << 18
 
 
 def bucket_of(seq: Column, bucket_rows: int) -> Column:
