@@ -249,9 +249,10 @@ def frame_chunks(
         .agg(F.max_by("_chunk", F.col("_chunk.start_line")).alias("_chunk"))
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
-    # The salt is a function of the row, so a repeated task salts alike.
+    # The salt is a function of the row and its task, so a repeated task salts alike.
     plain = [f.name for f in frames.schema.fields if "map<" not in f.dataType.simpleString()]
-    salted = frames.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
+    spot = F.xxhash64(*plain, F.spark_partition_id())
+    salted = frames.withColumn("_salt", F.pmod(spot, F.lit(salts)).cast("int"))
     found = salted.join(innermost, ["filename", "lineno", "_salt"], "left")
     return found.select(
         *frames.columns,

@@ -118,8 +118,8 @@ def decisions(
 ) -> DataFrame:
     """``key, seq, allowed`` for arrivals given as ``key, seq, ts``.
 
-    Arrivals are taken in ``seq`` order; time never runs backwards, a late ``ts``
-    counts as the latest time seen.  ``seq`` is unique within a key.
+    Arrivals are taken in ``seq`` order; time never runs backwards, a late or missing
+    ``ts`` counts as the latest time seen.  ``seq`` is unique within a key.
     """
     token, refill = units(rate)
     slack = token * (burst - 1)
@@ -128,7 +128,7 @@ def decisions(
             arrivals.select(
                 F.coalesce(F.col("key").cast("string"), F.lit("")).alias("key"),
                 F.col("seq").cast("bigint").alias("seq"),
-                F.unix_micros("ts").alias("_at"),
+                F.coalesce(F.unix_micros("ts"), F.lit(0)).alias("_at"),
             ),
             ["key"],
             "seq",
@@ -203,8 +203,9 @@ def rate_limit(
 ) -> DataFrame:
     """``events`` with ``limiter_key`` and ``allowed``.
 
-    Needs ``seq`` and ``ts``.  Only key, seq and time go through the limiter; the
-    rows meet their verdicts in a join on (key, seq), which no hot key can skew.
+    Needs ``seq``, unique within a key, and ``ts``.  Only key, seq and time go through
+    the limiter; the rows meet their verdicts in a join on (key, seq), which no hot key
+    can skew.
     One bucket for everything is ``key=F.lit("")``.
     """
     column = F.col(key) if isinstance(key, str) else key

@@ -17,7 +17,12 @@ from pyspark.sql.streaming.stateful_processor import (
 from faultline.sources.containers import container_name, keeps_container
 from faultline.sources.text import raw_log
 
-CHUNK_SCHEMA = "container_id string, names array<string>, chunk_no bigint, payload string"
+CHUNK_SCHEMA = (
+    "container_id string, names array<string>, chunk_no bigint, ts timestamp, payload string"
+)
+LINE_SCHEMA = (
+    "container_id string, container_name string, line_no bigint, micros bigint, line string"
+)
 
 
 class OpenLine(StatefulProcessor):
@@ -39,7 +44,13 @@ class OpenLine(StatefulProcessor):
             for piece in ended:
                 line = "".join([*pieces, piece])
                 pieces = []
-                yield Row(container_id=key[0], container_name=key[1], line_no=lines, line=line)
+                yield Row(
+                    container_id=key[0],
+                    container_name=key[1],
+                    line_no=lines,
+                    micros=row.micros,
+                    line=line,
+                )
                 lines += 1
             pieces.append(last)
         self.open.update(("".join(pieces), lines))
@@ -49,16 +60,22 @@ class OpenLine(StatefulProcessor):
 
 
 def container_stream(chunks: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
-    """Streaming RAW_LOG of chunks given as ``container_id, names, chunk_no, payload``."""
+    """Streaming RAW_LOG of chunks given as ``container_id, names, chunk_no, payload``.
+
+    With the chunks' arrival ``ts``, a line has the time of the chunk that ends it.
+    """
+    arrival = F.unix_micros("ts") if "ts" in chunks.columns else F.lit(None).cast("bigint")
     named = chunks.withColumn("container_name", container_name(F.col("names"))).where(
         keeps_container(F.col("container_name"), excluded)
     )
     lines = (
-        named.select("container_id", "container_name", "chunk_no", "payload")
+        named.select(
+            "container_id", "container_name", "chunk_no", arrival.alias("micros"), "payload"
+        )
         .groupBy("container_id", "container_name")
         .transformWithState(
             statefulProcessor=OpenLine(),
-            outputStructType="container_id string, container_name string, line_no bigint, line string",
+            outputStructType=LINE_SCHEMA,
             outputMode="Append",
             timeMode="None",
         )
@@ -67,7 +84,7 @@ def container_stream(chunks: DataFrame, excluded: Sequence[str] = ()) -> DataFra
         lines.select(
             F.lit("docker").alias("source"),
             F.col("line_no").alias("seq"),
-            F.lit(None).alias("ts"),
+            F.timestamp_micros("micros").alias("ts"),
             "line",
             F.create_map(F.lit("container_name"), F.col("container_name")).alias("tags"),
         )

@@ -42,7 +42,7 @@ class KeyBucket(StatefulProcessor):
         level, seen, clock = self.bucket.get() if self.bucket.exists() else (None, 0, None)
         level = None if level is None else int(level)
         for row in sorted(rows, key=lambda r: r.seq):
-            clock = row.micros if clock is None else max(clock, row.micros)
+            clock = max(row.micros, clock) if clock is not None else row.micros
             seen += 1
             barrier = self.token * seen - self.refill * clock
             (allowed,), level = decide(level, (barrier,), self.slack, self.token)
@@ -69,7 +69,7 @@ def rate_limit_stream(
         F.coalesce(column.cast("string"), F.lit("")).alias("limiter_key"),
         F.col("seq").cast("bigint").alias("seq"),
         F.to_json(F.struct(*events.columns), JSON_OPTIONS).alias("event"),
-        F.unix_micros("ts").alias("micros"),
+        F.coalesce(F.unix_micros("ts"), F.lit(0)).alias("micros"),
     )
     output = T.StructType(
         [

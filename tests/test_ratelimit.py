@@ -119,6 +119,15 @@ def test_documented_cases(spark):
     assert verdicts([0] * 5, 1, 2) == [True, True, False, False, False]
 
 
+def test_missing_times(spark):
+    df = spark.createDataFrame(
+        [("s", i, t) for i, t in enumerate([None, None, None, T0, None, T0])],
+        "source string, seq bigint, ts timestamp",
+    )
+    got = [r.allowed for r in rate_limit(df, rate=1, burst=2).orderBy("seq").collect()]
+    assert got == [True, True, False, True, True, False]
+
+
 def test_sample_rate(spark):
     df = spark.createDataFrame([(1, 9), (0, 9), (0, 0), (3, 4)], "a bigint, d bigint")
     got = df.select(suggested_sample_rate(F.col("a"), F.col("d")).alias("n")).collect()

@@ -121,8 +121,8 @@ def test_watermark_closes_records(spark, parts):
 
 def test_container_stream(spark, tmp_path):
     chunks = [
-        ("1", ["/web"], i, p) for i, p in enumerate(["ab", "c\nde\nf", "g\n", "", "\n\nx", "y\ntail"])
-    ] + [("2", ["/db"], i, "line %d\nhalf " % i) for i in range(6)]
+        ("1", ["/web"], i, T0 + dt.timedelta(seconds=i), p) for i, p in enumerate(["ab", "c\nde\nf", "g\n", "", "\n\nx", "y\ntail"])
+    ] + [("2", ["/db"], i, None, "line %d\nhalf " % i) for i in range(6)]
     for i in range(6):
         part = spark.createDataFrame([c for c in chunks if c[2] == i], CHUNK_SCHEMA)
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "c"))
@@ -132,11 +132,11 @@ def test_container_stream(spark, tmp_path):
     )
 
     def lines(df):
-        return sorted((r.tags["container_name"], r.seq, r.line) for r in df.collect())
+        return sorted((r.tags["container_name"], r.seq, r.line, str(r.ts)) for r in df.collect())
 
     got = lines(collect_available(spark, container_stream(source)))
     assert got == lines(container_source(spark.createDataFrame(chunks, CHUNK_SCHEMA)))
-    assert ("web", 0, "abc") in got
+    assert ("web", 0, "abc", str(T0 + dt.timedelta(seconds=1))) in got
 
 
 def test_union_of_streams(spark, tmp_path):
