@@ -54,10 +54,6 @@ def cut_bytes(text: Column, size: int) -> Column:
     return F.when(F.octet_length(text) <= size, text).otherwise(cut)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    return text.rlike(pattern)
-
-
 def group(text: Column, pattern: str, index: int) -> Column:
     """Capture group ``index``; empty when the pattern or group is absent."""
     return F.regexp_extract(text, pattern, index)

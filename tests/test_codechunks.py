@@ -5,7 +5,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from faultline.operators.codechunks import (
     chunk_accounting,

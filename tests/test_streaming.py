@@ -4,7 +4,6 @@ import datetime as dt
 import time
 
 import pytest
-from pyspark.sql import functions as F
 
 from faultline.operators.ratelimit import rate_limit
 from faultline.operators.recombine import recombine
