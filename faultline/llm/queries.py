@@ -8,14 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 from faultline.llm.common import table
 from faultline.llm.exact_dedup import exact_dedup
+from faultline.llm.url_filter import url_filter
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+#: (verdict, host, path), as the contract of op7 gives them.
+URL_RULES = (
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+)
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op7_url_filter": op7_url_filter,
 }
 
 #: A-Z to a-z, as in ``ascii_lower``.
@@ -33,4 +48,60 @@ ORACLES: dict[str, str] = {
                text_sha256
         FROM d
     """,
+    "op7_url_filter": f"""
+        WITH RECURSIVE page AS (
+            SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages
+        ),
+        href AS (
+            SELECT url, unnest([
+                regexp_extract(regexp_extract(html, '<link\\s[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>', 0, 'is'),
+                               '\\bhref\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1, 'is'),
+                regexp_extract(regexp_extract(html, '<meta\\s[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>', 0, 'is'),
+                               '\\burl\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1, 'is')]) AS href
+            FROM page WHERE contains(url, '://')
+        ),
+        link AS (
+            SELECT url, CASE
+                WHEN contains(href, '://') THEN href
+                WHEN starts_with(href, '//') THEN regexp_extract(url, '^(.*?:)//', 1) || href
+                WHEN starts_with(href, '/') THEN regexp_extract(url, '^(.*?://[^/?#]*)', 1) || href
+                ELSE rtrim(regexp_extract(url, '^(.*?://[^/?#]*(?:/[^?#]*/|/)?)', 1), '/') || '/' || href END AS target
+            FROM (SELECT url, replace(href, '&amp;', '&') AS href FROM href WHERE href <> '')
+        ),
+        u AS (SELECT url FROM page UNION SELECT target FROM link),
+        part AS (
+            SELECT url, translate(regexp_extract(url, '://([^/?#]*)', 1), {_AZ}) AS host,
+                   regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path,
+                   regexp_extract(url, '://[^?#]*(\\?[^#]*)', 1) AS query
+            FROM u
+        ),
+        named AS (
+            SELECT *, CASE WHEN contains(url, '://') THEN host || CASE path WHEN '' THEN '/' ELSE path END || query END AS key
+            FROM part
+        ),
+        rules(verdict, rhost, rpath) AS (
+            VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'),
+                   ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+        ),
+        best AS (
+            SELECT url, arg_max(verdict, length(rhost || rpath)) AS verdict,
+                   arg_max(rhost || rpath, length(rhost || rpath)) AS rule
+            FROM named JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+            GROUP BY url
+        ),
+        edge AS (
+            SELECT a.key AS a, b.key AS b FROM link JOIN named a USING (url) JOIN named b ON b.url = link.target
+            WHERE a.key <> b.key
+        ),
+        both_ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+        reached(key) AS (
+            SELECT key FROM named JOIN best USING (url) WHERE verdict = 'block' AND key IN (SELECT a FROM both_ways)
+            UNION
+            SELECT b FROM reached JOIN both_ways ON a = key
+        )
+        SELECT page_id, host, path, rule,
+               coalesce(verdict, CASE WHEN r.key IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
+               r.key IS NOT NULL AS alias_of_blocked
+        FROM page JOIN named USING (url) LEFT JOIN best USING (url) LEFT JOIN reached r USING (key)
+    """,
 }
