@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from faultline.llm.common import table
 from faultline.llm.exact_dedup import exact_dedup
+from faultline.llm.line_dedup import line_dedup
 from faultline.llm.url_filter import url_filter
 
 
@@ -28,9 +30,16 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup(table(spark, sf_dir, "documents"))
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return cleaned.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op7_url_filter": op7_url_filter,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 #: A-Z to a-z, as in ``ascii_lower``.
@@ -104,4 +113,24 @@ ORACLES: dict[str, str] = {
                r.key IS NOT NULL AS alias_of_blocked
         FROM page JOIN named USING (url) LEFT JOIN best USING (url) LEFT JOIN reached r USING (key)
     """,
+    "op10_line_dedup": f"""
+        WITH line AS (
+            SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+        ),
+        keyed AS (
+            SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_AZ}) AS key
+            FROM line
+        ),
+        held AS (
+            SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20
+            GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+        ),
+        judged AS (
+            SELECT k.*, coalesce(keeper <> doc_id, false) AS gone FROM keyed k LEFT JOIN held USING (key)
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM judged GROUP BY doc_id
+    """,
 }
