@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from faultline.llm.common import table
 from faultline.llm.exact_dedup import exact_dedup
 from faultline.llm.line_dedup import line_dedup
+from faultline.llm.mixing import Mix
 from faultline.llm.url_filter import url_filter
 
 
@@ -17,6 +18,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Mix(table(spark, sf_dir, "documents")).taken()
+
+
 #: (verdict, host, path), as the contract of op7 gives them.
 URL_RULES = (
     ("block", "net", "/"),
@@ -38,6 +43,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op5_mix_sources": op5_mix_sources,
     "op7_url_filter": op7_url_filter,
     "op10_line_dedup": op10_line_dedup,
 }
