@@ -11,6 +11,7 @@ from faultline.llm.common import table
 from faultline.llm.exact_dedup import exact_dedup
 from faultline.llm.line_dedup import line_dedup
 from faultline.llm.mixing import Mix
+from faultline.llm.simhash import simhash_groups
 from faultline.llm.url_filter import url_filter
 
 
@@ -35,6 +36,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"), words=3, radius=3)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup(table(spark, sf_dir, "documents"))
     kept = F.sha2(F.coalesce("text", F.lit("")), 256)
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op7_url_filter": op7_url_filter,
+    "op8_simhash": op8_simhash,
     "op10_line_dedup": op10_line_dedup,
 }
 
