@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm.common import table
+from faultline.llm.common import shared_folder, table
 from faultline.llm.exact_dedup import exact_dedup
 from faultline.llm.line_dedup import line_dedup
 from faultline.llm.mixing import Mix
 from faultline.llm.simhash import simhash_groups
 from faultline.llm.url_filter import url_filter
+from faultline.llm.warc import read_warc, write_warc
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +41,27 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), words=3, radius=3)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), folder)
+    told = ["record_id", "record_type", "payload_digest", "payload_bytes", "refers_to", "gap"]
+
+    def page(field: str) -> Column:
+        return F.regexp_extract(field, r"^<urn:page:(\d+)>$", 1).try_cast("long")
+
+    return (
+        read_warc(spark, folder, told)
+        .filter("gap is null")
+        .select(
+            page("record_id").alias("page_id"),
+            "payload_bytes",
+            "payload_digest",
+            "record_type",
+            page("refers_to").alias("refers_to"),
+        )
+    )
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup(table(spark, sf_dir, "documents"))
     kept = F.sha2(F.coalesce("text", F.lit("")), 256)
@@ -51,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mix_sources": op5_mix_sources,
     "op7_url_filter": op7_url_filter,
     "op8_simhash": op8_simhash,
+    "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
 }
 
@@ -125,6 +148,20 @@ ORACLES: dict[str, str] = {
                r.key IS NOT NULL AS alias_of_blocked
         FROM page JOIN named USING (url) LEFT JOIN best USING (url) LEFT JOIN reached r USING (key)
     """,
+    "op9_warc": """
+        WITH page AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h
+            FROM pages
+        ),
+        marked AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM page)
+        SELECT page_id, payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   (((('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5))::BIGINT >> CAST(5 * (3 - i % 4) AS BIGINT)) & 31)) + 1, 1)),
+                   'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM marked
+    """,
     "op10_line_dedup": f"""
         WITH line AS (
             SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line
