@@ -12,6 +12,7 @@ from faultline.llm.exact_dedup import exact_dedup
 from faultline.llm.line_dedup import line_dedup
 from faultline.llm.mixing import Mix
 from faultline.llm.simhash import simhash_groups
+from faultline.llm.token_shards import read_token_shards, write_token_shards
 from faultline.llm.url_filter import url_filter
 from faultline.llm.warc import read_warc, write_warc
 
@@ -20,6 +21,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = shared_folder(spark, "tokens")
+    tokenizer = str(public_tokenizers.path("word_bpe_49k.json"))
+    return read_token_shards(write_token_shards(table(spark, sf_dir, "documents"), folder, tokenizer), folder)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(table(spark, sf_dir, "documents")).taken()
 
@@ -70,6 +79,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_token_shards": op2_token_shards,
     "op5_mix_sources": op5_mix_sources,
     "op7_url_filter": op7_url_filter,
     "op8_simhash": op8_simhash,
