@@ -13,6 +13,7 @@ from faultline.llm.line_dedup import line_dedup
 from faultline.llm.mixing import Mix
 from faultline.llm.simhash import simhash_groups
 from faultline.llm.token_shards import read_token_shards, write_token_shards
+from faultline.llm.toxicity import fit_machine, score_toxicity
 from faultline.llm.url_filter import url_filter
 from faultline.llm.warc import read_warc, write_warc
 
@@ -29,6 +30,14 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_shards(write_token_shards(table(spark, sf_dir, "documents"), folder, tokenizer), folder)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    machine = fit_machine(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    scored = score_toxicity(docs, machine)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(table(spark, sf_dir, "documents")).taken()
 
@@ -80,6 +89,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_shards": op2_token_shards,
+    "op3_toxicity": op3_toxicity,
     "op5_mix_sources": op5_mix_sources,
     "op7_url_filter": op7_url_filter,
     "op8_simhash": op8_simhash,
