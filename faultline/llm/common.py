@@ -35,5 +35,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def is_empty(df: DataFrame) -> bool:
-    return not df.take(1)
+def hash_sample(hashed: Column, size: int, total: int) -> Column:
+    """A condition that about ``size`` of ``total`` rows meet, by their 64-bit hash: no order, no state."""
+    if total <= size:
+        return F.lit(True)
+    return F.shiftrightunsigned(hashed, 16) < F.lit(int((1 << 48) * size / total))

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from faultline.llm.common import hash_sample
+
 #: Labelled documents that the machine is fitted on, at most.
 MOST_LABELLED = 10_000
 #: Hashed terms that get weights, at most: those most unlike in toxic and clean texts.
@@ -152,18 +154,19 @@ def fit_machine(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LA
     """A machine from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
     Null labels and those without a document are left out; of several labels of a document the
-    highest counts.  The labels are those with the smallest hashes of doc_id, at most ``most_labelled``: a sample
-    that neither order nor partitions change.
+    highest counts.  About ``most_labelled`` labels are taken by the hash of doc_id, never
+    more: a sample that neither order nor partitions change.
     """
-    chosen = (
+    usable = (
         labels.filter("doc_id is not null and toxic is not null")
         .groupBy("doc_id")
         .agg((F.max("toxic") > 0).alias("_toxic"))
         .join(docs.select("doc_id"), "doc_id", "left_semi")
         .withColumn("_order", F.xxhash64("doc_id"))
-        .orderBy("_order", "doc_id")
-        .limit(most_labelled)
     )
+    # The filter leaves few rows to order; the limit makes the bound hold.
+    some = usable.filter(hash_sample(F.col("_order"), most_labelled, usable.count()))
+    chosen = some.orderBy("_order", "doc_id").limit(most_labelled)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("_order", "_toxic", "text")
     got = texts.mapInArrow(_term_lister, "_order long, _toxic boolean, _terms array<int>").toArrow()
     order = np.argsort(got["_order"].to_numpy(), kind="stable")
