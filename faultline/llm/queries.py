@@ -12,6 +12,7 @@ from faultline.llm.dual_tree import top_k
 from faultline.llm.exact_dedup import exact_dedup
 from faultline.llm.line_dedup import line_dedup
 from faultline.llm.mixing import Mix
+from faultline.llm.packing import best_fit_packing
 from faultline.llm.simhash import simhash_groups
 from faultline.llm.token_shards import read_token_shards, write_token_shards
 from faultline.llm.toxicity import fit_machine, score_toxicity
@@ -47,6 +48,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(table(spark, sf_dir, "documents")).taken()
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"))
+
+
 #: (verdict, host, path), as the contract of op7 gives them.
 URL_RULES = (
     ("block", "net", "/"),
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_dual_tree": op4_dual_tree,
     "op5_mix_sources": op5_mix_sources,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_url_filter": op7_url_filter,
     "op8_simhash": op8_simhash,
     "op9_warc": op9_warc,
