@@ -13,6 +13,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import repeat
 
 import numpy as np
@@ -29,7 +30,7 @@ MAGIC = b"WAVELET1"
 #: Ids of a shard, about; a document is never cut.
 SHARD_IDS = 1 << 22
 #: Words and word parts whose ids a worker remembers.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 20
 _BLOCK = 8  # 64-bit words for which one rank is kept
 
 
@@ -92,19 +93,23 @@ class WaveletShard:
     def of(cls, ids: np.ndarray, doc_ids: list, ends: np.ndarray, width: int) -> WaveletShard:
         planes, left = [], ids
         for level in range(width - 1, -1, -1):
-            bits = (left >> left.dtype.type(level) & left.dtype.type(1)).astype(bool)
+            bits = (left & left.dtype.type(1 << level)).astype(bool)
             planes.append(Plane.of(bits))
-            left = np.concatenate((left[~bits], left[bits]))
+            after = np.empty_like(left)
+            np.compress(~bits, left, out=after[: planes[-1].zeros])
+            np.compress(bits, left, out=after[planes[-1].zeros :])
+            left = after
         return cls(planes, len(ids), doc_ids, np.asarray(ends, dtype=np.int64))
 
     def ids(self) -> np.ndarray:
-        """All ids, undone plane by plane."""
-        out, order = np.zeros(self.n, dtype=np.uint32), np.arange(self.n, dtype=np.int32)
-        for plane in self.planes:
+        """All ids, the planes undone from the last to the first."""
+        out = np.zeros(self.n, dtype=np.uint16 if len(self.planes) <= 16 else np.uint32)
+        for level, plane in enumerate(reversed(self.planes)):
             bits = plane.bits()
-            out <<= np.uint32(1)
-            out[order[bits]] |= np.uint32(1)
-            order = np.concatenate((order[~bits], order[bits]))
+            before = np.empty_like(out)
+            before[np.flatnonzero(~bits)] = out[: plane.zeros]
+            before[np.flatnonzero(bits)] = out[plane.zeros :] | out.dtype.type(1 << level)
+            out = before
         return out
 
     def access(self, places: np.ndarray) -> np.ndarray:
@@ -218,13 +223,19 @@ class WordEncoder:
         return np.frombuffer(b"".join(got), dtype=self.dtype)
 
 
+@cache
+def encoder_for(path: str) -> WordEncoder:
+    """One encoder for a worker, so that its tasks share what it remembers."""
+    return WordEncoder(path)
+
+
 def _shard_writer(folder: str, tokenizer: str, end_id: int, shard_ids: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         task, attempt = context.partitionId(), context.taskAttemptId()
         store, root = open_store(folder)
         store.create_dir(root, recursive=True)
-        encoder, done = WordEncoder(tokenizer), []
+        encoder, done = encoder_for(tokenizer), []
         ids, doc_ids, ends = [], [], [0]
 
         def close() -> None:
