@@ -1,25 +1,67 @@
 """The corpus pipeline: five stages over ``documents``, each written and read again.
 
-The stages follow with their operators.
+toxicity     documents that the factorization machine rejects go
+line_dedup   lines that many documents repeat stay in one document
+near_dups    of near-duplicate documents (5 words, similarity 0.8) the smallest doc_id stays
+mixing       sources are mixed to their target weights; rows are documents' pieces of a mix block
+packing      pieces are packed into bins; the last stage returns their places
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from faultline.llm.common import shared_folder, table
+from faultline.llm.line_dedup import line_dedup
+from faultline.llm.mixing import mix_sources
+from faultline.llm.near_dups import drop_near_duplicates
+from faultline.llm.packing import best_fit_packing
+from faultline.llm.toxicity import fit_machine, held_out, score_toxicity
 
-STAGES: list[tuple] = []
 
-#: Three stages (a learned score, fingerprints, a random draw) have no SQL form;
-#: tests/llm/test_pipeline.py checks the stages against brute force.
+def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
+    scored = score_toxicity(docs, fit_machine(docs, labels))
+    return scored.filter("predicted = 0").select(docs.columns)
+
+
+def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup(docs)
+    counted = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).alias("n_chars")
+    return cleaned.select(*[counted if c == "n_chars" else c for c in docs.columns])
+
+
+def _near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_duplicates(docs)
+
+
+def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix_sources(docs).select(docs.columns)
+
+
+def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return best_fit_packing(docs)
+
+
+STAGES = [
+    ("toxicity", _toxicity),
+    ("line_dedup", _line_dedup),
+    ("near_dups", _near_dups),
+    ("mixing", _mixing),
+    ("packing", _packing),
+]
+
+#: A learned score, fingerprints and a random draw have no SQL form; tests/llm/test_pipeline.py
+#: checks every stage on its own input instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    folder = shared_folder(spark, "pipeline")
     for name, stage in STAGES:
-        path = f"{shared_folder(spark, 'pipeline')}/{name}"
+        path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -209,20 +209,24 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
         .agg(F.collect_set(F.struct("h1", "h2")).alias("_lost"))
         .select(F.col("doc_id").alias("_lost_id"), "_lost")
     )
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    # The document is one value, so that no column of it meets a name used here.
+    rows = docs.select(F.struct(*own).alias("_doc"), "doc_id", "text")
     lines = lines_of(F.col("text"))
 
     def stays(line: Column) -> Column:
         key = line_key(line)
         return ~((F.length(key) >= min_chars) & F.array_contains("_lost", line_hash(key)))
 
-    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    met = docs.select(own).join(drops, F.col("doc_id").eqNullSafe(F.col("_lost_id")), "left")
-    kept = F.when(F.col("_lost").isNotNull(), F.filter(lines, stays))
-    text = F.when(F.col("_lost").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))
-    return (
-        met.withColumn("n_lines", F.size(lines).cast("long"))
-        .withColumn("_kept", kept)
-        .withColumn("n_dropped", F.coalesce(F.col("n_lines") - F.size("_kept"), F.lit(0)).cast("long"))
-        .withColumn("text", text)
-        .select(*own, "n_lines", "n_dropped")
+    met = rows.join(drops, F.col("doc_id").eqNullSafe(F.col("_lost_id")), "left").select(
+        "_doc",
+        "text",
+        F.size(lines).cast("long").alias("_n"),
+        F.when(F.col("_lost").isNotNull(), F.filter(lines, stays)).alias("_kept"),
+    )
+    text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))
+    return met.select(
+        *[text.alias("text") if c == "text" else F.col("_doc")[c].alias(c) for c in own],
+        F.col("_n").alias("n_lines"),
+        F.when(F.col("_kept").isNull(), 0).otherwise(F.col("_n") - F.size("_kept")).cast("long").alias("n_dropped"),
     )

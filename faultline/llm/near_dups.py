@@ -1,0 +1,209 @@
+"""Near-duplicates by shingles of words: SimHash candidates, checked by their Jaccard similarity.
+
+A fingerprint of a whole text finds copies with small changes: the vantage-point search links those a
+few bits apart.  At a similarity of 0.8 the fingerprints of 64 bits differ in about ten
+bits, where random texts begin to look alike and no tree can prune.  So a text also has
+fingerprints of slices.  A slice is the set of its shingles that a hash picks, two to four of them; texts that
+share most shingles have the same set in some of the slices, and those meet in
+an equality.  Every candidate is then decided by the similarity of the whole texts.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from faultline.llm.components import components
+from faultline.llm.simhash import fingerprint, link_fingerprints, shingle_hashes
+from faultline.session import materialise
+
+#: Slices of a text and level.
+SLICES = 12
+#: Least hashes under as many functions, a byte of each; for a first look at a candidate pair.
+SKETCH = 128
+#: Pairs whose sketches agree less than the similarity minus this are not alike: five deviations.
+SLACK = 0.18
+#: Others that a component meets in a group from the second turn on.
+CHOICES = 4
+
+_ODD = np.random.Generator(np.random.PCG64(42)).integers(0, 2**63, SLICES + SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mixed(hashes: np.ndarray, function: int) -> np.ndarray:
+    x = hashes * _ODD[function]
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def slice_keys(distinct: np.ndarray, similarity: float) -> list[int]:
+    """Keys of the slices of a text's distinct shingle hashes, sorted.
+
+    A slice at level n takes one in 2**(n-1) shingles.  Texts of similar size have a level in common:
+    the larger one's own level is the smaller one's own or that of its size / similarity.
+    """
+    n, keys = len(distinct), []
+    if not n:
+        return keys
+    for level in sorted({n.bit_length() - 1, int(n / similarity).bit_length() - 1}):
+        share = max(0, level - 1)
+        for j in range(SLICES if share else 1):
+            picked = distinct[_mixed(distinct, j) >> np.uint64(64 - share) == 0] if share else distinct
+            if len(picked):
+                keys.append(xxhash.xxh64_intdigest(picked.tobytes(), seed=level * SLICES + j) - 2**63)
+    return keys
+
+
+def sketch(distinct: np.ndarray) -> bytes:
+    if not len(distinct):
+        return bytes(SKETCH)
+    least = [_mixed(distinct, SLICES + k).min() for k in range(SKETCH)]
+    return (np.array(least) >> np.uint64(8)).astype(np.uint8).tobytes()
+
+
+def _sketcher(words: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, keys, sketches = [], [], []
+            for text in batch["text"].cast(pa.binary()):
+                hashes = shingle_hashes(text.as_py(), words)
+                distinct = np.unique(hashes)
+                fps.append(fingerprint(hashes))
+                keys.append(slice_keys(distinct, similarity))
+                sketches.append(sketch(distinct))
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["digest"], pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches)],
+                names=["doc_id", "digest", "fp", "keys", "sketch"],
+            )
+
+    return run
+
+
+def _look(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (
+                np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sketch", "other")
+            )
+            alike = (a == b).mean(axis=1) >= similarity - SLACK
+            yield batch.select(["a", "b"]).filter(pa.array(alike))
+
+    return run
+
+
+def jaccard(a: bytes | None, b: bytes | None, words: int) -> float:
+    """Shared over all distinct shingles; two texts without words are alike."""
+    x, y = set(shingle_hashes(a, words).tolist()), set(shingle_hashes(b, words).tolist())
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _checker(words: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = zip(batch["text"].cast(pa.binary()).to_pylist(), batch["other"].cast(pa.binary()).to_pylist())
+            alike = [jaccard(a, b, words) >= similarity for a, b in texts]
+            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    return run
+
+
+def _pairs(members: DataFrame, turn: int) -> DataFrame:
+    """(a, b): in each group of ``members`` (digest, key, component), components that are to be compared.
+
+    Every component sends one text to meet a text of a few others, so pairs grow with the
+    members.  First all meet the least, which makes many pairs of different groups the
+    same; later, with few components left, the choice varies from group to group and turn to turn.
+    """
+    orders = [F.col("digest")]
+    if turn:
+        orders = [F.xxhash64("digest", "key", F.lit(turn), F.lit(i)) for i in range(CHOICES)]
+    sent = members.groupBy("key", "component").agg(F.min_by("digest", orders[0]).alias("digest"))
+    chosen = F.array_distinct(F.array(*[F.min_by(F.struct("digest", "component"), order) for order in orders]))
+    met = sent.groupBy("key").agg(chosen.alias("_to")).select("key", F.explode("_to").alias("_to"))
+    return (
+        sent.join(met, "key")
+        .filter("component <> _to.component")
+        .select(F.least("digest", "_to.digest").alias("a"), F.greatest("digest", "_to.digest").alias("b"))
+        .distinct()
+    )
+
+
+def _named(texts: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``texts`` with the component that each digest is in so far."""
+    if links is None:
+        return texts.withColumn("component", F.col("digest"))
+    groups = components(links, "a", "b").withColumnRenamed("node", "digest").withColumnRenamed("component", "_c")
+    return texts.join(groups, "digest", "left").withColumn("component", F.coalesce("_c", "digest")).drop("_c")
+
+
+def near_duplicate_texts(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, turns: int = 3
+) -> DataFrame:
+    """(digest, doc_id, component): the distinct texts, the smallest doc_id of each and its group.
+
+    ``digest`` is the MD5 of a text, null as empty; ``component`` is the digest that names the group.
+    Texts that meet in a slice or by their fingerprints are not compared in all pairs: in each of
+    ``turns`` turns the components found so far send one text each to another component.
+    """
+    digest = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    rows = docs.select("doc_id", "text", digest.alias("digest"))
+    schema = "doc_id long, digest binary, fp long, keys array<bigint>, sketch binary"
+    each = rows.mapInArrow(_sketcher(words, similarity), schema)
+    texts = materialise(
+        each.groupBy("digest").agg(
+            F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("fp", "keys", "sketch")]
+        )
+    )
+    prints = texts.select("fp").distinct()
+    linked = components(link_fingerprints(prints, radius), "a", "b")
+    by_print = texts.join(linked, texts.fp == linked.node, "left").select(
+        "digest", F.xxhash64(F.lit("print"), F.coalesce("component", "fp")).alias("key")
+    )
+    members = texts.select("digest", F.explode("keys").alias("key")).union(by_print)
+    # A text that meets no other in a group has no part in it.
+    shared = members.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
+    members = materialise(members.join(shared, "key").select("digest", "key"))
+    looks = texts.join(members.select("digest").distinct(), "digest", "left_semi").select("digest", "sketch")
+    looks = materialise(looks)
+
+    links = None
+    for turn in range(turns):
+        pairs = _pairs(_named(members, links), turn)
+        likely = materialise(
+            pairs.join(looks.select(F.col("digest").alias("a"), "sketch"), "a")
+            .join(looks.select(F.col("digest").alias("b"), F.col("sketch").alias("other")), "b")
+            .mapInArrow(_look(similarity), "a binary, b binary")
+        )
+        needed = likely.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+        whole = rows.join(needed, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+        met = likely.join(whole.withColumnRenamed("digest", "a"), "a").join(
+            whole.select(F.col("digest").alias("b"), F.col("text").alias("other")), "b"
+        )
+        found = materialise(met.mapInArrow(_checker(words, similarity), "a binary, b binary"))
+        links = found if links is None else links.union(found)
+    return _named(texts.select("digest", "doc_id"), links)
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates: the one with the smallest doc_id.
+
+    Two texts are near-duplicates if the Jaccard similarity of their shingles of ``words`` words
+    (A-Z lower-cased; a shorter text is one shingle) is at least ``similarity``; a group is
+    what such links join.  Equal texts, null and empty ones alike, are one group.  Of rows that repeat the smallest
+    doc_id and its text one stays; a null doc_id stays only where a group has no other.  Texts without words
+    are alike.  All columns are kept; an empty table gives an empty one.
+    """
+    texts = near_duplicate_texts(docs.select("doc_id", "text"), words, similarity, radius)
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    stays = texts.groupBy("component").agg(F.min(first).alias("_first"))
+    stays = stays.select(F.col("_first.doc_id").alias("_id"), F.col("_first.digest").alias("_text"))
+    # The document is one value, so that no column of it meets a name used here.
+    digest = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    marked = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", digest.alias("_digest"))
+    here = (F.col("_digest") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    kept = marked.join(stays, here)
+    one = F.row_number().over(Window.partitionBy("_digest", "doc_id").orderBy(F.lit(1)))
+    return kept.withColumn("_one", one).filter("_one = 1").select("_doc.*")

@@ -15,7 +15,7 @@ from faultline.llm.mixing import Mix
 from faultline.llm.packing import best_fit_packing
 from faultline.llm.simhash import simhash_groups
 from faultline.llm.token_shards import read_token_shards, write_token_shards
-from faultline.llm.toxicity import fit_machine, score_toxicity
+from faultline.llm.toxicity import fit_machine, held_out, score_toxicity
 from faultline.llm.url_filter import url_filter
 from faultline.llm.warc import read_warc, write_warc
 
@@ -34,10 +34,9 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    machine = fit_machine(docs, table(spark, sf_dir, "labels").filter(~held_out))
-    scored = score_toxicity(docs, machine)
-    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    held = held_out(F.col("doc_id"))
+    machine = fit_machine(docs, table(spark, sf_dir, "labels").filter(~held))
+    return score_toxicity(docs, machine).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
 def op4_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,6 +142,11 @@ def fit(
     return machine
 
 
+def held_out(doc_id: Column) -> Column:
+    """Rows whose labels are for measuring and never learned: crc32 of the doc_id as text, modulo 3, is 1."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
+
+
 def _term_lister(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = [text_terms(t) for t in batch["text"].to_pylist()]

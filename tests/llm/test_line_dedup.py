@@ -58,9 +58,9 @@ def test_one_key_in_many_spellings(spark):
 
 def test_empty_and_clashing(spark):
     assert line_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
-    docs = spark.createDataFrame([(i, "a line that is long enough", "z", 1) for i in range(3)], "doc_id long, text string, n_lines string, h1 long")
+    docs = spark.createDataFrame([(i, "a line that is long enough", "z", 1, 2) for i in range(3)], "doc_id long, text string, n_lines string, h1 long, _lost int")
     got = line_dedup(docs)
-    assert got.columns == ["doc_id", "text", "h1", "n_lines", "n_dropped"]
+    assert got.columns == ["doc_id", "text", "h1", "_lost", "n_lines", "n_dropped"]
     assert sorted((r.doc_id, r.text, r.n_dropped) for r in got.collect()) == [(0, "", 1), (1, "", 1), (2, "a line that is long enough", 0)]
 
 

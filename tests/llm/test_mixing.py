@@ -89,7 +89,7 @@ def test_mixed_pieces_are_what_was_taken(spark):
 def test_empty_and_clashing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert Mix(empty).taken().collect() == [] and mix_sources(empty).collect() == []
-    docs = spark.createDataFrame([(1, "a b", "s", 5, "x", 3)], SCHEMA + ", size int, target string, shard int")
+    docs = spark.createDataFrame([(1, "a b", "s", 5, "x", 3, 4, 5)], SCHEMA + ", size int, target string, shard int, first int, _nth int")
     assert [tuple(r) for r in Mix(docs).taken().collect()] == [(1, 2, 2, 2.0, 2)]
     got = mix_sources(docs)
-    assert got.columns == ["doc_id", "text", "source", "size", "target", "shard", "slot"] and got.count() == 1
+    assert got.columns == ["doc_id", "text", "source", "size", "target", "first", "_nth", "shard", "slot"] and got.count() == 1

@@ -1,0 +1,69 @@
+"""Near-duplicates against all pairs."""
+
+from __future__ import annotations
+
+import random
+
+from faultline.llm.near_dups import drop_near_duplicates, jaccard
+
+SCHEMA = "doc_id long, text string, lang string"
+
+
+def brute(rows):
+    """doc_ids that stay: the smallest of each group of pairs with similarity 0.8 or more."""
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard((rows[i][1] or "").encode(), (rows[j][1] or "").encode(), 5) >= 0.8:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    least = {}
+    for i, (doc_id, *_) in enumerate(rows):
+        k = find(i)
+        least[k] = min((x for x in (least.get(k), doc_id) if x is not None), default=None)
+    return sorted(least.values(), key=str)
+
+
+def test_matches_brute_force(spark):
+    rng = random.Random(1)
+    word = lambda: f"w{rng.randrange(5000)}"
+    rows = [(i, " ".join(word() for _ in range(rng.choice([4, 5, 8, 30, 200, 900]))), "en") for i in range(60)]
+    for i in range(60, 260):
+        words = rows[rng.randrange(60)][1].split()
+        for _ in range(rng.choice([0, 1, 1, 2, 5, 30])):
+            words[rng.randrange(len(words))] = word()
+        rows.append((i, " ".join(words).upper() if i % 5 == 0 else " \n".join(words), "en"))
+    passage = " ".join(word() for _ in range(60))  # shared by many texts that are not alike
+    rows += [(i, passage + " " + " ".join(word() for _ in range(200)), "en") for i in range(300, 360)]
+    rows += [(400, None, "x"), (401, "", "x"), (402, " \n", "x"), (403, "one", None), (404, "ONE", None), (405, "two", None)]
+    got = drop_near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    assert got.columns == ["doc_id", "text", "lang"]
+    assert sorted((r.doc_id for r in got.collect()), key=str) == brute(rows)
+
+
+def test_large_group(spark):
+    """One text with small changes in a third of the rows."""
+    rng = random.Random(2)
+    base = [f"b{k}" for k in range(300)]
+    rows = []
+    for i in range(900):
+        words = base[:] if i % 3 == 0 else [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        words[rng.randrange(len(words))] = f"own{i}"
+        rows.append((i, " ".join(words), "en"))
+    got = [r.doc_id for r in drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(got) == [i for i in range(900) if i == 0 or i % 3]
+
+
+def test_repeated_null_empty_clashing(spark):
+    rows = [(5, "a b c d e f", "en"), (5, "a b c d e f", "en"), (None, "A b c d e f", "en"), (None, "alone here", "de"), (None, "alone here", "de")]
+    got = drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == [("5", "a b c d e f"), ("None", "alone here")]
+    assert drop_near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+    docs = spark.createDataFrame([(1, "a", 1, "k", 2)], "doc_id long, text string, fp int, component string, _one int")
+    assert [tuple(r) for r in drop_near_duplicates(docs).collect()] == [(1, "a", 1, "k", 2)]
