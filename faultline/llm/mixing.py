@@ -213,7 +213,10 @@ class Mix:
         )
 
     def slots(self) -> DataFrame:
-        """(shard, slot, source_no, block): the mix, a row for each block-sized slot."""
+        """(shard, slot, source_no, block): the mix, a row for each block-sized slot.
+
+        The planner takes it for as small as the range of shards it is made from; hint joins with it.
+        """
         shards = -(-sum(s.slots for s in self.sources) // self.shard_slots)
         some = self.spark.range(0, shards, 1, max(1, min(shards, self.spark.sparkContext.defaultParallelism * 4)))
         return some.mapInArrow(_slot_filler(self.sources, self.shard_slots, self.seed), SLOT_SCHEMA)
@@ -233,7 +236,7 @@ class Mix:
         words = F.col("n") * F.coalesce("_uses", F.lit(0))
         per_doc = (
             self.pieces()
-            .join(uses, ["source_no", "block"], "left")
+            .join(uses.hint("merge"), ["source_no", "block"], "left")
             .groupBy("source_no", "doc_id", "start", "size")  # words have one place in a source
             .agg(F.sum(words).alias("taken"))
             .select("source_no", "doc_id", "size", "taken")
@@ -270,7 +273,7 @@ def mix_sources(docs: DataFrame, **settings) -> DataFrame:
     ``settings`` are those of ``Mix``.
     """
     mix, own = Mix(docs, **settings), [c for c in docs.columns if c not in ("shard", "slot")]
-    used = mix.pieces().join(mix.slots(), ["source_no", "block"]).select(
+    used = mix.pieces().join(mix.slots().hint("merge"), ["source_no", "block"]).select(
         F.col("doc_id").alias("_id"), F.col("_same").alias("_hash"), F.col("_nth").alias("_which"), "first", "n", "shard", "slot"
     )
     # Rows that repeat doc_id and text have a place each; they are numbered here as there.
