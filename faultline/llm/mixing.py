@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline.session import materialise
 
@@ -249,18 +250,19 @@ class Mix:
         )
 
 
-def _cut_texts(columns: list[str]):
+def _cut_texts(names: list[str]):
+    """Columns come by place: those of ``names``, then first and n."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, first, n in zip(
-                batch["text"].cast(pa.binary()), batch["first"].to_pylist(), batch["n"].to_pylist()
-            ):
-                texts.append(b" ".join(text.as_py().split()[first : first + n]).decode())
-            arrays = {c: batch[c] for c in columns} | {"text": pa.array(texts, batch["text"].type)}
-            if "n_chars" in arrays:
-                arrays["n_chars"] = pa.array([len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([arrays[c] for c in columns], names=columns)
+            columns, at = list(batch.columns), names.index("text")
+            first, n = (c.to_pylist() for c in columns[-2:])
+            whole = columns[at].cast(pa.binary())
+            texts = [b" ".join(t.as_py().split()[a : a + k]).decode() for t, a, k in zip(whole, first, n)]
+            columns[at] = pa.array(texts, columns[at].type)
+            if "n_chars" in names:
+                columns[names.index("n_chars")] = pa.array([len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays(columns[:-2], names=names)
 
     return cut
 
@@ -277,17 +279,25 @@ def mix_sources(docs: DataFrame, **settings) -> DataFrame:
         F.col("doc_id").alias("_id"), F.col("_same").alias("_hash"), F.col("_nth").alias("_which"), "first", "n", "shard", "slot"
     )
     # Rows that repeat doc_id and text have a place each; they are numbered here as there.
+    # The document is one value, so that no column of it meets a name used here.
     alike = Window.partitionBy("doc_id", "_same").orderBy(F.lit(1))
-    numbered = docs.select(*own, F.xxhash64("text").alias("_same")).withColumn("_nth", F.row_number().over(alike))
+    numbered = docs.select(F.struct(*own).alias("_doc"), "doc_id", F.xxhash64("text").alias("_same"))
+    numbered = numbered.withColumn("_nth", F.row_number().over(alike))
     same = (
         F.col("doc_id").eqNullSafe(F.col("_id"))
         & (F.col("_same") == F.col("_hash"))
         & (F.col("_nth") == F.col("_which"))
     )
-    met = numbered.join(used, same).select(*own, "first", "n", "shard", "slot")
-    columns = [*own, "shard", "slot"]
-    schema = met.select(columns).schema
-    if "n_chars" in own:
-        met = met.withColumn("n_chars", F.col("n_chars").cast("long"))
-        schema = met.select(columns).schema
-    return met.mapInArrow(_cut_texts(columns), schema)
+    kinds = {**dict(docs.dtypes), "n_chars": "bigint"}
+    schema = T.StructType(
+        [T.StructField(c, T.LongType()) if c == "n_chars" else docs.schema[c] for c in own]
+        + [T.StructField("shard", T.LongType()), T.StructField("slot", T.IntegerType())]
+    )
+    met = numbered.join(used, same).select(
+        *[F.col("_doc")[c].cast(kinds[c]).alias(f"_{i}") for i, c in enumerate(own)],
+        F.col("shard").alias("_shard"),
+        F.col("slot").alias("_slot"),
+        F.col("first").alias("_first"),
+        F.col("n").alias("_n"),
+    )
+    return met.mapInArrow(_cut_texts([*own, "shard", "slot"]), schema)
