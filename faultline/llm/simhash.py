@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm.common import hash_sample
 from faultline.llm.components import components
 from faultline.session import materialise
 
@@ -218,8 +219,8 @@ def link_fingerprints(distinct: DataFrame, radius: int = 3, shard_size: int = SH
     fingerprints gives about n rows.  Crowded shards are cut into parts that all visitors see.
     """
     total = distinct.count()
-    # The least by hash: a sample that does not depend on the partitions.
-    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy().view(np.uint64)
+    sample = distinct.filter(hash_sample(F.xxhash64("fp"), SAMPLE, total)).toArrow()["fp"]
+    sample = np.sort(sample.to_numpy().view(np.uint64))
     depth = max(0, (max(1, total // shard_size) - 1).bit_length())
     trees = [grow(sample, mask, depth, [0]) for mask in MASKS]
     schema = "shard long, part int, fp long, home boolean"
