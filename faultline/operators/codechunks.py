@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from faultline.functions.patterns import PY_DEF
 from faultline.functions.text import let, trim_blank_left
-from faultline.operators.scan import with_totals_before
 from faultline.schema import SOURCE_CHUNK
 from faultline.session import materialise
 
@@ -196,14 +195,10 @@ def chunk_accounting(batches: DataFrame) -> DataFrame:
     ``batches`` has ``repo, batch_no, chunks, ok``.  A failed batch loses its own
     chunks and those of every later batch.
     """
-    scanned = with_totals_before(
-        batches.withColumn("_failed", (~F.col("ok")).cast("int")),
-        ["repo"],
-        "batch_no",
-        maxima={"_failed_before": F.col("_failed")},
-    )
-    lost = F.greatest("_failed", "_failed_before") == 1
-    return scanned.groupBy("repo").agg(
+    first = batches.where(~F.col("ok")).groupBy(F.col("repo").alias("_repo")).agg(F.min("batch_no").alias("_first"))
+    met = batches.join(first, F.col("repo").eqNullSafe(F.col("_repo")), "left")
+    lost = F.coalesce(F.col("batch_no") >= F.col("_first"), F.lit(False))
+    return met.groupBy("repo").agg(
         F.coalesce(F.sum(F.when(~lost, F.col("chunks"))), F.lit(0)).alias("shipped"),
         F.coalesce(F.sum(F.when(lost, F.col("chunks"))), F.lit(0)).alias("dropped"),
     )

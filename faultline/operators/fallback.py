@@ -11,10 +11,8 @@ from pyspark.sql import functions as F
 from faultline.functions.text import cut_bytes, let, trim_space
 from faultline.schema import EVENT
 
-# Words that mark a record as an error, and size limits in bytes.
+# Words that mark a record as an error.
 KEYWORDS = ("ERROR", "FATAL", "PANIC", "EXCEPTION", "TRACEBACK")
-MESSAGE_BYTES = 8000
-RAW_LINE_BYTES = 200
 
 
 def has_keyword(text: Column, keywords: Sequence[str] = ()) -> Column:
@@ -26,20 +24,33 @@ def has_keyword(text: Column, keywords: Sequence[str] = ()) -> Column:
     )
 
 
-def fallback_event(text: Column, keywords: Sequence[str] = ()) -> Column:
+def fallback_event(
+    text: Column,
+    keywords: Sequence[str] = (),
+    message_bytes: int | None = None,
+    raw_line_bytes: int | None = None,
+) -> Column:
+    """EVENT of a record with a keyword, else NULL.
+
+    The message and the ``raw_line`` tag hold the whole text unless a number of bytes is given.
+    """
     missing = F.lit(None)
+
+    def cut(value: Column, most: int | None) -> Column:
+        return value if most is None else cut_bytes(value, most)
+
     return F.when(
         has_keyword(text, keywords),
         F.struct(
             F.lit("fallback"),
             F.lit("unknown"),
             F.lit("error"),
-            cut_bytes(trim_space(text), MESSAGE_BYTES),
+            cut(trim_space(text), message_bytes),
             missing,
             missing,
             missing,
             missing,
             missing,
-            F.create_map(F.lit("raw_line"), cut_bytes(text, RAW_LINE_BYTES)),
+            F.create_map(F.lit("raw_line"), cut(text, raw_line_bytes)),
         ).cast(EVENT),
     )

@@ -21,8 +21,12 @@ from faultline.operators.traces import (
     ruby_event,
 )
 from faultline.schema import ENVELOPE_COLUMNS
+from faultline.session import configure
 
-Layer = tuple[str, Callable[[Column], Column]]
+# (name, extractor) or (name, extractor, gate): a gate is a cheap test that every text
+# with an event of the layer passes.
+Layer = tuple[str, Callable[[Column], Column]] | tuple[str, Callable[[Column], Column], Callable[[Column], Column]]
+Fallback = Callable[[Column, Sequence[str]], Column]
 
 # Highest confidence first; the first layer with an event wins.
 LAYERS: tuple[Layer, ...] = (
@@ -52,12 +56,31 @@ def may_hold_event(text: Column, keywords: Sequence[str] = ()) -> Column:
     return passed | has_keyword(text, keywords) if keywords else passed
 
 
+def gate_of(layers: Sequence[Layer], keywords: Sequence[str] = ()) -> Callable[[Column], Column] | None:
+    """A test that every text with an event passes, NULL where there is none.
+
+    The built-in layers share one; a layer of one's own has to bring its gate, or all
+    texts are tried.
+    """
+    own = [layer for layer in layers if layer not in LAYERS]
+    if any(len(layer) < 3 for layer in own):
+        return None
+
+    def passes(text: Column) -> Column:
+        return reduce(Column.__or__, [gate(text) for _, _, gate in own], may_hold_event(text, keywords))
+
+    return passes
+
+
 def extract_event(
-    text: Column, layers: Sequence[Layer] = LAYERS, keywords: Sequence[str] = ()
+    text: Column,
+    layers: Sequence[Layer] = LAYERS,
+    keywords: Sequence[str] = (),
+    fallback: Fallback = fallback_event,
 ) -> Column:
     """EVENT of the first layer that recognises ``text``, NULL when none does."""
-    tried = [extract(text) for _, extract in layers]
-    return F.coalesce(*tried, fallback_event(text, keywords))
+    tried = [layer[1](text) for layer in layers]
+    return F.coalesce(*tried, fallback(text, keywords))
 
 
 def merge_tags(own: Column, parser: Column, source_tags: Column, source: Column) -> Column:
@@ -91,11 +114,14 @@ def extract(
     layers: Sequence[Layer] = LAYERS,
     keywords: Sequence[str] = (),
     prefilter: bool = True,
+    fallback: Fallback = fallback_event,
 ) -> DataFrame:
     """Records with an ``event`` column; records without an event are dropped."""
-    if prefilter:
-        records = records.where(may_hold_event(F.col("line"), keywords))
-    found = with_once(records, "event", extract_event(F.col("line"), layers, keywords))
+    configure(records.sparkSession)
+    gate = gate_of(layers, keywords) if prefilter else None
+    if gate is not None:
+        records = records.where(gate(F.col("line")))
+    found = with_once(records, "event", extract_event(F.col("line"), layers, keywords, fallback))
     return found.where(F.col("event").isNotNull())
 
 
@@ -105,22 +131,29 @@ def scrub_and_extract(
     custom_redactions: Sequence[str] = (),
     layers: Sequence[Layer] = LAYERS,
     keywords: Sequence[str] = (),
+    fallback: Fallback = fallback_event,
 ) -> DataFrame:
     """Records redacted, then extracted; records without an event are dropped.
 
     Redaction replaces text by bracketed markers, none of which holds, or can complete,
     a word the pre-filter looks for.  So the pre-filter may run first, and most records
-    never meet the redaction patterns.  Own keywords could match a marker; with them it
-    runs after.
+    never meet the redaction patterns.  Own keywords and own layers could match a
+    marker; with them it runs after.
     """
-    if not keywords:
+    configure(records.sparkSession)
+    after = bool(keywords) or any(layer not in LAYERS for layer in layers)
+    if not after:
         records = records.where(may_hold_event(F.col("line")))
     clean = with_once(records, "line", redact(F.col("line"), redactions, custom_redactions))
-    return extract(clean, layers, keywords, prefilter=bool(keywords))
+    return extract(clean, layers, keywords, prefilter=after, fallback=fallback)
 
 
-def assemble(events: DataFrame, project_id: str) -> DataFrame:
-    """Full events: id, time, project and merged tags around the extraction."""
+def assemble(events: DataFrame, project_id: str, arrival: bool = False) -> DataFrame:
+    """Full events: id, time, project and merged tags around the extraction.
+
+    ``arrival`` adds ``arrived_at``, the time the source gave the record.  It is never a
+    time that is written in the record.
+    """
     e = F.col("event")
     columns = {
         "event_id": event_id(F.col("stream_key"), F.col("seq"), F.col("ts"), F.col("line")),
@@ -135,6 +168,7 @@ def assemble(events: DataFrame, project_id: str) -> DataFrame:
         "exception": e["exception"],
         "tags": merge_tags(e["tags"], e["parser"], F.col("tags"), F.col("source")),
     }
+    arrived = [F.col("ts").alias("arrived_at")] if arrival else []
     return events.select(
-        "stream_key", "seq", *(columns[name].alias(name) for name in ENVELOPE_COLUMNS)
+        "stream_key", "seq", *arrived, *(columns[name].alias(name) for name in ENVELOPE_COLUMNS)
     )

@@ -6,10 +6,10 @@ Every operator that depends on queue order uses running totals over buckets of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.operators.scan import BUCKET_ROWS, with_totals_before
+from faultline.operators.scan import BUCKET_ROWS, bucket_of, with_totals_before
 
 DEFAULT_CAP_BYTES = 500 * 1024 * 1024
 
@@ -23,8 +23,19 @@ def retain_newest(
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Newest entries whose sizes add up to the cap; the newest always stays."""
+    # Bucket totals show where the cap falls; entries of older buckets go before any shuffle.
+    bucket = bucket_of(F.col(seq).cast("bigint"), bucket_rows)
+    totals = entries.groupBy(F.col(queue).alias("_queue"), bucket.alias("_b")).agg(F.sum(size).alias("_sum"))
+    newer = Window.partitionBy("_queue").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    reached = (
+        totals.withColumn("_above", F.coalesce(F.sum("_sum").over(newer), F.lit(0)))
+        .where(F.col("_above") <= cap_bytes)
+        .groupBy("_queue")
+        .agg(F.min("_b").alias("_oldest"))
+    )
+    recent = entries.join(reached, F.col(queue).eqNullSafe(F.col("_queue"))).where(bucket >= F.col("_oldest"))
     counted = with_totals_before(
-        entries,
+        recent.drop("_queue", "_oldest"),
         [queue],
         seq,
         sums={"_newer": F.lit(1), "_newer_bytes": F.col(size)},
@@ -41,7 +52,6 @@ def replay(
     corrupt: Column,
     queue: str = "queue",
     seq: str = "seq",
-    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Entries with the ``action`` one ordered replay takes on them.
 
@@ -49,18 +59,15 @@ def replay(
     that entry and all later ones are ``remaining``.
     """
     stops = F.coalesce(failed, F.lit(False)) & ~F.coalesce(corrupt, F.lit(False))
-    marked = entries.withColumns(
-        {"_stops": stops.cast("int"), "_corrupt": F.coalesce(corrupt, F.lit(False))}
-    )
-    scanned = with_totals_before(
-        marked, [queue], seq, maxima={"_stopped": F.col("_stops")}, bucket_rows=bucket_rows
-    )
+    # The first failure of a queue decides about all its entries: one small row per queue.
+    first = entries.where(stops).groupBy(F.col(queue).alias("_queue")).agg(F.min(seq).alias("_first"))
     action = (
-        F.when(F.greatest("_stopped", "_stops") == 1, "remaining")
-        .when(F.col("_corrupt"), "discarded")
+        F.when(F.col(seq) >= F.col("_first"), "remaining")
+        .when(F.coalesce(corrupt, F.lit(False)), "discarded")
         .otherwise("delivered")
     )
-    return scanned.withColumn("action", action).drop("_stops", "_corrupt", "_stopped")
+    met = entries.join(first, F.col(queue).eqNullSafe(F.col("_queue")), "left")
+    return met.withColumn("action", action).drop("_queue", "_first")
 
 
 def replay_counts(replayed: DataFrame, queue: str = "queue") -> DataFrame:

@@ -25,6 +25,7 @@ import math
 from collections.abc import Iterable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,6 +178,9 @@ def decisions(
             slack,
             token,
         )
+        order = block.column("seq")
+        if pc.count_distinct(order).as_py() < len(order):
+            raise ValueError(f"seq repeats in limiter key {key[0].as_py()!r}; verdicts would multiply rows")
         names = pa.array([key[0].as_py()] * len(passed), pa.string())
         return pa.table({"key": names, "seq": block.column("seq"), "allowed": passed})
 
@@ -203,7 +207,7 @@ def rate_limit(
 ) -> DataFrame:
     """``events`` with ``limiter_key`` and ``allowed``.
 
-    Needs ``seq``, unique within a key, and ``ts``.  Only key, seq and time go through
+    Needs ``seq``, unique within a key (a repeated one fails the job), and ``ts``.  Only key, seq and time go through
     the limiter; the rows meet their verdicts in a join on (key, seq), which no hot key
     can skew.
     One bucket for everything is ``key=F.lit("")``.

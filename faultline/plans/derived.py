@@ -253,6 +253,13 @@ SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN concat('  Error: ',
 FROM @documents
 """
 
+# Lines for a layer of one's own, among errors and plain ones.
+OOPS = """
+SELECT event_id AS seq, CASE event_id % 4 WHEN 0 THEN concat('OOPS part ', CAST(event_id AS STRING), ' gone')
+  WHEN 1 THEN concat('ERROR part ', CAST(event_id AS STRING)) ELSE 'all is fine' END AS line
+FROM @events
+"""
+
 # Limiter arrivals: one hot key, and time pressed so that the keys run dry.
 ARRIVALS = """
 SELECT CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE event_type END AS source,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from faultline.operators.layered import assemble, scrub_and_extract
+from faultline.operators.layered import LAYERS, Layer, assemble, scrub_and_extract
 from faultline.operators.ratelimit import (
     DEFAULT_BURST,
     DEFAULT_RATE,
@@ -32,11 +32,13 @@ def find_events(
     redactions: Sequence[str] = (),
     custom_redactions: Sequence[str] = (),
     keywords: Sequence[str] = (),
+    layers: Sequence[Layer] = LAYERS,
+    arrival: bool = False,
 ) -> DataFrame:
-    """Assembled error events of a RAW_LOG table."""
+    """Assembled error events of a RAW_LOG table; ``arrival`` keeps when they arrived."""
     records = recombine(with_stream_key(raw), rule, idle_ms)
-    found = scrub_and_extract(records, redactions, custom_redactions, keywords=keywords)
-    return assemble(found, project_id)
+    found = scrub_and_extract(records, redactions, custom_redactions, layers, keywords)
+    return assemble(found, project_id, arrival)
 
 
 def limit_events(
@@ -48,14 +50,19 @@ def limit_events(
 ) -> DataFrame:
     """Events that pass the limiter, each stream having its own bucket by default.
 
+    Needs ``arrived_at``, as ``find_events(arrival=True)`` gives it: a limiter runs on the
+    time at which it meets an event, never on a time inside the record.  In an archive the
+    lines of a file arrive together, so most of them would be dropped.
+
     The limiter reads its input several times, so the events are written down first.
     ``mark`` tags the events of streams that lost some with the 1-in-N rate.
     """
     limited = rate_limit(
-        materialise(events.withColumn("ts", F.col("timestamp"))), key, rate, burst
+        materialise(events.withColumn("ts", F.col("arrived_at"))), key, rate, burst
     )
+    out = [c for c in events.columns if c != "arrived_at"]
     if not mark:
-        return limited.where("allowed").select(*events.columns)
+        return limited.where("allowed").select(*out)
     kept = mark_sampled(limited, limiter_stats(limited))
     tags = F.when(F.col("sampled").isNull(), F.col("tags")).otherwise(
         F.map_concat(
@@ -63,13 +70,25 @@ def limit_events(
             F.create_map(F.lit("sampled"), F.col("sampled")),
         )
     )
-    return kept.withColumn("tags", tags).select(*events.columns)
+    return kept.withColumn("tags", tags).select(*out)
 
 
-def run_batch(raw: DataFrame, project_id: str, path: str, **options) -> None:
-    """Find, limit and write the events of a RAW_LOG table."""
+def run_batch(
+    raw: DataFrame,
+    project_id: str,
+    path: str,
+    rate: int | None = None,
+    burst: int = DEFAULT_BURST,
+    **options,
+) -> None:
+    """Find and write the events of a RAW_LOG table.
+
+    A batch has no arrivals to speak of, so it delivers every event unless a ``rate`` is
+    given; then the source's times are the arrivals.
+    """
     configure(raw.sparkSession)
-    write_events(limit_events(find_events(raw, project_id, **options)), path)
+    events = find_events(raw, project_id, arrival=rate is not None, **options)
+    write_events(events if rate is None else limit_events(events, rate=rate, burst=burst), path)
 
 
 def start_stream(
@@ -84,17 +103,20 @@ def start_stream(
     keywords: Sequence[str] = (),
     rate: int = DEFAULT_RATE,
     burst: int = DEFAULT_BURST,
-    trigger_ms: int = 250,
+    trigger_ms: int = 60_000,
+    layers: Sequence[Layer] = LAYERS,
 ) -> StreamingQuery:
     """Start the same work on a streaming RAW_LOG.
 
-    Open records and buckets live in the state store; each batch of events has its own
-    folder under ``path``, so a batch that is run again is not delivered twice.
+    The limiter takes an event as arrived when its batch is worked on, whatever time its
+    record claims.  Open records and buckets live in the state store; each batch of
+    events has its own folder under ``path``, so a batch that is run again is not
+    delivered twice.
     """
     configure(raw.sparkSession)
     records = recombine_stream(with_stream_key(raw), rule, idle_ms)
-    found = scrub_and_extract(records, redactions, custom_redactions, keywords=keywords)
-    events = assemble(found, project_id).withColumn("ts", F.col("timestamp"))
+    found = scrub_and_extract(records, redactions, custom_redactions, layers, keywords)
+    events = assemble(found, project_id).withColumn("ts", F.current_timestamp())
     limited = rate_limit_stream(events, "stream_key", rate, burst)
     return (
         limited.where("allowed")

@@ -636,6 +636,12 @@ oracle(
     f"""WITH {LOGS}, {records()} SELECT stream_key, seq, {cut(trimmed('line'), 8000)} AS message
     FROM records WHERE {keyword('line', Q.CUSTOM_KEYWORDS)}""",
 )
+oracle(
+    "custom_layer",
+    f"""SELECT seq, CASE WHEN own THEN 'oops' ELSE 'fallback' END AS parser,
+      CASE WHEN own THEN 'warning' ELSE 'error' END AS level, CASE WHEN own THEN line[6:] ELSE line END AS message
+    FROM (SELECT seq, line, line LIKE 'OOPS%' AS own FROM ({duckdb_text(D.OOPS)})) WHERE line <> 'all is fine'""",
+)
 oracle(
     "layered_events",
     f"WITH {LAYERED} SELECT stream_key, seq, parser, {EVENT_COLUMNS} FROM found",

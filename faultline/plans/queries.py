@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from faultline.operators.json_events import (
     parse_rfc3339,
     record_texts,
 )
-from faultline.operators.layered import assemble, extract_event, may_hold_event, scrub_and_extract
+from faultline.operators.layered import LAYERS, assemble, extract_event, may_hold_event, scrub_and_extract
 from faultline.operators.recombine import RULES, recombine, stream_key, with_stream_key
 from faultline.operators.redact import redact, usable_patterns
 from faultline.operators.traces import (
@@ -38,6 +39,7 @@ from faultline.operators.traces import (
 )
 from faultline.plans import derived as D
 from faultline.plans.derived import derive, spread, table
+from faultline.schema import EVENT
 from faultline.session import checkpoint_root
 from faultline.sources import containers, journal, otlp, pods, trees
 from faultline.sources.sinks import envelope_json
@@ -58,6 +60,8 @@ LIMIT = {"rate": 1, "burst": 5}
 RETAIN_BYTES = 30_000
 CUSTOM_REDACTIONS = (r"[A-Z][a-z]+ [A-Z][a-z]+", "(", r"\d{4,}")
 CUSTOM_KEYWORDS = ("REQUEST 1", "boom")
+# These queries show the short form of a fallback event; the jobs keep whole texts.
+short_fallback = partial(fallback_event, message_bytes=8000, raw_line_bytes=200)
 FILE_SUBSET = ("email", "ipv6", "nosuch")
 
 
@@ -114,7 +118,7 @@ def clean_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assemble(scrub_and_extract(log_records(spark, sf_dir)), PROJECT)
+    return assemble(scrub_and_extract(log_records(spark, sf_dir), fallback=short_fallback), PROJECT)
 
 
 # --- sources -------------------------------------------------------------------
@@ -471,13 +475,13 @@ _trace_query("ruby_traces", ruby_event)
 @query
 def trace_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts, each through all layers."""
-    found = scrub_and_extract(derive(spark, sf_dir, D.TRACES, heavy=True))
+    found = scrub_and_extract(derive(spark, sf_dir, D.TRACES, heavy=True), fallback=short_fallback)
     return found.select("seq", F.col("event.parser").alias("parser"), *event_columns(F.col("event")))
 
 
 @query
 def keyword_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_once(derive(spark, sf_dir, D.NOTES, heavy=True), "e", fallback_event(F.col("text")))
+    rows = with_once(derive(spark, sf_dir, D.NOTES, heavy=True), "e", short_fallback(F.col("text")))
     return rows.where(F.col("e").isNotNull()).select(
         "doc_id", "e.message", F.element_at("e.tags", "raw_line").alias("raw_line")
     )
@@ -485,19 +489,33 @@ def keyword_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def custom_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    event = fallback_event(F.col("line"), CUSTOM_KEYWORDS)
+    event = short_fallback(F.col("line"), CUSTOM_KEYWORDS)
     rows = with_once(log_records(spark, sf_dir), "e", event)
     return rows.where(F.col("e").isNotNull()).select("stream_key", "seq", "e.message")
 
 
 @query
 def layered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scrub_and_extract(log_records(spark, sf_dir))
+    found = scrub_and_extract(log_records(spark, sf_dir), fallback=short_fallback)
     return found.select(
         "stream_key", "seq", F.col("event.parser").alias("parser"), *event_columns(F.col("event"))
     )
 
 
+def _oops_event(text: Column) -> Column:
+    """A layer of one's own: ``OOPS`` and what broke, none of the words the built-in ones know."""
+    what = F.regexp_extract(text, r"\AOOPS (.+)", 1)
+    rest = [F.lit(None)] * 5
+    event = F.struct(F.lit("oops"), F.lit("other"), F.lit("warning"), what, *rest, F.create_map(F.lit("k"), F.lit("v")))
+    return F.when(what != "", event.cast(EVENT))
+
+
+@query
+def custom_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scrub_and_extract(derive(spark, sf_dir, D.OOPS), layers=(*LAYERS, ("oops", _oops_event)))
+    return found.select("seq", F.col("event.parser").alias("parser"), "event.level", "event.message")
+
+
 @query
 def layered_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events found in all records, and in those that pass the pre-filter."""

@@ -7,7 +7,9 @@ systems, which also know shared stores.  The driver lists the top directory only
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import batched
 
 import pyarrow as pa
 from pyarrow import fs
@@ -29,6 +31,8 @@ SKIPPED_DIRS = (
     ".cache",
 )
 DEFAULT_EXTENSIONS = (".py",)
+# Paths in one batch of a listing.
+LISTED = 1024
 
 
 def extension(path: Column) -> Column:
@@ -43,6 +47,12 @@ def keeps_path(path: Column, extensions: Sequence[str] = ()) -> Column:
     return extension(path).isin(*(extensions or DEFAULT_EXTENSIONS)) & ~skipped
 
 
+def _entered(store: fs.FileSystem, info: fs.FileInfo) -> bool:
+    """Folders to walk: not the skipped ones, and no links, which lead elsewhere or back."""
+    linked = isinstance(store, fs.LocalFileSystem) and os.path.islink(info.path)
+    return info.type == fs.FileType.Directory and info.base_name not in SKIPPED_DIRS and not linked
+
+
 def _below(store: fs.FileSystem, base: str) -> Iterator[fs.FileInfo]:
     """Files under ``base``; folders that may not be read are passed over."""
     try:
@@ -52,7 +62,7 @@ def _below(store: fs.FileSystem, base: str) -> Iterator[fs.FileInfo]:
     for info in found:
         if info.type == fs.FileType.File:
             yield info
-        elif info.type == fs.FileType.Directory and info.base_name not in SKIPPED_DIRS:
+        elif _entered(store, info):
             yield from _below(store, info.path)
 
 
@@ -68,7 +78,7 @@ def tree_source(
     store, base = fs.FileSystem.from_uri(uri)
     base = base.rstrip("/")
     top = store.get_file_info(fs.FileSelector(base))
-    names = [(i.path,) for i in top if i.base_name not in SKIPPED_DIRS or i.is_file]
+    names = [(i.path,) for i in top if i.is_file or _entered(store, i)]
     tasks = partitions or spark.sparkContext.defaultParallelism
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,8 +87,8 @@ def tree_source(
             for entry in batch.column(0).to_pylist():
                 info = place.get_file_info(entry)
                 infos = [info] if info.is_file else _below(place, entry)
-                for found in infos:
-                    yield pa.RecordBatch.from_pydict({"full": [found.path]})
+                for some in batched((found.path for found in infos), LISTED):
+                    yield pa.RecordBatch.from_pydict({"full": list(some)})
 
     def load(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, _ = fs.FileSystem.from_uri(uri)

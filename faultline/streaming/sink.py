@@ -14,11 +14,19 @@ def batch_writer(path: str, file_format: str = "parquet") -> Callable[[DataFrame
     """A ``foreachBatch`` function that gives each batch its own folder.
 
     A batch that is run again after a failure replaces its folder, so nothing is
-    delivered twice.
+    delivered twice.  The folder also carries the query's id, which lives in the
+    checkpoint: a job that starts over with a new checkpoint counts its batches from 0 again
+    and must not replace what an earlier one delivered.  Empty batches write nothing.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").format(file_format).save(f"{path}/batch={batch_id}")
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        batch = batch.persist()
+        try:
+            if batch.take(1):
+                batch.write.mode("overwrite").format(file_format).save(f"{path}/run={run}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return write
 
@@ -39,4 +47,5 @@ def collect_available(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """The rows a stream gives for all input there is now, as a written table."""
     folder = f"{checkpoint_root(spark)}/stream-{uuid.uuid4()}"
     run_available(stream, f"{folder}/rows", f"{folder}/checkpoint")
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows/*")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows/run=none/batch=0")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows/*/*")

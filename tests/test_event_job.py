@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from faultline.operators.layered import assemble, scrub_and_extract
 from faultline.plans.event_job import find_events, limit_events, run_batch, start_stream
 from faultline.sources.text import file_source
 
@@ -49,8 +50,35 @@ def test_batch(spark, logs, tmp_path):
     assert {r.event_id for r in again.collect()} == {b["event_id"] for b in bodies}
 
 
+def test_batch_delivers_every_event_of_an_archive(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "a.log").write_text("".join(f"ERROR number {i}\n" for i in range(1500)))
+    raw = file_source(spark, str(folder))
+    run_batch(raw, "p", str(tmp_path / "out"))
+    assert spark.read.text(str(tmp_path / "out")).count() == 1500
+    run_batch(raw, "p", str(tmp_path / "limited"), rate=1, burst=20)
+    assert spark.read.text(str(tmp_path / "limited")).count() == 20
+
+
+def test_a_time_in_a_record_changes_no_verdict(spark):
+    """The limiter runs on arrivals; a record of the year 9999 is one event like others."""
+
+    def verdicts(year):
+        at = "2026-01-01 00:00:00"
+        rows = [(i, '{"level":"error","message":"m%d","timestamp":"%s-01-01T00:00:00Z"}' % (i, year if i == 3 else 2026)) for i in range(60)]
+        records = spark.createDataFrame(rows, "seq long, line string").selectExpr(
+            "'s' as stream_key", "'file' as source", "seq", "line",
+            f"timestamp'{at}' + make_interval(0,0,0,0,0,0,cast(seq as decimal(18,6))) as ts", "map('a','b') as tags",
+        )
+        events = assemble(scrub_and_extract(records), "p", arrival=True)
+        return sorted(r.seq for r in limit_events(events, rate=1, burst=5).collect())
+
+    assert verdicts(9999) == verdicts(2026) == list(range(60))
+
+
 def test_limit(spark, logs):
-    events = find_events(file_source(spark, str(logs)), "p")
+    events = find_events(file_source(spark, str(logs)), "p", arrival=True)
     kept = limit_events(events, F.lit("all"), rate=1, burst=2, mark=True).collect()
     assert len(kept) == 2
     assert {r.tags["sampled"] for r in kept} == {"1/2"}
@@ -65,15 +93,15 @@ def test_custom_keyword_may_match_a_marker(spark, logs):
 
 def test_stream(spark, logs, tmp_path):
     raw = file_source(spark, str(logs), streaming=True)
-    query = start_stream(raw, "p", str(tmp_path / "out"), str(tmp_path / "cp"))
+    query = start_stream(raw, "p", str(tmp_path / "out"), str(tmp_path / "cp"), trigger_ms=250)
     got = set()
     try:
         deadline = time.time() + 120
         while time.time() < deadline and got != expected():
             time.sleep(1)
             assert query.exception() is None
-            if (tmp_path / "out").exists() and list((tmp_path / "out").glob("batch=*/*.parquet")):
-                rows = spark.read.parquet(str(tmp_path / "out") + "/*").collect()
+            if (tmp_path / "out").exists() and list((tmp_path / "out").glob("run=*/batch=*/*.parquet")):
+                rows = spark.read.parquet(str(tmp_path / "out") + "/*/*").collect()
                 got = {(r.tags["parser"], r.message) for r in rows}
     finally:
         query.stop()

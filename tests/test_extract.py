@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators.fallback import fallback_event
 from faultline.operators.json_events import json_event
-from faultline.operators.layered import assemble, extract, extract_event, may_hold_event
+from faultline.operators.layered import LAYERS, assemble, extract, extract_event, may_hold_event, scrub_and_extract
 from faultline.operators.traces import (
     go_event,
     java_event,
@@ -15,7 +15,8 @@ from faultline.operators.traces import (
     python_event,
     ruby_event,
 )
-from faultline.schema import RAW_LOG
+from faultline.plans.queries import short_fallback
+from faultline.schema import EVENT, RAW_LOG
 
 
 def run(spark, extractor, text):
@@ -257,7 +258,7 @@ def test_fallback(spark):
         assert run(spark, fallback_event, line)["tags"] == {"raw_line": line}
     for line in ("INFO fine", "warning", ""):
         assert run(spark, fallback_event, line) is None
-    e = run(spark, fallback_event, " " + "x" * 10000 + " ERROR boom")
+    e = run(spark, short_fallback, " " + "x" * 10000 + " ERROR boom")
     assert e["message"] == "x" * 8000
     assert e["tags"]["raw_line"] == " " + "x" * 199
 
@@ -273,7 +274,7 @@ def test_fallback_cuts_bytes(spark, shift):
     text = "e" * shift + "error " + "😀é" * 2000
     want = text.encode()[:8000].decode("utf-8", "surrogateescape")
     want = "".join("�" if "\udc80" <= c <= "\udcff" else c for c in want)
-    assert run(spark, fallback_event, text)["message"] == want
+    assert run(spark, short_fallback, text)["message"] == want
 
 
 def test_layers(spark):
@@ -314,3 +315,26 @@ def test_assemble_tags_and_prefilter(spark):
     assert len(got[1].event_id) == 36
     assert got[1].project_id == "p"
     assert df.where(may_hold_event(F.col("line"))).count() == 4
+
+
+def test_layers_of_ones_own(spark):
+    def oops(text):
+        missing = [F.lit(None)] * 5
+        event = F.struct(F.lit("oops"), F.lit("x"), F.lit("error"), text, *missing, F.create_map(F.lit("a"), F.lit("b")))
+        return F.when(text.startswith("OOPS"), event.cast(EVENT))
+
+    rows = [(1, "OOPS it broke"), (2, "all is fine"), (3, "FATAL end")]
+    df = spark.createDataFrame(rows, "seq bigint, line string")
+    gate = lambda text: text.startswith("OOPS")
+    for layer in (("oops", oops), ("oops", oops, gate)):
+        for found in (extract(df, (*LAYERS, layer)), scrub_and_extract(df, layers=(layer, *LAYERS))):
+            got = {r.seq: r.parser for r in found.select("seq", "event.parser").collect()}
+            assert got == {1: "oops", 3: "fallback"}
+
+
+def test_fallback_keeps_whole_texts(spark):
+    text = "ERROR " + "é" * 9000
+    df = spark.createDataFrame([(1, text)], "seq bigint, line string")
+    whole, short = df.select(fallback_event(F.col("line")), fallback_event(F.col("line"), (), 8000, 200)).first()
+    assert whole.message == whole.tags["raw_line"] == text
+    assert len(short.message.encode()) <= 8000 and len(short.tags["raw_line"].encode()) <= 200

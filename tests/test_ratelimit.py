@@ -132,3 +132,9 @@ def test_sample_rate(spark):
     df = spark.createDataFrame([(1, 9), (0, 9), (0, 0), (3, 4)], "a bigint, d bigint")
     got = df.select(suggested_sample_rate(F.col("a"), F.col("d")).alias("n")).collect()
     assert [r.n for r in got] == [10, 1, 1, 2]
+
+
+def test_repeated_seq_fails_loudly(spark):
+    df = spark.createDataFrame([("k", 1), ("k", 1)], "source string, seq bigint").withColumn("ts", F.lit("2026-01-01").cast("timestamp"))
+    with pytest.raises(Exception, match="seq repeats"):
+        rate_limit(df).collect()

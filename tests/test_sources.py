@@ -325,3 +325,11 @@ def test_union(spark, tmp_path, caplog):
     assert "carrier-pigeon" in caplog.text
     with pytest.raises(ValueError):
         union_sources(spark, [{"type": "file", "enabled": False}])
+
+
+def test_tree_does_not_follow_linked_folders(spark, tmp_path):
+    (tmp_path / "pkg").mkdir()
+    (tmp_path / "pkg" / "a.py").write_text("x = 1\n")
+    (tmp_path / "link").symlink_to(tmp_path / "pkg")
+    (tmp_path / "pkg" / "up").symlink_to(tmp_path)
+    assert [r.path for r in tree_source(spark, str(tmp_path), "r").collect()] == ["pkg/a.py"]

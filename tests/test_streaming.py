@@ -14,7 +14,7 @@ from faultline.sources.containers import container_source
 from faultline.sources.otlp import otlp_source
 from faultline.sources.union import union_sources
 from faultline.streaming.containers import CHUNK_SCHEMA, container_stream
-from faultline.streaming.sink import collect_available
+from faultline.streaming.sink import collect_available, run_available
 
 SCHEMA = "stream_key string, seq bigint, ts timestamp, line string, tags map<string,string>"
 T0 = dt.datetime(2026, 1, 1)
@@ -164,3 +164,14 @@ def test_union_of_streams(spark, tmp_path):
     assert len({r.seq for r in otel}) == 12
     batch = otlp_source(spark, str(tmp_path / "otlp")).collect()
     assert [r.line for r in sorted(batch, key=lambda r: r.seq)] == [r.line for r in otel]
+
+
+def test_a_new_checkpoint_erases_nothing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text("one\ntwo\n")
+    for run in ("first", "second"):
+        stream = file_source(spark, str(tmp_path / "in"), streaming=True)
+        run_available(stream, str(tmp_path / "out"), str(tmp_path / run))
+    assert spark.read.parquet(str(tmp_path / "out") + "/*/*").count() == 4
+    run_available(file_source(spark, str(tmp_path / "in"), streaming=True), str(tmp_path / "out"), str(tmp_path / "first"))
+    assert spark.read.parquet(str(tmp_path / "out") + "/*/*").count() == 4
