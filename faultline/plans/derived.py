@@ -19,13 +19,12 @@ def duckdb_text(sql: str) -> str:
     return TABLE.sub(r"\1", sql)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Cut a table that is read in fewer pieces than there are cores to work on it.
+IDS = {"events": "event_id", "documents": "doc_id", "part": "p_partkey"}
 
-    Large tables are read in many pieces and stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+def spread(df: DataFrame, name: str) -> DataFrame:
+    """A table dealt out by its id, for work that is heavy per row however the files are cut."""
+    return df.repartition(IDS[name])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +35,7 @@ def derive(spark: SparkSession, sf_dir: str, sql: str, heavy: bool = False) -> D
     """Run a derivation on the tables of ``sf_dir``; ``heavy`` work is spread first."""
     for name in set(TABLE.findall(sql)):
         source = table(spark, sf_dir, name)
-        (spread(source) if heavy else source).createOrReplaceTempView(f"faultline_{name}")
+        (spread(source, name) if heavy else source).createOrReplaceTempView(f"faultline_{name}")
     return spark.sql(TABLE.sub(r"faultline_\1", sql))
 
 

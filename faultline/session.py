@@ -14,6 +14,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Patterns make rows heavy: small shuffles still use all cores.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # Stateful streams keep their open records and buckets outside the heap.
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

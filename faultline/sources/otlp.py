@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,10 +116,107 @@ def record_time(nanos: Column, arrival: Column) -> Column:
     )
 
 
+def _all(*tests: Column) -> Column:
+    return reduce(Column.__and__, tests)
+
+
+def _at(value: Column, path: str) -> Column:
+    return F.try_variant_get(value, f"$.{path}", "variant")
+
+
+def _absent(value: Column) -> Column:
+    return value.isNull() | F.is_variant_null(value)
+
+
+def _is_object(value: Column, test: Callable[[Column], Column]) -> Column:
+    """Absent, or an object that passes."""
+    return let(
+        value, lambda v: _absent(v) | (F.try_variant_get(v, "$", "struct<>").isNotNull() & test(v))
+    )
+
+
+def _is_scalar(value: Column, *kinds: str) -> Column:
+    """Absent, or of one of the kinds; an object or a list is none of them."""
+
+    def fits(kind: Column) -> Column:
+        return reduce(Column.__or__, [kind.startswith(k) for k in kinds], kind == "VOID")
+
+    return F.coalesce(let(F.schema_of_variant(value), fits), F.lit(True))
+
+
+def _are_strings(value: Column, *names: str) -> Column:
+    return _all(*[_is_scalar(_at(value, name), "STRING") for name in names])
+
+
+def _is_list(value: Column, path: str, test: Callable[[Column], Column]) -> Column:
+    """Absent, or a list whose elements all pass."""
+    def fits(found: Column) -> Column:
+        items = F.try_variant_get(found, "$", "array<variant>")
+        # A value that is no list has no items.
+        return _absent(found) | F.coalesce(F.forall(items, test), F.lit(False))
+
+    return let(_at(value, path), fits)
+
+
+def _any_value_fits(value: Column) -> Column:
+    numbers = ("BIGINT", "DECIMAL", "DOUBLE")
+    return _is_object(
+        value,
+        lambda v: _all(
+            _is_scalar(_at(v, "stringValue"), "STRING"),
+            # An integer comes as a text; a number is taken as well.
+            _is_scalar(_at(v, "intValue"), "STRING", *numbers),
+            _is_scalar(_at(v, "doubleValue"), *numbers),
+            _is_scalar(_at(v, "boolValue"), "BOOLEAN"),
+        ),
+    )
+
+
+def _attribute_fits(value: Column) -> Column:
+    return _is_object(value, lambda v: _are_strings(v, "key") & _any_value_fits(_at(v, "value")))
+
+
+def _record_fits(value: Column) -> Column:
+    return _is_object(
+        value,
+        lambda v: _all(
+            _are_strings(v, "timeUnixNano", "severityText", "traceId", "spanId"),
+            _is_scalar(_at(v, "severityNumber"), "BIGINT"),
+            _any_value_fits(_at(v, "body")),
+            _is_list(v, "attributes", _attribute_fits),
+        ),
+    )
+
+
+def _scope_fits(value: Column) -> Column:
+    return _is_object(
+        value,
+        lambda v: _is_object(_at(v, "scope"), lambda s: _are_strings(s, "name", "version"))
+        & _is_list(v, "logRecords", _record_fits),
+    )
+
+
+def _resource_fits(value: Column) -> Column:
+    return _is_object(
+        value,
+        lambda v: _is_object(_at(v, "resource"), lambda r: _is_list(r, "attributes", _attribute_fits))
+        & _is_list(v, "scopeLogs", _scope_fits),
+    )
+
+
+def fits_request(payload: Column) -> Column:
+    """Every field that is there has the type it should have.
+
+    A payload too large for a VARIANT is not looked into.
+    """
+    told = let(F.try_parse_json(payload), lambda v: _is_list(v, "resourceLogs", _resource_fits))
+    return F.coalesce(told, F.lit(True))
+
+
 def decode_request(payload: Column) -> Column:
     """Request of a payload that is one JSON object; NULL when it has to be refused.
 
-    ``null`` is an empty request.
+    A field of a wrong type refuses the whole request.  ``null`` is an empty request.
     """
     seal = F.xxhash64(payload)
     sealing = F.concat(F.lit('{"seal":'), seal.cast("string"), F.lit("}"))
@@ -130,7 +230,7 @@ def decode_request(payload: Column) -> Column:
     opens = F.ltrim(payload, F.lit(JSON_SPACE)).startswith("{")
     empty = F.btrim(payload, F.lit(JSON_SPACE)) == "null"
     decoded = let(F.from_json(sealed(payload, sealing), REQUEST, JSON_OPTIONS), unseal)
-    return F.when(opens, decoded).when(empty, F.from_json(F.lit("{}"), REQUEST_FIELDS))
+    return F.when(opens & fits_request(payload), decoded).when(empty, F.from_json(F.lit("{}"), REQUEST_FIELDS))
 
 
 def rejected_requests(requests: DataFrame, payload: str = "payload") -> DataFrame:

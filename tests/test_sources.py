@@ -333,3 +333,32 @@ def test_tree_does_not_follow_linked_folders(spark, tmp_path):
     (tmp_path / "link").symlink_to(tmp_path / "pkg")
     (tmp_path / "pkg" / "up").symlink_to(tmp_path)
     assert [r.path for r in tree_source(spark, str(tmp_path), "r").collect()] == ["pkg/a.py"]
+
+
+def test_otlp_refuses_wrong_types(spark):
+    record = '{"resourceLogs":[{"scopeLogs":[{"logRecords":[%s]}]}]}'
+    good = [
+        '{"resourceLogs":null}',
+        '{"resourceLogs":[null]}',
+        record % '{"severityNumber":9,"traceId":null,"body":{"intValue":5}}',
+        record % '{"attributes":[{"key":"a","value":{"boolValue":true}}],"unknown":{"x":[1]}}',
+        record % '{"body":{"doubleValue":1.5e3}},null',
+    ]
+    bad = [
+        '{"resourceLogs":{}}',
+        '{"resourceLogs":[1]}',
+        '{"resourceLogs":[{"resource":[]}]}',
+        '{"resourceLogs":[{"resource":{"attributes":[{"key":1}]}}]}',
+        '{"resourceLogs":[{"scopeLogs":"x"}]}',
+        '{"resourceLogs":[{"scopeLogs":[{"scope":{"name":{}}}]}]}',
+        record % '{"severityNumber":"9"}',
+        record % '{"severityNumber":9.5}',
+        record % '{"traceId":7}',
+        record % '{"timeUnixNano":1714128000000000000}',
+        record % '{"body":"text"}',
+        record % '{"body":{"boolValue":"true"}}',
+        record % '{},{"attributes":{}}',
+    ]
+    df = spark.createDataFrame(list(enumerate(good + bad)), "seq bigint, payload string")
+    refused = [r.seq for r in rejected_requests(df).collect()]
+    assert sorted(refused) == list(range(len(good), len(good) + len(bad)))
