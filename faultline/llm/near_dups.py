@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.llm.common import shared_folder
 from faultline.llm.components import components
 from faultline.llm.simhash import fingerprint, link_fingerprints, shingle_hashes
 from faultline.session import materialise
@@ -30,6 +31,8 @@ SKETCH = 128
 SLACK = 0.18
 #: Others that a component meets in a group from the second turn on.
 CHOICES = 4
+#: Of those, over all groups, the ones with the most alike sketches whose whole texts are compared in a turn.
+COMPARED = 2
 
 _ODD = np.random.Generator(np.random.PCG64(42)).integers(0, 2**63, SLICES + SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -88,8 +91,9 @@ def _look(similarity: float):
             a, b = (
                 np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sketch", "other")
             )
-            alike = (a == b).mean(axis=1) >= similarity - SLACK
-            yield batch.select(["a", "b"]).filter(pa.array(alike))
+            alike = (a == b).mean(axis=1)
+            pairs = batch.select(["sender", "a", "b"]).add_column(3, "alike", pa.array(alike))
+            yield pairs.filter(pa.array(alike >= similarity - SLACK))
 
     return run
 
@@ -111,7 +115,7 @@ def _checker(words: int, similarity: float):
 
 
 def _pairs(members: DataFrame, turn: int) -> DataFrame:
-    """(a, b): in each group of ``members`` (digest, key, component), components that are to be compared.
+    """(sender, a, b): in each group of ``members`` (digest, key, component), components to be compared.
 
     Every component sends one text to meet a text of a few others, so pairs grow with the
     members.  First all meet the least, which makes many pairs of different groups the
@@ -126,7 +130,11 @@ def _pairs(members: DataFrame, turn: int) -> DataFrame:
     return (
         sent.join(met, "key")
         .filter("component <> _to.component")
-        .select(F.least("digest", "_to.digest").alias("a"), F.greatest("digest", "_to.digest").alias("b"))
+        .select(
+            F.col("component").alias("sender"),
+            F.least("digest", "_to.digest").alias("a"),
+            F.greatest("digest", "_to.digest").alias("b"),
+        )
         .distinct()
     )
 
@@ -146,7 +154,8 @@ def near_duplicate_texts(
 
     ``digest`` is the MD5 of a text, null as empty; ``component`` is the digest that names the group.
     Texts that meet in a slice or by their fingerprints are not compared in all pairs: in each of
-    ``turns`` turns the components found so far send one text each to another component.
+    ``turns`` turns the components found so far send texts to a few others, and the pairs with
+    the most alike sketches are compared as whole texts.
     """
     digest = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
     rows = docs.select("doc_id", "text", digest.alias("digest"))
@@ -166,19 +175,28 @@ def near_duplicate_texts(
     # A text that meets no other in a group has no part in it.
     shared = members.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
     members = materialise(members.join(shared, "key").select("digest", "key"))
-    looks = texts.join(members.select("digest").distinct(), "digest", "left_semi").select("digest", "sketch")
-    looks = materialise(looks)
-
+    some = members.select("digest").distinct()
+    looks = materialise(texts.join(some, "digest", "left_semi").select("digest", "sketch"))
+    # The texts that may be compared at all, compressed in the shared folder: the only time that all are shuffled.
+    folder = shared_folder(docs.sparkSession, "near-duplicates")
+    rows.join(some, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")).write.parquet(folder)
+    kept = docs.sparkSession.read.parquet(folder)
+
+    best = Window.partitionBy("sender").orderBy(F.desc("alike"), "a", "b")
     links = None
     for turn in range(turns):
         pairs = _pairs(_named(members, links), turn)
         likely = materialise(
             pairs.join(looks.select(F.col("digest").alias("a"), "sketch"), "a")
             .join(looks.select(F.col("digest").alias("b"), F.col("sketch").alias("other")), "b")
-            .mapInArrow(_look(similarity), "a binary, b binary")
+            .mapInArrow(_look(similarity), "sender binary, a binary, b binary, alike double")
+            .withColumn("_n", F.row_number().over(best))
+            .filter(F.col("_n") <= COMPARED)
+            .select("a", "b")
+            .distinct()
         )
         needed = likely.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-        whole = rows.join(needed, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+        whole = kept.join(needed, "digest", "left_semi")
         met = likely.join(whole.withColumnRenamed("digest", "a"), "a").join(
             whole.select(F.col("digest").alias("b"), F.col("text").alias("other")), "b"
         )
