@@ -25,16 +25,12 @@ from faultline.session import materialise
 
 #: Slices of a text and level.
 SLICES = 12
-#: Least hashes under as many functions, a byte of each; for a first look at a candidate pair.
-SKETCH = 128
-#: Pairs whose sketches agree less than the similarity minus this are not alike: five deviations.
-SLACK = 0.18
-#: Others that a component meets in a group from the second turn on.
-CHOICES = 4
-#: Of those, over all groups, the ones with the most alike sketches whose whole texts are compared in a turn.
-COMPARED = 2
+#: Texts in a part of a group, and bytes of them, about; a task compares two parts.
+PART_ROWS, PART_BYTES = 1024, 1 << 23
+#: Other parts that a part meets in a turn, at most, to each side.
+TURN_PARTS = 8
 
-_ODD = np.random.Generator(np.random.PCG64(42)).integers(0, 2**63, SLICES + SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.Generator(np.random.PCG64(42)).integers(0, 2**63, SLICES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mixed(hashes: np.ndarray, function: int) -> np.ndarray:
@@ -60,40 +56,19 @@ def slice_keys(distinct: np.ndarray, similarity: float) -> list[int]:
     return keys
 
 
-def sketch(distinct: np.ndarray) -> bytes:
-    if not len(distinct):
-        return bytes(SKETCH)
-    least = [_mixed(distinct, SLICES + k).min() for k in range(SKETCH)]
-    return (np.array(least) >> np.uint64(8)).astype(np.uint8).tobytes()
-
-
-def _sketcher(words: int, similarity: float):
+def _marker(words: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, keys, sketches = [], [], []
+            fps, keys, sizes = [], [], []
             for text in batch["text"].cast(pa.binary()):
                 hashes = shingle_hashes(text.as_py(), words)
-                distinct = np.unique(hashes)
                 fps.append(fingerprint(hashes))
-                keys.append(slice_keys(distinct, similarity))
-                sketches.append(sketch(distinct))
+                keys.append(slice_keys(np.unique(hashes), similarity))
+                sizes.append(len(text.as_py() or b""))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["digest"], pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches)],
-                names=["doc_id", "digest", "fp", "keys", "sketch"],
-            )
-
-    return run
-
-
-def _look(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (
-                np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sketch", "other")
+                [batch["doc_id"], batch["digest"], pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())],
+                names=["doc_id", "digest", "fp", "keys", "size"],
             )
-            alike = (a == b).mean(axis=1)
-            pairs = batch.select(["sender", "a", "b"]).add_column(3, "alike", pa.array(alike))
-            yield pairs.filter(pa.array(alike >= similarity - SLACK))
 
     return run
 
@@ -104,39 +79,60 @@ def jaccard(a: bytes | None, b: bytes | None, words: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def _checker(words: int, similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = zip(batch["text"].cast(pa.binary()).to_pylist(), batch["other"].cast(pa.binary()).to_pylist())
-            alike = [jaccard(a, b, words) >= similarity for a, b in texts]
-            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+def alike_links(hashes: list[np.ndarray], group: np.ndarray, part: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) that join all texts of a similarity of ``similarity`` or more, over any chain of them.
 
-    return run
+    ``hashes`` are the texts' distinct shingles.  Texts of one ``group`` are joined already; if there
+    are two parts, only pairs of both are compared.
+    """
+    links, group, two = [], group.copy(), len(np.unique(part)) > 1
+    order = np.argsort([len(h) for h in hashes], kind="stable")
+    sizes = np.array([len(hashes[i]) for i in order], dtype=np.int64)
+    group, part = group[order], part[order]
+    numbers = np.unique(np.concatenate([hashes[i] for i in order]), return_inverse=True)[1] if len(order) else order
+    own = np.split(numbers, np.cumsum(sizes)[:-1])
+    marked = np.zeros(len(numbers) + 1, dtype=np.int64)
+    for i in range(len(order)):
+        # Texts of more shingles than this are not alike; the division may be off in its last bit.
+        last = int(np.searchsorted(sizes, sizes[i] / similarity + 1e-6 * sizes[i], "right"))
+        others = np.arange(i + 1, last)
+        others = others[(group[others] != group[i]) & ((part[others] != part[i]) | (not two))]
+        if not len(others):
+            continue
+        if sizes[i]:
+            marked[own[i]] = 1
+            starts = np.cumsum(sizes[others]) - sizes[others]
+            shared = np.add.reduceat(marked[np.concatenate([own[j] for j in others])], starts)
+            marked[own[i]] = 0
+            others = others[shared / (sizes[i] + sizes[others] - shared) >= similarity]
+        joined, first = np.unique(group[others], return_index=True)
+        links += [(int(order[i]), int(order[j])) for j in others[first]]
+        group[np.isin(group, joined)] = group[i]
+    return links
+
+
+def _comparer(words: int, similarity: float):
+    def run(block: pa.Table) -> pa.Table:
+        digests = block["digest"].to_pylist()
+        group = np.unique(np.array([c.hex() for c in block["component"].to_pylist()]), return_inverse=True)[1]
+        links = []
+        if len(digests) and group.max() > 0:
+            hashes = [np.unique(shingle_hashes(t.as_py(), words)) for t in block["text"].cast(pa.binary())]
+            links = alike_links(hashes, group, block["part"].to_numpy(), similarity)
+        ends = [[digests[link[side]] for link in links] for side in (0, 1)]
+        return pa.table({"a": pa.array(ends[0], pa.binary()), "b": pa.array(ends[1], pa.binary())})
 
+    return run
 
-def _pairs(members: DataFrame, turn: int) -> DataFrame:
-    """(sender, a, b): in each group of ``members`` (digest, key, component), components to be compared.
 
-    Every component sends one text to meet a text of a few others, so pairs grow with the
-    members.  First all meet the least, which makes many pairs of different groups the
-    same; later, with few components left, the choice varies from group to group and turn to turn.
-    """
-    orders = [F.col("digest")]
-    if turn:
-        orders = [F.xxhash64("digest", "key", F.lit(turn), F.lit(i)) for i in range(CHOICES)]
-    sent = members.groupBy("key", "component").agg(F.min_by("digest", orders[0]).alias("digest"))
-    chosen = F.array_distinct(F.array(*[F.min_by(F.struct("digest", "component"), order) for order in orders]))
-    met = sent.groupBy("key").agg(chosen.alias("_to")).select("key", F.explode("_to").alias("_to"))
-    return (
-        sent.join(met, "key")
-        .filter("component <> _to.component")
-        .select(
-            F.col("component").alias("sender"),
-            F.least("digest", "_to.digest").alias("a"),
-            F.greatest("digest", "_to.digest").alias("b"),
-        )
-        .distinct()
-    )
+def _blocks(members: DataFrame, first: int, end: int) -> DataFrame:
+    """A row of ``members`` for each block it is compared in: (low, high), two parts of a key ``first`` to ``end - 1`` apart."""
+    part, parts = F.col("part"), F.col("parts")
+    apart = F.sequence(F.lit(first), F.least(F.lit(end), parts) - 1)
+    up = F.transform(F.filter(apart, lambda x: part + x < parts), lambda x: F.struct(part.alias("low"), (part + x).alias("high")))
+    down = F.transform(F.filter(apart, lambda x: x <= part), lambda x: F.struct((part - x).alias("low"), part.alias("high")))
+    met = members.filter(parts > first).withColumn("_at", F.explode(F.array_distinct(F.concat(up, down))))
+    return met.select("digest", "component", "part", "key", "_at.low", "_at.high")
 
 
 def _named(texts: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -147,61 +143,55 @@ def _named(texts: DataFrame, links: DataFrame | None) -> DataFrame:
     return texts.join(groups, "digest", "left").withColumn("component", F.coalesce("_c", "digest")).drop("_c")
 
 
-def near_duplicate_texts(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, turns: int = 3
-) -> DataFrame:
+def near_duplicate_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """(digest, doc_id, component): the distinct texts, the smallest doc_id of each and its group.
 
     ``digest`` is the MD5 of a text, null as empty; ``component`` is the digest that names the group.
-    Texts that meet in a slice or by their fingerprints are not compared in all pairs: in each of
-    ``turns`` turns the components found so far send texts to a few others, and the pairs with
-    the most alike sketches are compared as whole texts.
+    Texts that meet in a slice or by their fingerprints are compared in all pairs, except those that
+    links join already.  A large group is cut into parts; the first turn compares texts inside the
+    parts, the next ones parts with others, until all have met or the group is one component.
     """
     digest = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
     rows = docs.select("doc_id", "text", digest.alias("digest"))
-    schema = "doc_id long, digest binary, fp long, keys array<bigint>, sketch binary"
-    each = rows.mapInArrow(_sketcher(words, similarity), schema)
+    schema = "doc_id long, digest binary, fp long, keys array<bigint>, size long"
+    each = rows.mapInArrow(_marker(words, similarity), schema)
     texts = materialise(
-        each.groupBy("digest").agg(
-            F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("fp", "keys", "sketch")]
-        )
+        each.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("fp", "keys", "size")])
     )
     prints = texts.select("fp").distinct()
     linked = components(link_fingerprints(prints, radius), "a", "b")
     by_print = texts.join(linked, texts.fp == linked.node, "left").select(
-        "digest", F.xxhash64(F.lit("print"), F.coalesce("component", "fp")).alias("key")
+        "digest", F.xxhash64(F.lit("print"), F.coalesce("component", "fp")).alias("key"), "size"
+    )
+    members = texts.select("digest", F.explode("keys").alias("key"), "size").union(by_print).distinct()
+    # A text that meets no other in a group has no part in it; of groups of the same texts one is enough.
+    same = [F.bit_xor(F.xxhash64("digest", F.lit(i))).alias(f"_x{i}") for i in (0, 1)]
+    groups = members.groupBy("key").agg(F.count("*").alias("_n"), F.sum("size").alias("_bytes"), *same).filter("_n > 1")
+    groups = groups.groupBy("_n", "_bytes", "_x0", "_x1").agg(F.min("key").alias("key"))
+    parts = F.greatest(F.ceil(F.col("_n") / PART_ROWS), F.ceil(F.col("_bytes") / PART_BYTES)).cast("int")
+    members = materialise(
+        members.join(groups.select("key", parts.alias("parts")), "key")
+        .withColumn("part", F.pmod(F.xxhash64("digest", "key"), F.col("parts")).cast("int"))
+        .select("digest", "key", "parts", "part")
     )
-    members = texts.select("digest", F.explode("keys").alias("key")).union(by_print)
-    # A text that meets no other in a group has no part in it.
-    shared = members.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
-    members = materialise(members.join(shared, "key").select("digest", "key"))
     some = members.select("digest").distinct()
-    looks = materialise(texts.join(some, "digest", "left_semi").select("digest", "sketch"))
     # The texts that may be compared at all, compressed in the shared folder: the only time that all are shuffled.
     folder = shared_folder(docs.sparkSession, "near-duplicates")
     rows.join(some, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")).write.parquet(folder)
-    kept = docs.sparkSession.read.parquet(folder)
-
-    best = Window.partitionBy("sender").orderBy(F.desc("alike"), "a", "b")
-    links = None
-    for turn in range(turns):
-        pairs = _pairs(_named(members, links), turn)
-        likely = materialise(
-            pairs.join(looks.select(F.col("digest").alias("a"), "sketch"), "a")
-            .join(looks.select(F.col("digest").alias("b"), F.col("sketch").alias("other")), "b")
-            .mapInArrow(_look(similarity), "sender binary, a binary, b binary, alike double")
-            .withColumn("_n", F.row_number().over(best))
-            .filter(F.col("_n") <= COMPARED)
-            .select("a", "b")
-            .distinct()
-        )
-        needed = likely.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-        whole = kept.join(needed, "digest", "left_semi")
-        met = likely.join(whole.withColumnRenamed("digest", "a"), "a").join(
-            whole.select(F.col("digest").alias("b"), F.col("text").alias("other")), "b"
-        )
-        found = materialise(met.mapInArrow(_checker(words, similarity), "a binary, b binary"))
+    kept = docs.sparkSession.read.schema("digest binary, text string").parquet(folder)
+
+    links, first, end = None, 0, 1
+    most = members.agg(F.max("parts")).first()[0] or 0
+    while first < min(most, 4):  # three turns
+        named = _named(members.filter(F.col("parts") > first), links)
+        if links is not None:
+            several = named.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b")
+            named = materialise(named.join(several.select("key"), "key", "left_semi"))
+            most = named.agg(F.max("parts")).first()[0] or 0
+        met = _blocks(named, first, end).join(kept, "digest")
+        found = materialise(met.groupBy("key", "low", "high").applyInArrow(_comparer(words, similarity), "a binary, b binary"))
         links = found if links is None else links.union(found)
+        first, end = end, end + min(end, TURN_PARTS)
     return _named(texts.select("digest", "doc_id"), links)
 
 

@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import random
 
-from faultline.llm.near_dups import drop_near_duplicates, jaccard
+import numpy as np
+import pytest
+
+from faultline.llm import near_dups
+from faultline.llm.near_dups import alike_links, drop_near_duplicates, jaccard, slice_keys
+from faultline.llm.simhash import shingle_hashes
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -67,3 +72,64 @@ def test_repeated_null_empty_clashing(spark):
     assert drop_near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
     docs = spark.createDataFrame([(1, "a", 1, "k", 2)], "doc_id long, text string, fp int, component string, _one int")
     assert [tuple(r) for r in drop_near_duplicates(docs).collect()] == [(1, "a", 1, "k", 2)]
+
+
+def crowd(n):
+    """Variants of one text whose similarities lie around 0.8: one to five of 120 words changed."""
+    rng = random.Random(3)
+    base, rows = [f"b{k}" for k in range(120)], []
+    for i in range(n):
+        words = base[:]
+        for at in rng.sample(range(120), rng.choice([1, 2, 3, 3, 4, 4, 5])):
+            words[at] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words), "en"))
+    return rows
+
+
+def met_in_slices(rows):
+    """doc_ids that stay if all pairs that share a slice are compared; the rows are distinct."""
+    sets = [np.unique(shingle_hashes(text.encode(), 5)) for _, text, _ in rows]
+    sizes = np.array([len(own) for own in sets])
+    hashes, many = np.unique(np.concatenate(sets), return_counts=True)
+    has = np.array([np.isin(hashes[many > 1], own) for own in sets]).astype(np.int64)
+    keys = [set(slice_keys(own, 0.8)) for own in sets]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        shared = has[:i] @ has[i]
+        for j in np.flatnonzero(shared / (sizes[:i] + sizes[i] - shared) >= 0.8):
+            a, b = find(i), find(int(j))
+            if a != b and keys[i] & keys[j]:
+                parent[max(a, b)] = min(a, b)
+    return [rows[i][0] for i in range(len(rows)) if find(i) == i]
+
+
+@pytest.mark.parametrize("part_rows", [near_dups.PART_ROWS])
+def test_crowd_around_the_threshold(spark, monkeypatch, part_rows):
+    """Every pair of a group is compared, whether the group is one part or many."""
+    monkeypatch.setattr(near_dups, "PART_ROWS", part_rows)
+    rows = crowd(3000)
+    got = sorted(r.doc_id for r in drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).select("doc_id").collect())
+    assert got == met_in_slices(rows)
+
+
+def test_links_join_all_alike():
+    rng = np.random.default_rng(5)
+    texts = [np.unique(rng.integers(0, 40, rng.integers(0, 30)).astype(np.uint64)) for _ in range(200)]
+    for parts in (1, 2):
+        part = np.arange(200) % parts
+        label = np.arange(200)
+        for i, j in alike_links(texts, np.arange(200), part, 0.5):
+            x, y = set(texts[i].tolist()), set(texts[j].tolist())
+            assert (not x and not y) or len(x & y) / len(x | y) >= 0.5
+            label[label == label[j]] = label[i]
+        for i in range(200):
+            for j in range(i):
+                x, y = set(texts[i].tolist()), set(texts[j].tolist())
+                alike = len(x & y) / len(x | y) >= 0.5 if x or y else True
+                assert label[i] == label[j] or not alike or (parts == 2 and part[i] == part[j])
