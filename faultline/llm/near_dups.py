@@ -182,7 +182,7 @@ def near_duplicate_texts(docs: DataFrame, words: int = 5, similarity: float = 0.
 
     links, first, end = None, 0, 1
     most = members.agg(F.max("parts")).first()[0] or 0
-    while first < min(most, 4):  # three turns
+    while first < most:
         named = _named(members.filter(F.col("parts") > first), links)
         if links is not None:
             several = named.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b")

@@ -109,7 +109,7 @@ def met_in_slices(rows):
     return [rows[i][0] for i in range(len(rows)) if find(i) == i]
 
 
-@pytest.mark.parametrize("part_rows", [near_dups.PART_ROWS])
+@pytest.mark.parametrize("part_rows", [near_dups.PART_ROWS, 600])
 def test_crowd_around_the_threshold(spark, monkeypatch, part_rows):
     """Every pair of a group is compared, whether the group is one part or many."""
     monkeypatch.setattr(near_dups, "PART_ROWS", part_rows)
