@@ -27,7 +27,8 @@ BLOCK_ROWS = 65_536
 PIVOT_SAMPLE = 8192
 MOST_PIVOTS = 1024
 LEAF, FANOUT, SHRINK = 128, 16, 1.5
-QUERY_BLOCK = 2048
+#: Queries from other blocks that a task holds, about: as many as vectors.  A block is copied once for each part.
+QUERY_BLOCK = 65_536
 NOTHING = -(2**62)
 
 
@@ -257,7 +258,12 @@ def top_k(
         .filter("block <> _home")
         .select("query", "vector", "block", "floor")
     )
-    elsewhere = placed.groupBy("block").cogroup(away.groupBy("block")).applyInArrow(search, FOUND_SCHEMA)
+    visits = max(1, -(-searched.count() // QUERY_BLOCK))
+    away = away.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(visits)).cast("int"))
+    copies = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(visits - 1))))
+    elsewhere = (
+        copies.groupBy("block", "part").cogroup(away.groupBy("block", "part")).applyInArrow(search, FOUND_SCHEMA)
+    )
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     best = (
         at_home.union(elsewhere).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k + 1).drop("_n")

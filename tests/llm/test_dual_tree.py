@@ -83,6 +83,25 @@ def test_matches_brute_force(spark, block_rows):
     assert run(spark, rows, block_rows=block_rows) == brute(rows, 5, 10)
 
 
+def test_a_task_holds_a_part_of_the_queries(spark, monkeypatch):
+    search = dual_tree._searcher
+
+    def watched(k):
+        inner = search(k)
+
+        def run_block(data, queries):
+            assert queries.num_rows <= 300, queries.num_rows
+            return inner(data, queries)
+
+        return run_block
+
+    monkeypatch.setattr(dual_tree, "_searcher", watched)
+    monkeypatch.setattr(dual_tree, "QUERY_BLOCK", 100)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(0, 0.2, 8).round(2).tolist()) for i in range(1000)]
+    assert run(spark, rows, every=1, block_rows=100) == brute(rows, 5, 1)
+
+
 def test_few_rows(spark):
     rows = [(0, [1.0, 0.0]), (50, [0.0, 1.0]), (3, [1.0, 1.0])]
     assert run(spark, rows) == brute(rows, 5, 10) and len(run(spark, rows)) == 4
