@@ -27,7 +27,9 @@ FILE_BYTES = 1 << 30
 CHUNK = 1 << 20
 MEMBER = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/\d+\.\d+\r?\n")
-HEADER_MOST = 1 << 16
+NEXT_VERSION = re.compile(rb"\nWARC/\d+\.\d+\r?\n")
+#: First look for the end of a header; a longer one is read on.
+HEADER_BYTES = 1 << 16
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
@@ -204,7 +206,7 @@ def parse_record(data: bytes) -> tuple[dict, int]:
     line = VERSION.match(data)
     if not line:
         raise ValueError("no version line")
-    head_end = data.find(b"\r\n\r\n", 0, HEADER_MOST)
+    head_end = data.find(b"\r\n\r\n")
     if head_end < 0:
         raise ValueError("no end of the header")
     fields = {}
@@ -265,11 +267,20 @@ def _member_at(window: _Window, at: int) -> tuple[dict, int]:
 
 
 def _plain_at(window: _Window, at: int) -> tuple[dict, int]:
-    head = window.get(at, at + HEADER_MOST)
-    told = re.search(rb"(?im)^content-length:\s*(\d{1,15})\s*$", head.partition(b"\r\n\r\n")[0])
-    if not VERSION.match(head) or not told:
+    size = HEADER_BYTES
+    head = window.get(at, at + size)
+    if not VERSION.match(head):
         raise ValueError("no version line or length")
-    end = at + head.find(b"\r\n\r\n") + 4 + int(told[1]) + 4
+    while (blank := head.find(b"\r\n\r\n")) < 0:
+        # The header of another record begins, or the file ends, before this one's has ended.
+        if NEXT_VERSION.search(head) or len(head) < size:
+            raise ValueError("no end of the header")
+        size *= 2
+        head = window.get(at, at + size)
+    told = re.search(rb"(?im)^content-length:\s*(\d{1,15})\s*$", head[:blank])
+    if not told:
+        raise ValueError("no version line or length")
+    end = at + blank + 4 + int(told[1]) + 4
     if not window.reach(end):
         raise ValueError("record is cut off")
     record, length = parse_record(window.get(at, end))

@@ -98,6 +98,27 @@ def test_there_and_back(spark, tmp_path, packed):
     assert sorted(r.record_type for r in got if r.record_id == "<urn:page:none>") == ["response", "revisit"]
 
 
+@pytest.mark.parametrize("packed", [True, False])
+def test_long_urls(spark, tmp_path, packed):
+    """Headers longer than the first look, and a revisit's with two urls."""
+    urls = {1: "http://h/" + "a" * 100_000, 2: "http://h/" + "b" * 40_000, 3: "http://h/" + "c" * 40_000 + "/WARC/1.1", 4: "u"}
+    rows = [(i, url, "same" if i in (2, 3) else f"page {i}") for i, url in urls.items()]
+    folder = f"file://{tmp_path}/long"
+    write_warc(spark.createDataFrame(rows, SCHEMA).coalesce(1), folder, packed)
+    got = read_warc(spark, folder).collect()
+    assert not any(r.gap for r in got)
+    assert {r.record_id: r.url for r in got} == {f"<urn:page:{i}>": url for i, url in urls.items()}
+    assert sorted(r.record_type for r in got) == ["response"] * 3 + ["revisit"]
+
+
+def test_header_without_an_end():
+    parts = [page_record(i, "u" * 100_000, b"page", None, None, False) for i in range(3)]
+    head = parts[1].partition(b"\r\n\r\n")[0]
+    rows = read(parts[0] + head + b"\r\n" + parts[2])
+    assert [r[0] for r in rows] == ["record", "gap", "record"] and rows[2][3]["record_id"] == "<urn:page:2>"
+    assert [r[0] for r in read(parts[0] + head)] == ["record", "gap"]
+
+
 def test_empty_and_clashing(spark, tmp_path):
     folder = f"file://{tmp_path}/none"
     assert write_warc(spark.createDataFrame([], SCHEMA), folder).collect() == []
