@@ -172,7 +172,10 @@ def fit_machine(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LA
     # The filter leaves few rows to order; the limit makes the bound hold.
     some = usable.filter(hash_sample(F.col("_order"), most_labelled, usable.count()))
     chosen = some.orderBy("_order", "doc_id").limit(most_labelled)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("_order", "_toxic", "text")
+    # One text of a doc_id: of several the one with the smallest hash.
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    texts = met.groupBy("doc_id", "_order", "_toxic").agg(one).select("_order", "_toxic", "text")
     got = texts.mapInArrow(_term_lister, "_order long, _toxic boolean, _terms array<int>").toArrow()
     order = np.argsort(got["_order"].to_numpy(), kind="stable")
     lists = got["_terms"].combine_chunks()

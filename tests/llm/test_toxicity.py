@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from faultline.llm import toxicity
 from faultline.llm.common import table
 from faultline.llm.toxicity import fit, fit_machine, hashed_terms, score_toxicity, text_terms
 
@@ -75,3 +76,12 @@ def test_held_out_rows(spark):
     toxic = [r for r in got if r.toxic]
     assert sum(r.predicted for r in toxic) >= 0.75 * len(toxic)
     assert sum(r.predicted for r in got if not r.toxic) <= 0.05 * len(got)
+
+
+def test_a_repeated_doc_id_counts_once(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, labels, **settings: fitted.append((len(rows), len(labels))))
+    docs = [(i, f"text {i}") for i in range(20)] + [(3, "text 3")] * 50 + [(4, f"other {i}") for i in range(50)] + [(5, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    fit_machine(spark.createDataFrame(docs, "doc_id long, text string"), labels, most_labelled=20)
+    assert fitted == [(20, 20)]
