@@ -275,16 +275,18 @@ def mix_sources(docs: DataFrame, **settings) -> DataFrame:
     ``settings`` are those of ``Mix``.
     """
     mix, own = Mix(docs, **settings), [c for c in docs.columns if c not in ("shard", "slot")]
-    used = mix.pieces().join(mix.slots().hint("merge"), ["source_no", "block"]).select(
-        F.col("doc_id").alias("_id"), F.col("_same").alias("_hash"), F.col("_nth").alias("_which"), "first", "n", "shard", "slot"
+    pieces = mix.pieces().join(F.broadcast(mix.source_table().select("source_no", "_source")), "source_no")
+    used = pieces.join(mix.slots().hint("merge"), ["source_no", "block"]).select(
+        "_source", F.col("doc_id").alias("_id"), F.col("_same").alias("_hash"), F.col("_nth").alias("_which"), "first", "n", "shard", "slot"
     )
-    # Rows that repeat doc_id and text have a place each; they are numbered here as there.
+    # Rows that repeat source, doc_id and text have a place each; they are numbered here as there.
     # The document is one value, so that no column of it meets a name used here.
-    alike = Window.partitionBy("doc_id", "_same").orderBy(F.lit(1))
-    numbered = docs.select(F.struct(*own).alias("_doc"), "doc_id", F.xxhash64("text").alias("_same"))
+    alike = Window.partitionBy("source", "doc_id", "_same").orderBy(F.lit(1))
+    numbered = docs.select(F.struct(*own).alias("_doc"), "source", "doc_id", F.xxhash64("text").alias("_same"))
     numbered = numbered.withColumn("_nth", F.row_number().over(alike))
     same = (
-        F.col("doc_id").eqNullSafe(F.col("_id"))
+        F.col("source").eqNullSafe(F.col("_source"))
+        & F.col("doc_id").eqNullSafe(F.col("_id"))
         & (F.col("_same") == F.col("_hash"))
         & (F.col("_nth") == F.col("_which"))
     )

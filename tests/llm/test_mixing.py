@@ -93,3 +93,12 @@ def test_empty_and_clashing(spark):
     assert [tuple(r) for r in Mix(docs).taken().collect()] == [(1, 2, 2, 2.0, 2)]
     got = mix_sources(docs)
     assert got.columns == ["doc_id", "text", "source", "size", "target", "first", "_nth", "shard", "slot"] and got.count() == 1
+
+
+def test_one_document_in_several_sources(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text, "s"), (1, text, "t"), (1, text, None), (1, text, "t")], SCHEMA)
+    words = Counter()
+    for r in mix_sources(docs, block_words=16, weights=(1, 1, 1)).collect():
+        words[r.source] += len(r.text.split())
+    assert set(words) == {"s", "t", None} and min(words.values()) >= 30
