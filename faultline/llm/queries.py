@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm.common import shared_folder, table
+from faultline.llm.conversation_repair import damage_turns, repair_conversations
 from faultline.llm.dual_tree import top_k
 from faultline.llm.exact_dedup import exact_dedup
 from faultline.llm.line_dedup import line_dedup
@@ -95,6 +96,26 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report, repaired = repair_conversations(damage_turns(turns))
+    lines = F.array_sort(F.collect_list(F.struct("place", F.concat("role", F.lit(":"), "text").alias("line"))))
+    texts = repaired.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))
+    all_of_them = turns.select("conv_id").distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+
+    def on_conversation(left: DataFrame, right: DataFrame) -> DataFrame:
+        named = right.withColumnRenamed("conv_id", "_conv")
+        return left.join(named, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
+
+    return on_conversation(on_conversation(all_of_them, report), texts).select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("repaired_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_shards": op2_token_shards,
@@ -106,8 +127,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
+#: crc32 of the text ``k`` bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(1, octet_length(encode(k)) + 1),
+                 lambda i: ('0x' || substr(hex(encode(k)), 2 * i - 1, 2))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+                 lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+#: ``[\x20\x09-\x0D]``
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _edit(state: str, cost: str, letter: str) -> str:
+    """A state of op11's walk, nine digits of cost and an audit, after one more edit."""
+    return f"(lpad((left({state}, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({state}, 10) || {letter})"
+
+
+def _turned(state: str, initial: str) -> str:
+    """A turn that stays takes the role ``initial``: kept if it has it, else given it."""
+    letter = f"CASE WHEN initial = '{initial}' THEN 'K' ELSE 'R' END"
+    cost = f"(CASE WHEN fault = 3 THEN 3 ELSE 0 END + CASE WHEN initial = '{initial}' THEN 0 ELSE 3 END)"
+    return f"CASE WHEN fault NOT IN (1, 2) THEN {_edit(state, cost, letter)} END"
+
+
 #: A-Z to a-z, as in ``ascii_lower``.
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -230,4 +274,79 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
         FROM judged GROUP BY doc_id
     """,
+    # Another way than the query's: the grammar's four states (before anything, after system, user,
+    # assistant) are walked turn by turn, each with its cheapest audit so far.
+    "op11_conversation_repair": f"""
+        WITH RECURSIVE raw AS (
+            SELECT *, {_CRC32} % 20 AS kind FROM (
+                SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                       coalesce(conv_id::VARCHAR, ' ') AS cid, coalesce(conv_id::VARCHAR, ' ') || ':' ||
+                       coalesce(turn::VARCHAR, ' ') AS k FROM conversations)
+        ),
+        damaged AS (
+            SELECT cid, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+            FROM raw WHERE kind <> 0
+        ),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text) AS pos,
+                   left(role, 1) AS initial, trim(text, {_WHITE}) AS words
+            FROM damaged
+        ),
+        judged AS (
+            SELECT *, lag(initial) OVER (PARTITION BY cid ORDER BY pos) || initial AS pair,
+                   CASE WHEN words = '' THEN 1
+                        WHEN row_number() OVER (PARTITION BY cid, role, text ORDER BY pos) > 1 THEN 2
+                        WHEN right(words, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault
+            FROM placed
+        ),
+        walk(cid, pos, none, sys, usr, ast) AS (
+            SELECT DISTINCT cid, 0::BIGINT, '000000000', NULL::VARCHAR, '000000003I', '000000006II' FROM judged
+            UNION ALL
+            SELECT cid, pos, none, sys,
+                   least(usr, {_edit("none", "3", "'I'")}, {_edit("sys", "3", "'I'")}, {_edit("ast", "3", "'I'")}),
+                   least(ast, {_edit("usr", "3", "'I'")}, {_edit("none", "6", "'II'")}, {_edit("sys", "6", "'II'")})
+            FROM (
+                SELECT cid, j.pos, {_edit("none", "4", "'D'")} AS none,
+                       least({_edit("sys", "4", "'D'")},
+                             CASE WHEN initial = 's' THEN {_turned("none", "s")} END) AS sys,
+                       least({_edit("usr", "4", "'D'")}, {_turned("none", "u")}, {_turned("sys", "u")},
+                             {_turned("ast", "u")}) AS usr,
+                       least({_edit("ast", "4", "'D'")}, {_turned("usr", "a")}) AS ast
+                FROM walk JOIN judged j USING (cid) WHERE j.pos = walk.pos + 1
+            )
+        ),
+        best AS (
+            SELECT cid, least(none, ast) AS found FROM walk
+            QUALIFY row_number() OVER (PARTITION BY cid ORDER BY pos DESC) = 1
+        ),
+        letters AS (
+            SELECT cid, generate_subscripts(l, 1) AS i, unnest(l) AS letter
+            FROM (SELECT cid, string_split(substr(found, 10), '') AS l FROM best WHERE length(found) > 9)
+        ),
+        edits AS (
+            SELECT *, count(*) FILTER (letter <> 'I') OVER upto AS pos, count(*) FILTER (letter <> 'D') OVER upto AS place,
+                   count(*) FILTER (letter <> 'D') OVER (PARTITION BY cid) AS stand
+            FROM letters WINDOW upto AS (PARTITION BY cid ORDER BY i)
+        ),
+        repaired AS (
+            SELECT e.cid, string_agg(
+                       CASE WHEN letter = 'K' THEN role WHEN (place - 1 - stand % 2) % 2 = 0 THEN 'user' ELSE 'assistant' END
+                       || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY place) AS text
+            FROM edits e LEFT JOIN judged j ON e.cid = j.cid AND e.pos = j.pos WHERE letter <> 'D' GROUP BY e.cid
+        ),
+        counts AS (
+            SELECT cid, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+                   count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM judged GROUP BY cid
+        )
+        SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(left(found, 9)::BIGINT, 0) AS cost, coalesce(substr(found, 10), '') AS audit,
+               sha256(coalesce(text, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id, cid FROM raw) LEFT JOIN counts USING (cid) LEFT JOIN best USING (cid)
+             LEFT JOIN repaired USING (cid)
+    """,
 }
