@@ -11,6 +11,7 @@ from faultline.llm.common import shared_folder, table
 from faultline.llm.conversation_repair import damage_turns, repair_conversations
 from faultline.llm.dual_tree import top_k
 from faultline.llm.exact_dedup import exact_dedup
+from faultline.llm.lexical_search import lexical_search
 from faultline.llm.line_dedup import line_dedup
 from faultline.llm.mixing import Mix
 from faultline.llm.packing import best_fit_packing
@@ -116,6 +117,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_shards": op2_token_shards,
@@ -128,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 #: crc32 of the text ``k`` bit by bit.
@@ -136,6 +142,7 @@ _CRC32 = """xor(4294967295, list_reduce(
                  lambda i: ('0x' || substr(hex(encode(k)), 2 * i - 1, 2))::BIGINT)),
     lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
                  lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: ``[\x20\x09-\x0D]``
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -349,4 +356,43 @@ ORACLES: dict[str, str] = {
         FROM (SELECT DISTINCT conv_id, cid FROM raw) LEFT JOIN counts USING (cid) LEFT JOIN best USING (cid)
              LEFT JOIN repaired USING (cid)
     """,
+    "op12_lexical_search": f"""
+        WITH doc AS MATERIALIZED (
+            SELECT row_number() OVER () AS row, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_TERM}') AS terms
+            FROM documents
+        ),
+        size AS (
+            SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM doc WHERE len(terms) > 0
+        ),
+        item AS MATERIALIZED (
+            SELECT row_number() OVER () AS item, item_id,
+                   regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_TERM}') AS terms
+            FROM (SELECT DISTINCT item_id, text FROM benchmark)
+        ),
+        asked AS (
+            SELECT item, term, count(*) AS repeats FROM (SELECT item, unnest(terms) AS term FROM item) GROUP BY ALL
+        ),
+        held AS (
+            SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM doc)
+            WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+        ),
+        weighed AS (
+            SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+            FROM held, size GROUP BY term, n_docs
+        ),
+        scored AS (
+            SELECT item, row, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+            FROM held JOIN asked USING (term) JOIN weighed USING (term) JOIN (
+                SELECT row, 100 - 25 + (25 * len(terms) * n_docs) // n_terms AS m FROM doc, size
+            ) USING (row)
+            GROUP BY ALL
+        ),
+        ranked AS (
+            SELECT item, doc_id, score,
+                   row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST) AS rank
+            FROM scored JOIN doc USING (row) WHERE score > 0
+        )
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked JOIN item USING (item) WHERE rank <= 20
+    """,
 }
