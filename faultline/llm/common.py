@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +42,18 @@ def hash_sample(hashed: Column, size: int, total: int) -> Column:
     if total <= size:
         return F.lit(True)
     return F.shiftrightunsigned(hashed, 16) < F.lit(int((1 << 48) * size / total))
+
+
+def runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple]]:
+    """Rows in runs of about ``size`` characters or bytes of their last column, a single text aside."""
+    run, held = [], 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            for row in zip(*(column.to_pylist() for column in batch.slice(start, 256).columns)):
+                run.append(row)
+                held += len(row[-1] or "")
+                if held >= size:
+                    yield run
+                    run, held = [], 0
+    if run:
+        yield run

@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.common import UPPER, shared_folder
+from faultline.llm.common import UPPER, runs, shared_folder
 from faultline.session import materialise
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -125,26 +125,9 @@ class _Packer:
             yield self._close(width)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows in runs of bounded length, a single text aside."""
-    run, chars = [], 0
-    for batch in batches:
-        names = batch.schema.names
-        for start in range(0, batch.num_rows, 256):
-            part = batch.slice(start, 256)
-            for row in zip(*(part.column(n).to_pylist() for n in names)):
-                run.append(row)
-                chars += len(row[-1] or "")
-                if chars >= RUN_CHARS:
-                    yield run
-                    run, chars = [], 0
-    if run:
-        yield run
-
-
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer, known = _Packer(), {}
-    for run in _runs(batches):
+    for run in runs(batches, RUN_CHARS):
         for doc_id, key, text in run:
             counts = Counter(terms_of(text))
             if not counts:
@@ -186,7 +169,7 @@ def build_index(docs: DataFrame, folder: str) -> DataFrame:
 def _df_counter(wanted: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, found = wanted.value, Counter()
-        for rows in _runs(batches):
+        for rows in runs(batches, RUN_CHARS):
             for (text,) in rows:
                 found.update(terms.keys() & set(terms_of(text)))
         yield pa.RecordBatch.from_pydict(
@@ -306,7 +289,7 @@ def _candidates(items: Broadcast, floors: Broadcast | None, k: int):
 
 def _rescore(items: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches):
+        for rows in runs(batches, RUN_CHARS):
             item, doc, score = [], [], []
             for doc_id, wanted, text in rows:
                 item += wanted

@@ -13,6 +13,7 @@ from faultline.llm.dual_tree import top_k
 from faultline.llm.exact_dedup import exact_dedup
 from faultline.llm.lexical_search import lexical_search
 from faultline.llm.line_dedup import line_dedup
+from faultline.llm.lm_scoring import lm_scores
 from faultline.llm.mixing import Mix
 from faultline.llm.packing import best_fit_packing
 from faultline.llm.simhash import simhash_groups
@@ -121,6 +122,14 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    tokenizer = str(public_tokenizers.path("byte_bpe_50k.json"))
+    return lm_scores(table(spark, sf_dir, "documents"), held, tokenizer)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_shards": op2_token_shards,
@@ -134,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_lexical_search": op12_lexical_search,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 #: crc32 of the text ``k`` bit by bit.
