@@ -132,8 +132,9 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = Counter(terms_of(text))
             if not counts:
                 continue
-            for term in counts.keys() - known.keys():
-                known[term] = _hash(term)
+            for term in counts:
+                if term not in known:
+                    known[term] = _hash(term)
             hashes = np.fromiter((known[t] for t in counts), np.uint64, len(counts))
             for block in packer.add(doc_id, key, hashes, np.fromiter(counts.values(), np.int64, len(counts))):
                 yield pa.RecordBatch.from_pylist([block], schema=_INDEX_ARROW)
@@ -171,7 +172,7 @@ def _df_counter(wanted: Broadcast):
         terms, found = wanted.value, Counter()
         for rows in runs(batches, RUN_CHARS):
             for (text,) in rows:
-                found.update(terms.keys() & set(terms_of(text)))
+                found.update(t for t in set(terms_of(text)) if t in terms)
         yield pa.RecordBatch.from_pydict(
             {"term": pa.array(list(found), pa.string()), "df": pa.array(list(found.values()), pa.int64())}
         )
