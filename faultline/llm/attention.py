@@ -19,7 +19,12 @@ WINDOW, STRIDE, WIDTH = 32, 24, 24
 STEP_WINDOWS, FIRST_WINDOWS, GROW, SCORE_WINDOWS = 192, 12, 48, 512
 #: Logits and attention are held within these, so that no exponential leaves its type.
 LEAST, MOST = np.float32(-60), np.float32(60)
-CAUSAL = np.tri(WINDOW, dtype=np.float32)
+CAUSAL, SCALE = np.tri(WINDOW, dtype=np.float32), np.float32(WIDTH**-0.5)
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums over the last axis; as a product, which is faster for short rows."""
+    return x @ np.ones(x.shape[-1], x.dtype)
 
 
 @dataclass
@@ -62,8 +67,7 @@ class Attention:
         shapes = {
             "embed": (n + 1, WIDTH),  # the last one begins every text
             "place": (WINDOW, WIDTH),
-            "qkv": (WIDTH, 3 * WIDTH),
-            "out": (WIDTH, WIDTH),
+            **{name: (WIDTH, WIDTH) for name in ("query", "key", "value", "out")},
             "group": (WIDTH + 1, g),  # the last row is the bias
             "member": (n, WIDTH + 1),  # the last column is the bias
         }
@@ -76,7 +80,7 @@ class Attention:
             at += sizes[name]
         if fresh:
             rng = np.random.default_rng(seed)
-            for name, scale in (("embed", 0.3), ("place", 0.1), ("qkv", 0.25), ("out", 0.25)):
+            for name, scale in (("embed", 0.3), ("place", 0.1), ("query", 0.25), ("key", 0.25), ("value", 0.25), ("out", 0.25)):
                 self[name][...] = rng.normal(0, scale, shapes[name])
             share = vocabulary.counts / vocabulary.counts.sum()
             by_group = np.add.reduceat(share, vocabulary.cuts[:-1])
@@ -93,55 +97,62 @@ class Attention:
         x = self["embed"][ids]
         x += self["place"]
         x = x.reshape(-1, WIDTH)
-        q, k, v = ((x @ part).reshape(len(ids), WINDOW, WIDTH) for part in np.split(self["qkv"], 3, axis=1))
+        q, k, v = ((x @ self[name]).reshape(len(ids), WINDOW, WIDTH) for name in ("query", "key", "value"))
+        q *= SCALE
         a = q @ k.transpose(0, 2, 1)
-        a *= np.float32(WIDTH**-0.5)
         np.clip(a, LEAST, MOST, out=a)
         np.exp(a, out=a)
         a *= CAUSAL
-        a /= a.sum(axis=-1, keepdims=True)
+        a /= _sums(a)[..., None]
         o = (a @ v).reshape(-1, WIDTH)
         h = np.ones((len(x), WIDTH + 1), np.float32)
         np.add(x, o @ self["out"], out=h[:, :-1])
         return h, (x, q, k, v, a, o)
 
     def _predict(self, h: np.ndarray, targets: np.ndarray, grad: Attention | None = None):
-        """Natural log-probability of each target; with ``grad``, also the gradient towards ``h``."""
-        cuts, groups = self.vocabulary.cuts, self.group_of[targets]
-        one = np.float32(1 / max(1, len(h)))
+        """Natural log-probability of each target; with ``grad``, also the gradient towards ``h``.
+
+        The rows are put in the order of their targets, and so of the targets' groups.
+        """
+        cuts, one = self.vocabulary.cuts, np.float32(1 / max(1, len(h)))
+        order = np.argsort(targets.astype(np.uint16 if len(self.vocabulary) < 1 << 16 else np.int64), kind="stable")
+        h, targets, rows = h[order], targets[order], np.arange(len(h))
+        groups, member = self.group_of[targets], self["member"]
         logits = h @ self["group"]
         np.clip(logits, LEAST, MOST, out=logits)
-        rows = np.arange(len(h))
         log_p = logits[rows, groups]
         np.exp(logits, out=logits)
-        total = logits.sum(axis=1)
+        total = _sums(logits)
         log_p -= np.log(total)
         if grad is not None:
             logits *= (one / total)[:, None]
             logits[rows, groups] -= one
             grad["group"][...] = h.T @ logits
             back = logits @ self["group"].T
-        order = np.argsort(groups, kind="stable")
-        ends = np.searchsorted(groups[order], np.arange(len(cuts)))
-        sorted_h, member = h[order], self["member"]
+        ends = np.searchsorted(targets, cuts)
+        own = member[targets]
+        log_p += np.clip(np.einsum("ij,ij->i", h, own), LEAST, MOST)
+        within = np.ones(len(h), np.float32)
         for g in np.flatnonzero(np.diff(ends)):
-            low, high, mine = cuts[g], cuts[g + 1], slice(ends[g], ends[g + 1])
-            if high - low == 1:
-                continue
-            some, at = sorted_h[mine], order[mine]
-            inner = some @ member[low:high].T
+            some, inside = h[ends[g] : ends[g + 1]], member[cuts[g] : cuts[g + 1]]
+            inner = some @ inside.T
             np.clip(inner, LEAST, MOST, out=inner)
-            own, rows = targets[at] - low, np.arange(len(at))
-            chosen = inner[rows, own]
             np.exp(inner, out=inner)
-            total = inner.sum(axis=1)
-            log_p[at] += chosen - np.log(total)
+            sums = within[ends[g] : ends[g + 1]] = _sums(inner)
             if grad is not None:
-                inner *= (one / total)[:, None]
-                inner[rows, own] -= one
-                grad["member"][low:high] = inner.T @ some
-                back[at] += inner @ member[low:high]
-        return log_p if grad is None else (log_p, back)
+                inner *= (one / sums)[:, None]
+                grad["member"][cuts[g] : cuts[g + 1]] = inner.T @ some
+                back[ends[g] : ends[g + 1]] += inner @ inside
+        log_p -= np.log(within)
+        back_to = np.empty(len(h), dtype=np.int64)
+        back_to[order] = rows
+        if grad is None:
+            return log_p[back_to]
+        own *= one
+        back -= own
+        first = np.flatnonzero(np.diff(targets, prepend=-1))
+        grad["member"][targets[first]] -= one * np.add.reduceat(h, first, axis=0)
+        return log_p[back_to], back[back_to]
 
     def log_probabilities(self, ids: np.ndarray, wanted: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Of ``targets``, at the places of the flattened windows that ``wanted`` marks."""
@@ -161,17 +172,19 @@ class Attention:
         grad["out"][...] = o.T @ back
         do = (back @ self["out"].T).reshape(v.shape)
         da = do @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ do
-        da -= (do * o.reshape(v.shape)).sum(axis=-1, keepdims=True)
+        da -= np.einsum("bij,bij->bi", do, o.reshape(v.shape))[..., None]
         da *= a
-        da *= np.float32(WIDTH**-0.5)
-        dqkv = np.concatenate([da @ k, da.transpose(0, 2, 1) @ q, dv], axis=2).reshape(-1, 3 * WIDTH)
-        grad["qkv"][...] = x.T @ dqkv
-        back += dqkv @ self["qkv"].T
+        dq = da @ k
+        dq *= SCALE
+        for name, d in (("query", dq), ("key", da.transpose(0, 2, 1) @ q), ("value", a.transpose(0, 2, 1) @ do)):
+            d = d.reshape(-1, WIDTH)
+            grad[name][...] = x.T @ d
+            back += d @ self[name].T
         grad["place"][...] = back.reshape(-1, WINDOW, WIDTH).sum(axis=0)
-        order = np.argsort(ids, axis=None, kind="stable")
-        named = ids.ravel()[order]
-        first = np.flatnonzero(np.concatenate(([True], named[1:] != named[:-1])))
+        named = ids.ravel().astype(np.uint16 if len(self.vocabulary) < (1 << 16) - 1 else np.int64)
+        order = np.argsort(named, kind="stable")
+        named = named[order].astype(np.int64)
+        first = np.flatnonzero(np.diff(named, prepend=-1))
         grad["embed"][named[first]] = np.add.reduceat(back[order], first, axis=0)
         return float(-log_p.mean())
 
