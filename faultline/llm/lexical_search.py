@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.common import UPPER, runs, shared_folder
@@ -80,7 +80,12 @@ def part_score(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (1_000_000_000 * tf) // (1000 * tf + 12 * m)
 
 
-INDEX = "docs binary, keys binary, sizes binary, no_id binary, width int, slices binary"
+#: Documents named by so few candidates are found by broadcast, by a shuffle of the texts else.
+BROADCAST_NAMES = 1 << 18
+#: Parts in which the candidates of an item are ranked first.
+PARTS = 64
+
+INDEX = "docs binary, keys binary, others binary, sizes binary, no_id binary, width int, slices binary"
 
 
 class _Packer:
@@ -89,7 +94,7 @@ class _Packer:
     def __init__(self):
         self.open: dict[int, list] = {}
 
-    def add(self, doc_id: int | None, key: int, hashes: np.ndarray, counts: np.ndarray) -> Iterator[dict]:
+    def add(self, doc_id: int | None, key: tuple[int, int], hashes: np.ndarray, counts: np.ndarray) -> Iterator[dict]:
         levels = [_entries(hashes, 0)]
         for level in LEVELS:
             often = counts >= level
@@ -113,7 +118,8 @@ class _Packer:
         ids, keys, sizes = zip(*(row[:3] for row in block))
         return {
             "docs": np.array([i or 0 for i in ids], dtype=np.int64).tobytes(),
-            "keys": np.array(keys, dtype=np.int64).tobytes(),
+            "keys": np.array([k[0] for k in keys], dtype=np.int64).tobytes(),
+            "others": np.array([k[1] for k in keys], dtype=np.int64).tobytes(),
             "sizes": np.array(sizes, dtype=np.int64).tobytes(),
             "no_id": np.array([i is None for i in ids]).tobytes(),
             "width": width,
@@ -128,7 +134,7 @@ class _Packer:
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer, known = _Packer(), {}
     for run in runs(batches, RUN_CHARS):
-        for doc_id, key, text in run:
+        for doc_id, *key, text in run:
             counts = Counter(terms_of(text))
             if not counts:
                 continue
@@ -148,6 +154,7 @@ _INDEX_ARROW = pa.schema(
     [
         ("docs", pa.binary()),
         ("keys", pa.binary()),
+        ("others", pa.binary()),
         ("sizes", pa.binary()),
         ("no_id", pa.binary()),
         ("width", pa.int32()),
@@ -157,8 +164,9 @@ _INDEX_ARROW = pa.schema(
 
 
 def _key(docs: DataFrame) -> DataFrame:
-    """doc_id, a hash that tells a doc_id's texts apart, text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_key"), "text")
+    """doc_id, 128 bits that tell texts apart, text."""
+    key, other = F.xxhash64("text"), F.xxhash64(F.lit("other"), "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("_key"), other.alias("_other"), "text")
 
 
 def build_index(docs: DataFrame, folder: str) -> DataFrame:
@@ -255,7 +263,7 @@ class _Items:
         return out
 
 
-CANDIDATE = "item int, doc_id long, _key long, bound long"
+CANDIDATE = "item int, doc_id long, _key long, _other long, bound long"
 
 
 def _candidates(items: Broadcast, floors: Broadcast | None, k: int):
@@ -280,9 +288,10 @@ def _candidates(items: Broadcast, floors: Broadcast | None, k: int):
                         pa.array(rows.astype(np.int32)),
                         pa.array(docs, mask=nobody),
                         pa.array(np.frombuffer(block["keys"], np.int64)[columns]),
+                        pa.array(np.frombuffer(block["others"], np.int64)[columns]),
                         pa.array(bounds[rows, columns]),
                     ],
-                    names=["item", "doc_id", "_key", "bound"],
+                    names=["item", "doc_id", "_key", "_other", "bound"],
                 )
 
     return run
@@ -312,16 +321,30 @@ def _scored(docs: DataFrame, candidates: DataFrame, items: Broadcast) -> DataFra
 
     A candidate names rows by doc_id and text hash: all rows of that name, once for each item.
     """
-    named = candidates.groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_hash")).agg(
-        F.sort_array(F.collect_set("item")).alias("_items")
+    named = materialise(
+        candidates.groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), F.col("_other").alias("_o")).agg(
+            F.sort_array(F.collect_set("item")).alias("_items")
+        )
     )
-    met = docs.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")))
-    return met.select("doc_id", "_items", "text").mapInArrow(_rescore(items), "item int, doc_id long, score long")
+    if named.count() <= BROADCAST_NAMES:
+        named = F.broadcast(named)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")) & (F.col("_other") == F.col("_o"))
+    met = docs.join(named, same).select("doc_id", "_items", "text")
+    return met.mapInArrow(_rescore(items), "item int, doc_id long, score long")
+
+
+def _first(rows: DataFrame, by: list[str], order: list, part: Column, k: int) -> DataFrame:
+    """The first k rows of each group, with their ``rank``: those of its parts first, so that no task has all."""
+    local = rows.withColumn("_part", F.pmod(part, F.lit(PARTS)))
+    near = local.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)))
+    near = near.filter(F.col("rank") <= k)
+    far = near.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return far.filter(F.col("rank") <= k).drop("_part")
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
-    return scored.filter("score > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    order = [F.desc("score"), F.asc_nulls_first("doc_id")]
+    return _first(scored.filter("score > 0"), ["item"], order, F.xxhash64("doc_id"), k)
 
 
 def _item_blocks(items: DataFrame) -> Iterator[list[tuple]]:
@@ -371,15 +394,18 @@ def lexical_search(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
         df = {r.term: r.n for r in counted.groupBy("term").agg(F.sum("df").alias("n")).collect()}
         asked = context.broadcast(_Items([counts for _, counts in block], df, n_docs, n_terms))
 
-        highest = Window.partitionBy("item").orderBy(F.desc("bound"), "doc_id", "_key")
+        highest = [F.desc("bound"), F.asc_nulls_first("doc_id"), "_key", "_other"]
         first = index.mapInArrow(_candidates(asked, None, 2 * k), CANDIDATE)
-        first = materialise(first.withColumn("_n", F.row_number().over(highest)).filter(F.col("_n") <= 2 * k))
+        first = _first(first, ["item"], highest, F.xxhash64("doc_id", "_key"), 2 * k)
         sure = _best(_scored(source, first, asked), k).filter(F.col("rank") == k).select("item", "score").collect()
         floors = np.ones(len(block), dtype=np.int64)
         for row in sure:
             floors[row.item] = row.score
         candidates = index.mapInArrow(_candidates(asked, context.broadcast(floors), k), CANDIDATE)
-        best = _best(_scored(source, materialise(candidates.select("item", "doc_id", "_key")), asked), k)
+        # Copies of a text score alike: those of the k smallest doc_ids stand for all.
+        copies = [F.asc_nulls_first("doc_id")]
+        candidates = _first(candidates, ["item", "_key", "_other"], copies, F.xxhash64("doc_id"), k)
+        best = _best(_scored(source, candidates, asked), k)
         names = spark.createDataFrame(
             [(at, item_id) for at, (item_id, _) in enumerate(block)], "item int, item_id long"
         )
