@@ -14,9 +14,9 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Ids a prediction sees, ids by which the next window moves on, width of the embeddings.
-WINDOW, STRIDE, WIDTH = 32, 24, 24
+WINDOW, STRIDE, WIDTH = 32, 24, 16
 #: Windows of a training step, of its first ones (they grow by half every GROW steps), and of a scoring batch.
-STEP_WINDOWS, FIRST_WINDOWS, GROW, SCORE_WINDOWS = 192, 12, 48, 512
+STEP_WINDOWS, FIRST_WINDOWS, GROW, SCORE_WINDOWS = 192, 24, 12, 512
 #: Logits and attention are held within these, so that no exponential leaves its type.
 LEAST, MOST = np.float32(-60), np.float32(60)
 CAUSAL, SCALE = np.tri(WINDOW, dtype=np.float32), np.float32(WIDTH**-0.5)

@@ -34,11 +34,11 @@ from faultline.session import materialise
 #: Learning rates of the rounds; each training text is in one round.
 RATES = (0.02, 0.012, 0.006, 0.003)
 #: Words that hold a share of 1 / HOT_WORDS of all tokens each, and are this short, are broadcast.
-HOT_WORDS, HOT_BYTES = 16_384, 64
+HOT_WORDS, HOT_BYTES = 1 << 17, 64
 #: Words whose ids a worker remembers.
 REMEMBERED = 1 << 17
 #: Texts are encoded in runs of about so many bytes, and put into windows in runs of so many ids.
-RUN_BYTES, RUN_IDS = 1 << 22, 1 << 19
+RUN_BYTES, RUN_IDS = 1 << 20, 1 << 17
 #: Parameters of a row, and rows that a task averages at most.
 BLOCK, FAN_IN = 1 << 16, 16
 
@@ -287,7 +287,7 @@ def lm_scores(docs: DataFrame, held_out: Column, tokenizer: str, rates: tuple[fl
     )
     rare = coded.select("_row", F.explode("rare").alias("_w")).select("_row", "_w.word", "_w.tf")
     sums = (
-        rare.join(counts.filter(~is_hot), "word")
+        rare.join(counts.filter(~is_hot).hint("shuffle_hash"), "word")
         .groupBy("_row")
         .agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("_sum"), F.sum("tf").alias("_known"))
     )
