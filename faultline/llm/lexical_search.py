@@ -3,7 +3,7 @@
 The index packs documents into blocks of like size.  A block is a bit matrix with a column for each
 document: every slice (row) is a bitmap over the block's documents, and a term sets its bits in the
 slices its hash names.  A term that occurs often sets more of them, under the names (term, 2),
-(term, 4), ...  To search, the bitmaps of a term's slices are intersected: a superset of the
+(term, 3), ...  To search, the bitmaps of a term's slices are intersected: a superset of the
 documents that hold the term, or hold it that often.  Weighted by what the term can add to a
 score at most, their sum bounds every document's score from above.
 
@@ -31,9 +31,9 @@ from faultline.session import materialise
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _LOWER = str.maketrans(UPPER, UPPER.lower())
 #: Documents of a block, at most, and slices of its matrix for each entry of its largest document.
-BLOCK_DOCS, BITS, HASHES = 2048, 12, 2
+BLOCK_DOCS, BITS, HASHES = 2048, 20, 3
 #: A term that occurs so often has an entry more for each of these.
-LEVELS = (2, 4, 8, 16, 64)
+LEVELS = (2, 3, 4, 6, 8, 16, 64)
 #: Bytes of a slice, eight documents each, that are weighed at once.
 COLUMNS = 64
 #: Terms of the items that are searched at once, at most.
@@ -266,6 +266,14 @@ class _Items:
 CANDIDATE = "item int, doc_id long, _key long, _other long, bound long"
 
 
+def _above(bounds: np.ndarray, floors: np.ndarray, block: dict) -> tuple[np.ndarray, np.ndarray]:
+    """What may be among the best: a higher bound than the k-th best, or its score and no larger doc_id."""
+    score, doc_id, no_id = (column[:, None] for column in floors.T)
+    docs, nobody = np.frombuffer(block["docs"], np.int64), np.frombuffer(block["no_id"], bool)
+    before = nobody | ((docs <= doc_id) & (no_id == 0))
+    return np.nonzero((bounds > score) | ((bounds == score) & before))
+
+
 def _candidates(items: Broadcast, floors: Broadcast | None, k: int):
     """Candidates of each block: its k highest bounds of an item, or all bounds that reach the floors."""
 
@@ -280,7 +288,7 @@ def _candidates(items: Broadcast, floors: Broadcast | None, k: int):
                     some = bounds[rows, columns] > 0
                     rows, columns = rows[some], columns[some]
                 else:
-                    rows, columns = np.nonzero(bounds >= floors.value[:, None])
+                    rows, columns = _above(bounds, floors.value, block)
                 docs = np.frombuffer(block["docs"], np.int64)[columns]
                 nobody = np.frombuffer(block["no_id"], bool)[columns]
                 yield pa.RecordBatch.from_arrays(
@@ -397,10 +405,10 @@ def lexical_search(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
         highest = [F.desc("bound"), F.asc_nulls_first("doc_id"), "_key", "_other"]
         first = index.mapInArrow(_candidates(asked, None, 2 * k), CANDIDATE)
         first = _first(first, ["item"], highest, F.xxhash64("doc_id", "_key"), 2 * k)
-        sure = _best(_scored(source, first, asked), k).filter(F.col("rank") == k).select("item", "score").collect()
-        floors = np.ones(len(block), dtype=np.int64)
+        sure = _best(_scored(source, first, asked), k).filter(F.col("rank") == k).select("item", "score", "doc_id").collect()
+        floors = np.zeros((len(block), 3), dtype=np.int64)  # the k-th best so far: score, doc_id, whether that is null
         for row in sure:
-            floors[row.item] = row.score
+            floors[row.item] = row.score, row.doc_id or 0, row.doc_id is None
         candidates = index.mapInArrow(_candidates(asked, context.broadcast(floors), k), CANDIDATE)
         # Copies of a text score alike: those of the k smallest doc_ids stand for all.
         copies = [F.asc_nulls_first("doc_id")]
