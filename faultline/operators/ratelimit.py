@@ -17,12 +17,17 @@ successive lifts into the highest, so a whole block of events shrinks to a
 handful of numbers whatever state it will be entered with.  A key is therefore
 cut into blocks that are summarised in parallel, the short summaries are run
 through in order, and the blocks decide in parallel from their known entry state.
+
+Events that were only seen together, as a micro-batch, have come one by one since the batch
+before.  They share the time ``t`` of their batch; the bucket was capped when that time began, at
+``since``, and what it refilled from then on is theirs.  Only the cap changes:
+``h + slack + refill*(t - since)``.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.operators.scan import with_totals_before
+from faultline.session import materialise
 
 DEFAULT_RATE = 100
 DEFAULT_BURST = 500
@@ -50,12 +56,16 @@ def lift(z: int, barrier: int, token: int) -> int:
     return z if z >= barrier else z + -((z - barrier) // token) * token
 
 
-def summarise(barriers: Iterable[int], slack: int, token: int) -> list[Step]:
-    """The steps a block of events applies to any entry state."""
+def _with_caps(barriers: Sequence[int], slack: int | Sequence[int]) -> Iterable[tuple[int, int]]:
+    slacks = [slack] * len(barriers) if isinstance(slack, int) else slack
+    return ((h, h + s) for h, s in zip(barriers, slacks))
+
+
+def summarise(barriers: Sequence[int], slack: int | Sequence[int], token: int) -> list[Step]:
+    """The steps a block of events applies to any entry state; ``slack`` is one for all or one each."""
     steps: list[Step] = []
     low = high = None  # bounds on every state the block can be in
-    for h in barriers:
-        cap = h + slack
+    for h, cap in _with_caps(barriers, slack):
         if high is None or cap < high:
             if low is not None and cap <= low:
                 steps, low = [(SET, cap)], cap
@@ -90,12 +100,11 @@ def run_steps(z: int | None, steps: Iterable[Step], token: int) -> int | None:
 
 
 def decide(
-    z: int | None, barriers: Iterable[int], slack: int, token: int
+    z: int | None, barriers: Sequence[int], slack: int | Sequence[int], token: int
 ) -> tuple[list[bool], int | None]:
     """Verdict for each event of a block entered in state ``z``, and the state after."""
     verdicts = []
-    for h in barriers:
-        cap = h + slack
+    for h, cap in _with_caps(barriers, slack):
         if z is None or z > cap:
             z = cap
         passed = z >= h
@@ -111,6 +120,12 @@ def _barriers(block: pa.Table, token: int, refill: int) -> list[int]:
     return [token * (k + 1) - refill * t for k, t in zip(ranks, clocks)]
 
 
+def _slacks(block: pa.Table, slack: int, refill: int) -> int | list[int]:
+    if "_waited" not in block.column_names:
+        return slack
+    return [slack + refill * w for w in block.column("_waited").to_pylist()]
+
+
 def decisions(
     arrivals: DataFrame,
     rate: int = DEFAULT_RATE,
@@ -120,16 +135,20 @@ def decisions(
     """``key, seq, allowed`` for arrivals given as ``key, seq, ts``.
 
     Arrivals are taken in ``seq`` order; time never runs backwards, a late or missing
-    ``ts`` counts as the latest time seen.  ``seq`` is unique within a key.
+    ``ts`` counts as the latest time seen.  ``seq`` is unique within a key.  With ``since``,
+    arrivals of one ``ts`` have come between the two; NULL means at ``ts``.
     """
     token, refill = units(rate)
     slack = token * (burst - 1)
+    batched = "since" in arrivals.columns
+    waited = F.greatest(F.col("_clock") - F.coalesce("_since", "_clock"), F.lit(0)).alias("_waited")
     numbered = (
         with_totals_before(
             arrivals.select(
                 F.coalesce(F.col("key").cast("string"), F.lit("")).alias("key"),
                 F.col("seq").cast("bigint").alias("seq"),
                 F.coalesce(F.unix_micros("ts"), F.lit(0)).alias("_at"),
+                *([F.unix_micros("since").alias("_since")] if batched else []),
             ),
             ["key"],
             "seq",
@@ -139,11 +158,12 @@ def decisions(
             keep_bucket=True,
         )
         .withColumn("_clock", F.greatest("_at", "_seen"))
-        .select("key", "_bucket", "seq", "_rank", "_clock")
+        .select("key", "_bucket", "seq", "_rank", "_clock", *([waited] if batched else []))
     )
 
     def summary(key: tuple, block: pa.Table) -> pa.Table:
-        steps = summarise(_barriers(block.sort_by("seq"), token, refill), slack, token)
+        block = block.sort_by("seq")
+        steps = summarise(_barriers(block, token, refill), _slacks(block, slack, refill), token)
         return pa.table(
             {
                 "key": [key[0].as_py()],
@@ -175,7 +195,7 @@ def decisions(
         passed, _ = decide(
             None if entry is None else int(entry),
             _barriers(block, token, refill),
-            slack,
+            _slacks(block, slack, refill),
             token,
         )
         order = block.column("seq")
@@ -198,6 +218,24 @@ def decisions(
     )
 
 
+def _in_arrival_order(arrivals: DataFrame) -> DataFrame:
+    """Arrivals of several origins with ``_order``, an integer that sorts them by time, origin and seq.
+
+    ``seq`` counts inside an origin only.  An origin's own clock never runs backwards; the
+    origins of a key are merged by their clocks.  Sorted ranges are numbered row by row, and written
+    down, as their borders are sampled.
+    """
+    timed = with_totals_before(
+        arrivals.withColumn("_at", F.coalesce(F.unix_micros("ts"), F.lit(0))),
+        ["key", "origin"],
+        "seq",
+        maxima={"_seen": F.col("_at")},
+    ).withColumn("ts", F.timestamp_micros(F.greatest("_at", "_seen")))
+    order = ["ts", "origin", "seq", "key"]
+    ranged = timed.drop("_at", "_seen").repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialise(ranged.withColumn("_order", F.monotonically_increasing_id()))
+
+
 def rate_limit(
     events: DataFrame,
     key: Column | str = "source",
@@ -207,17 +245,29 @@ def rate_limit(
 ) -> DataFrame:
     """``events`` with ``limiter_key`` and ``allowed``.
 
-    Needs ``seq``, unique within a key (a repeated one fails the job), and ``ts``.  Only key, seq and time go through
-    the limiter; the rows meet their verdicts in a join on (key, seq), which no hot key
-    can skew.
+    Needs ``ts`` and ``seq``, unique within a key (a repeated one fails the job); with a column
+    ``origin`` it is unique within an origin of the key, and origins are merged by time.  ``since``
+    is explained at ``decisions``.  Only key, order and times go through the limiter; the rows
+    meet their verdicts in a join, which no hot key can skew.
     One bucket for everything is ``key=F.lit("")``.
     """
     column = F.col(key) if isinstance(key, str) else key
     keyed = events.withColumn("limiter_key", F.coalesce(column.cast("string"), F.lit("")))
-    verdicts = decisions(
-        keyed.select(F.col("limiter_key").alias("key"), "seq", "ts"), rate, burst, block_rows
-    ).withColumnRenamed("key", "limiter_key")
-    return keyed.join(verdicts, ["limiter_key", "seq"])
+    times = [c for c in ("ts", "since") if c in events.columns]
+    arrivals = keyed.select(F.col("limiter_key").alias("key"), "seq", *times)
+    if "origin" not in events.columns:
+        verdicts = decisions(arrivals, rate, burst, block_rows).withColumnRenamed("key", "limiter_key")
+        return keyed.join(verdicts, ["limiter_key", "seq"])
+    named = F.coalesce("origin", F.lit("")).alias("origin")
+    ordered = _in_arrival_order(keyed.select(F.col("limiter_key").alias("key"), named, "seq", *times))
+    passed = decisions(
+        ordered.select("key", F.col("_order").alias("seq"), *times), rate, burst, block_rows
+    ).select(F.col("seq").alias("_order"), "allowed")
+    verdicts = ordered.join(passed, "_order").select(
+        F.col("key").alias("limiter_key"), F.col("origin").alias("_origin"), "seq", "allowed"
+    )
+    keyed = keyed.withColumn("_origin", F.coalesce("origin", F.lit("")))
+    return keyed.join(verdicts, ["limiter_key", "_origin", "seq"]).drop("_origin")
 
 
 def limiter_stats(limited: DataFrame, key: str = "limiter_key") -> DataFrame:

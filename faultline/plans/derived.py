@@ -268,6 +268,14 @@ FROM @events
 ARRIVALS_SPARK = ARRIVALS.format(micros="unix_micros(CAST(ts AS TIMESTAMP)) div 2000")
 ARRIVALS_DUCKDB = ARRIVALS.format(micros="epoch_us(ts) // 2000")
 
+# The same arrivals, seen in batches of a minute: 250 events, each come since the batch before.
+BATCH_MICROS = 60_000_000
+BATCHED_ARRIVALS = """
+SELECT CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE event_type END AS source, event_id AS seq,
+  CAST(floor(event_id / 250) AS BIGINT) + CASE WHEN event_id >= 2000 THEN 7 ELSE 0 END AS batch
+FROM @events
+"""
+
 # Retry queue: one per document source, with failing and unreadable entries.
 QUEUE = """
 SELECT source AS queue, doc_id AS seq, octet_length({text}) AS bytes,

@@ -19,7 +19,7 @@ from faultline.operators.ratelimit import (
 from faultline.operators.recombine import recombine, with_stream_key
 from faultline.session import configure, materialise
 from faultline.sources.sinks import write_events
-from faultline.streaming.limiter import rate_limit_stream
+from faultline.streaming.limiter import BatchLimiter
 from faultline.streaming.records import DEFAULT_IDLE_MS, recombine_stream
 from faultline.streaming.sink import batch_writer
 
@@ -108,20 +108,23 @@ def start_stream(
 ) -> StreamingQuery:
     """Start the same work on a streaming RAW_LOG.
 
-    The limiter takes an event as arrived when its batch is worked on, whatever time its
-    record claims.  Open records and buckets live in the state store; each batch of
-    events has its own folder under ``path``, so a batch that is run again is not
+    The limiter takes the events of a batch as arrived since the batch before, whatever times
+    their records claim, so a stream under its ``rate`` loses none however long the batches are.
+    Open records live in the state store, buckets beside it under ``checkpoint``; each batch
+    of events has its own folder under ``path``, so a batch that is run again is not
     delivered twice.
     """
     configure(raw.sparkSession)
     records = recombine_stream(with_stream_key(raw), rule, idle_ms)
     found = scrub_and_extract(records, redactions, custom_redactions, layers, keywords)
     events = assemble(found, project_id).withColumn("ts", F.current_timestamp())
-    limited = rate_limit_stream(events, "stream_key", rate, burst)
+    limiter = BatchLimiter(f"{checkpoint.rstrip('/')}-limiter", "stream_key", rate, burst, trigger_ms)
+
+    def limit(batch: DataFrame, batch_id: int) -> DataFrame:
+        return limiter(batch, batch_id).where("allowed").drop("allowed", "limiter_key", "ts")
+
     return (
-        limited.where("allowed")
-        .drop("allowed", "limiter_key", "ts")
-        .writeStream.foreachBatch(batch_writer(path))
+        events.writeStream.foreachBatch(batch_writer(path, through=limit))
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(processingTime=f"{trigger_ms} milliseconds")

@@ -715,6 +715,22 @@ oracle(
 oracle(
     "rate_limit_streaming", f"WITH {LIMITED} SELECT source AS limiter_key, seq, allowed FROM steps"
 )
+# Batch by batch: what a key has left, with the minute's refill, lets so many of its events pass.
+_TOKEN, _FULL, _MINUTE = 1_000_000, Q.LIMIT["burst"] * 1_000_000, Q.LIMIT["rate"] * D.BATCH_MICROS
+oracle(
+    "rate_limit_batches",
+    f"""WITH RECURSIVE arrivals AS ({duckdb_text(D.BATCHED_ARRIVALS)}),
+    counted AS (SELECT source, batch, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY batch) AS i
+        FROM arrivals GROUP BY source, batch),
+    buckets(source, batch, i, tokens, n) AS (
+        SELECT source, batch, i, CAST({_FULL + _MINUTE} AS BIGINT), n FROM counted WHERE i = 1
+        UNION ALL
+        SELECT c.source, c.batch, c.i, CAST(least({_FULL}, b.tokens - least(b.n, b.tokens // {_TOKEN}) * {_TOKEN}
+            + (c.batch - b.batch - 1) * {_MINUTE}) + {_MINUTE} AS BIGINT), c.n
+        FROM buckets b JOIN counted c ON c.source = b.source AND c.i = b.i + 1)
+    SELECT source AS limiter_key, batch, seq, row_number() OVER (PARTITION BY source, batch ORDER BY seq)
+        <= tokens // {_TOKEN} AS allowed FROM arrivals JOIN buckets USING (source, batch)""",
+)
 oracle("limiter_stats", f"WITH {LIMITED} SELECT limiter_key, allowed, dropped FROM {STATS}")
 oracle(
     "sample_rate",

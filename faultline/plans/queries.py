@@ -648,6 +648,20 @@ def rate_limit_streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limited.select("limiter_key", "seq", "allowed")
 
 
+@query
+def rate_limit_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals of which only their batch of a minute is known."""
+
+    def start(batch: Column) -> Column:
+        return F.timestamp_micros(batch * D.BATCH_MICROS)
+
+    arrivals = derive(spark, sf_dir, D.BATCHED_ARRIVALS).withColumns(
+        {"since": start(F.col("batch")), "ts": start(F.col("batch") + 1)}
+    )
+    limited = ratelimit.rate_limit(arrivals, "source", **LIMIT, block_rows=1000)
+    return limited.select("limiter_key", "batch", "seq", "allowed")
+
+
 @query
 def limiter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = ratelimit.limiter_stats(_limited(spark, sf_dir))

@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from faultline.session import checkpoint_root
 
 
-def batch_writer(path: str, file_format: str = "parquet") -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that gives each batch its own folder.
+def batch_writer(
+    path: str,
+    file_format: str = "parquet",
+    through: Callable[[DataFrame, int], DataFrame] = lambda batch, _: batch,
+) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that gives each batch, taken ``through`` a function, its own folder.
 
     A batch that is run again after a failure replaces its folder, so nothing is
     delivered twice.  The folder also carries the query's id, which lives in the
@@ -24,7 +28,7 @@ def batch_writer(path: str, file_format: str = "parquet") -> Callable[[DataFrame
         batch = batch.persist()
         try:
             if batch.take(1):
-                batch.write.mode("overwrite").format(file_format).save(f"{path}/run={run}/batch={batch_id}")
+                through(batch, batch_id).write.mode("overwrite").format(file_format).save(f"{path}/run={run}/batch={batch_id}")
         finally:
             batch.unpersist()
 

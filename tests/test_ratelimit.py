@@ -138,3 +138,65 @@ def test_repeated_seq_fails_loudly(spark):
     df = spark.createDataFrame([("k", 1), ("k", 1)], "source string, seq bigint").withColumn("ts", F.lit("2026-01-01").cast("timestamp"))
     with pytest.raises(Exception, match="seq repeats"):
         rate_limit(df).collect()
+
+
+def spread_bucket(batches, rate, burst):
+    """How many of each batch pass a bucket capped when the batch's time began; times in microseconds."""
+    tokens, last, out = Fraction(burst), None, []
+    for since, now, n in batches:
+        if last is not None:
+            tokens = min(Fraction(burst), tokens + Fraction(rate * (since - last), 10**6))
+        tokens += Fraction(rate * (now - since), 10**6)
+        passed = min(n, int(tokens))
+        tokens, last = min(Fraction(burst), tokens - passed), now
+        out.append(passed)
+    return out
+
+
+def decided(batches, rate, burst, size):
+    """Passed events of each batch through ``decide``, in blocks of ``size`` carried on by their steps."""
+    token, refill = units(rate)
+    events = [(since, now, b) for b, (since, now, n) in enumerate(batches) for _ in range(n)]
+    barriers = [token * (k + 1) - refill * now for k, (_, now, _) in enumerate(events)]
+    slacks = [token * (burst - 1) + refill * (now - since) for since, now, _ in events]
+    state, out = None, [0] * len(batches)
+    for at in range(0, len(events), size):
+        part = slice(at, at + size)
+        verdicts, after = decide(state, barriers[part], slacks[part], token)
+        state = run_steps(state, summarise(barriers[part], slacks[part], token), token)
+        assert state == after
+        for (_, _, b), passed in zip(events[part], verdicts):
+            out[b] += passed
+    return out
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_batches_use_the_refill_of_their_time(seed):
+    rng = random.Random(seed)
+    rate, burst = rng.choice([(1, 1), (7, 5), (100, 500), (3, 40)])
+    now, batches = 10**15, []
+    for _ in range(12):
+        since = now + rng.choice([0, 0, 0, 90_000_000])
+        now = since + rng.choice([10**6, 60_000_000])
+        batches.append((since, now, rng.randint(0, 3 * rate * 60)))
+    assert decided(batches, rate, burst, rng.randint(1, 999)) == spread_bucket(batches, rate, burst)
+
+
+def test_a_steady_stream_in_long_batches_loses_nothing():
+    minute = 60_000_000
+    steady = [(k * minute, (k + 1) * minute, 50 * 60) for k in range(10)]
+    assert sum(decided(steady, 100, 500, 4096)) == 30_000
+    flood = decided([(since, now, 200 * 60) for since, now, _ in steady], 100, 500, 4096)
+    assert flood == [6500] + [6000] * 9
+
+
+def test_origins_of_a_key_are_merged_by_time(spark):
+    rows = [("k", "a", i, T0 + dt.timedelta(seconds=i)) for i in range(40)]
+    rows += [("k", "b", i, T0 + dt.timedelta(seconds=i, milliseconds=500)) for i in range(40)] + [("k", None, 0, None)]
+    events = spark.createDataFrame(rows, "source string, origin string, seq long, ts timestamp")
+    got = rate_limit(events.repartition(5), rate=1, burst=3, block_rows=7)
+    assert set(got.columns) == {"limiter_key", "seq", "source", "origin", "ts", "allowed"}
+    order = sorted(rows, key=lambda r: (r[3] or dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc), r[1] or "", r[2]))
+    times = [int((r[3].timestamp() if r[3] else 0) * 10**6) for r in order]
+    want = {(r[1], r[2]): v for r, v in zip(order, bucket(times, 1, 3))}
+    assert {(r.origin, r.seq): r.allowed for r in got.collect()} == want

@@ -8,7 +8,7 @@ import pytest
 from faultline.operators.ratelimit import rate_limit
 from faultline.operators.recombine import recombine
 from faultline.sources.text import file_source
-from faultline.streaming.limiter import rate_limit_stream
+from faultline.streaming.limiter import BatchLimiter, rate_limit_stream
 from faultline.streaming.records import recombine_stream
 from faultline.sources.containers import container_source
 from faultline.sources.otlp import otlp_source
@@ -175,3 +175,28 @@ def test_a_new_checkpoint_erases_nothing(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out") + "/*/*").count() == 4
     run_available(file_source(spark, str(tmp_path / "in"), streaming=True), str(tmp_path / "out"), str(tmp_path / "first"))
     assert spark.read.parquet(str(tmp_path / "out") + "/*/*").count() == 4
+
+
+def test_batch_limiter(spark, tmp_path):
+    """Batches of a minute: a steady stream passes whole, a flood at the rate, a batch run again the same."""
+    limiter = BatchLimiter(str(tmp_path / "buckets"), "stream_key", rate=100, burst=500, trigger_ms=60_000, clock=lambda: 0)
+
+    def passed(batch, minute, counts):
+        now = T0 + dt.timedelta(minutes=minute)
+        rows = [(k, i, now) for k, n in counts.items() for i in range(n)]
+        got = limiter(spark.createDataFrame(rows, "stream_key string, seq long, ts timestamp").persist(), batch)
+        seqs = {}
+        for r in got.where("allowed").collect():
+            seqs.setdefault(r.stream_key, []).append(r.seq)
+        assert all(sorted(v) == list(range(len(v))) for v in seqs.values())
+        return {k: len(v) for k, v in seqs.items()}
+
+    assert passed(0, 0, {"backlog": 3000}) == {"backlog": 500}
+    for batch in range(1, 6):
+        got = passed(batch, batch, {"steady": 3000, "flood": 12_000, None: 1})
+        assert got == {"steady": 3000, "flood": 6500 if batch == 1 else 6000, None: 1}
+        assert passed(batch, batch, {"steady": 3000, "flood": 12_000}) == {k: v for k, v in got.items() if k}
+    # Nothing for an hour: what comes then has come within one trigger.
+    assert passed(6, 66, {"steady": 50_000, "new": 50_000}) == {"steady": 6500, "new": 6500}
+    assert passed(7, 67, {}) == {}
+    assert passed(8, 67, {"steady": 7000}) == {"steady": 6000}
