@@ -13,6 +13,7 @@ from faultline.functions.text import blank_to_null, let
 from faultline.operators.fallback import KEYWORDS, fallback_event, has_keyword
 from faultline.operators.json_events import json_event
 from faultline.operators.redact import redact
+from faultline.operators.scan import with_totals_before
 from faultline.operators.traces import (
     go_event,
     java_event,
@@ -109,6 +110,24 @@ def event_id(stream_key: Column, seq: Column, ts: Column, text: Column) -> Colum
     )
 
 
+def event_ids(events: DataFrame) -> DataFrame:
+    """Events with ``event_id``, which no other file and no cut of a file changes.
+
+    Where ``seq`` counts inside an ``origin`` of a batch it is a row id, which depends on what else
+    is read.  The id then is that of the stream, origin, time and text, and of how many
+    like it came before.
+    """
+    if "origin" not in events.columns:
+        return events.withColumn("event_id", event_id(F.col("stream_key"), F.col("seq"), F.col("ts"), F.col("line")))
+    place = F.concat_ws("\x1f", "stream_key", F.coalesce("origin", F.lit("")))
+    if events.isStreaming:
+        return events.withColumn("event_id", event_id(place, F.col("seq"), F.col("ts"), F.col("line")))
+    alike = F.sha2(F.concat_ws("\x1f", place, F.unix_micros("ts").cast("string"), "line"), 256)
+    told = with_totals_before(events.withColumn("_alike", alike), ["_alike"], "seq", sums={"_nth": F.lit(1)})
+    found = event_id(F.col("_alike"), F.col("_nth"), F.lit(None).cast("timestamp"), F.lit(""))
+    return told.withColumn("event_id", found).drop("_alike", "_nth")
+
+
 def extract(
     records: DataFrame,
     layers: Sequence[Layer] = LAYERS,
@@ -156,7 +175,7 @@ def assemble(events: DataFrame, project_id: str, arrival: bool = False) -> DataF
     """
     e = F.col("event")
     columns = {
-        "event_id": event_id(F.col("stream_key"), F.col("seq"), F.col("ts"), F.col("line")),
+        "event_id": F.col("event_id"),
         "timestamp": F.coalesce(e["own_ts"], F.col("ts")),
         "project_id": F.lit(project_id),
         "platform": e["platform"],
@@ -169,6 +188,7 @@ def assemble(events: DataFrame, project_id: str, arrival: bool = False) -> DataF
         "tags": merge_tags(e["tags"], e["parser"], F.col("tags"), F.col("source")),
     }
     arrived = [F.col("ts").alias("arrived_at")] if arrival else []
-    return events.select(
-        "stream_key", "seq", *arrived, *(columns[name].alias(name) for name in ENVELOPE_COLUMNS)
+    origin = ["origin"] if "origin" in events.columns else []
+    return event_ids(events).select(
+        "stream_key", *origin, "seq", *arrived, *(columns[name].alias(name) for name in ENVELOPE_COLUMNS)
     )

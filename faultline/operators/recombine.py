@@ -143,15 +143,17 @@ def recombine(
     """Join the lines of each stream into records.
 
     ``lines`` has ``stream_key, seq, ts, line`` and any further columns; ``seq``
-    is unique within a stream.  The result has one row per record: the columns of
+    is unique within a stream or, with a column ``origin``, within an origin of it: a record
+    then lies in one origin.  The result has one row per record: the columns of
     the record's first line, with ``line`` the whole text and ``n_lines`` added.
     With ``idle_ms`` a pause that long also ends a record.
     """
     continues = RULES[rule] if isinstance(rule, str) else rule
-    carried = [c for c in lines.columns if c not in ("stream_key", "line")]
+    keys = ["stream_key", *(["origin"] if "origin" in lines.columns else [])]
+    carried = [c for c in lines.columns if c not in (*keys, "line")]
     rows = lines.withColumns(
         {
-            "stream_key": F.coalesce("stream_key", F.lit("")),
+            **{key: F.coalesce(key, F.lit("")) for key in keys},
             "line": F.rtrim(F.coalesce("line", F.lit("")), F.lit("\n")),
             "_bucket": bucket_of(F.col("seq"), bucket_rows),
         }
@@ -159,7 +161,7 @@ def recombine(
 
     # Fragments: islands inside one bucket.  The first line of a bucket opens
     # fragment 0 without a verdict; its predecessor is in another bucket.
-    inside = Window.partitionBy("stream_key", "_bucket").orderBy("seq")
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("seq")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = (
         rows.withColumns(
@@ -185,7 +187,7 @@ def recombine(
     first = F.min_by(F.struct(*carried), "seq").alias("_first")
     fragments = (
         cut.where("_fragment > 0")
-        .groupBy("stream_key", "_bucket", "_fragment")
+        .groupBy(*keys, "_bucket", "_fragment")
         .agg(
             F.expr(r"listagg(line, '\n') WITHIN GROUP (ORDER BY seq)").alias("_text"),
             F.count("*").alias("n_lines"),
@@ -196,7 +198,7 @@ def recombine(
     # One row per bucket: its fragment 0, the line that opens and the one that ends it.
     head_text = r"listagg(CASE WHEN _fragment = 0 THEN line END, '\n') WITHIN GROUP (ORDER BY seq)"
     buckets = (
-        cut.groupBy("stream_key", "_bucket")
+        cut.groupBy(*keys, "_bucket")
         .agg(
             F.expr(head_text).alias("_text"),
             F.count_if(F.col("_fragment") == 0).alias("n_lines"),
@@ -206,14 +208,14 @@ def recombine(
             F.max("_fragment").alias("_last_fragment"),
         )
         .select(
-            "stream_key",
+            *keys,
             "_bucket",
             F.struct("_text", "n_lines", "_first", "_opening").alias("_head"),
             "_end",
             "_last_fragment",
         )
     )
-    across = Window.partitionBy("stream_key").orderBy("_bucket")
+    across = Window.partitionBy(*keys).orderBy("_bucket")
     placed = (
         buckets.withColumn("_before", F.lag("_end").over(across))
         .withColumn(
@@ -261,9 +263,9 @@ def recombine(
         .otherwise(F.array(moves))
     )
     homes = (
-        placed.select("stream_key", F.explode(roles).alias("_role"))
-        .select("stream_key", "_role.*")
-        .groupBy("stream_key", "_bucket")
+        placed.select(*keys, F.explode(roles).alias("_role"))
+        .select(*keys, "_role.*")
+        .groupBy(*keys, "_bucket")
         .agg(
             F.expr(r"listagg(_text, '\n') WITHIN GROUP (ORDER BY _from)").alias("_tail"),
             F.sum("_lines").alias("_tail_lines"),
@@ -276,10 +278,10 @@ def recombine(
     records = [
         # Homes are joined by (stream, bucket), as the fragments are partitioned.
         fragments.where("_fragment > 0").join(
-            homes.drop("_head"), ["stream_key", "_bucket"], "left"
+            homes.drop("_head"), [*keys, "_bucket"], "left"
         ),
         homes.where(F.col("_head").isNotNull()).select(
-            "stream_key",
+            *keys,
             F.lit(0).cast("bigint").alias("_fragment"),
             "_last_fragment",
             "_tail",
@@ -289,7 +291,7 @@ def recombine(
     ]
     finished = [
         part.select(
-            "stream_key",
+            *keys,
             *(F.col(f"_first.{c}").alias(c) for c in carried),
             F.concat_ws("\n", "_text", F.when(grows, F.col("_tail"))).alias("line"),
             (

@@ -524,6 +524,19 @@ oracle(
     SELECT source, stream_key, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars
     FROM raw GROUP BY ALL""",
 )
+oracle(
+    "shared_names",
+    f"""WITH {LOGS}, {JOURNAL}, {CONTAINER_LINES}, shared AS (
+    SELECT stream_key AS name, config AS origin, seq, line FROM logs, (VALUES ('0'), ('4')) AS c(config)
+    UNION ALL SELECT concat('journald:', unit), config, seq, line FROM journal, (VALUES ('1'), ('3')) AS c(config)
+    UNION ALL SELECT 'docker:app', concat('2', container_id), line_no, line FROM lines),
+    one_each AS (SELECT concat(name, chr(31), origin) AS stream_key, seq, TIMESTAMP '1970-01-01' AS ts,
+        '' AS file_path, rtrim(coalesce(line, ''), {NL}) AS line FROM shared),
+    {records(logs="one_each")}
+    SELECT string_split(stream_key, chr(31))[1] AS stream_key, count(*) AS records,
+    count(DISTINCT string_split(stream_key, chr(31))[2]) AS origins, CAST(sum(n_lines) AS BIGINT) AS lines,
+    CAST(sum(length(line)) AS BIGINT) AS chars FROM records GROUP BY 1""",
+)
 oracle(
     "source_tree_paths",
     f"""SELECT path FROM ({duckdb_text(D.TREE_PATHS)}) WHERE regexp_matches(path, '\\.py$') AND NOT
@@ -700,8 +713,7 @@ oracle(
 )
 oracle(
     "recombine_streaming",
-    f"""WITH {LOGS}, {records()} SELECT {RECORD_COLUMNS} FROM records
-    QUALIFY seq < max(seq) OVER (PARTITION BY stream_key)""",
+    f"WITH {LOGS}, {records()} SELECT {RECORD_COLUMNS} FROM records",
 )
 oracle(
     "rate_limit",

@@ -46,7 +46,7 @@ from faultline.sources.sinks import envelope_json
 from faultline.sources.text import file_source
 from faultline.sources.union import union_sources
 from faultline.streaming.limiter import rate_limit_stream
-from faultline.streaming.records import recombine_stream
+from faultline.streaming.records import recombine_to_the_end
 from faultline.streaming.sink import collect_available
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -279,6 +279,27 @@ def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def shared_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams that several origins share: containers of one name, two journals, the same files twice."""
+    readers = {
+        "file": lambda s, c: log_lines(s, sf_dir),
+        "journald": lambda s, c: _journal(s, sf_dir),
+        "docker": lambda s, c: containers.container_source(
+            derive(s, sf_dir, D.CONTAINER_CHUNKS_SPARK, heavy=True).withColumn("names", F.array(F.lit("/app")))
+        ),
+    }
+    raw = union_sources(spark, [{"type": t} for t in ("file", "journald", "docker", "journald", "file")], readers)
+    records = recombine(with_stream_key(raw), bucket_rows=1000)
+    limited = ratelimit.rate_limit(records, "stream_key", rate=100, burst=50, block_rows=1000)
+    return limited.groupBy("stream_key").agg(
+        F.count("*").alias("records"),
+        F.count_distinct("origin").alias("origins"),
+        F.sum("n_lines").alias("lines"),
+        long(F.sum(F.length("line"))).alias("chars"),
+    )
+
+
 @query
 def source_tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = derive(spark, sf_dir, D.TREE_PATHS)
@@ -617,9 +638,9 @@ def _derive_stream(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 @query
 def recombine_streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed records of the stream; the last one of each stream is still open."""
+    """All records of the stream; the last ones close when a watermark passes its end."""
     lines = _derive_stream(spark, sf_dir, D.LOG_LINES).select("stream_key", "seq", "ts", "line")
-    return _record_columns(collect_available(spark, recombine_stream(lines, time_mode="None")))
+    return _record_columns(recombine_to_the_end(lines))
 
 
 def _limited(spark: SparkSession, sf_dir: str) -> DataFrame:

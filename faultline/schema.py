@@ -6,7 +6,8 @@ from pyspark.sql import types as T
 
 TAGS = T.MapType(T.StringType(), T.StringType())
 
-# One record of any log source.  ``seq`` is the arrival order within a stream.
+# One record of any log source.  ``seq`` is the arrival order within a stream, or within an
+# ``origin`` where that column is there too.
 RAW_LOG = T.StructType(
     [
         T.StructField("source", T.StringType()),
@@ -17,6 +18,10 @@ RAW_LOG = T.StructType(
     ]
 )
 
+# The file, container or the like that a record was read from, as every reader of this package
+# tells; several origins may share the name of a stream.
+ORIGIN = T.StructField("origin", T.StringType())
+
 FRAME = T.StructType(
     [
         T.StructField("filename", T.StringType()),

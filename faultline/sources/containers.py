@@ -125,6 +125,7 @@ def container_source(chunks: DataFrame, excluded: Sequence[str] = ()) -> DataFra
     return raw_log(
         lines.select(
             F.lit("docker").alias("source"),
+            F.col("_container.container_id").cast("string").alias("origin"),
             F.col("line_no").alias("seq"),
             (F.col("ts") if timed else F.lit(None)).alias("ts"),
             "line",

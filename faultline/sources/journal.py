@@ -33,9 +33,12 @@ def keeps_unit(unit: Column, units: Sequence[str] = ()) -> Column:
 def decode_journal(entries: DataFrame, units: Sequence[str] = ()) -> DataFrame:
     """RAW_LOG of entries given as ``seq, ts, line``; ``ts`` is the arrival time.
 
+    With ``file_path``, ``seq`` counts inside a file.
+
     Entries that are not one JSON object, or whose message is not a non-empty
     string, are left out.
     """
+    origin = [F.col("file_path").alias("origin")] if "file_path" in entries.columns else []
     parsed = with_once(entries, "entry", parse_object(F.col("line"))).where(
         F.col("entry").isNotNull()
     )
@@ -49,11 +52,12 @@ def decode_journal(entries: DataFrame, units: Sequence[str] = ()) -> DataFrame:
         F.coalesce(string_field(entry, "PRIORITY"), empty).alias("priority"),
         string_field(entry, "__REALTIME_TIMESTAMP").alias("micros"),
     )
-    fields = with_once(parsed, "fields", read).select("seq", "ts", "fields.*")
+    fields = with_once(parsed, "fields", read).select("seq", "ts", *origin, "fields.*")
     kept = fields.where(keeps_unit(F.col("unit"), units) & (F.col("line") != ""))
     return raw_log(
         kept.select(
             F.lit("journald").alias("source"),
+            *(["origin"] if origin else []),
             "seq",
             F.coalesce(realtime(F.col("micros")), F.col("ts")).alias("ts"),
             "line",

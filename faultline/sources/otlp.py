@@ -283,9 +283,11 @@ def flatten_requests(requests: DataFrame) -> DataFrame:
     """Log records of requests given as ``seq, ts, payload``, one row each.
 
     The result is RAW_LOG, with the request's ``seq``, and ``place``, the record's
-    position in its request.  ``ts`` is the arrival time.
+    position in its request.  ``ts`` is the arrival time.  With ``file_path``, ``seq`` counts
+    inside a file.
     """
     decoded = with_once(requests, "request", decode_request(F.col("payload")))
+    origin = [F.col("file_path").alias("origin")] if "file_path" in requests.columns else []
 
     def of_scope(scope_logs: Column, tags: Column) -> Column:
         return F.transform(
@@ -306,10 +308,11 @@ def flatten_requests(requests: DataFrame) -> DataFrame:
 
     groups = F.transform(F.col("request.resourceLogs"), of_resource)
     records = F.flatten(F.filter(groups, lambda g: g.isNotNull()))
-    rows = decoded.select("seq", "ts", F.posexplode(records).alias("place", "r"))
+    rows = decoded.select("seq", "ts", *origin, F.posexplode(records).alias("place", "r"))
     record = F.col("r.record")
     return rows.select(
         F.lit("otel").alias("source"),
+        *(["origin"] if origin else []),
         "seq",
         record_time(record["timeUnixNano"], F.col("ts")).alias("ts"),
         any_value_text(record["body"]).alias("line"),
@@ -322,8 +325,9 @@ def otlp_source(
     spark: SparkSession, paths: str | list[str], streaming: bool = False
 ) -> DataFrame:
     """RAW_LOG of files that hold one request per line."""
-    requests = read_text_files(spark, paths, streaming).withColumnRenamed("line", "payload")
+    requests = read_text_files(spark, paths, streaming, numbered=False).withColumnRenamed("line", "payload")
     records = raw_log(flatten_requests(requests))
     if streaming:
-        return number_stream_rows(records)
+        # A request takes more bytes than it has records, as a line does than it is one.
+        return number_stream_rows(records, "origin")
     return records.withColumn("seq", F.monotonically_increasing_id())

@@ -65,6 +65,7 @@ def decode_pod_lines(
     return raw_log(
         found.select(
             F.lit("kubernetes").alias("source"),
+            F.col("file_path").alias("origin"),
             "seq",
             "ts",
             line.alias("line"),

@@ -8,12 +8,13 @@ from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from faultline.sources.containers import container_source
 from faultline.sources.journal import journal_source
 from faultline.sources.otlp import otlp_source
 from faultline.sources.pods import DEFAULT_ROOT, pod_source
-from faultline.sources.text import file_source
+from faultline.sources.text import file_source, raw_log
 from faultline.streaming.containers import CHUNK_SCHEMA, container_stream
 
 LOG = logging.getLogger(__name__)
@@ -56,18 +57,23 @@ def union_sources(
 ) -> DataFrame:
     """RAW_LOG of all enabled sources; unknown types are skipped with a warning.
 
+    ``origin`` begins with the number of the config, so ``seq`` is unique in an origin whatever
+    the sources share.
+
     Sources are read once, or as streams where every config says ``streaming``.
     """
     known = {**READERS, **(readers or {})}
     logs = []
-    for config in configs:
+    for number, config in enumerate(configs):
         if not config.get("enabled", True):
             continue
         reader = known.get(config["type"])
         if reader is None:
             LOG.warning("unknown source type %s, skipped", config["type"])
             continue
-        logs.append(reader(spark, config))
+        # Two configs may name the same file, or number their rows alike.
+        origin = F.concat(F.lit(f"{number}:"), F.coalesce("origin", F.lit("")))
+        logs.append(raw_log(reader(spark, config)).withColumn("origin", origin))
     if not logs:
         raise ValueError("no sources configured")
     return reduce(DataFrame.unionByName, logs)

@@ -83,6 +83,7 @@ def container_stream(chunks: DataFrame, excluded: Sequence[str] = ()) -> DataFra
     return raw_log(
         lines.select(
             F.lit("docker").alias("source"),
+            F.col("container_id").alias("origin"),
             F.col("line_no").alias("seq"),
             F.timestamp_micros("micros").alias("ts"),
             "line",

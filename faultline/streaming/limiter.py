@@ -123,6 +123,7 @@ class BatchLimiter:
         self.path, self.key, self.trigger, self.clock = path, key, trigger_ms * 1000, clock
         self.token, self.refill = units(rate)
         self.full = self.token * burst
+        self.held: DataFrame | None = None
 
     def _before(self, batch: DataFrame, batch_id: int) -> tuple[DataFrame, str, int | None, int | None]:
         """Buckets after the last batch, the folder free to be written, when that batch began and ended."""
@@ -162,6 +163,9 @@ class BatchLimiter:
             .select("limiter_key", F.coalesce("_n", F.lit(0)).alias("_n"), tokens.cast("decimal(38,0)").alias("_tokens"))
             .withColumn("_passed", F.least("_n", F.call_function("div", F.col("_tokens"), F.lit(self.token)).cast("long")))
         ).persist()
+        if self.held is not None:  # those of the batch before
+            self.held.unpersist()
+        self.held = buckets
         left = F.least(F.col("_tokens") - F.col("_passed") * F.lit(self.token), F.lit(self.full))
         after = buckets.select("limiter_key", left.cast("decimal(38,0)").alias("level")).where(F.col("level") < self.full)
         mark = batch.sparkSession.range(1).select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -16,8 +17,12 @@ from pyspark.sql.streaming.stateful_processor import (
 )
 
 from faultline.operators.recombine import RULES, Rule
+from faultline.session import checkpoint_root
+from faultline.streaming.sink import run_available
 
 DEFAULT_IDLE_MS = 500
+#: Stream and time of the line that ends a stream; no stream key has a zero character.
+END_KEY, END_TIME = "\0end", "9999-01-01 00:00:00"
 JSON_OPTIONS = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
     "ignoreNullFields": "false",
@@ -30,7 +35,8 @@ class OpenRecord(StatefulProcessor):
     The continuation rule is worked out before, on the JVM, as three flags per line.
     """
 
-    def __init__(self, gap_ms: int | None, idle_ms: int | None, time_mode: str):
+    def __init__(self, keys: list[str], gap_ms: int | None, idle_ms: int | None, time_mode: str):
+        self.keys = keys
         self.gap_ms = gap_ms
         self.idle_ms = idle_ms
         self.time_mode = time_mode
@@ -49,7 +55,8 @@ class OpenRecord(StatefulProcessor):
         self.lines = handle.getListState("lines", line)
 
     def _emit(self, key: Any, first: str, lines: list[str]) -> Row:
-        return Row(stream_key=key[0], first=first, line="\n".join(lines), n_lines=len(lines))
+        named = dict(zip(self.keys, key))
+        return Row(**named, first=first, line="\n".join(lines), n_lines=len(lines))
 
     def handleInputRows(
         self, key: Any, rows: Iterator[Row], timerValues: TimerValues
@@ -104,7 +111,7 @@ def recombine_stream(
     rule: str | Rule = "universal",
     idle_ms: int | None = DEFAULT_IDLE_MS,
     time_mode: str = "ProcessingTime",
-    event_gaps: bool = False,
+    event_gaps: bool | None = None,
 ) -> DataFrame:
     """Records of a streaming ``lines``, with the columns ``recombine`` gives.
 
@@ -112,19 +119,21 @@ def recombine_stream(
     quiet stream ends ``idle_ms`` later: by the clock, or with
     ``time_mode="EventTime"`` when the watermark on ``ts`` passes that; with
     ``time_mode="None"`` it stays open.  ``event_gaps`` also ends a record at a pause
-    that long between the times of two lines, as the batch operator does.
+    that long between the times of two lines, as the batch operator does; in event time
+    that is the default.
 
     A batch of one stream is sorted in memory, so size the batches with
     ``maxFilesPerTrigger`` or its like.
     """
     flags = RULES[rule] if isinstance(rule, str) else rule
-    carried = [c for c in lines.columns if c not in ("stream_key", "line")]
+    keys = ["stream_key", *(["origin"] if "origin" in lines.columns else [])]
+    carried = [c for c in lines.columns if c not in (*keys, "line")]
     line = F.rtrim(F.coalesce("line", F.lit("")), F.lit("\n"))
     # The first line's columns pass through the state as one text.
     carried_type = lines.select(*carried).schema
     first = F.to_json(F.struct(*carried), JSON_OPTIONS)
     rows = lines.select(
-        F.coalesce("stream_key", F.lit("")).alias("stream_key"),
+        *(F.coalesce(key, F.lit("")).alias(key) for key in keys),
         F.col("seq").alias("seq"),
         first.alias("first"),
         line.alias("line"),
@@ -139,15 +148,16 @@ def recombine_stream(
     )
     output = T.StructType(
         [
-            T.StructField("stream_key", T.StringType()),
+            *(T.StructField(key, T.StringType()) for key in keys),
             T.StructField("first", T.StringType()),
             T.StructField("line", T.StringType()),
             T.StructField("n_lines", T.LongType()),
         ]
     )
-    gap_ms = idle_ms if event_gaps or time_mode == "EventTime" else None
-    processor = OpenRecord(gap_ms, idle_ms, time_mode)
-    records = rows.groupBy("stream_key").transformWithState(
+    gaps = time_mode == "EventTime" if event_gaps is None else event_gaps
+    gap_ms = idle_ms if gaps else None
+    processor = OpenRecord(keys, gap_ms, idle_ms, time_mode)
+    records = rows.groupBy(*keys).transformWithState(
         statefulProcessor=processor,
         outputStructType=output,
         outputMode="Append",
@@ -155,5 +165,33 @@ def recombine_stream(
     )
     decoded = records.withColumn("first", F.from_json("first", carried_type, JSON_OPTIONS))
     return decoded.select(
-        "stream_key", *(F.col(f"first.{c}").alias(c) for c in carried), "line", "n_lines"
+        *keys, *(F.col(f"first.{c}").alias(c) for c in carried), "line", "n_lines"
     )
+
+
+def recombine_to_the_end(
+    lines: DataFrame,
+    rule: str | Rule = "universal",
+    idle_ms: int = DEFAULT_IDLE_MS,
+    event_gaps: bool = False,
+) -> DataFrame:
+    """All records of a streaming ``lines`` that has come to its end, as a written table.
+
+    The stream runs over all input there is, then once more over one line of the far future:
+    the watermark passes every timer, and the records still open close.  ``lines`` has no
+    watermark of its own.
+    """
+    spark = lines.sparkSession
+    folder = f"{checkpoint_root(spark)}/ended-{uuid.uuid4()}"
+    spark.createDataFrame([], lines.schema).write.parquet(f"{folder}/end")
+    end = spark.readStream.schema(lines.schema).parquet(f"{folder}/end")
+    timed = lines.unionByName(end).withWatermark("ts", "0 seconds")
+    records = recombine_stream(timed, rule, idle_ms, "EventTime", event_gaps)
+    run_available(records, f"{folder}/records", f"{folder}/checkpoint")
+    given = {"stream_key": F.lit(END_KEY), "ts": F.lit(END_TIME).cast("timestamp")}
+    last = [given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in lines.schema]
+    spark.range(1).select(*last).write.mode("append").parquet(f"{folder}/end")
+    run_available(records, f"{folder}/records", f"{folder}/checkpoint")
+    spark.createDataFrame([], records.schema).write.parquet(f"{folder}/records/run=none/batch=0")
+    found = spark.read.schema(records.schema).parquet(f"{folder}/records/*/*")
+    return found.where(F.col("stream_key") != END_KEY)

@@ -1,6 +1,7 @@
 """Whole jobs, from log files to delivered events."""
 
 import json
+import os
 import time
 
 import pytest
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from faultline.operators.layered import assemble, scrub_and_extract
 from faultline.plans.event_job import find_events, limit_events, run_batch, start_stream
 from faultline.sources.text import file_source
+from faultline.sources.union import union_sources
+from faultline.streaming.sink import collect_available
 
 LOG = """INFO started
 Traceback (most recent call last):
@@ -106,3 +109,49 @@ def test_stream(spark, logs, tmp_path):
     finally:
         query.stop()
     assert got == expected()
+
+
+def shared(spark, folder, files):
+    folder.mkdir(exist_ok=True)
+    for name, text in files.items():
+        (folder / name).write_text(text)
+        os.utime(folder / name, (10**9, 10**9))
+    return union_sources(spark, [{"type": "journald", "paths": [str(folder / "*.json")]}])
+
+
+def entry(unit, message):
+    return json.dumps({"_SYSTEMD_UNIT": unit, "MESSAGE": message}) + "\n"
+
+
+def test_origins_that_share_a_stream(spark, tmp_path):
+    """Two journals of one unit: no trace is torn, a rate fails no job, a new file changes no id."""
+    trace = "".join(entry("app", line) for line in ["panic: boom", "", "goroutine 1 [running]:", "main.f()", "\t/a.go:3"])
+    plain = "".join(entry("app", f"ERROR same {k % 2}") for k in range(6))
+    raw = shared(spark, tmp_path / "j", {"b.json": plain + trace, "c.json": trace + plain})
+    before = {r.event_id: r.message for r in find_events(raw, "p").collect()}
+    assert len(before) == 14
+    assert sorted(before.values()).count("panic: boom") == 2
+    raw = shared(spark, tmp_path / "j", {"a.json": plain * 50})
+    after = {r.event_id: r.message for r in find_events(raw, "p").collect()}
+    assert len(after) == 14 + 300 and before.items() <= after.items()
+    run_batch(raw, "p", str(tmp_path / "out"), rate=1, burst=20)
+    assert spark.read.text(str(tmp_path / "out")).count() == 20
+
+
+def test_stream_rows_are_numbered_in_their_file(spark, tmp_path):
+    """Positions rise along a file however it is split, also where every line is empty."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "empty.log").write_text("\n" * 5000)
+    (tmp_path / "in" / "a.log").write_text("".join(f"line {k}\n" for k in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = collect_available(spark, file_source(spark, str(tmp_path / "in"), streaming=True)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    for name, n in (("empty.log", 5000), ("a.log", 3000)):
+        own = sorted((r.seq, r.line) for r in got if r.origin.endswith("/" + name))
+        assert len({seq for seq, _ in own}) == n
+        if name == "a.log":
+            assert [line for _, line in own] == [f"line {k}" for k in range(n)]

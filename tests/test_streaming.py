@@ -9,7 +9,7 @@ from faultline.operators.ratelimit import rate_limit
 from faultline.operators.recombine import recombine
 from faultline.sources.text import file_source
 from faultline.streaming.limiter import BatchLimiter, rate_limit_stream
-from faultline.streaming.records import recombine_stream
+from faultline.streaming.records import recombine_stream, recombine_to_the_end
 from faultline.sources.containers import container_source
 from faultline.sources.otlp import otlp_source
 from faultline.sources.union import union_sources
@@ -200,3 +200,12 @@ def test_batch_limiter(spark, tmp_path):
     assert passed(6, 66, {"steady": 50_000, "new": 50_000}) == {"steady": 6500, "new": 6500}
     assert passed(7, 67, {}) == {}
     assert passed(8, 67, {"steady": 7000}) == {"steady": 6000}
+
+
+def test_the_end_closes_every_record(spark, parts):
+    """Nothing stays open: the same records as of a batch, with and without gaps."""
+    for gaps in (False, True):
+        batch = recombine(spark.read.schema(SCHEMA).parquet(parts), idle_ms=500 if gaps else None)
+        whole = spark.readStream.schema(SCHEMA).parquet(parts)
+        got = recombine_to_the_end(whole, idle_ms=500, event_gaps=gaps)
+        assert sorted(map(key, got.collect())) == sorted(map(key, batch.collect()))
