@@ -77,7 +77,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = ["record_id", "record_type", "payload_digest", "payload_bytes", "refers_to", "gap"]
 
     def page(field: str) -> Column:
-        return F.regexp_extract(field, r"^<urn:page:(\d+)>$", 1).try_cast("long")
+        return F.regexp_extract(field, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
 
     return (
         read_warc(spark, folder, told)

@@ -11,6 +11,7 @@ import random
 import pyarrow as pa
 import pytest
 
+from faultline.llm.queries import op9_warc
 from faultline.llm.warc import page_record, read_warc, salvage, write_warc
 
 SCHEMA = "page_id long, url string, html string"
@@ -125,3 +126,10 @@ def test_empty_and_clashing(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "h", "x", 3)], SCHEMA + ", record_type string, _sha1 int")
     write_warc(pages, f"file://{tmp_path}/one")
     assert [r.record_type for r in read_warc(spark, f"file://{tmp_path}/one").collect()] == ["response"]
+
+
+def test_query_keeps_negative_ids(spark, tmp_path):
+    pages = [(-5, "http://a", "same"), (7, "http://b", "same"), (8, "http://c", None)]
+    spark.createDataFrame(pages, SCHEMA).write.parquet(f"{tmp_path}/pages.parquet")
+    got = op9_warc(spark, str(tmp_path)).select("page_id", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got)) == [(-5, "response", None), (7, "revisit", -5), (8, "response", None)]
