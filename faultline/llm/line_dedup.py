@@ -15,10 +15,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultline.functions.text import let
 from faultline.llm.common import SPACE, ascii_lower
 from faultline.session import materialise
 
@@ -111,7 +114,11 @@ def line_hash(key: Column) -> Column:
 def _line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, h1, h2), once for a line hash and document row."""
     keys = F.filter(F.transform(lines_of(F.col("text")), line_key), lambda k: F.length(k) >= min_chars)
-    hashes = F.array_distinct(F.transform(keys, line_hash))
+    # Sorted, as array_distinct compares structs each with each.
+    def distinct(found: Column) -> Column:
+        return F.filter(found, lambda h, i: (i == 0) | (h != F.get(found, i - 1)))
+
+    hashes = let(F.array_sort(F.transform(keys, line_hash)), distinct)
     return docs.select("doc_id", F.explode(hashes).alias("_h")).select("doc_id", "_h.h1", "_h.h2")
 
 
@@ -162,6 +169,33 @@ def _prober(min_docs: int):
     return probe
 
 
+def _line_dropper(min_chars: int):
+    """A function of (text, lost h1, lost h2): the text without the lines of those hashes, and how many went."""
+    seeded = xxhash.xxh64_intdigest(b"fingerprint", 42)  # as ``line_hash`` chains its values
+
+    def cut(text: bytes, lost: set[tuple[int, int]]) -> tuple[str, int]:
+        kept, lines = [], text.split(b"\n")
+        for line in lines:
+            key = line.strip(SPACE.encode()).lower()  # bytes: only A-Z
+            hashed = (xxhash.xxh64_intdigest(key, 42), xxhash.xxh64_intdigest(key, seeded))
+            if hashed not in lost or len(key.decode("utf-8", "replace")) < min_chars:
+                kept.append(line)
+        return b"\n".join(kept).decode("utf-8", "replace"), len(lines) - len(kept)
+
+    @F.pandas_udf("text string, dropped long")
+    def dropper(texts: pd.Series, h1: pd.Series, h2: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, a, b in zip(texts, h1, h2):
+            if text is None:
+                out.append((None, 0))
+            else:
+                lost = zip(np.asarray(a).astype(np.int64).view(np.uint64), np.asarray(b).astype(np.int64).view(np.uint64))
+                out.append(cut(text, {(int(x), int(y)) for x, y in lost}))
+        return pd.DataFrame(out, columns=["text", "dropped"])
+
+    return dropper
+
+
 def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """(doc_id, h1, h2): the line hashes that each document loses."""
     hashes = materialise(_line_hashes(docs, min_chars))
@@ -213,20 +247,19 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     # The document is one value, so that no column of it meets a name used here.
     rows = docs.select(F.struct(*own).alias("_doc"), "doc_id", "text")
     lines = lines_of(F.col("text"))
-
-    def stays(line: Column) -> Column:
-        key = line_key(line)
-        return ~((F.length(key) >= min_chars) & F.array_contains("_lost", line_hash(key)))
+    # Texts that lose nothing are not sent; a set of the lost hashes is looked up once a line.
+    cut = _line_dropper(min_chars)(F.when(F.col("_lost").isNotNull(), F.col("text")).cast("binary"), "_lost.h1", "_lost.h2")
 
     met = rows.join(drops, F.col("doc_id").eqNullSafe(F.col("_lost_id")), "left").select(
         "_doc",
         "text",
         F.size(lines).cast("long").alias("_n"),
-        F.when(F.col("_lost").isNotNull(), F.filter(lines, stays)).alias("_kept"),
+        F.col("_lost").isNull().alias("_whole"),
+        cut.alias("_cut"),
     )
-    text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))
+    text = F.when(F.col("_whole"), F.col("text")).otherwise(F.col("_cut.text"))
     return met.select(
         *[text.alias("text") if c == "text" else F.col("_doc")[c].alias(c) for c in own],
         F.col("_n").alias("n_lines"),
-        F.when(F.col("_kept").isNull(), 0).otherwise(F.col("_n") - F.size("_kept")).cast("long").alias("n_dropped"),
+        F.when(F.col("_whole"), 0).otherwise(F.col("_cut.dropped")).cast("long").alias("n_dropped"),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 
@@ -77,3 +78,13 @@ def test_minimal_perfect_hash():
         assert sorted(h.slots(keys)) == list(range(len(keys)))
         if n >= 1000:
             assert 8 * len(h.to_bytes()) < 4 * n + 64 * 40
+
+
+def test_many_lines_take_no_square(spark):
+    """Three texts of 200,000 lines, half of them shared and repeated."""
+    shared = [f"shared line number {k} of the long texts" for k in range(50_000)]
+    rows = [(i, "\n".join(shared + [f"own line {i} {k} of a long text" for k in range(100_000)] + shared)) for i in range(3)]
+    start = time.time()
+    got = run(spark, rows)
+    assert [r[1:3] for r in got] == [(200_000, 100_000), (200_000, 100_000), (200_000, 0)]
+    assert time.time() - start < 90
