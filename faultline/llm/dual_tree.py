@@ -5,8 +5,9 @@ cover tree, and so do the queries that visit it.  A node is a centre and a cover
 inner product of a node pair is at most <c, d> + r|d| + s|c| + rs.  A pair of nodes is
 pruned when that is below the worst k-th score of the queries under the query node.
 
-Every query first searches the block it lies in.  Its k-th score there goes with it to the
-other blocks and prunes from the start.
+Every query first searches the block it lies in.  Its k-th score there prunes blocks the same way:
+a query is sent only to those whose centre and radius allow a score that high, and prunes there from
+the start.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ MOST_PIVOTS = 1024
 LEAF, FANOUT, SHRINK = 128, 16, 1.5
 #: Queries from other blocks that a task holds, about: as many as vectors.  A block is copied once for each part.
 QUERY_BLOCK = 65_536
+#: Queries that are copied at once on their way to blocks, about.
+SENT_ROWS = 16_384
 NOTHING = -(2**62)
 
 
@@ -178,6 +182,55 @@ def _dealer(pivots: np.ndarray):
     return deal
 
 
+COVER = "block int, centre array<bigint>, radius double"
+
+
+def _cover(key: tuple, rows: pa.Table) -> pa.Table:
+    """The mean of a block's vectors, in whole numbers, and the radius around it that covers them."""
+    at = _matrix(rows["vector"]).astype(np.float64)
+    centre = np.rint(at.mean(axis=0))
+    radius = float(np.sqrt(((at - centre) ** 2).sum(axis=1).max()))
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "centre": [centre.astype(np.int64)], "radius": [radius]})
+
+
+def _visitor(covers: Broadcast):
+    """A row for each query and block but its own whose bound reaches the query's floor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, centres, radii = covers.value
+        for batch in batches:
+            # Few queries at once, as each may go to all blocks.
+            few = max(1, SENT_ROWS // max(1, len(blocks)))
+            for some in (batch.slice(at, few) for at in range(0, batch.num_rows, few)):
+                q, c = (m.astype(np.float64) for m in _same_width(_matrix(some["vector"]), centres))
+                # A little more than the bound, for what is rounded.
+                spare = radii + 1e-9 * np.sqrt((c**2).sum(axis=1)) + 1e-6
+                bound = q @ c.T + np.sqrt((q**2).sum(axis=1))[:, None] * spare[None, :] + 1
+                floor = some["floor"].fill_null(NOTHING).to_numpy()
+                rows, columns = np.nonzero((bound >= floor[:, None]) & (blocks != some["_home"].to_numpy()[:, None]))
+                sent = some.select(["query", "vector", "floor"]).take(pa.array(rows))
+                block = pa.array(blocks[columns], pa.int32())
+                yield pa.RecordBatch.from_arrays([*sent.columns, block], names=[*sent.schema.names, "block"])
+
+    return run
+
+
+def visits(home: DataFrame, floors: DataFrame, placed: DataFrame) -> DataFrame:
+    """(query, vector, floor, block): the blocks, home aside, that may hold one of a query's best.
+
+    ``home`` is (query, vector, block), ``floors`` (query, floor), ``placed`` the data with its
+    block.  The covers, a centre for about BLOCK_ROWS vectors, are broadcast.
+    """
+    found = placed.select("block", "vector").groupBy("block").applyInArrow(_cover, COVER).orderBy("block").toArrow()
+    centres = _matrix(found["centre"]) if found.num_rows else np.zeros((0, 0))
+    covers = (found["block"].to_numpy(), centres, found["radius"].to_numpy())
+    asked = home.withColumnRenamed("block", "_home").join(floors, "query", "left")
+    held = home.sparkSession.sparkContext.broadcast(covers)
+    return asked.select("query", "vector", "floor", "_home").mapInArrow(
+        _visitor(held), "query long, vector array<bigint>, floor long, block int"
+    )
+
+
 FOUND_SCHEMA = "query long, vec_id long, score long"
 
 
@@ -250,17 +303,10 @@ def top_k(
     )
     # A query's last score at home, if it found k + 1 there, is a floor for all other blocks.
     floors = at_home.groupBy("query").agg(F.when(F.count("*") > k, F.min("score")).alias("floor"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1))))
-    away = (
-        home.withColumnRenamed("block", "_home")
-        .join(floors, "query", "left")
-        .withColumn("block", every)
-        .filter("block <> _home")
-        .select("query", "vector", "block", "floor")
-    )
-    visits = max(1, -(-searched.count() // QUERY_BLOCK))
-    away = away.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(visits)).cast("int"))
-    copies = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(visits - 1))))
+    away = visits(home, floors, placed)
+    many = max(1, -(-searched.count() // QUERY_BLOCK))
+    away = away.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(many)).cast("int"))
+    copies = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
     elsewhere = (
         copies.groupBy("block", "part").cogroup(away.groupBy("block", "part")).applyInArrow(search, FOUND_SCHEMA)
     )

@@ -111,3 +111,21 @@ def test_few_rows(spark):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(0, [1.0], 7, 8, 9), (1, [2.0], 7, 8, 9)], SCHEMA + ", query long, vector long, rank int")
     assert [tuple(r) for r in top_k(df, F.col("vec_id") % 10 == 0).collect()] == [(0, 1, 1, 131072)]
+
+
+def test_queries_are_sent_to_few_blocks(spark, monkeypatch):
+    """Clustered vectors: under a tenth of all pairs of a query and a block are sent, with the same result."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 8)) * 8
+    rows = [(i, [float(x) for x in centres[i % 40] + rng.normal(size=8) / 20]) for i in range(4000)]
+    sent, plain = [], dual_tree.visits
+
+    def counted(home, floors, placed):
+        out = dual_tree.materialise(plain(home, floors, placed))
+        sent.append((out.count(), home.count() * (placed.select("block").distinct().count() - 1)))
+        return out
+
+    monkeypatch.setattr(dual_tree, "visits", counted)
+    assert run(spark, rows, every=20, block_rows=100) == brute(rows, 5, 20)
+    ((got, every),) = sent
+    assert got < every / 10
