@@ -26,8 +26,8 @@ from faultline.session import materialise
 
 #: Documents of one source that are summed in one window, about.
 BUCKET_DOCS = 16_384
-#: numpy's hypergeometric draw takes no more; beyond, its normal limit is as good.
-EXACT_DRAW = 10**9
+#: Slots that are drawn together, at most; numpy's hypergeometric draw takes no more.
+STRATUM = 10**9
 
 
 @dataclass(frozen=True)
@@ -76,16 +76,18 @@ def permuted(i: np.ndarray, size: int, key: int) -> np.ndarray:
 
 
 def _draw(rng: np.random.Generator, colours: np.ndarray, n: int) -> np.ndarray:
-    """How many of each colour are among ``n`` balls taken from the urn."""
-    if colours.sum() < EXACT_DRAW:
+    """How many of each colour are among ``n`` balls taken from the urn.
+
+    An urn of more than a stratum is parted in proportion (the largest remainders get one more), so
+    that the strata have the urn's shares and the draws inside them are exact.
+    """
+    total = int(colours.sum())
+    if total < STRATUM:
         return rng.multivariate_hypergeometric(colours, n, method="marginals")
-    out, rest, left = np.zeros_like(colours), int(colours.sum()), n
-    for k, have in enumerate(map(int, colours)):
-        p = have / rest if rest else 0.0
-        spread = (left * p * (1 - p) * (rest - left) / max(1, rest - 1)) ** 0.5
-        want = round(rng.normal(left * p, spread))
-        out[k] = min(max(want, left - (rest - have), 0), have, left)
-        left, rest = left - int(out[k]), rest - have
+    shares = [int(c) * n for c in colours]
+    out = np.array([s // total for s in shares], dtype=np.int64)
+    order = sorted(range(len(shares)), key=lambda i: (-(shares[i] % total), i))
+    out[order[: n - int(out.sum())]] += 1
     return out
 
 

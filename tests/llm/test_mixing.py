@@ -102,3 +102,26 @@ def test_one_document_in_several_sources(spark):
     for r in mix_sources(docs, block_words=16, weights=(1, 1, 1)).collect():
         words[r.source] += len(r.text.split())
     assert set(words) == {"s", "t", None} and min(words.values()) >= 30
+
+
+def test_taken_again_word_by_word(spark):
+    """Every slot's block, and every word of a block counted for its document, in plain loops."""
+    rows, docs = documents(spark)
+    mix = Mix(docs, block_words=16, shard_slots=256)
+    want, spans = Counter(), mix.spans.collect()
+    for s in mix.sources:
+        uses = Counter()
+        for i in range(s.slots):
+            lap, place = divmod(i, s.blocks)
+            key = int(np.random.SeedSequence([42, s.number, lap]).generate_state(1, np.uint64)[0])
+            uses[int(permuted(np.array([place]), s.blocks, key)[0])] += 1
+        assert all(1 <= -(-s.slots // s.blocks) - n + 1 <= 2 for n in uses.values())  # as often as any other, or once less
+        own = sorted((r.start, r.size, r.doc_id) for r in spans if r.source_no == s.number)
+        end = 0
+        for start, size, doc_id in own:
+            assert not size or start == end
+            end = max(end, start + size)
+            want[doc_id, size, sum(uses[w // 16] for w in range(start, start + size))] += 1
+        assert end == s.words
+    assert Counter((r.doc_id, r.size, r.taken) for r in mix.taken().collect()) == want
+    assert len(spans) == len(rows)
