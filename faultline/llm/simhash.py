@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.common import hash_sample
@@ -28,8 +28,8 @@ from faultline.session import materialise
 
 SEED = 42
 MASKS = (0x00000000FFFFFFFF, 0xFFFFFFFF00000000)
-#: Fingerprints that shape the trees; all are searched.
-SAMPLE = 1 << 18
+#: Fingerprints that shape the trees, for each shard and at most; all are searched.
+SHARD_SAMPLE, SAMPLE = 32, 1 << 18
 #: Fingerprints at home in a shard, about.
 SHARD = 2048
 #: Below, a block of pairs is compared as it is.
@@ -61,7 +61,9 @@ def _fingerprinter(words: int):
         for batch in batches:
             texts = batch["text"].cast(pa.binary())
             fps = [fingerprint(shingle_hashes(t.as_py(), words)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            others = [name for name in batch.schema.names if name != "text"]
+            columns = [*(batch[name] for name in others), pa.array(fps, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*others, "fp"])
 
     return run
 
@@ -219,9 +221,10 @@ def link_fingerprints(distinct: DataFrame, radius: int = 3, shard_size: int = SH
     fingerprints gives about n rows.  Crowded shards are cut into parts that all visitors see.
     """
     total = distinct.count()
-    sample = distinct.filter(hash_sample(F.xxhash64("fp"), SAMPLE, total)).toArrow()["fp"]
-    sample = np.sort(sample.to_numpy().view(np.uint64))
     depth = max(0, (max(1, total // shard_size) - 1).bit_length())
+    size = min(SAMPLE, SHARD_SAMPLE << depth)
+    sample = distinct.filter(hash_sample(F.xxhash64("fp"), size, total)).toArrow()["fp"]
+    sample = np.sort(sample.to_numpy().view(np.uint64))
     trees = [grow(sample, mask, depth, [0]) for mask in MASKS]
     schema = "shard long, part int, fp long, home boolean"
     crowded = {}
@@ -233,6 +236,14 @@ def link_fingerprints(distinct: DataFrame, radius: int = 3, shard_size: int = SH
     return routed.groupBy("shard", "part").applyInArrow(_shard_linker(radius), "a long, b long")
 
 
+def _grouped(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, _least, _group): the distinct fingerprints, their smallest doc_id and their component."""
+    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("_least")))
+    groups = components(link_fingerprints(distinct.select("fp"), radius), "a", "b")
+    group = F.coalesce("component", "fp").alias("_group")
+    return distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "_least", group)
+
+
 def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -243,11 +254,31 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFram
     an empty table gives an empty one.
     """
     prints = materialise(fingerprints(docs, words))
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("_least")))
-    groups = components(link_fingerprints(distinct.select("fp"), radius), "a", "b")
-    group = F.coalesce("component", "fp").alias("_group")
-    of_print = distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "_least", group)
+    of_print = _grouped(prints, radius)
     least = of_print.groupBy("_group").agg(F.min("_least").alias("component_id"))
     named = of_print.join(least, "_group").select("fp", "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return prints.join(named, "fp").select("doc_id", digits, "component_id")
+
+
+def drop_simhash_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+    """``docs`` with one document of each group that ``simhash_groups`` finds: the smallest doc_id's.
+
+    Of several texts of that doc_id in a group the one with the smallest hash stays, of equal rows one;
+    a null doc_id stays only where its group has no other.  All columns are kept as they are; an
+    empty table gives an empty one.
+    """
+    text = [F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit("other"), "text").alias("_h2")]
+    rows = docs.select("doc_id", "text", *text)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _h1 long, _h2 long, fp long"
+    prints = materialise(rows.mapInArrow(_fingerprinter(words), schema))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_h1", "_h2")
+    of_print = prints.groupBy("fp").agg(F.min(first).alias("_first"))
+    groups = _grouped(prints, radius).select(F.col("fp").alias("_fp"), "_group")
+    stays = of_print.join(groups, F.col("fp") == F.col("_fp")).groupBy("_group").agg(F.min("_first").alias("_f"))
+    stays = stays.select(F.col("_f.doc_id").alias("_id"), F.col("_f._h1").alias("_k1"), F.col("_f._h2").alias("_k2"))
+    # The document is one value, so that no column of it meets a name used here.
+    marked = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", *text)
+    here = (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    one = F.row_number().over(Window.partitionBy("_h1", "_h2", "doc_id").orderBy(F.lit(1)))
+    return marked.join(stays, here).withColumn("_one", one).filter("_one = 1").select("_doc.*")

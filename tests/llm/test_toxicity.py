@@ -85,3 +85,27 @@ def test_a_repeated_doc_id_counts_once(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
     fit_machine(spark.createDataFrame(docs, "doc_id long, text string"), labels, most_labelled=20)
     assert fitted == [(20, 20)]
+
+
+def test_scores_are_sums_over_terms_and_pairs(spark):
+    """Every score again, term by term and pair by pair."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(5)
+    names = [f"word{k}" for k in range(40)]
+    texts = [" ".join(rng.choice(names, size=rng.integers(0, 15))) for _ in range(120)] + [None, "", "elsewhere"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(
+        [(i, int("word3" in (t or "").split())) for i, t in enumerate(texts)], "doc_id long, toxic int"
+    )
+    machine = fit_machine(docs, labels)
+    assert len(machine.terms)
+    place = {int(t): k for k, t in enumerate(machine.terms)}
+    for row in score_toxicity(docs, machine).collect():
+        terms = {t for w in set((row.text or "").lower().split()) for t in hashed_terms(w)}
+        mine = sorted(place[t] for t in terms if t in place)
+        margin = machine.bias + sum(machine.w[i] for i in mine)
+        margin += sum(float(np.dot(machine.v[i], machine.v[j])) for i, j in combinations(mine, 2))
+        want = 1 / (1 + np.exp(-margin))
+        assert abs(row.score - want) < 1e-9
+        assert row.predicted == int(row.score >= 0.7)
