@@ -1,6 +1,6 @@
 """Log-probabilities of whole texts: word counts, and a self-attention model trained on the corpus.
 
-Every training text is trained on, once.  Texts are encoded once and written by round.  In a round each
+Every training text is trained on, once.  Texts are encoded once and written down.  In a round each
 task steps through its own texts from the same parameters; the outcomes are averaged in a tree of
 groups, each parameter weighted by how often its task has met it, and are the next round's start.
 Nothing of a task but its parameters moves, and their size is bounded by the tokenizer's vocabulary.
@@ -9,6 +9,7 @@ Nothing of a task but its parameters moves, and their size is bounded by the tok
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ RATES = (0.02, 0.012, 0.006, 0.003)
 #: Words that hold a share of 1 / HOT_WORDS of all tokens each, and are this short, are broadcast.
 HOT_WORDS, HOT_BYTES = 1 << 17, 64
 #: Words whose ids a worker remembers.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 19
 #: Texts are encoded in runs of about so many bytes, and put into windows in runs of so many ids.
 RUN_BYTES, RUN_IDS = 1 << 20, 1 << 17
 #: Parameters of a row, and rows that a task averages at most.
@@ -61,57 +62,76 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
+class _Words:
+    """Words that a worker has met, numbered, with their ids one after the other and their counts."""
+
+    def __init__(self, coder, counts: dict[bytes, int], n_train: int):
+        self.coder, self.counts, self.n_train = coder, counts, n_train
+        self.clear()
+
+    def clear(self) -> None:
+        # Number 0 is the end of a text; no word is empty.
+        self.known, self.words = {b"": 0}, [b""]
+        self.flat = np.array([self.coder.get_vocab_size()], dtype=np.int32)
+        self.first, self.length = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.count = np.array([self.n_train], dtype=np.int64)
+
+    def meet(self, new: list[bytes]) -> None:
+        """Encode words not met before; the count of one that is not frequent is -1."""
+        if not new:
+            return
+        codes = self.coder.encode_batch([" " + w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+        ids = [code.ids for code in codes]
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        first = len(self.flat) + np.cumsum(length) - length
+        self.known.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+        self.words += new
+        self.flat = np.concatenate([self.flat, np.fromiter((i for own in ids for i in own), np.int32, int(length.sum()))])
+        self.first, self.length = np.concatenate([self.first, first]), np.concatenate([self.length, length])
+        count = np.fromiter((self.counts.get(w, -1) for w in new), np.int64, len(new))
+        self.count = np.concatenate([self.count, count])
+
+
 def _encoder(tokenizer: str, hot: Broadcast, n_train: int):
     """Ids, sums over frequent words and the list of the others, text by text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         from tokenizers import Tokenizer
 
         coder = Tokenizer.from_file(tokenizer)
         coder.encode_special_tokens = True  # their names in a text are text
-        end, known, counts = coder.get_vocab_size(), {}, hot.value
+        memory = _Words(coder, hot.value, n_train)
         for rows in runs(batches, RUN_BYTES):
-            local: dict[bytes, int] = {b"": 0}  # the end of a text; no word is empty
-            held, sizes = [], np.zeros(len(rows), dtype=np.int64)
-            for k, row in enumerate(rows):
-                places = [local.setdefault(w, len(local)) for w in row[-1].split()]
+            split = [row[-1].split() for row in rows]
+            if len(memory.words) > REMEMBERED:
+                memory.clear()
+            memory.meet(list({w for own in split for w in own if w not in memory.known}))
+            places: list[int] = []
+            for own in split:
+                places.extend(map(memory.known.__getitem__, own))
                 places.append(0)
-                sizes[k] = len(places)
-                held.append(np.array(places, dtype=np.int64))
-            words, met = list(local), np.concatenate(held)
-            new = [w for w in words[1:] if w not in known]
-            if len(known) + len(new) > REMEMBERED:
-                known = {w: known[w] for w in words[1:] if w in known}
-            for w, code in zip(new, coder.encode_batch([" " + w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-                known[w] = np.array(code.ids, dtype=np.int32)
-            codes = [np.array([end], dtype=np.int32), *(known[w] for w in words[1:])]
-            lengths = np.array([len(c) for c in codes])
-            flat, first = np.concatenate(codes), np.concatenate(([0], np.cumsum(lengths)[:-1]))
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            ids = flat[_spread(first[met], lengths[met])]
-            id_ends = np.cumsum(np.add.reduceat(lengths[met], starts))
-
-            count = np.array([n_train, *(counts.get(w, -1) for w in words[1:])])
+            met, sizes = np.array(places), np.array([len(own) + 1 for own in split])
+            starts = np.cumsum(sizes) - sizes
+            ids = memory.flat[_spread(memory.first[met], memory.length[met])]
+            id_ends = np.cumsum(np.add.reduceat(memory.length[met], starts))
+
+            count = memory.count[met]
             logs = np.where(count >= 0, np.log10(np.maximum(count, 0) + 1.0), 0.0)
-            doc, cold = np.repeat(np.arange(len(rows)), sizes), count[met] < 0
-            pairs, tf = np.unique(doc[cold] * len(words) + met[cold], return_counts=True)
-            ends = np.searchsorted(pairs, np.arange(len(rows) + 1) * len(words))
-            rare = pa.StructArray.from_arrays(
-                [
-                    pa.array([words[p] for p in (pairs % len(words)).tolist()], pa.binary()),
-                    pa.array(tf.astype(np.int32)),
-                ],
-                names=["word", "tf"],
-            )
+            doc, cold, many = np.repeat(np.arange(len(rows)), sizes), count < 0, len(memory.words)
+            pairs, tf = np.unique(doc[cold] * many + met[cold], return_counts=True)
+            ends = np.searchsorted(pairs, np.arange(len(rows) + 1) * many)
+            words = pa.array([memory.words[p] for p in (pairs % many).tolist()], pa.binary())
+            rare = pa.StructArray.from_arrays([words, pa.array(tf.astype(np.int32))], names=["word", "tf"])
             columns = list(zip(*rows))
             yield pa.RecordBatch.from_pydict(
                 {
                     "_row": pa.array(columns[0], pa.int64()),
                     "doc_id": pa.array(columns[1], pa.int64()),
                     "held_out": pa.array(columns[2], pa.bool_()),
-                    "n_tokens": sizes,
-                    "n_known": np.add.reduceat((count[met] > 0).astype(np.int64), starts),
-                    "log_sum": np.add.reduceat(logs[met], starts),
+                    "n_tokens": pa.array(sizes, pa.int64()),
+                    "n_known": np.add.reduceat((count > 0).astype(np.int64), starts),
+                    "log_sum": np.add.reduceat(logs, starts),
                     "ids": pa.ListArray.from_arrays(np.concatenate(([0], id_ends)).astype(np.int32), pa.array(ids)),
                     "rare": pa.ListArray.from_arrays(ends.astype(np.int32), rare),
                     "_round": pa.array(columns[3], pa.int32()),
@@ -275,7 +295,7 @@ def lm_scores(docs: DataFrame, held_out: Column, tokenizer: str, rates: tuple[fl
     turn = F.when(F.col("held_out"), -1).otherwise(F.pmod(F.xxhash64("_row", "lowered"), F.lit(len(rates)))).cast("int")
     coder = _encoder(tokenizer, spark.sparkContext.broadcast(hot), n_train)
     bytes_of = texts.select("_row", "doc_id", "held_out", turn.alias("_round"), F.col("lowered").cast("binary"))
-    bytes_of.mapInArrow(coder, CODED).write.partitionBy("_round").parquet(f"{folder}/coded")
+    bytes_of.mapInArrow(coder, CODED).write.parquet(f"{folder}/coded")
     coded = spark.read.schema(CODED).parquet(f"{folder}/coded")
 
     size = Tokenizer.from_file(tokenizer).get_vocab_size() + 1
