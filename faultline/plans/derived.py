@@ -23,8 +23,11 @@ IDS = {"events": "event_id", "documents": "doc_id", "part": "p_partkey"}
 
 
 def spread(df: DataFrame, name: str) -> DataFrame:
-    """A table dealt out by its id, for work that is heavy per row however the files are cut."""
-    return df.repartition(IDS[name])
+    """A table dealt out by its id, for work that is heavy per row however the files are cut.
+
+    A number that is asked for is kept: small tables are not put back into one partition.
+    """
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, IDS[name])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
