@@ -8,8 +8,8 @@ Nothing of a task but its parameters moves, and their size is bounded by the tok
 
 from __future__ import annotations
 
+import base64
 import math
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,7 +72,7 @@ class _Words:
     def clear(self) -> None:
         # Number 0 is the end of a text; no word is empty.
         self.known, self.words = {b"": 0}, [b""]
-        self.flat = np.array([self.coder.get_vocab_size()], dtype=np.int32)
+        self.flat = np.array([self.coder.n_vocab], dtype=np.int32)
         self.first, self.length = np.zeros(1, np.int64), np.ones(1, np.int64)
         self.count = np.array([self.n_train], dtype=np.int64)
 
@@ -80,8 +80,7 @@ class _Words:
         """Encode words not met before; the count of one that is not frequent is -1."""
         if not new:
             return
-        codes = self.coder.encode_batch([" " + w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        ids = [code.ids for code in codes]
+        ids = [self.coder.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in new]
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         first = len(self.flat) + np.cumsum(length) - length
         self.known.update(zip(new, range(len(self.words), len(self.words) + len(new))))
@@ -92,16 +91,20 @@ class _Words:
         self.count = np.concatenate([self.count, count])
 
 
-def _encoder(tokenizer: str, hot: Broadcast, n_train: int):
+def _tokenizer(ranks: str, pattern: str):
+    """A byte-level tokenizer from a file of ranks, a line for each token."""
+    import tiktoken
+
+    with open(ranks, "rb") as lines:
+        known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=known, special_tokens={})
+
+
+def _encoder(ranks: str, pattern: str, hot: Broadcast, n_train: int):
     """Ids, sums over frequent words and the list of the others, text by text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
-        from tokenizers import Tokenizer
-
-        coder = Tokenizer.from_file(tokenizer)
-        coder.encode_special_tokens = True  # their names in a text are text
-        memory = _Words(coder, hot.value, n_train)
+        memory = _Words(_tokenizer(ranks, pattern), hot.value, n_train)
         for rows in runs(batches, RUN_BYTES):
             split = [row[-1].split() for row in rows]
             if len(memory.words) > REMEMBERED:
@@ -261,7 +264,9 @@ def _scorer(vocabulary: Broadcast, theta: Broadcast):
     return run
 
 
-def lm_scores(docs: DataFrame, held_out: Column, tokenizer: str, rates: tuple[float, ...] = RATES) -> DataFrame:
+def lm_scores(
+    docs: DataFrame, held_out: Column, ranks: str, pattern: str, rates: tuple[float, ...] = RATES
+) -> DataFrame:
     """Two log10 probabilities of every whole text of ``docs`` (doc_id, text), learned from rows not ``held_out``.
 
     Tokens are the words between white space, A-Z lower-cased, and one end.  Returns doc_id,
@@ -270,12 +275,11 @@ def lm_scores(docs: DataFrame, held_out: Column, tokenizer: str, rates: tuple[fl
     model's, over the byte-level ids of each word and the end).
 
     A null text is empty, which is an end alone; texts are learned and scored whole, windows overlap
-    and score each id once.  A null ``held_out`` is false, doc_id is a long, of which rows may
+    and score each id once.  ``ranks`` is a tokenizer's file of ranks, which every machine has, and
+    ``pattern`` its pattern.  A null ``held_out`` is false, doc_id is a long, of which rows may
     repeat: each is a row.  Other columns are left out, an empty table gives an empty one.  Without
     training texts every token has probability 1 for the base, and ids are equally likely.
     """
-    from tokenizers import Tokenizer
-
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession, "language-model")
     lowered = ascii_lower(F.coalesce("text", F.lit("")))
     texts = docs.select(
@@ -293,12 +297,12 @@ def lm_scores(docs: DataFrame, held_out: Column, tokenizer: str, rates: tuple[fl
     hot = {bytes(row.word): row.c for row in counts.filter(is_hot).collect()}
 
     turn = F.when(F.col("held_out"), -1).otherwise(F.pmod(F.xxhash64("_row", "lowered"), F.lit(len(rates)))).cast("int")
-    coder = _encoder(tokenizer, spark.sparkContext.broadcast(hot), n_train)
+    coder = _encoder(ranks, pattern, spark.sparkContext.broadcast(hot), n_train)
     bytes_of = texts.select("_row", "doc_id", "held_out", turn.alias("_round"), F.col("lowered").cast("binary"))
     bytes_of.mapInArrow(coder, CODED).write.parquet(f"{folder}/coded")
     coded = spark.read.schema(CODED).parquet(f"{folder}/coded")
 
-    size = Tokenizer.from_file(tokenizer).get_vocab_size() + 1
+    size = _tokenizer(ranks, pattern).n_vocab + 1
     vocabulary, theta = train(coded, size, folder, rates)
     score = _scorer(spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(theta))
     kept = "_row long, doc_id long, held_out boolean, n_tokens long, n_known long, log_sum double"

@@ -126,8 +126,8 @@ def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    tokenizer = str(public_tokenizers.path("byte_bpe_50k.json"))
-    return lm_scores(table(spark, sf_dir, "documents"), held, tokenizer)
+    ranks = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return lm_scores(table(spark, sf_dir, "documents"), held, ranks, public_tokenizers.PATTERN)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

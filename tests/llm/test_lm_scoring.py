@@ -17,7 +17,7 @@ from faultline.llm.lm_scoring import lm_scores
 from faultline.llm.queries import op13_lm_scoring
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-TOKENIZER = str(public_tokenizers.path("byte_bpe_50k.json"))
+TOKENIZER = (str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
 
 
 def held():
@@ -71,7 +71,7 @@ def test_base_on_odd_rows(spark):
     rows += [(1000, None), (1001, ""), (1002, " \t\n"), (None, "Word1  x\x0bword2 <|endoftext|>"), (None, None)]
     rows += [(1003, "only here " * 20_000), (1004, "x" * 100_000), (1005, "日本 " * 50), rows[5], rows[5]]
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, score string, _row int")
-    got = sorted_rows([tuple(r) for r in lm_scores(docs.repartition(3), held(), TOKENIZER).collect()])
+    got = sorted_rows([tuple(r) for r in lm_scores(docs.repartition(3), held(), *TOKENIZER).collect()])
     want = sorted_rows(brute_base(rows))
     assert len(got) == len(want)
     for g, w in zip(got, want):
@@ -82,7 +82,7 @@ def test_base_on_odd_rows(spark):
 def test_learns_more_than_counts(spark):
     """Held-out texts that follow the rule are likelier than shuffled ones, for the model alone."""
     rows = list(grammar(random.Random(9), 3000))
-    got = lm_scores(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), held(), TOKENIZER).collect()
+    got = lm_scores(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), held(), *TOKENIZER).collect()
     rate = {r.doc_id: (r.score / r.n_tokens, r.base_score / r.n_tokens) for r in got if r.held_out and r.n_tokens > 20}
     ruled, shuffled = ([v for k, v in rate.items() if k % 2 == side] for side in (0, 1))
     model, base = (np.mean([v[i] for v in ruled]) - np.mean([v[i] for v in shuffled]) for i in (0, 1))
@@ -93,18 +93,18 @@ def test_learns_more_than_counts(spark):
 def test_rare_words_meet_their_counts(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "HOT_WORDS", 20)  # nearly all words go through the join
     rows = list(grammar(random.Random(4), 60))
-    got = lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), held(), TOKENIZER, rates=(0.01,)).collect()
+    got = lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), held(), *TOKENIZER, rates=(0.01,)).collect()
     for g, w in zip(sorted_rows([tuple(r) for r in got]), sorted_rows(brute_base(rows))):
         assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-9)
 
 
 def test_empty_and_nothing_to_learn(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert lm_scores(empty, held(), TOKENIZER).collect() == []
+    assert lm_scores(empty, held(), *TOKENIZER).collect() == []
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
-    got = sorted(tuple(r) for r in lm_scores(docs, F.lit(True), TOKENIZER).collect())
+    got = sorted(tuple(r) for r in lm_scores(docs, F.lit(True), *TOKENIZER).collect())
     assert [g[:6] for g in got] == [(1, True, 3, 0, 0, 0.0), (2, True, 1, 0, 0, 0.0)]
-    assert got[1][6] == pytest.approx(-math.log10(50258), rel=1e-3) and got[0][6] == pytest.approx(3 * got[1][6], rel=1e-3)
+    assert got[1][6] == pytest.approx(-math.log10(50257), rel=1e-3) and got[0][6] == pytest.approx(3 * got[1][6], rel=1e-3)
 
 
 def test_query_runs_over_the_table(spark):
