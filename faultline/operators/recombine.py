@@ -7,7 +7,9 @@ the lines that start one.
 ``recombine`` shuffles the lines once, by (stream, bucket of ``seq``).  A stream
 that holds a third of all lines is therefore spread over many tasks.  Fragments
 are built inside the buckets; what crosses a bucket border is the short run of
-lines at a bucket's head, and only those move.
+lines at a bucket's head, and only those move.  Which buckets join is decided on a few
+flags for each: consecutive buckets form groups, a group shrinks to a row of the same
+flags, and only those rows of a stream meet.
 """
 
 from __future__ import annotations
@@ -18,9 +20,13 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.functions.once import with_once
 from faultline.functions.text import trim_blank_left
 from faultline.operators.scan import BUCKET_ROWS, bucket_of
 
+# Consecutive buckets whose borders are decided in one task.
+GROUP_BUCKETS = 1 << 12
+
 
 class Rule(NamedTuple):
     """When a line continues the record of the line before it.
@@ -34,13 +40,19 @@ class Rule(NamedTuple):
     closing: Callable[[Column], Column] = lambda line: F.lit(False)
     opening: Callable[[Column], Column] = lambda line: F.lit(False)
 
+    def flags(self, line: Column, ts: Column) -> Column:
+        """What the rule and the idle time need to know of a line."""
+        return F.struct(
+            self.alone(line).alias("alone"),
+            self.closing(line).alias("closing"),
+            self.opening(line).alias("opening"),
+            F.unix_micros(ts).alias("at"),
+        )
+
     def __call__(self, prev: Column, line: Column) -> Column:
         return self.alone(line) | (self.closing(line) & self.opening(prev))
 
 
-ContinuationRule = Callable[[Column, Column], Column]
-
-
 def _indented(line: Column) -> Column:
     return line.startswith(" ") | line.startswith("\t")
 
@@ -118,27 +130,76 @@ def with_stream_key(raw: DataFrame) -> DataFrame:
     return raw.withColumn("stream_key", stream_key(F.col("source"), F.col("tags")))
 
 
-def joins_previous(
-    rule: ContinuationRule,
-    prev_line: Column,
-    prev_ts: Column,
-    line: Column,
-    ts: Column,
-    idle_ms: int | None,
-) -> Column:
-    """True when a line continues the record its predecessor is in."""
-    joined = rule(prev_line, line)
+def joins_previous(prev: Column, line: Column, idle_ms: int | None) -> Column:
+    """True when a line continues the record its predecessor is in; both are given by their flags."""
+    joined = line["alone"] | (line["closing"] & prev["opening"])
     if idle_ms is not None:
-        gap = F.unix_micros(ts) - F.unix_micros(prev_ts)
-        joined = joined & ~F.coalesce(gap >= idle_ms * 1000, F.lit(False))
-    return F.coalesce(prev_line.isNotNull() & joined, F.lit(False))
+        joined = joined & ~F.coalesce(line["at"] - prev["at"] >= idle_ms * 1000, F.lit(False))
+    return F.coalesce(prev.isNotNull() & joined, F.lit(False))
+
+
+def _across_buckets(
+    borders: DataFrame, keys: list[str], idle_ms: int | None
+) -> DataFrame:
+    """``_joined`` and ``_home`` of each bucket, in two levels.
+
+    ``borders`` has the flags of a bucket's first and last line, ``_opening`` and ``_end``, its
+    ``_group``, and whether a record starts inside it, ``_splits``.  A bucket is joined when its
+    first line continues the bucket before; its home is the last earlier bucket in which a
+    record starts.
+    """
+    inside = Window.partitionBy(*keys, "_group").orderBy("_bucket")
+    opens = F.when(
+        F.col("_splits") | (F.col("_before").isNotNull() & ~F.col("_joined")), F.col("_bucket")
+    )
+    near = (
+        borders.withColumn("_before", F.lag("_end").over(inside))
+        .withColumn("_joined", joins_previous(F.col("_before"), F.col("_opening"), idle_ms))
+        .withColumn("_opens", opens)
+        .withColumn(
+            "_home", F.max("_opens").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+        )
+    )
+    # The first bucket of a group learns from the groups before whether it is joined.
+    across = Window.partitionBy(*keys).orderBy("_group")
+    starts = F.when(~F.col("_first_joined"), F.col("_first"))
+    groups = (
+        near.groupBy(*keys, "_group")
+        .agg(
+            F.min("_bucket").alias("_first"),
+            F.min_by("_opening", "_bucket").alias("_first_line"),
+            F.max_by("_end", "_bucket").alias("_last_line"),
+            F.max("_opens").alias("_last_opens"),
+        )
+        .withColumn(
+            "_first_joined",
+            joins_previous(F.lag("_last_line").over(across), F.col("_first_line"), idle_ms),
+        )
+        .select(
+            *keys,
+            "_group",
+            "_first",
+            "_first_joined",
+            F.max(F.greatest("_last_opens", starts))
+            .over(across.rowsBetween(Window.unboundedPreceding, -1))
+            .alias("_home_before"),
+        )
+    )
+    is_first = F.col("_bucket") == F.col("_first")
+    return near.join(groups, [*keys, "_group"]).select(
+        *keys,
+        "_bucket",
+        F.when(is_first, F.col("_first_joined")).otherwise(F.col("_joined")).alias("_joined"),
+        F.greatest("_home", F.when(~is_first, starts), "_home_before").alias("_home"),
+    )
 
 
 def recombine(
     lines: DataFrame,
-    rule: str | ContinuationRule = "universal",
+    rule: str | Rule = "universal",
     idle_ms: int | None = None,
     bucket_rows: int = BUCKET_ROWS,
+    group_buckets: int = GROUP_BUCKETS,
 ) -> DataFrame:
     """Join the lines of each stream into records.
 
@@ -164,23 +225,12 @@ def recombine(
     inside = Window.partitionBy(*keys, "_bucket").orderBy("seq")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = (
-        rows.withColumns(
-            {
-                "_prev_line": F.lag("line").over(inside),
-                "_prev_ts": F.lag("ts").over(inside),
-            }
-        )
+        rows.withColumn("_flags", continues.flags(F.col("line"), F.col("ts")))
+        .withColumn("_prev", F.lag("_flags").over(inside))
         .withColumn(
             "_starts",
-            F.col("_prev_line").isNotNull()
-            & ~joins_previous(
-                continues,
-                F.col("_prev_line"),
-                F.col("_prev_ts"),
-                F.col("line"),
-                F.col("ts"),
-                idle_ms,
-            ),
+            F.col("_prev").isNotNull()
+            & ~joins_previous(F.col("_prev"), F.col("_flags"), idle_ms),
         )
         .withColumn("_fragment", F.sum(F.col("_starts").cast("int")).over(upto))
     )
@@ -195,47 +245,37 @@ def recombine(
         )
     )
 
-    # One row per bucket: its fragment 0, the line that opens and the one that ends it.
+    # One row per bucket: its fragment 0, the flags of its first and last line.  Both uses
+    # below read one shuffle of these rows; the texts take part in the last join only.
     head_text = r"listagg(CASE WHEN _fragment = 0 THEN line END, '\n') WITHIN GROUP (ORDER BY seq)"
+    edges = cut.groupBy(*keys, "_bucket").agg(
+        F.expr(head_text).alias("_text"),
+        F.count_if(F.col("_fragment") == 0).alias("n_lines"),
+        first,
+        F.min_by("_flags", "seq").alias("_opening"),
+        F.max_by("_flags", "seq").alias("_end"),
+        F.max("_fragment").alias("_last_fragment"),
+    )
+    edge = F.struct(
+        F.struct("_text", "n_lines", "_first").alias("_head"), "_opening", "_end", "_last_fragment"
+    )
     buckets = (
-        cut.groupBy(*keys, "_bucket")
-        .agg(
-            F.expr(head_text).alias("_text"),
-            F.count_if(F.col("_fragment") == 0).alias("n_lines"),
-            first,
-            F.min_by(F.struct("line", "ts"), "seq").alias("_opening"),
-            F.max_by(F.struct("line", "ts"), "seq").alias("_end"),
-            F.max("_fragment").alias("_last_fragment"),
-        )
+        with_once(edges, "_edge", edge)
         .select(
-            *keys,
-            "_bucket",
-            F.struct("_text", "n_lines", "_first", "_opening").alias("_head"),
-            "_end",
-            "_last_fragment",
+            *keys, "_bucket", bucket_of(F.col("_bucket"), group_buckets).alias("_group"), "_edge"
         )
+        .repartition(*keys, "_group")
     )
-    across = Window.partitionBy(*keys).orderBy("_bucket")
-    placed = (
-        buckets.withColumn("_before", F.lag("_end").over(across))
-        .withColumn(
-            "_joined",
-            joins_previous(
-                continues,
-                F.col("_before.line"),
-                F.col("_before.ts"),
-                F.col("_head._opening.line"),
-                F.col("_head._opening.ts"),
-                idle_ms,
-            ),
-        )
-        .withColumn(
-            "_home",
-            F.last(
-                F.when(~F.col("_joined") | (F.col("_last_fragment") > 0), F.col("_bucket")),
-                ignorenulls=True,
-            ).over(across.rowsBetween(Window.unboundedPreceding, -1)),
-        )
+    borders = buckets.select(
+        *keys,
+        "_group",
+        "_bucket",
+        "_edge._opening",
+        "_edge._end",
+        (F.col("_edge._last_fragment") > 0).alias("_splits"),
+    )
+    placed = buckets.select(*keys, "_bucket", "_edge._head", "_edge._last_fragment").join(
+        _across_buckets(borders, keys, idle_ms), [*keys, "_bucket"]
     )
 
     # A bucket's head either opens a record there, or belongs to the record still open
@@ -252,7 +292,7 @@ def recombine(
     moves = F.struct(
         F.col("_home").alias("_bucket"),
         F.lit(None).cast("bigint").alias("_last_fragment"),
-        F.lit(None).cast(buckets.schema["_head"].dataType).alias("_head"),
+        F.lit(None).cast(placed.schema["_head"].dataType).alias("_head"),
         F.col("_bucket").alias("_from"),
         F.col("_head._text").alias("_text"),
         F.col("_head.n_lines").alias("_lines"),

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +99,42 @@ def test_matches_fold(spark, bucket_rows, idle_ms):
     assert got == fold(rows, idle_ms)
 
 
+@pytest.mark.parametrize("group_buckets", [1, 2, 5])
+@pytest.mark.parametrize("idle_ms", [None, 500])
+def test_borders_in_groups(spark, group_buckets, idle_ms):
+    rows = make(group_buckets + 100)
+    df = spark.createDataFrame(
+        rows, "stream_key string, seq bigint, ts timestamp, line string, tags string"
+    ).repartition(5)
+    got = grouped(recombine(df, idle_ms=idle_ms, bucket_rows=3, group_buckets=group_buckets))
+    assert got == fold(rows, idle_ms)
+
+
+def test_texts_are_in_no_window_over_buckets(spark):
+    """Such a window sees flags; the lines are shuffled once, for both of their uses."""
+    rows = make(1)
+    df = spark.createDataFrame(
+        rows, "stream_key string, seq bigint, ts timestamp, line string, tags string"
+    ).repartition(5)
+    records = recombine(df, bucket_rows=7, group_buckets=2)
+    records.collect()
+    plan = records._jdf.queryExecution().optimizedPlan()
+    windows, left = [], [plan]
+    while left:
+        node = left.pop()
+        if node.nodeName() == "Window":
+            windows.append(node)
+        children = node.children()
+        left += [children.apply(i) for i in range(children.size())]
+    over_buckets = [w for w in windows if "_bucket" not in w.partitionSpec().toString()]
+    assert over_buckets
+    for window in over_buckets:
+        fields = window.child().output().toString()
+        assert not re.search(r"\b(_text|_head|line)#", fields)
+    final = records._jdf.queryExecution().executedPlan().toString()
+    assert final.split("== Initial Plan ==")[0].count("ReusedExchange") >= 2
+
+
 def test_one_group_over_all_buckets(spark):
     rows = [("k", i, T0, "start" if i == 0 else " x", "t") for i in range(50)]
     df = spark.createDataFrame(
