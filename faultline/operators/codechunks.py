@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from faultline.functions.patterns import PY_DEF
 from faultline.functions.text import let, trim_blank_left
 from faultline.schema import SOURCE_CHUNK
-from faultline.session import materialise
 
 BATCH_CHUNKS = 50
+# Leading path parts that files numbered in one task share.
+PREFIX_PARTS = 2
 # Lines per bin of the frame lookup.
 BIN_LINES = 64
-SALTS = 16
+# A place with this part of all frames is hot; there are never more hot places than this.
+HOT_PARTS = 1024
 
 # Fixed value: the first parameter that makes a function a method.
 METHOD_PARAMETER = r"(?d)^[^(]*\((self|cls)([,) \t:]|\z)"
@@ -113,55 +115,59 @@ def walk_order(path: Column) -> Column:
     return F.split(path, "/")
 
 
-def file_offsets(chunks: DataFrame) -> DataFrame:
-    """Chunks in the files before each file of a repository, in walk order.
+def chunk_counts(files: DataFrame) -> DataFrame:
+    """``repo, file_path, file_chunks`` of files given as ``repo, path, content``.
 
-    Works on a table of chunk counts per file, range-partitioned in walk order and
-    written down, so its partition numbers are fixed.  The chunks' text takes no
-    part in it, and one large repository spreads over many partitions.
+    A chunk begins at every ``def`` line, so these are counted and no chunk is cut out.
     """
-    files = chunks.groupBy("repo", "file_path").agg(F.count("*").alias("file_chunks"))
-    ranged = materialise(
-        files.withColumn("_walk", walk_order(F.col("file_path")))
-        .repartitionByRange("repo", "_walk")
-        .withColumn("_part", F.spark_partition_id())
+    found = F.size(
+        F.filter(F.split("content", "\n", -1), lambda line: F.regexp_extract(line, PY_DEF, 2) != "")
     )
+    counted = files.select("repo", F.col("path").alias("file_path"), found.cast("bigint").alias("file_chunks"))
+    return counted.where("file_chunks > 0")
+
+
+def file_offsets(counts: DataFrame, parts: int = PREFIX_PARTS) -> DataFrame:
+    """``counts`` with ``chunks_before``: the chunks in the earlier files of a repository, in walk order.
+
+    ``counts`` has ``repo, file_path, file_chunks``.  Files that share their first ``parts`` path
+    parts follow each other in the walk: they are numbered in one task, and of each such
+    group one small row meets the others of its repository.  Nothing runs before the result does.
+    """
     earlier = (Window.unboundedPreceding, -1)
-    inside = Window.partitionBy("repo", "_part").orderBy("_walk").rowsBetween(*earlier)
-    across = Window.partitionBy("repo").orderBy("_part").rowsBetween(*earlier)
+    walked = counts.withColumn("_walk", walk_order(F.col("file_path"))).withColumn(
+        "_prefix", F.slice("_walk", 1, parts)
+    )
+    inside = Window.partitionBy("repo", "_prefix").orderBy("_walk").rowsBetween(*earlier)
+    across = Window.partitionBy("repo").orderBy("_prefix").rowsBetween(*earlier)
     carried = (
-        ranged.groupBy("repo", "_part")
+        walked.groupBy("repo", "_prefix")
         .agg(F.sum("file_chunks").alias("_total"))
-        .select("repo", "_part", F.sum("_total").over(across).alias("_carried"))
+        .select("repo", "_prefix", F.sum("_total").over(across).alias("_carried"))
     )
+    before = F.coalesce("_local", F.lit(0)) + F.coalesce("_carried", F.lit(0))
     return (
-        ranged.withColumn("_local", F.sum("file_chunks").over(inside))
-        .join(carried, ["repo", "_part"])
-        .select(
-            "repo",
-            "file_path",
-            "file_chunks",
-            (F.coalesce("_local", F.lit(0)) + F.coalesce("_carried", F.lit(0))).alias(
-                "chunks_before"
-            ),
-        )
+        walked.withColumn("_local", F.sum("file_chunks").over(inside))
+        .join(carried, ["repo", "_prefix"])
+        .select("repo", "file_path", "file_chunks", before.alias("chunks_before"))
     )
 
 
 def chunk_batches(
-    chunks: DataFrame, repos: DataFrame, batch_chunks: int = BATCH_CHUNKS
+    files: DataFrame, repos: DataFrame, batch_chunks: int = BATCH_CHUNKS
 ) -> DataFrame:
     """Batches of chunks in walk order, then an empty ``done`` batch per repository.
 
-    ``chunks`` has ``repo, chunk_no`` and the chunk fields; ``repos`` has ``repo,
-    repo_url, branch, source_sha``, one row per repository.
+    ``files`` has ``repo, path, content``; ``repos`` has ``repo, repo_url, branch,
+    source_sha``, one row per repository.  A file is cut into chunks once, after its place is known.
     """
 
     def batch_of(rank: Column) -> Column:
         return F.call_function("div", rank, F.lit(batch_chunks).cast("bigint"))
 
     fields = [f.name for f in SOURCE_CHUNK.fields]
-    offsets = file_offsets(chunks)
+    offsets = file_offsets(chunk_counts(files))
+    chunks = extract_chunks(files.select("repo", "path", "content"))
     rank = F.col("chunks_before") + F.col("chunk_no")
     ordered = F.array_sort(F.collect_list(F.struct("rank", F.struct(*fields).alias("chunk"))))
     full = (
@@ -209,26 +215,32 @@ def frame_chunks(
     chunks: DataFrame,
     chunk_columns: tuple[str, ...] = ("name", "kind", "start_line", "end_line"),
     bin_lines: int = BIN_LINES,
-    salts: int = SALTS,
+    hot_parts: int = HOT_PARTS,
 ) -> DataFrame:
     """Frames with the innermost chunk that contains their line, if any.
 
     ``frames`` has ``filename, lineno``; ``chunks`` has ``file_path, start_line,
     end_line``.  Positions are made distinct first, so the range join runs once per
     place in the code, not once per event, and compares a position only with the
-    chunks in its bin of lines.  The places found are copied once per salt, so a
-    line named by a third of all frames still spreads over many tasks.
+    chunks in its bin of lines.  Places are counted there: one with a ``hot_parts``-th of
+    all frames or more gets as many salts as it has such parts, the others none.  There
+    are ``hot_parts`` hot places at most, so they are broadcast to the frames.
     """
 
     def bin_of(line: Column) -> Column:
         return F.call_function("div", line.cast("bigint"), F.lit(bin_lines).cast("bigint"))
 
-    places = (
+    counted = (
         frames.where(F.col("lineno").isNotNull())
         .groupBy("filename", "lineno")
-        .agg(F.lit(1).alias("_one"))
-        .withColumn("_bin", bin_of(F.col("lineno")))
+        .agg(F.count("*").alias("_frames"))
     )
+    total = counted.agg(F.sum("_frames")).scalar()
+    share = F.col("_frames") * hot_parts
+    salts = F.when(share >= total, F.ceil(share / total)).otherwise(1).cast("int")
+    places = counted.select("filename", "lineno", bin_of(F.col("lineno")).alias("_bin"), salts.alias("_salts"))
+    # A share of 1 / hot_parts makes one salt, which is none.
+    hot = places.where("_salts > 1").select("filename", "lineno", "_salts")
     needed = dict.fromkeys(("start_line", "end_line", *chunk_columns))
     binned = chunks.select(
         F.col("file_path").alias("filename"),
@@ -240,14 +252,21 @@ def frame_chunks(
     innermost = (
         places.join(binned, ["filename", "_bin"])
         .where(inside)
-        .groupBy("filename", "lineno")
+        .groupBy("filename", "lineno", "_salts")
         .agg(F.max_by("_chunk", F.col("_chunk.start_line")).alias("_chunk"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+        .drop("_salts")
     )
-    # The salt is a function of the row and its task, so a repeated task salts alike.
+    # The salt is a function of the row and its task, so a repeated task salts alike.  Frames
+    # without a line find nothing and go anywhere.
     plain = [f.name for f in frames.schema.fields if "map<" not in f.dataType.simpleString()]
     spot = F.xxhash64(*plain, F.spark_partition_id())
-    salted = frames.withColumn("_salt", F.pmod(spot, F.lit(salts)).cast("int"))
+    ways = F.when(line.isNull(), hot_parts).otherwise(F.coalesce("_salts", F.lit(1)))
+    salted = (
+        frames.join(F.broadcast(hot), ["filename", "lineno"], "left")
+        .withColumn("_salt", F.pmod(spot, ways).cast("int"))
+        .drop("_salts")
+    )
     found = salted.join(innermost, ["filename", "lineno", "_salt"], "left")
     return found.select(
         *frames.columns,

@@ -15,8 +15,9 @@ So a run of events is a sequence of caps and lifts, and neither the barrier ``h`
 nor the cap depends on earlier decisions.  Successive caps merge into the lowest,
 successive lifts into the highest, so a whole block of events shrinks to a
 handful of numbers whatever state it will be entered with.  A key is therefore
-cut into blocks that are summarised in parallel, the short summaries are run
-through in order, and the blocks decide in parallel from their known entry state.
+cut into blocks that are summarised in parallel, and the blocks decide in parallel from
+their known entry state.  Summaries compose: those of consecutive blocks shrink to one for
+their group, only the groups of a key are run through in order, and then each group's blocks.
 
 Events that were only seen together, as a micro-batch, have come one by one since the batch
 before.  They share the time ``t`` of their batch; the bucket was capped when that time began, at
@@ -34,12 +35,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.operators.scan import with_totals_before
+from faultline.operators.scan import bucket_of, with_totals_before
 from faultline.session import materialise
 
 DEFAULT_RATE = 100
 DEFAULT_BURST = 500
 BLOCK_ROWS = 1 << 18
+# Blocks whose summaries meet in one task.
+GROUP_BLOCKS = 1 << 10
 CAP, LIFT, SET = 0, 1, 2
 
 Step = tuple[int, int]
@@ -61,30 +64,60 @@ def _with_caps(barriers: Sequence[int], slack: int | Sequence[int]) -> Iterable[
     return ((h, h + s) for h, s in zip(barriers, slacks))
 
 
+class Summary:
+    """The steps that a run of caps and lifts applies to any entry state."""
+
+    def __init__(self, token: int):
+        self.token = token
+        self.steps: list[Step] = []
+        self.low = self.high = None  # bounds on every state the run can be in
+
+    def cap(self, value: int) -> None:
+        if self.high is not None and value >= self.high:
+            return
+        if self.low is not None and value <= self.low:
+            self.steps, self.low = [(SET, value)], value
+        elif self.steps and self.steps[-1][0] == CAP:
+            self.steps[-1] = (CAP, value)
+        else:
+            self.steps.append((CAP, value))
+        self.high = value
+
+    def lift(self, value: int) -> None:
+        if self.low is not None and value <= self.low:
+            return
+        if self.low is not None and self.low == self.high:
+            self.set(lift(self.low, value, self.token))
+            return
+        if self.steps[-1][0] == LIFT:
+            self.steps[-1] = (LIFT, value)
+        else:
+            self.steps.append((LIFT, value))
+        self.low, self.high = value, max(self.high, value + self.token - 1)
+
+    def set(self, value: int) -> None:
+        self.steps, self.low, self.high = [(SET, value)], value, value
+
+
 def summarise(barriers: Sequence[int], slack: int | Sequence[int], token: int) -> list[Step]:
     """The steps a block of events applies to any entry state; ``slack`` is one for all or one each."""
-    steps: list[Step] = []
-    low = high = None  # bounds on every state the block can be in
+    summary = Summary(token)
     for h, cap in _with_caps(barriers, slack):
-        if high is None or cap < high:
-            if low is not None and cap <= low:
-                steps, low = [(SET, cap)], cap
-            elif steps and steps[-1][0] == CAP:
-                steps[-1] = (CAP, cap)
-            else:
-                steps.append((CAP, cap))
-            high = cap
-        if low is None or h > low:
-            if low is not None and low == high:
-                low = high = lift(low, h, token)
-                steps = [(SET, low)]
-                continue
-            if steps[-1][0] == LIFT:
-                steps[-1] = (LIFT, h)
-            else:
-                steps.append((LIFT, h))
-            low, high = h, max(high, h + token - 1)
-    return steps
+        if summary.high is None or cap < summary.high:
+            summary.cap(cap)
+        if summary.low is None or h > summary.low:
+            summary.lift(h)
+    return summary.steps
+
+
+def compose(parts: Iterable[Iterable[Step]], token: int) -> list[Step]:
+    """One list of steps that does what the given ones do in their order."""
+    summary = Summary(token)
+    act = {CAP: summary.cap, LIFT: summary.lift, SET: summary.set}
+    for steps in parts:
+        for kind, value in steps:
+            act[kind](value)
+    return summary.steps
 
 
 def run_steps(z: int | None, steps: Iterable[Step], token: int) -> int | None:
@@ -131,6 +164,7 @@ def decisions(
     rate: int = DEFAULT_RATE,
     burst: int = DEFAULT_BURST,
     block_rows: int = BLOCK_ROWS,
+    group_blocks: int = GROUP_BLOCKS,
 ) -> DataFrame:
     """``key, seq, allowed`` for arrivals given as ``key, seq, ts``.
 
@@ -161,34 +195,49 @@ def decisions(
         .select("key", "_bucket", "seq", "_rank", "_clock", *([waited] if batched else []))
     )
 
-    def summary(key: tuple, block: pa.Table) -> pa.Table:
-        block = block.sort_by("seq")
-        steps = summarise(_barriers(block, token, refill), _slacks(block, slack, refill), token)
+    def written(key: tuple, place: str, steps: list[Step]) -> pa.Table:
         return pa.table(
             {
                 "key": [key[0].as_py()],
-                "_bucket": [key[1].as_py()],
+                place: [key[1].as_py()],
                 "kinds": pa.array([[k for k, _ in steps]], pa.list_(pa.int32())),
                 "values": pa.array([[str(v) for _, v in steps]], pa.list_(pa.string())),
             }
         )
 
-    def entries(blocks: pa.Table) -> pa.Table:
-        blocks = blocks.sort_by("_bucket")
-        state, states = None, []
-        for kinds, values in zip(
-            blocks.column("kinds").to_pylist(), blocks.column("values").to_pylist()
-        ):
+    def steps_of(summaries: pa.Table) -> list[list[Step]]:
+        kinds, values = (summaries.column(c).to_pylist() for c in ("kinds", "values"))
+        return [list(zip(k, map(int, v))) for k, v in zip(kinds, values)]
+
+    def summary(key: tuple, block: pa.Table) -> pa.Table:
+        block = block.sort_by("seq")
+        steps = summarise(_barriers(block, token, refill), _slacks(block, slack, refill), token)
+        return written(key, "_bucket", steps)
+
+    def group_summary(key: tuple, blocks: pa.Table) -> pa.Table:
+        return written(key, "_group", compose(steps_of(blocks.sort_by("_bucket")), token))
+
+    def entry_states(summaries: pa.Table, place: str, state: int | None) -> pa.Table:
+        states = []
+        for steps in steps_of(summaries):
             states.append(None if state is None else str(state))
-            state = run_steps(state, zip(kinds, map(int, values)), token)
+            state = run_steps(state, steps, token)
         return pa.table(
             {
-                "key": blocks.column("key"),
-                "_bucket": blocks.column("_bucket"),
+                "key": summaries.column("key"),
+                place: summaries.column(place),
                 "_entry": pa.array(states, pa.string()),
             }
         )
 
+    def group_entries(groups: pa.Table) -> pa.Table:
+        return entry_states(groups.sort_by("_group"), "_group", None)
+
+    def entries(blocks: pa.Table) -> pa.Table:
+        blocks = blocks.sort_by("_bucket")
+        entry = blocks.column("_entry")[0].as_py()
+        return entry_states(blocks, "_bucket", None if entry is None else int(entry))
+
     def verdicts(key: tuple, block: pa.Table) -> pa.Table:
         block = block.sort_by("seq")
         entry = block.column("_entry")[0].as_py()
@@ -205,11 +254,22 @@ def decisions(
         return pa.table({"key": names, "seq": block.column("seq"), "allowed": passed})
 
     by = ["key", "_bucket"]
-    summaries = numbered.groupBy(*by).applyInArrow(
-        summary, "key string, _bucket bigint, kinds array<int>, values array<string>"
+    summaries = (
+        numbered.groupBy(*by)
+        .applyInArrow(summary, "key string, _bucket bigint, kinds array<int>, values array<string>")
+        .withColumn("_group", bucket_of(F.col("_bucket"), group_blocks))
+    )
+    # Both uses of the summaries are shuffled alike, so they are worked out once.
+    groups = (
+        summaries.groupBy("key", "_group")
+        .applyInArrow(group_summary, "key string, _group bigint, kinds array<int>, values array<string>")
+        .groupBy("key")
+        .applyInArrow(group_entries, "key string, _group bigint, _entry string")
     )
-    entered = summaries.groupBy("key").applyInArrow(
-        entries, "key string, _bucket bigint, _entry string"
+    entered = (
+        summaries.join(groups, ["key", "_group"])
+        .groupBy("key", "_group")
+        .applyInArrow(entries, "key string, _bucket bigint, _entry string")
     )
     return (
         numbered.join(entered, by)
@@ -242,6 +302,7 @@ def rate_limit(
     rate: int = DEFAULT_RATE,
     burst: int = DEFAULT_BURST,
     block_rows: int = BLOCK_ROWS,
+    group_blocks: int = GROUP_BLOCKS,
 ) -> DataFrame:
     """``events`` with ``limiter_key`` and ``allowed``.
 
@@ -256,12 +317,12 @@ def rate_limit(
     times = [c for c in ("ts", "since") if c in events.columns]
     arrivals = keyed.select(F.col("limiter_key").alias("key"), "seq", *times)
     if "origin" not in events.columns:
-        verdicts = decisions(arrivals, rate, burst, block_rows).withColumnRenamed("key", "limiter_key")
+        verdicts = decisions(arrivals, rate, burst, block_rows, group_blocks).withColumnRenamed("key", "limiter_key")
         return keyed.join(verdicts, ["limiter_key", "seq"])
     named = F.coalesce("origin", F.lit("")).alias("origin")
     ordered = _in_arrival_order(keyed.select(F.col("limiter_key").alias("key"), named, "seq", *times))
     passed = decisions(
-        ordered.select("key", F.col("_order").alias("seq"), *times), rate, burst, block_rows
+        ordered.select("key", F.col("_order").alias("seq"), *times), rate, burst, block_rows, group_blocks
     ).select(F.col("seq").alias("_order"), "allowed")
     verdicts = ordered.join(passed, "_order").select(
         F.col("key").alias("limiter_key"), F.col("origin").alias("_origin"), "seq", "allowed"

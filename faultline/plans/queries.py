@@ -337,7 +337,7 @@ def chunk_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("main").alias("branch"),
         F.sha2(F.col("repo"), 256).alias("source_sha"),
     )
-    batches = codechunks.chunk_batches(codechunks.extract_chunks(files), repos)
+    batches = codechunks.chunk_batches(files, repos)
     names = F.transform(
         "chunks", lambda c: F.concat_ws(":", c["file_path"], c["start_line"], c["name"])
     )

@@ -9,7 +9,9 @@ import pytest
 from faultline.operators.codechunks import (
     chunk_accounting,
     chunk_batches,
+    chunk_counts,
     extract_chunks,
+    file_offsets,
     frame_chunks,
 )
 
@@ -88,7 +90,7 @@ def test_batches(spark, files):
         [(r, f"u/{r}", "main", "sha") for r in ("big", "small", "bare")],
         "repo string, repo_url string, branch string, source_sha string",
     )
-    out = chunk_batches(extract_chunks(df), repos, batch_chunks=7).collect()
+    out = chunk_batches(df, repos, batch_chunks=7).collect()
     got = {}
     for r in sorted(out, key=lambda r: (r.repo_name, r.batch_no)):
         got.setdefault(r.repo_name, []).append(r)
@@ -116,8 +118,31 @@ def test_accounting(spark):
     assert got == {"fine": (53, 0), "late": (50, 59), "dead": (0, 4)}
 
 
-@pytest.mark.parametrize("bin_lines", [1, 5, 64])
-def test_frame_lookup(spark, files, bin_lines):
+def test_counts_are_those_of_the_chunks(spark, files):
+    df = spark.createDataFrame(
+        [("r", p, s) for p, s in files.items()] + [("r", "none.py", None)],
+        "repo string, path string, content string",
+    )
+    got = {r.file_path: r.file_chunks for r in chunk_counts(df).collect()}
+    cut = {p: len(plain_chunks(p, s)) for p, s in files.items()}
+    assert got == {p: n for p, n in cut.items() if n}
+
+
+@pytest.mark.parametrize("parts", [1, 2, 9])
+def test_offsets_follow_the_walk(spark, parts):
+    paths = ["a.py", "a/b.py", "a/b/c.py", "a/b/d/e.py", "a/c.py", "a-b.py", "b/a/x.py", "b/a/y/z.py", "z.py"]
+    counts = [("r", p, i + 1) for i, p in enumerate(paths)] + [("s", "q/w.py", 5)]
+    df = spark.createDataFrame(counts, "repo string, file_path string, file_chunks bigint")
+    got = {(r.repo, r.file_path): r.chunks_before for r in file_offsets(df, parts).collect()}
+    want, total = {("s", "q/w.py"): 0}, 0
+    for path in sorted(paths, key=lambda p: p.split("/")):
+        want["r", path] = total
+        total += paths.index(path) + 1
+    assert got == want
+
+
+@pytest.mark.parametrize("bin_lines, hot_parts", [(1, 3), (5, 50), (64, 400)])
+def test_frame_lookup(spark, files, bin_lines, hot_parts):
     rng = random.Random(4)
     frames = []
     for i in range(400):
@@ -128,7 +153,7 @@ def test_frame_lookup(spark, files, bin_lines):
     asked = spark.createDataFrame(frames, "id bigint, filename string, lineno bigint")
     got = {
         r.id: (r.chunk_name, r.chunk_start_line)
-        for r in frame_chunks(asked, chunks, bin_lines=bin_lines, salts=3).collect()
+        for r in frame_chunks(asked, chunks, bin_lines=bin_lines, hot_parts=hot_parts).collect()
     }
     plain = {p: plain_chunks(p, s) for p, s in files.items()}
     want = {}

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators.ratelimit import (
+    compose,
     decide,
+    decisions,
     limiter_stats,
     mark_sampled,
     rate_limit,
@@ -82,8 +84,45 @@ def test_summaries_stay_short():
     assert len(summarise(barriers, token * 49, token)) <= 6
 
 
-@pytest.mark.parametrize("block_rows", [1, 16, 1 << 16])
-def test_frames(spark, block_rows):
+@pytest.mark.parametrize("seed", range(30))
+def test_composed_summaries_act_as_their_parts(seed):
+    rng = random.Random(seed)
+    rate, burst = rng.choice([(1, 1), (3, 2), (7, 5), (100, 3), (999, 4), (5, 0)])
+    times = arrival_times(rng, 300, rate, burst)
+    token, refill = units(rate)
+    slack = token * (burst - 1)
+    barriers = [token * (k + 1) - refill * t for k, t in enumerate(times)]
+    cuts = sorted(rng.sample(range(1, 300), 12))
+    blocks = [barriers[a:b] for a, b in zip([0, *cuts], [*cuts, 300])]
+    parts = [summarise(block, slack, token) for block in blocks]
+    # Any bracketing of the blocks gives the same function of the entry state.
+    at = rng.randint(1, 12)
+    halves = [compose(parts[:at], token), compose(parts[at:], token)]
+    whole = summarise(barriers, slack, token)
+    for entry in (None, *(h + rng.randint(-3, 3) * token + rng.randint(0, token) for h in barriers[::25])):
+        state = entry
+        for steps in parts:
+            state = run_steps(state, steps, token)
+        for steps in (compose(parts, token), compose(halves, token), whole):
+            assert run_steps(entry, steps, token) == state
+
+
+def test_blocks_meet_in_groups_only(spark):
+    """The summaries of the blocks are worked out once, and a key's blocks meet group by group."""
+    df = spark.range(2000).selectExpr(
+        "'hot' AS key", "id AS seq", "timestamp_micros(id * 5000) AS ts"
+    )
+    verdicts = decisions(df, rate=100, burst=5, block_rows=4, group_blocks=25)
+    whole = decisions(df, rate=100, burst=5)
+    assert sorted(map(tuple, verdicts.collect())) == sorted(map(tuple, whole.collect()))
+    verdicts.collect()
+    final = verdicts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FlatMapGroupsInArrow summary(") <= 1 or "ReusedExchange" in final
+    assert final.count("group_summary(") == 1
+
+
+@pytest.mark.parametrize("block_rows, group_blocks", [(1, 7), (16, 1), (16, 5), (1 << 16, 1024)])
+def test_frames(spark, block_rows, group_blocks):
     rng = random.Random(block_rows)
     rows, want = [], {}
     for key, n in (("hot", 900), ("b", 60), (None, 40)):
@@ -96,7 +135,7 @@ def test_frames(spark, block_rows):
     df = spark.createDataFrame(rows, "source string, seq bigint, us bigint").withColumn(
         "ts", F.timestamp_micros("us")
     )
-    limited = rate_limit(df, "source", rate=10, burst=5, block_rows=block_rows)
+    limited = rate_limit(df, "source", rate=10, burst=5, block_rows=block_rows, group_blocks=group_blocks)
     got = {(r.limiter_key, r.seq): r.allowed for r in limited.collect()}
     assert got == want
     stats = {r.limiter_key: (r.allowed, r.dropped) for r in limiter_stats(limited).collect()}
