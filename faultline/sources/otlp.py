@@ -204,11 +204,37 @@ def _resource_fits(value: Column) -> Column:
     )
 
 
+# What a value of the right type begins with, by the names of the fields.  A whole number that
+# might be too long for a BIGINT counts as doubtful.
+LEADS = {
+    '"': "timeUnixNano severityText traceId spanId key stringValue name version",
+    r'["0-9-]': "intValue",
+    "[0-9-]": "doubleValue",
+    "[tf]": "boolValue",
+    r"-?[0-9]{1,18}\s*[,}\]]": "severityNumber",
+    r"\{": "resource scope body value",
+    r"\[\s*[{\]]": "resourceLogs scopeLogs logRecords attributes",
+}
+# Texts in which a field or a list element might have a wrong type: a field that begins with
+# something else, something other than a field name or an object after an object, and names
+# that may be written with escapes.
+DOUBTFUL = "|".join(
+    [rf'"(?:{names.replace(" ", "|")})"\s*+:\s*+(?!{lead})' for lead, names in LEADS.items()]
+    + [r'\}\s*+,\s*+(?:[^{"\s]|"[^"\\]*+(?:\\|"\s*+[^:\s]))', r"\\u"]
+)
+
+
 def fits_request(payload: Column) -> Column:
     """Every field that is there has the type it should have.
 
-    A payload too large for a VARIANT is not looked into.
+    A value's first characters tell its type, so one pattern finds the texts in which a wrong
+    type is possible; only these are parsed and looked into.  A payload too large for a
+    VARIANT is not looked into.
     """
+    return F.coalesce(~payload.rlike(DOUBTFUL) | _all_types_fit(payload), F.lit(True))
+
+
+def _all_types_fit(payload: Column) -> Column:
     told = let(F.try_parse_json(payload), lambda v: _is_list(v, "resourceLogs", _resource_fits))
     return F.coalesce(told, F.lit(True))
 

@@ -17,6 +17,9 @@ from faultline.sources.containers import (
 )
 from faultline.sources.journal import decode_journal, journal_source
 from faultline.sources.otlp import (
+    DOUBTFUL,
+    _all_types_fit,
+    fits_request,
     flatten_requests,
     general_number,
     otlp_source,
@@ -362,3 +365,40 @@ def test_otlp_refuses_wrong_types(spark):
     df = spark.createDataFrame(list(enumerate(good + bad)), "seq bigint, payload string")
     refused = [r.seq for r in rejected_requests(df).collect()]
     assert sorted(refused) == list(range(len(good), len(good) + len(bad)))
+
+
+def test_otlp_doubtful_payloads_are_all_that_may_be_wrong(spark):
+    """Values of every kind at every place: the pattern misses none that the full check refuses."""
+    values = [
+        "null", "true", "5", "-3", "9.5", "1e3", "12345678901234567890", '"t"', '"5"', '""', "{}", "[]",
+        "[1]", '["x"]', "[{}]", "[null]", '[{},"x"]', "[{}, 2]", "[{},null,[]]", '[{} , "a\\"b"]', '{"a":1}',
+        '[{},{"a":"b"}]',
+    ]
+    places = [
+        '{"resourceLogs":@}',
+        '{"resourceLogs" :  [{"resource" : @}]}',
+        '{"resourceLogs":[{"resource":{"attributes":@}}]}',
+        '{"resourceLogs":[{"resource":{"attributes":[{"key":@}]}}]}',
+        '{"resourceLogs":[{"resource":{"attributes":[{"value":@,"key":"k"}]}}]}',
+        '{"resourceLogs":[{"scopeLogs":@,"resource":{}}]}',
+        '{"resourceLogs":[{"scopeLogs":[{"scope":@}]}]}',
+        '{"resourceLogs":[{"scopeLogs":[{"scope":{"name":@,"version":"1"}}]}]}',
+        '{"resourceLogs":[{"scopeLogs":[{"scope":{},"logRecords":@}]}]}',
+    ]
+    record = '{"resourceLogs":[{"scopeLogs":[{"logRecords":[{},{%s,"severityText":"x"}]}]}]}'
+    names = ["timeUnixNano", "severityNumber", "severityText", "traceId", "body", "attributes", "unknown", "sp\\u0061nId"]
+    places += [record % f'"{name}":@' for name in names]
+    kinds = ["stringValue", "intValue", "doubleValue", "boolValue", "arrayValue"]
+    places += [record % f'"body":{{"{kind}": @}}' for kind in kinds]
+    payloads = [place.replace("@", value) for place in places for value in values]
+    payloads += [None, "", "{", record % '"body":{"stringValue":"a \\"name\\": 5 }, 7"}']
+    df = spark.createDataFrame([(p,) for p in payloads], "payload string")
+    told = df.select(
+        "payload",
+        fits_request(F.col("payload")).alias("got"),
+        _all_types_fit(F.col("payload")).alias("want"),
+        F.col("payload").rlike(DOUBTFUL).alias("doubtful"),
+    ).collect()
+    assert [r.payload for r in told if r.got != r.want] == []
+    assert 100 < sum(not r.want for r in told) < len(told) - 100
+    assert sum(not r.doubtful for r in told if r.doubtful is not None) > 50
