@@ -473,6 +473,10 @@ oracle(
     "journal_units",
     f"WITH {JOURNAL} SELECT seq, unit FROM journal WHERE unit IN ('nginx.service', 'dbus.service')",
 )
+oracle(
+    "journal_rejects",
+    f"""SELECT seq, line FROM ({duckdb_text(D.JOURNAL_LINES)}) WHERE {json_object('line')} IS NULL""",
+)
 oracle(
     "journal_time",
     f"""WITH {JOURNAL} SELECT seq, CASE WHEN regexp_matches(us, '^[0-9]+$') THEN CAST(us AS BIGINT)

@@ -180,6 +180,11 @@ def journal_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def journal_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return journal.rejected_entries(derive(spark, sf_dir, D.JOURNAL_LINES)).select("seq", "line")
+
+
 @query
 def journal_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _journal(spark, sf_dir, ("nginx.service", "dbus.service"))

@@ -36,7 +36,7 @@ def decode_journal(entries: DataFrame, units: Sequence[str] = ()) -> DataFrame:
     With ``file_path``, ``seq`` counts inside a file.
 
     Entries that are not one JSON object, or whose message is not a non-empty
-    string, are left out.
+    string, are left out; ``rejected_entries`` gives the former.
     """
     origin = [F.col("file_path").alias("origin")] if "file_path" in entries.columns else []
     parsed = with_once(entries, "entry", parse_object(F.col("line"))).where(
@@ -73,6 +73,15 @@ def decode_journal(entries: DataFrame, units: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def rejected_entries(entries: DataFrame, line: str = "line") -> DataFrame:
+    """Entries that cannot be read: not exactly one JSON object, or too large for a VARIANT.
+
+    A NULL line is one too.  Entries that are read but have no message are none.
+    """
+    known = with_once(entries, "_refused", parse_object(F.col(line)).isNull())
+    return known.where("_refused").drop("_refused")
+
+
 def journal_source(
     spark: SparkSession,
     paths: str | list[str],

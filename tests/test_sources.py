@@ -15,7 +15,7 @@ from faultline.sources.containers import (
     container_source,
     started_containers,
 )
-from faultline.sources.journal import decode_journal, journal_source
+from faultline.sources.journal import decode_journal, journal_source, rejected_entries
 from faultline.sources.otlp import (
     DOUBTFUL,
     _all_types_fit,
@@ -402,3 +402,14 @@ def test_otlp_doubtful_payloads_are_all_that_may_be_wrong(spark):
     assert [r.payload for r in told if r.got != r.want] == []
     assert 100 < sum(not r.want for r in told) < len(told) - 100
     assert sum(not r.doubtful for r in told if r.doubtful is not None) > 50
+
+
+def test_journal_entries_are_read_or_rejected(spark):
+    good = ['{"MESSAGE":"m"}', ' {"MESSAGE":[1]} ', "{}", '{"a":{"b":"}"}}']
+    bad = ["", "null", "[1]", '"{}"', "{} {}", '{"MESSAGE":"m"}x', '{"MESSAGE":"m"', "{}],[{}", None]
+    rows = [(i, line, "x") for i, line in enumerate(good + bad)]
+    df = spark.createDataFrame(rows, "seq bigint, line string, _extra string")
+    got = rejected_entries(df)
+    assert got.columns == df.columns
+    assert sorted(r.seq for r in got.collect()) == list(range(len(good), len(rows)))
+    assert rejected_entries(df.limit(0)).collect() == []
