@@ -40,7 +40,7 @@ from faultline.operators.traces import (
 from faultline.plans import derived as D
 from faultline.plans.derived import derive, spread, table
 from faultline.schema import EVENT
-from faultline.session import checkpoint_root
+from faultline.session import checkpoint_root, stored
 from faultline.sources import containers, journal, otlp, pods, trees
 from faultline.sources.sinks import envelope_json
 from faultline.sources.text import file_source
@@ -295,13 +295,16 @@ def shared_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     }
     raw = union_sources(spark, [{"type": t} for t in ("file", "journald", "docker", "journald", "file")], readers)
-    records = recombine(with_stream_key(raw), bucket_rows=1000)
+    # Both operators read their rows several times; of a record's text only the length goes on.
+    lines = stored(with_stream_key(raw).select("stream_key", "origin", "seq", "ts", "line"), "raw-log")
+    sized = recombine(lines, bucket_rows=1000).withColumn("line", F.length("line"))
+    records = stored(sized.withColumnRenamed("line", "chars"), "records")
     limited = ratelimit.rate_limit(records, "stream_key", rate=100, burst=50, block_rows=1000)
     return limited.groupBy("stream_key").agg(
         F.count("*").alias("records"),
         F.count_distinct("origin").alias("origins"),
         F.sum("n_lines").alias("lines"),
-        long(F.sum(F.length("line"))).alias("chars"),
+        long(F.sum("chars")).alias("chars"),
     )
 
 
