@@ -18,6 +18,7 @@ from pyspark.sql.streaming.stateful_processor import (
 
 from faultline.operators.recombine import RULES, Rule
 from faultline.session import checkpoint_root
+from faultline.streaming.order import by_seq
 from faultline.streaming.sink import run_available
 
 DEFAULT_IDLE_MS = 500
@@ -64,7 +65,7 @@ class OpenRecord(StatefulProcessor):
         opening, micros, first = self.last.get() if self.last.exists() else (None, None, None)
         # Lines before this batch stay in the state unless their record ends here.
         stored, added = first is not None, []
-        for row in sorted(rows, key=lambda r: r.seq):
+        for row in by_seq(rows):
             joined = first is not None and (row.alone or (row.closing and opening))
             if joined and self.gap_ms is not None and None not in (micros, row.micros):
                 joined = row.micros - micros < self.gap_ms * 1000
@@ -122,8 +123,8 @@ def recombine_stream(
     that long between the times of two lines, as the batch operator does; in event time
     that is the default.
 
-    A batch of one stream is sorted in memory, so size the batches with
-    ``maxFilesPerTrigger`` or its like.
+    A batch of one stream is sorted in one task, in runs on its disk where it is large, so size
+    the batches with ``maxFilesPerTrigger`` or its like.
     """
     flags = RULES[rule] if isinstance(rule, str) else rule
     keys = ["stream_key", *(["origin"] if "origin" in lines.columns else [])]
