@@ -219,6 +219,8 @@ def recombine(
             "_bucket": bucket_of(F.col("seq"), bucket_rows),
         }
     )
+    # Dealt out before a rule looks at them: all uses, of several rules too, read one shuffle.
+    rows = rows.repartition(*keys, "_bucket")
 
     # Fragments: islands inside one bucket.  The first line of a bucket opens
     # fragment 0 without a verdict; its predecessor is in another bucket.

@@ -212,3 +212,23 @@ def test_stream_key(spark):
     )
     for r in df.select(stream_key(F.col("source"), F.col("tags")).alias("got"), "want").collect():
         assert r.got == r.want
+
+
+def test_rules_share_one_shuffle_of_the_lines(spark, tmp_path):
+    """How often lines are dealt out does not grow with the rules that look at them."""
+    path = str(tmp_path / "lines")
+    spark.range(2000).selectExpr(
+        "concat('k', id % 3) stream_key", "id seq", "timestamp_seconds(id) ts", "concat('  line ', id) line"
+    ).write.parquet(path)
+
+    def dealt(*rules):
+        parts = [recombine(spark.read.parquet(path), rule).groupBy("stream_key").count() for rule in rules]
+        whole = parts[0]
+        for part in parts[1:]:
+            whole = whole.union(part)
+        whole.collect()
+        plan = whole._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        lines = [line for line in plan.split("\n") if "_bucket" in line and "REPARTITION_BY_COL" in line]
+        return sum("ReusedExchange" not in line for line in lines)
+
+    assert 0 < dealt("java", "node") == dealt("java", "node", "ruby", "python")
