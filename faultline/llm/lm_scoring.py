@@ -40,6 +40,8 @@ HOT_WORDS, HOT_BYTES = 1 << 17, 64
 REMEMBERED = 1 << 19
 #: Texts are encoded in runs of about so many bytes, and put into windows in runs of so many ids.
 RUN_BYTES, RUN_IDS = 1 << 20, 1 << 17
+#: Bytes and rows of an Arrow batch: ids of a batch are held by the JVM and by Python, several times over.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1 << 10
 #: Parameters of a row, and rows that a task averages at most.
 BLOCK, FAN_IN = 1 << 16, 16
 
@@ -156,15 +158,30 @@ def _id_counter(size: int):
 
 
 def _id_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Rows with their ids, and where the ids of each row end, in runs of about RUN_IDS (one text aside)."""
+    """Rows with their ids, and where the ids of each row end, in runs of about RUN_IDS (one text aside).
+
+    A run goes on over the border of two batches, so runs do not depend on how rows are batched.
+    """
+    rest = None
     for batch in batches:
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
         at = batch["ids"].offsets.to_numpy().astype(np.int64)
         start = 0
         while start < batch.num_rows:
             stop = max(start + 1, int(np.searchsorted(at, at[start] + RUN_IDS, side="right")) - 1)
-            part = batch.slice(start, stop - start)
-            yield part, part["ids"].flatten().to_numpy(), at[start + 1 : stop + 1] - at[start]
+            if stop == batch.num_rows and at[stop] - at[start] < RUN_IDS:
+                break
+            yield _id_run(batch, at, start, stop)
             start = stop
+        rest = batch.slice(start) if start < batch.num_rows else None
+    if rest is not None:
+        yield _id_run(rest, rest["ids"].offsets.to_numpy().astype(np.int64), 0, rest.num_rows)
+
+
+def _id_run(batch: pa.RecordBatch, at: np.ndarray, start: int, stop: int) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    part = batch.slice(start, stop - start)
+    return part, part["ids"].flatten().to_numpy(), at[start + 1 : stop + 1] - at[start]
 
 
 TRAINED = "shard long, block int, means binary, weights binary"
@@ -281,6 +298,8 @@ def lm_scores(
     training texts every token has probability 1 for the base, and ids are equally likely.
     """
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession, "language-model")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     lowered = ascii_lower(F.coalesce("text", F.lit("")))
     texts = docs.select(
         F.monotonically_increasing_id().alias("_row"),

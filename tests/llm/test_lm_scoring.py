@@ -169,3 +169,22 @@ def test_gradient_is_the_slope_of_the_loss(model):
             loss.append(-model.log_probabilities(inputs, wanted, targets).mean())
         model.theta[:] = start
         assert (loss[0] - loss[1]) / 0.04 == pytest.approx(length, rel=0.03), name
+
+
+def test_runs_do_not_depend_on_batches(monkeypatch):
+    """Small batches, as memory wants them, give the runs that one large batch gives."""
+    import pyarrow as pa
+
+    from faultline.llm import lm_scoring
+
+    monkeypatch.setattr(lm_scoring, "RUN_IDS", 10)
+    ids = [[k] * (k % 7 + 1) for k in range(50)] + [[50] * 40, [51]]
+    whole = pa.RecordBatch.from_pydict({"n": list(range(52)), "ids": pa.array(ids, pa.list_(pa.int32()))})
+
+    def found(size):
+        batches = (whole.slice(k, size) for k in range(0, 52, size))
+        return [(p["n"].to_pylist(), i.tolist(), e.tolist()) for p, i, e in lm_scoring._id_runs(batches)]
+
+    want = found(52)
+    assert [n for run in want for n in run[0]] == list(range(52))
+    assert found(1) == found(3) == found(20) == want
