@@ -14,6 +14,8 @@ from faultline.session import checkpoint_root
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ``[\x20\x09-\x0D]``, the white space between words; bytes.split() cuts at the same.
 SPACE = " \t\n\x0b\x0c\r"
+#: Bytes and rows of an Arrow batch: a batch is held by the JVM and by Python, several times over.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +39,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in small batches from here on, a setting of the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def hash_sample(hashed: Column, size: int, total: int) -> Column:
     """A condition that about ``size`` of ``total`` rows meet, by their 64-bit hash: no order, no state."""
     if total <= size:

@@ -29,7 +29,7 @@ from faultline.llm.attention import (
     learn,
     windows,
 )
-from faultline.llm.common import ascii_lower, runs, shared_folder
+from faultline.llm.common import ascii_lower, runs, shared_folder, small_batches
 from faultline.session import materialise
 
 #: Learning rates of the rounds; each training text is in one round.
@@ -40,8 +40,6 @@ HOT_WORDS, HOT_BYTES = 1 << 17, 64
 REMEMBERED = 1 << 19
 #: Texts are encoded in runs of about so many bytes, and put into windows in runs of so many ids.
 RUN_BYTES, RUN_IDS = 1 << 20, 1 << 17
-#: Bytes and rows of an Arrow batch: ids of a batch are held by the JVM and by Python, several times over.
-BATCH_BYTES, BATCH_ROWS = 4 << 20, 1 << 10
 #: Parameters of a row, and rows that a task averages at most.
 BLOCK, FAN_IN = 1 << 16, 16
 
@@ -298,8 +296,7 @@ def lm_scores(
     training texts every token has probability 1 for the base, and ids are equally likely.
     """
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession, "language-model")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    small_batches(spark)
     lowered = ascii_lower(F.coalesce("text", F.lit("")))
     texts = docs.select(
         F.monotonically_increasing_id().alias("_row"),

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from faultline.llm.common import small_batches
 from faultline.session import materialise
 
 #: Documents of one source that are summed in one window, about.
@@ -253,18 +254,24 @@ class Mix:
 
 
 def _cut_texts(names: list[str]):
-    """Columns come by place: those of ``names``, then first and n."""
+    """Columns come by place: those of ``names`` but shard and slot, then the list of the document's pieces."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = names.index("text")
         for batch in batches:
-            columns, at = list(batch.columns), names.index("text")
-            first, n = (c.to_pylist() for c in columns[-2:])
-            whole = columns[at].cast(pa.binary())
-            texts = [b" ".join(t.as_py().split()[a : a + k]).decode() for t, a, k in zip(whole, first, n)]
-            columns[at] = pa.array(texts, columns[at].type)
-            if "n_chars" in names:
-                columns[names.index("n_chars")] = pa.array([len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays(columns[:-2], names=names)
+            for low in range(0, batch.num_rows, 256):
+                *columns, places = batch.slice(low, 256).columns
+                rows = np.repeat(np.arange(len(places)), places.value_lengths())
+                first, n, shard, slot = places.flatten().flatten()
+                words = [t.as_py().split() for t in columns[at].cast(pa.binary())]
+                cuts = zip(rows.tolist(), first.to_pylist(), n.to_pylist())
+                texts = [b" ".join(words[row][a : a + k]).decode() for row, a, k in cuts]
+                own = {"text": pa.array(texts, columns[at].type)}
+                if "n_chars" in names:
+                    own["n_chars"] = pa.array([len(t) for t in texts], pa.int64())
+                taken = pa.array(rows)
+                columns = [own[c] if c in own else column.take(taken) for c, column in zip(names, columns)]
+                yield pa.RecordBatch.from_arrays([*columns, shard, slot], names=names)
 
     return cut
 
@@ -276,10 +283,15 @@ def mix_sources(docs: DataFrame, **settings) -> DataFrame:
     spaces; n_chars, where there is one, counts it anew.  Documents without words are in no piece.
     ``settings`` are those of ``Mix``.
     """
+    small_batches(docs.sparkSession)
     mix, own = Mix(docs, **settings), [c for c in docs.columns if c not in ("shard", "slot")]
     pieces = mix.pieces().join(F.broadcast(mix.source_table().select("source_no", "_source")), "source_no")
-    used = pieces.join(mix.slots().hint("merge"), ["source_no", "block"]).select(
-        "_source", F.col("doc_id").alias("_id"), F.col("_same").alias("_hash"), F.col("_nth").alias("_which"), "first", "n", "shard", "slot"
+    # A document's pieces come to it as one list, so its text moves once however many they are.
+    piece = F.struct("first", "n", "shard", "slot")
+    used = (
+        pieces.join(mix.slots().hint("merge"), ["source_no", "block"])
+        .groupBy("_source", F.col("doc_id").alias("_id"), F.col("_same").alias("_hash"), F.col("_nth").alias("_which"))
+        .agg(F.collect_list(piece).alias("_pieces"))
     )
     # Rows that repeat source, doc_id and text have a place each; they are numbered here as there.
     # The document is one value, so that no column of it meets a name used here.
@@ -298,10 +310,6 @@ def mix_sources(docs: DataFrame, **settings) -> DataFrame:
         + [T.StructField("shard", T.LongType()), T.StructField("slot", T.IntegerType())]
     )
     met = numbered.join(used, same).select(
-        *[F.col("_doc")[c].cast(kinds[c]).alias(f"_{i}") for i, c in enumerate(own)],
-        F.col("shard").alias("_shard"),
-        F.col("slot").alias("_slot"),
-        F.col("first").alias("_first"),
-        F.col("n").alias("_n"),
+        *[F.col("_doc")[c].cast(kinds[c]).alias(f"_{i}") for i, c in enumerate(own)], "_pieces"
     )
     return met.mapInArrow(_cut_texts([*own, "shard", "slot"]), schema)

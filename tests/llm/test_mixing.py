@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from faultline.llm import mixing
 from faultline.llm.mixing import Mix, mix_sources, permuted, shard_counts, water_fill
 
 SCHEMA = "doc_id long, text string, source string"
@@ -125,3 +126,28 @@ def test_taken_again_word_by_word(spark):
         assert end == s.words
     assert Counter((r.doc_id, r.size, r.taken) for r in mix.taken().collect()) == want
     assert len(spans) == len(rows)
+
+
+def test_a_text_moves_once_however_many_pieces_it_has(spark, tmp_path, monkeypatch):
+    rows, docs = documents(spark)
+    cut_texts, log = mixing._cut_texts, str(tmp_path / "rows")
+
+    def watched(names):
+        cut = cut_texts(names)
+
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    with open(log, "a") as out:
+                        out.write(f"{batch.num_rows} ")
+                    yield batch
+
+            return cut(seen())
+
+        return run
+
+    monkeypatch.setattr(mixing, "_cut_texts", watched)
+    pieces = mix_sources(docs, block_words=16, shard_slots=256).collect()
+    moved = sum(map(int, (tmp_path / "rows").read_text().split()))
+    # 30,000 words are 1,875 pieces of one document.
+    assert len(pieces) > 1875 and moved <= len(rows)
