@@ -12,17 +12,20 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.llm.common import small_batches
 from faultline.llm.warc import open_store
 from faultline.session import materialise
 
@@ -31,6 +34,8 @@ MAGIC = b"WAVELET1"
 SHARD_IDS = 1 << 22
 #: Words and word parts whose ids a worker remembers.
 REMEMBERED = 1 << 20
+#: Bytes of texts that are encoded together, about.
+RUN_BYTES = 1 << 22
 _BLOCK = 8  # 64-bit words for which one rank is kept
 
 
@@ -107,8 +112,8 @@ class WaveletShard:
         for level, plane in enumerate(reversed(self.planes)):
             bits = plane.bits()
             before = np.empty_like(out)
-            before[np.flatnonzero(~bits)] = out[: plane.zeros]
-            before[np.flatnonzero(bits)] = out[plane.zeros :] | out.dtype.type(1 << level)
+            before[~bits] = out[: plane.zeros]
+            before[bits] = out[plane.zeros :] | out.dtype.type(1 << level)
             out = before
         return out
 
@@ -188,19 +193,19 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.dtype = np.dtype("<u2" if self.width <= 16 else "<u4")
-        self.words: dict[bytes, bytes] = {}
+        self.code = "H" if self.width <= 16 else "I"
+        self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, new: set[bytes]) -> dict[bytes, bytes]:
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
         found = {}
         for word in new:
-            text = word.decode()
-            if self.PLAIN.fullmatch(text) and "<|" not in text:
+            if self.PLAIN.fullmatch(word) and "<|" not in word:
                 ids = []
-                for part in self.PARTS.findall(text.lower()):
+                for part in self.PARTS.findall(word.lower()):
                     known = self.parts.get(part)
                     if known is None:
                         known = self._encode(part)
@@ -209,18 +214,35 @@ class WordEncoder:
                     ids.append(known)
                 found[word] = b"".join(ids)
             else:
-                found[word] = self._encode(text)
+                found[word] = self._encode(word)
             if len(self.words) < REMEMBERED:
                 self.words[word] = found[word]
         return found
 
-    def encode(self, text: bytes) -> np.ndarray:
-        words = text.split()
+    def encode_all(self, texts: pa.StringArray, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, each followed by the ids in ``end``, and where each one's end.
+
+        Words are numbered first, so that one is looked up once in all the texts.
+        """
+        split = pc.ascii_split_whitespace(texts)
+        numbered = split.flatten().dictionary_encode()
+        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         got = list(map(self.words.get, words))
-        if None in got:
-            new = self._learn({w for w, g in zip(words, got) if g is None})
-            got = [new[w] if g is None else g for w, g in zip(words, got)]
-        return np.frombuffer(b"".join(got), dtype=self.dtype)
+        new = self._learn([w for w, g in zip(words, got) if g is None])
+        got = [new[w] if g is None else g for w, g in zip(words, got)]
+        got.append(end)
+        flat = np.frombuffer(b"".join(got), dtype=self.dtype)
+        sizes = np.fromiter(map(len, got), np.int32, len(got)) // self.dtype.itemsize
+        ends = np.cumsum(split.value_lengths().to_numpy())
+        places = np.insert(numbered.indices.to_numpy(), ends, len(words))
+        length = sizes[places]
+        before = (np.cumsum(sizes) - sizes)[places]
+        after = np.cumsum(length)
+        ids = flat[np.arange(after[-1]) + np.repeat(before - (after - length), length)]
+        return ids, after[ends + np.arange(len(ends))]
+
+    def encode(self, text: bytes) -> np.ndarray:
+        return self.encode_all(pa.array([text], pa.binary()).cast(pa.string()))[0]
 
 
 @cache
@@ -229,6 +251,18 @@ def encoder_for(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _text_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.StringArray, list]]:
+    """Texts, null ones empty, and their doc_ids in runs of about RUN_BYTES, one text aside."""
+    for batch in batches:
+        texts, names = pc.fill_null(batch["text"], ""), batch["doc_id"].to_pylist()
+        at = np.concatenate(([0], np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)))
+        low = 0
+        while low < len(names):
+            high = max(low + 1, int(np.searchsorted(at, at[low] + RUN_BYTES, side="right")) - 1)
+            yield texts[low:high], names[low:high]
+            low = high
+
+
 def _shard_writer(folder: str, tokenizer: str, end_id: int, shard_ids: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -236,28 +270,35 @@ def _shard_writer(folder: str, tokenizer: str, end_id: int, shard_ids: int):
         store, root = open_store(folder)
         store.create_dir(root, recursive=True)
         encoder, done = encoder_for(tokenizer), []
-        ids, doc_ids, ends = [], [], [0]
+        ids, doc_ids, ends, held = [], [], [], 0
 
         def close() -> None:
             # The order is fixed, so another attempt writes the same bytes to the same name.
             name = f"{root}/shard-{task:06d}-{len(done):06d}.ids"
             whole = np.concatenate(ids)
-            shard = WaveletShard.of(whole, doc_ids[:], np.array(ends[1:]), encoder.width)
+            shard = WaveletShard.of(whole, doc_ids[:], np.concatenate(ends), encoder.width)
             with store.open_output_stream(f"{name}.{attempt}.part", compression=None) as out:
                 out.write(shard.to_bytes())
             store.move(f"{name}.{attempt}.part", name)
             done.append((task, len(done), name.rpartition("/")[2], len(doc_ids), len(whole)))
-            ids.clear(), doc_ids.clear(), ends.__setitem__(slice(None), [0])
-
-        end = np.array([end_id], dtype=encoder.dtype)
-        for batch in batches:
-            texts = batch["text"].cast(pa.binary())
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), texts):
-                ids += (encoder.encode(text.as_py() or b""), end)
-                doc_ids.append(doc_id)
-                ends.append(ends[-1] + len(ids[-2]) + 1)
-                if ends[-1] >= shard_ids:
+            ids.clear(), doc_ids.clear(), ends.clear()
+
+        end = np.array([end_id], dtype=encoder.dtype).tobytes()
+        for texts, names in _text_runs(batches):
+            own, run_ends = encoder.encode_all(texts, end)
+            low = first = 0
+            while low < len(names):
+                # The document that fills the shard is its last one.
+                high = min(len(names), int(np.searchsorted(run_ends, first + shard_ids - held)) + 1)
+                stop = int(run_ends[high - 1])
+                ids.append(own[first:stop])
+                ends.append(run_ends[low:high] + (held - first))
+                doc_ids += names[low:high]
+                held += stop - first
+                if held >= shard_ids:
                     close()
+                    held = 0
+                low, first = high, stop
         if doc_ids:
             close()
         columns = list(zip(*done)) if done else [()] * 5
@@ -280,6 +321,7 @@ def write_token_shards(
     null text is empty.  Returns the shards in that order: task, number, file, docs, ids and
     start, the number of ids before the shard.  An empty table makes no shard.
     """
+    small_batches(docs.sparkSession)
     ordered = (
         docs.select("doc_id", "text", F.xxhash64("text").alias("_same"))
         .repartitionByRange("doc_id", "_same")

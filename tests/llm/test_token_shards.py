@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from faultline.llm import token_shards
@@ -46,6 +47,36 @@ def test_encoder_is_the_library(monkeypatch):
             assert list(encoder.encode(text.encode())) == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_texts_are_encoded_together_and_a_word_is_looked_up_once():
+    class Counting(dict):
+        asked = 0
+
+        def get(self, word):
+            Counting.asked += 1
+            return super().get(word)
+
+    rng = random.Random(4)
+    texts = ["", " \x0b", *(" ".join(rng.choice(["The", "cat's", "ÜBER", "中x", "42"]) for _ in range(rng.randrange(300))) for _ in range(50))]
+    texts.append("\tÀ\x1cb\x85c  ")
+    encoder = WordEncoder(PATH)
+    encoder.words = Counting()
+    ids, ends = encoder.encode_all(pa.array(texts), np.array([1], encoder.dtype).tobytes())
+    want = [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert [list(i) for i in np.split(ids, ends[:-1])] == want and ends[-1] == len(ids)
+    assert Counting.asked <= 8
+
+
+def test_shards_end_with_the_document_that_fills_them(spark, tmp_path):
+    rows = [(i, "a " * n) for i, n in enumerate([1, 5, 0, 9, 3, 25, 2, 4, 4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        shards = write_token_shards(docs, f"file://{tmp_path}/full", PATH, shard_ids=10).orderBy("start").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert [(r.docs, r.ids, r.start) for r in shards] == [(4, 19, 0), (2, 30, 19), (3, 13, 49)]
+
+
 def test_there_and_back(spark, tmp_path):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(["The", "stupid", "cat's", "ÜBER", "42", "x,y"]) for _ in range(rng.randrange(60)))) for i in range(500)]
