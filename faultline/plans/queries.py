@@ -239,9 +239,14 @@ def otlp_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _container_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container chunks, made once: lines are assembled from several reads of them."""
+    return stored(derive(spark, sf_dir, D.CONTAINER_CHUNKS_SPARK, heavy=True), "chunks")
+
+
 @query
 def container_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return containers.assemble_lines(derive(spark, sf_dir, D.CONTAINER_CHUNKS_SPARK, heavy=True))
+    return containers.assemble_lines(_container_chunks(spark, sf_dir))
 
 
 @query
@@ -270,9 +275,7 @@ def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
         "journald": lambda s, c: _journal(s, sf_dir),
         "kubernetes": lambda s, c: pods.decode_pod_lines(derive(s, sf_dir, D.POD_LINES)),
         "otel": lambda s, c: _otlp(s, sf_dir).select(*raw),
-        "docker": lambda s, c: containers.container_source(
-            derive(s, sf_dir, D.CONTAINER_CHUNKS_SPARK, heavy=True).withColumn("names", named)
-        ),
+        "docker": lambda s, c: containers.container_source(_container_chunks(s, sf_dir).withColumn("names", named)),
     }
     configs = [{"type": t} for t in readers] + [
         {"type": "pigeon"},
@@ -291,7 +294,7 @@ def shared_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         "file": lambda s, c: log_lines(s, sf_dir),
         "journald": lambda s, c: _journal(s, sf_dir),
         "docker": lambda s, c: containers.container_source(
-            derive(s, sf_dir, D.CONTAINER_CHUNKS_SPARK, heavy=True).withColumn("names", F.array(F.lit("/app")))
+            _container_chunks(s, sf_dir).withColumn("names", F.array(F.lit("/app")))
         ),
     }
     raw = union_sources(spark, [{"type": t} for t in ("file", "journald", "docker", "journald", "file")], readers)
