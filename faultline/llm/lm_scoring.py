@@ -11,9 +11,11 @@ from __future__ import annotations
 import base64
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,7 @@ from faultline.llm.attention import (
     learn,
     windows,
 )
-from faultline.llm.common import ascii_lower, runs, shared_folder, small_batches
+from faultline.llm.common import shared_folder, small_batches
 from faultline.session import materialise
 
 #: Learning rates of the rounds; each training text is in one round.
@@ -38,22 +40,50 @@ RATES = (0.02, 0.012, 0.006, 0.003)
 HOT_WORDS, HOT_BYTES = 1 << 17, 64
 #: Words whose ids a worker remembers.
 REMEMBERED = 1 << 19
-#: Texts are encoded in runs of about so many bytes, and put into windows in runs of so many ids.
-RUN_BYTES, RUN_IDS = 1 << 20, 1 << 17
+#: Texts are split in runs of about so many bytes, and put into windows in runs of so many ids.
+RUN_BYTES, RUN_IDS = 1 << 22, 1 << 17
 #: Parameters of a row, and rows that a task averages at most.
 BLOCK, FAN_IN = 1 << 16, 16
 
-_WHITE = "[ \\t\\n\\u000B\\f\\r]+"
 CODED = (
     "_row long, doc_id long, held_out boolean, n_tokens long, n_known long, log_sum double, "
-    "ids array<int>, rare array<struct<word: binary, tf: int>>, _round int"
+    "ids binary, rare array<struct<word: binary, tf: int>>, _round int"
 )
 
 
+def _text_runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Rows in runs of about ``size`` bytes, a single text aside."""
+    run, held = [], 0
+    for batch in batches:
+        run.append(batch)
+        held += batch.nbytes
+        if held >= size:
+            yield from pa.Table.from_batches(run).combine_chunks().to_batches()
+            run, held = [], 0
+    if run:
+        yield from pa.Table.from_batches(run).combine_chunks().to_batches()
+
+
+def _split(text: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words between white space, A-Z lower-cased: a number for each, the words numbered, their texts."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(text))
+    words, sizes = split.flatten(), np.diff(split.offsets.to_numpy())
+    there = pc.greater(pc.binary_length(words), 0)  # white space at an end of a text has an empty word beyond it
+    numbered = words.filter(there).dictionary_encode()
+    of = np.repeat(np.arange(len(text)), sizes)[there.to_numpy(zero_copy_only=False)]
+    return numbered.indices.to_numpy(), numbered.dictionary.cast(pa.binary()), of
+
+
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for run in _text_runs(batches, RUN_BYTES):
+        numbers, words, _ = _split(run["text"])
+        yield pa.RecordBatch.from_pydict({"word": words, "c": np.bincount(numbers, minlength=len(words))})
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, c): words of ``lowered`` between white space, and how often they occur."""
-    words = texts.select(F.explode(F.split("lowered", _WHITE)).alias("word")).filter("word <> ''")
-    return words.groupBy(F.col("word").cast("binary").alias("word")).agg(F.count("*").alias("c"))
+    """(word, c): lower-cased words of ``text`` between white space, and how often they occur."""
+    words = texts.select("text").mapInArrow(_counter, "word binary, c long")
+    return words.groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -71,11 +101,18 @@ class _Words:
 
     def clear(self) -> None:
         # Number 0 is the end of a text; no word is empty.
-        self.known, self.words = {b"": 0}, [b""]
+        self.known = {b"": 0}
         self.flat = np.array([self.coder.n_vocab], dtype=np.int32)
         self.first, self.length = np.zeros(1, np.int64), np.ones(1, np.int64)
         self.count = np.array([self.n_train], dtype=np.int64)
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of different words."""
+        if len(self.known) > REMEMBERED:
+            self.clear()
+        self.meet([w for w in words if w not in self.known])
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
     def meet(self, new: list[bytes]) -> None:
         """Encode words not met before; the count of one that is not frequent is -1."""
         if not new:
@@ -83,9 +120,8 @@ class _Words:
         ids = [self.coder.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in new]
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         first = len(self.flat) + np.cumsum(length) - length
-        self.known.update(zip(new, range(len(self.words), len(self.words) + len(new))))
-        self.words += new
-        self.flat = np.concatenate([self.flat, np.fromiter((i for own in ids for i in own), np.int32, int(length.sum()))])
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(length.sum()))])
         self.first, self.length = np.concatenate([self.first, first]), np.concatenate([self.length, length])
         count = np.fromiter((self.counts.get(w, -1) for w in new), np.int64, len(new))
         self.count = np.concatenate([self.count, count])
@@ -100,54 +136,73 @@ def _tokenizer(ranks: str, pattern: str):
     return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=known, special_tokens={})
 
 
+def _id_type(size: int) -> np.dtype:
+    return np.dtype("<u2" if size <= 1 << 16 else "<i4")
+
+
+def _listed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Rows whose ``ids``, written as bytes, are lists of numbers again."""
+    kind = _id_type(size)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        packed = batch["ids"].cast(pa.large_binary())
+        ends = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1]
+        ids = np.frombuffer(packed.buffers()[2] or b"", kind, (ends[-1] - ends[0]) // kind.itemsize, ends[0])
+        lists = pa.ListArray.from_arrays(((ends - ends[0]) // kind.itemsize).astype(np.int32), pa.array(ids))
+        names = batch.schema.names
+        yield pa.RecordBatch.from_arrays([lists if name == "ids" else batch[name] for name in names], names=names)
+
+
 def _encoder(ranks: str, pattern: str, hot: Broadcast, n_train: int):
     """Ids, sums over frequent words and the list of the others, text by text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _Words(_tokenizer(ranks, pattern), hot.value, n_train)
-        for rows in runs(batches, RUN_BYTES):
-            split = [row[-1].split() for row in rows]
-            if len(memory.words) > REMEMBERED:
-                memory.clear()
-            memory.meet(list({w for own in split for w in own if w not in memory.known}))
-            places: list[int] = []
-            for own in split:
-                places.extend(map(memory.known.__getitem__, own))
-                places.append(0)
-            met, sizes = np.array(places), np.array([len(own) + 1 for own in split])
-            starts = np.cumsum(sizes) - sizes
-            ids = memory.flat[_spread(memory.first[met], memory.length[met])]
+        coder = _tokenizer(ranks, pattern)
+        memory, kind = _Words(coder, hot.value, n_train), _id_type(coder.n_vocab + 1)
+        for rows in _text_runs(batches, RUN_BYTES):
+            numbers, words, doc = _split(rows["text"])
+            known, many = memory.numbers(words.to_pylist()), len(words)
+            sizes = np.bincount(doc, minlength=rows.num_rows) + 1
+            ends = np.cumsum(sizes)
+            starts, met = ends - sizes, np.zeros(ends[-1], np.int64)
+            met[np.arange(len(doc)) + doc] = known[numbers]
+            ids = memory.flat[_spread(memory.first[met], memory.length[met])].astype(kind)
             id_ends = np.cumsum(np.add.reduceat(memory.length[met], starts))
 
-            count = memory.count[met]
-            logs = np.where(count >= 0, np.log10(np.maximum(count, 0) + 1.0), 0.0)
-            doc, cold, many = np.repeat(np.arange(len(rows)), sizes), count < 0, len(memory.words)
-            pairs, tf = np.unique(doc[cold] * many + met[cold], return_counts=True)
-            ends = np.searchsorted(pairs, np.arange(len(rows) + 1) * many)
-            words = pa.array([memory.words[p] for p in (pairs % many).tolist()], pa.binary())
-            rare = pa.StructArray.from_arrays([words, pa.array(tf.astype(np.int32))], names=["word", "tf"])
-            columns = list(zip(*rows))
+            logs = np.where(memory.count >= 0, np.log10(np.maximum(memory.count, 0) + 1.0), 0.0)
+            cold = (memory.count[known] < 0)[numbers]
+            pairs, tf = np.unique(doc[cold] * many + numbers[cold], return_counts=True)
+            rare_ends = np.searchsorted(pairs, np.arange(rows.num_rows + 1) * many)
+            own = words.take(pa.array(pairs % max(1, many)))
+            rare = pa.StructArray.from_arrays([own, pa.array(tf.astype(np.int32))], names=["word", "tf"])
             yield pa.RecordBatch.from_pydict(
                 {
-                    "_row": pa.array(columns[0], pa.int64()),
-                    "doc_id": pa.array(columns[1], pa.int64()),
-                    "held_out": pa.array(columns[2], pa.bool_()),
+                    "_row": rows["_row"],
+                    "doc_id": rows["doc_id"],
+                    "held_out": rows["held_out"],
                     "n_tokens": pa.array(sizes, pa.int64()),
-                    "n_known": np.add.reduceat((count > 0).astype(np.int64), starts),
-                    "log_sum": np.add.reduceat(logs, starts),
-                    "ids": pa.ListArray.from_arrays(np.concatenate(([0], id_ends)).astype(np.int32), pa.array(ids)),
-                    "rare": pa.ListArray.from_arrays(ends.astype(np.int32), rare),
-                    "_round": pa.array(columns[3], pa.int32()),
+                    "n_known": np.add.reduceat((memory.count > 0)[met].astype(np.int64), starts),
+                    "log_sum": np.add.reduceat(logs[met], starts),
+                    "ids": _packed(ids, id_ends),
+                    "rare": pa.ListArray.from_arrays(rare_ends.astype(np.int32), rare),
+                    "_round": rows["_round"],
                 }
             )
 
     return run
 
 
+def _packed(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Ids as bytes, a value for each text."""
+    offsets = (np.concatenate(([0], ends)) * ids.itemsize).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids)]).cast(pa.binary())
+
+
 def _id_counter(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
-        for batch in batches:
+        for batch in _listed(batches, size):
             total += np.bincount(batch["ids"].flatten().to_numpy(), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": seen.astype(np.int32), "n": total[seen]})
@@ -202,7 +257,7 @@ def _trainer(vocabulary: Broadcast, theta: Broadcast, rate: float):
         grad, adam = Attention(vocabulary.value, np.zeros_like(model.theta)), Adam(len(model.theta), rate)
         n, met = len(vocabulary.value), np.zeros(len(vocabulary.value), dtype=np.int64)
         n_texts = 0
-        for _, ids, ends in _id_runs(batches):
+        for _, ids, ends in _id_runs(_listed(batches, len(vocabulary.value.place_of))):
             places = vocabulary.value.place_of[ids]
             met += np.bincount(places, minlength=n)
             n_texts += len(ends)
@@ -268,7 +323,7 @@ def train(coded: DataFrame, size: int, folder: str, rates: tuple[float, ...] = R
 def _scorer(vocabulary: Broadcast, theta: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Attention(vocabulary.value, theta.value)
-        for part, ids, ends in _id_runs(batches):
+        for part, ids, ends in _id_runs(_listed(batches, len(vocabulary.value.place_of))):
             places, score = vocabulary.value.place_of[ids], np.zeros(len(ends))
             for inputs, wanted, targets, text in windows(places, ends, len(vocabulary.value), STRIDE, SCORE_WINDOWS):
                 log_p = model.log_probabilities(inputs, wanted, targets)
@@ -297,12 +352,11 @@ def lm_scores(
     """
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession, "language-model")
     small_batches(spark)
-    lowered = ascii_lower(F.coalesce("text", F.lit("")))
     texts = docs.select(
         F.monotonically_increasing_id().alias("_row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
-        lowered.alias("lowered"),
+        F.coalesce("text", F.lit("")).alias("text"),
     )
     learned = texts.filter("not held_out")
     counts = materialise(word_counts(learned))
@@ -312,10 +366,10 @@ def lm_scores(
     is_hot = (F.col("c") * HOT_WORDS >= total) & (F.octet_length("word") <= HOT_BYTES)
     hot = {bytes(row.word): row.c for row in counts.filter(is_hot).collect()}
 
-    turn = F.when(F.col("held_out"), -1).otherwise(F.pmod(F.xxhash64("_row", "lowered"), F.lit(len(rates)))).cast("int")
+    turn = F.when(F.col("held_out"), -1).otherwise(F.pmod(F.xxhash64("_row", "text"), F.lit(len(rates)))).cast("int")
     coder = _encoder(ranks, pattern, spark.sparkContext.broadcast(hot), n_train)
-    bytes_of = texts.select("_row", "doc_id", "held_out", turn.alias("_round"), F.col("lowered").cast("binary"))
-    bytes_of.mapInArrow(coder, CODED).write.parquet(f"{folder}/coded")
+    rounds = texts.select("_row", "doc_id", "held_out", turn.alias("_round"), "text")
+    rounds.mapInArrow(coder, CODED).write.option("compression", "zstd").parquet(f"{folder}/coded")
     coded = spark.read.schema(CODED).parquet(f"{folder}/coded")
 
     size = _tokenizer(ranks, pattern).n_vocab + 1

@@ -188,3 +188,51 @@ def test_runs_do_not_depend_on_batches(monkeypatch):
     want = found(52)
     assert [n for run in want for n in run[0]] == list(range(52))
     assert found(1) == found(3) == found(20) == want
+
+
+def test_words_are_those_of_bytes_split():
+    """Runs of texts split by Arrow have the words that Python finds, in their order, with their texts."""
+    import pyarrow as pa
+
+    texts = ["", " a B\x0b\x0cc ", " \t\r\n", "É\u00a0x\u0085y\x1cz Ü", "a", "STRASSE İ  " * 3, "x" * 1000]
+    for some in (texts, ["", " "], texts[1:2]):
+        numbers, words, text = lm_scoring._split(pa.array(some))
+        want = [(k, w) for k, own in enumerate(some) for w in words_of(own)]
+        assert list(zip(text.tolist(), (words[i].as_py() for i in numbers.tolist()))) == want
+        assert len(set(words.to_pylist())) == len(words)
+
+
+def test_written_ids_come_back():
+    import pyarrow as pa
+
+    for size, top in ((1 << 16, 65_535), (1 << 20, 1_000_000)):
+        ids = np.array([5, 0, top, 7, 1, 2], lm_scoring._id_type(size))
+        packed = lm_scoring._packed(ids, np.array([2, 3, 6]))
+        batch = pa.RecordBatch.from_pydict({"n": [1, 2, 3], "ids": packed})
+        batches = [batch.slice(0, 0), batch.slice(1, 2), batch]
+        got = [row for b in lm_scoring._listed(batches, size) for row in b.to_pylist()]
+        want = [{"n": 1, "ids": [5, 0]}, {"n": 2, "ids": [top]}, {"n": 3, "ids": [7, 1, 2]}]
+        assert got == want[1:] + want
+
+
+def test_steps_share_their_memory(model):
+    """A step takes no new pages, and nothing of one batch is seen in the next, larger or smaller."""
+    import resource
+
+    rng = np.random.default_rng(5)
+    places = model.vocabulary.place_of[rng.integers(0, 80, 40_000)]
+    batches = list(windows(places, np.array([3000, 3001, 40_000]), len(model.vocabulary), WINDOW, 192))
+    batches += list(windows(places, np.array([70, 40_000]), len(model.vocabulary), STRIDE, 100))
+    grad = Attention(model.vocabulary, np.zeros_like(model.theta))
+    own = Attention(model.vocabulary, model.theta.copy())
+    for inputs, wanted, targets, _ in batches * 2:
+        fresh = Attention(model.vocabulary, model.theta.copy())
+        other = Attention(model.vocabulary, np.zeros_like(model.theta))
+        assert own.gradient(inputs, wanted, targets, grad) == fresh.gradient(inputs, wanted, targets, other)
+        assert np.array_equal(grad.theta, other.theta)
+        log_p = own.log_probabilities(inputs, wanted, targets)
+        assert np.array_equal(log_p, fresh.log_probabilities(inputs, wanted, targets))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    for _ in range(10):
+        own.gradient(*batches[0][:3], grad)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < 10 * 600
